@@ -23,6 +23,8 @@ from docflow.llm.quality import junk_kind
 from docflow.llm.sentences import FILE_ENDS
 
 ORDERS = (1, 2, 3)
+PART = 400_000  # characters measured together
+ROWS = 1024  # texts of a batch handled together
 TOP = 500  # n-grams of a profile
 SAMPLE = 600  # training texts of a language: the documented bound of the sample
 LEAST_LETTERS = 12  # letters of a sentence that may show a language of its own (a CJK letter counts three)
@@ -146,6 +148,15 @@ class Profiles:
         return out, counts
 
     def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``measure_part``, in parts of bounded size, so that a batch of long texts needs little memory."""
+        ends = np.cumsum([len(t) + 1 for t in texts]) // PART
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)] if len(texts) else [0, 0]
+        if len(cuts) == 2:
+            return self.measure_part(texts)
+        got = [self.measure_part(texts[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+        return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+    def measure_part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Distance of each text to each language, more than 1 for another script; letters of each text."""
         far, counts = self.distances(texts)
         kind = script_kind(counts)
@@ -183,10 +194,11 @@ def train(documents: DataFrame, common_words: DataFrame) -> Profiles:
         sums: dict[str, pd.Series] = {}
         for b in batches:
             for lang, texts in pd.DataFrame({"l": b.column(0).to_pylist(), "t": b.column(1).to_pylist()}).groupby("l").t:
-                good = [NOT_WORDS.sub(" ", t) for t in texts if plausible(t, lang, words)]
-                if lang in LANGS and good:
-                    _, code, _ = grams(good)
-                    s = pd.Series(1, index=code).groupby(level=0).sum()
+                good = [NOT_WORDS.sub(" ", t) for t in texts if plausible(t, lang, words)] if lang in LANGS else []
+                for at in range(0, len(good), 128):
+                    _, code, _ = grams(good[at : at + 128])
+                    code, n = np.unique(code, return_counts=True)
+                    s = pd.Series(n, index=code)
                     sums[lang] = s.add(sums[lang], fill_value=0) if lang in sums else s
         for lang, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(s)), pa.array(s.index.to_numpy(), pa.int64()), pa.array(s.to_numpy().astype("int64"))], names=["lang", "code", "n"])
@@ -321,7 +333,7 @@ def languages(df: DataFrame, text: str, profiles: Profiles, *keep: str, junk: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             texts = [t or "" for t in b.column(0).to_pylist()]
             found = identify(texts, shared.value)
             bad = [junk_kind(t) if junk else None for t in texts]
