@@ -135,17 +135,32 @@ def examined(results: DataFrame, requests: DataFrame) -> DataFrame:
     from docflow.llm.pairs import refusal_column
 
     # how each request's text ends is read once per request; only that word is shuffled, not the text
-    asked = read_endings(requests.where("request_id is not null"), "text", "text", "request_id").groupBy("request_id").agg(F.max("source_end").alias("asked_end"))
+    asked = read_endings(requests.where("request_id is not null").withColumn("asked_form", letters_hash("text")), "text", "text", "request_id", "asked_form").groupBy("request_id").agg(F.max("source_end").alias("asked_end"), F.max("asked_form").alias("asked_form"))
     texts = results.where("translated_text is not null")
     cols = lengths(F.col("translated_text"))
-    wide = texts.select("result_id", "request_id", "backend", "translated_text", refusal_column("translated_text").alias("refusal"), *[cols[m].alias(m) for m in MEASURES])
-    got = read_endings(wide, "translated_text", None, "result_id", "request_id", "backend", "refusal", *MEASURES).drop("source_end")
-    return got.join(asked, "request_id", "left").withColumnRenamed("asked_end", "source_end")
+    wide = texts.select("result_id", "request_id", "backend", "translated_text", refusal_column("translated_text").alias("refusal"), letters_hash("translated_text").alias("form"), *[cols[m].alias(m) for m in MEASURES])
+    got = read_endings(wide, "translated_text", None, "result_id", "request_id", "backend", "refusal", "form", *MEASURES).drop("source_end")
+    both = got.join(asked, "request_id", "left").withColumnRenamed("asked_end", "source_end")
+    # a source handed back without its last mark or in other letter case is a copy, not a broken-off text
+    return both.withColumn("copied", F.coalesce(F.col("form") == F.col("asked_form"), F.lit(False))).drop("form", "asked_form")
+
+
+def letters_hash(text: str) -> Column:
+    """Hash of a text's letters and digits without case."""
+    return F.xxhash64(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", ""))
+
+
+def unfinished(at_limit: Column | None = None) -> Column:
+    """Whether a text's ending, beside that of its source, is inside a word or sentence."""
+    e, s = F.col("ending"), F.col("source_end")
+    alone = (s.isNull() & at_limit) if at_limit is not None else F.lit(False)
+    off = e.isin("noise", "open") | ((e == "pause") & s.isin("sentence", "title")) | ((e == "short") & (s.isin("sentence", "pause") | alone))
+    return F.coalesce(off & ~F.col("refusal") & ~F.col("copied"), F.lit(False))
 
 
 def hidden_limits(seen: DataFrame) -> DataFrame:
     """measure, length, n: lengths at which unfinished texts pile up, by each way of counting."""
-    long = seen.where("ending in ('open', 'short', 'noise', 'pause')").select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])).alias("x")).select("x.*")
+    long = seen.where(unfinished()).select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])).alias("x")).select("x.*")
     counts = long.groupBy("measure", "length").agg(F.count("*").alias("n"))
     w = Window.partitionBy("measure").orderBy("length").rangeBetween(-NEAR, NEAR)  # one row per length
     around = (F.sum("n").over(w) - F.col("n")) / (2 * NEAR)
@@ -165,9 +180,7 @@ def truncated(results: DataFrame, requests: DataFrame) -> DataFrame:
     for r in hidden_limits(seen).collect():  # at most one in 2 * NEAR lengths can be one
         limits.setdefault(r.measure, []).append(r.length)
     marks = F.array_compact(F.array(*[F.when(F.col(m).isin(limits[m]), F.lit(m)) for m in MEASURES if m in limits])) if limits else F.array().cast("array<string>")
-    e, s = F.col("ending"), F.col("source_end")
-    off = e.isin("noise", "open") | ((e == "pause") & s.isin("sentence", "title")) | ((e == "short") & (s.isin("sentence", "pause") | (s.isNull() & (F.size("limits") > 0))))
-    return seen.withColumn("limits", marks).withColumn("truncated", F.coalesce(off & ~F.col("refusal"), F.lit(False))).select("result_id", "backend", "ending", "truncated", "limits")
+    return seen.withColumn("limits", marks).withColumn("truncated", unfinished(F.size("limits") > 0)).select("result_id", "backend", "ending", "truncated", "limits")
 
 
 def rates(found: DataFrame) -> DataFrame:
