@@ -28,7 +28,7 @@ ROWS = 1024  # texts of a batch handled together
 TOP = 500  # n-grams of a profile
 SAMPLE = 600  # training texts of a language: the documented bound of the sample
 LEAST_LETTERS = 12  # letters of a sentence that may show a language of its own (a CJK letter counts three)
-LEAST_EVIDENCE = 1.2  # letters times lead over the text's main language that make a sentence foreign to it
+LEAST_EVIDENCE = 1.3  # letters times lead over the text's main language that make a sentence foreign to it
 
 NOT_WORDS = re.compile(
     r"(?i)(?:https?://|www\.|mailto:)[^\s<>　-ヿ一-鿿]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w-]+\.(?:" + "|".join(FILE_ENDS) + r")(?![A-Za-z])"
@@ -71,7 +71,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = keep | np.concatenate(([True], keep[:-1]))
     code = np.where(keep, cp, 32).astype(np.int64)[edge]
     own = owner[edge]
-    parts = [(own[code != 32], code[code != 32])]
+    single = code >= 0x3000  # single letters tell something only where they are whole syllables or words
+    parts = [(own[single], code[single])]
     for k in (2, 3):
         if len(code) < k:
             continue
@@ -96,6 +97,26 @@ class Profiles:
     ranks: np.ndarray
     langs: tuple[str, ...]
 
+    def __post_init__(self) -> None:
+        # a table of hashes without collisions among the profiles' codes: one look instead of a search
+        self.bits = 22
+        for k in range(1, 400):
+            factor = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
+            slots = self.slot(self.codes, factor)
+            if len(np.unique(slots)) == len(self.codes):
+                self.factor = factor
+                break
+        else:
+            raise ValueError("no hash without collisions")
+        self.table = np.zeros(1 << self.bits, np.int16)
+        self.table[slots] = np.arange(len(self.codes), dtype=np.int16)
+
+    def slot(self, codes: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return (codes.astype(np.uint64) * factor) >> np.uint64(64 - self.bits)
+
+    def __reduce__(self):
+        return Profiles, (self.codes, self.ranks, self.langs)
+
     @classmethod
     def of(cls, tops: dict[str, list[int]]) -> Profiles:
         langs = tuple(x for x in LANGS if tops.get(x))
@@ -114,11 +135,12 @@ class Profiles:
         n, size = len(texts), len(self.codes)
         owner, code, counts = grams(texts)
         counts = counts[:n]
-        at = np.searchsorted(self.codes, code)
-        at[at == size] = 0
+        if not size:
+            return np.ones((n, len(self.langs)), np.float32), counts
+        at = self.table[self.slot(code, self.factor)]
         known = self.codes[at] == code
         seen = np.bincount(owner, minlength=n)[:n]
-        key = np.sort(owner[known] * size + at[known])
+        key = np.sort(owner[known] * size + at[known].astype(np.int64))
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         count = np.minimum(np.diff(np.append(first, len(key))), 31)
         o, c = np.divmod(key[first], size)
@@ -250,19 +272,17 @@ class Found:
     stretches: list[tuple[int, int, str, float]]
 
 
-CUT = re.compile(r"(?:(?<=[.!?…])[\"'”’»)]*\s+|(?<=[.!?…])(?=[^\W\d_a-z])|(?<=[。！？।॥])[”」』’]*|[\n\r]+|(?<=[฀-๿])\s+|\s+(?=[฀-๿]))")
+CUT = re.compile(r"[.!?…。！？।॥\n\r](?:(?<=[。！？।॥\n\r])[”」』’]*|[\"'”’»)]*(?:\s+|(?=[^\W\d_a-z])))")
+CUT_THAI = re.compile(CUT.pattern + r"|(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
+HAS_THAI = re.compile("[฀-๿]")
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
     """Rough sentences: too fine a cut only gives pieces that show no language of their own."""
-    out, at = [], 0
-    for m in CUT.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    return out
+    ends = [m.end() for m in (CUT_THAI if HAS_THAI.search(text) else CUT).finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    return list(zip([0, *ends], ends))
 
 
 def identify(texts: list[str], profiles: Profiles) -> list[Found]:
@@ -323,9 +343,11 @@ def joined(p, weight, main, own, clear, lead, letters, names) -> Found:
 LANG_ROW = "lang string, confidence double, mixed array<string>, junk string, stretches array<struct<start:int,stop:int,lang:string,confidence:double>>"
 
 
-def languages(df: DataFrame, text: str, profiles: Profiles, *keep: str, junk: bool = True) -> DataFrame:
+def languages(df: DataFrame, text: str, profiles: Profiles, *keep: str, junk=True) -> DataFrame:
     """The columns ``keep`` of every row of ``df`` with the language of its text, its stretches and its kind of junk.
 
+    ``junk``: whether texts may be unreadable, a constant or a column.
+
     Null, empty and wordless texts get a null language and no stretches; repeated rows stay. Extra columns aren't read.
     """
     shared = df.sparkSession.sparkContext.broadcast(profiles)  # at most 11 languages x TOP n-grams
@@ -336,13 +358,14 @@ def languages(df: DataFrame, text: str, profiles: Profiles, *keep: str, junk: bo
         for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             texts = [t or "" for t in b.column(0).to_pylist()]
             found = identify(texts, shared.value)
-            bad = [junk_kind(t) if junk else None for t in texts]
+            bad = [junk_kind(t) if k else None for t, k in zip(texts, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array([f.lang for f in found], pa.string()), pa.array([f.confidence for f in found], pa.float64()), pa.array([f.mixed for f in found], pa.list_(pa.string())), pa.array(bad, pa.string()), pa.array([[dict(zip(("start", "stop", "lang", "confidence"), s)) for s in f.stretches] for f in found], pa.list_(kind))],
+                [*b.columns[2:], pa.array([f.lang for f in found], pa.string()), pa.array([f.confidence for f in found], pa.float64()), pa.array([f.mixed for f in found], pa.list_(pa.string())), pa.array(bad, pa.string()), pa.array([[dict(zip(("start", "stop", "lang", "confidence"), s)) for s in f.stretches] for f in found], pa.list_(kind))],
                 names=[*keep, "lang", "confidence", "mixed", "junk", "stretches"],
             )
 
-    return df.select(F.col(text), *keep).mapInArrow(run, schema)
+    check = F.lit(junk) if isinstance(junk, bool) else junk
+    return df.select(F.col(text), check, *keep).mapInArrow(run, schema)
 
 
 def label_findings(requests: DataFrame, documents: DataFrame, configs: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -355,7 +378,7 @@ def label_findings(requests: DataFrame, documents: DataFrame, configs: DataFrame
     docs = documents.select("text", F.lit("document").alias("label_field"), F.col("doc_id").cast("string").alias("rec_id"), label_code(F.col("lang")).alias("declared"), "job_id")
     reqs = requests.select("text", F.lit("request").alias("label_field"), F.col("request_id").alias("rec_id"), label_code(F.col("source_language")).alias("declared"), F.lit(None).cast("string").alias("job_id"))
     both = docs.unionByName(reqs)
-    got = languages(both, "text", profiles, "label_field", "rec_id", "declared", "job_id").where("lang is not null and junk is null").drop("stretches", "confidence", "junk")
+    got = languages(both, "text", profiles, "label_field", "rec_id", "declared", "job_id", junk=F.col("label_field") == "document").where("lang is not null and junk is null").drop("stretches", "confidence", "junk")
     got = got.join(jobs, "job_id", "left")
     mixed = F.size("mixed") > 1
     none = F.lit(None).cast("string")
