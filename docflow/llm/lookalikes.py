@@ -136,18 +136,23 @@ def canonical_column(df: DataFrame, text: str, *keep: str) -> DataFrame:
 def same_look(df: DataFrame, table: str, id_column: str, text: str, groups: list[str]) -> DataFrame:
     """rec_table, id_a, id_b: pairs of rows of a group whose texts differ in characters but not in look.
 
-    Null texts and null groups give no pair; exactly equal texts are none either. Only texts of a group with one form and at
-    least two spellings meet: the forms' hashes are grouped first, and rows of other groups never reach the join.
+    Null texts and null groups give no pair; exactly equal texts are none either.
     """
+    from docflow.llm.tables import cut
+
     src = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("raw"), *groups).where(F.col("raw").isNotNull())
-    # the form's and the spelling's hashes stand for the texts in the shuffles; a text that is its own form is left in the JVM
+    # a text of plain ASCII is its own form and stays in the JVM; 96 bits of hashes stand for form and spelling in the shuffles
     plain = F.col("raw").rlike(r"^[\x00-\x08\x0a-\x7f]*$")
+    hashes = lambda c, k: (F.xxhash64(c).alias(f"{k}64"), F.hash(c).alias(f"{k}32"))
     odd = canonical_column(src.where(~plain), "raw", "id", "raw", *groups)
-    every = src.where(plain).withColumn("canon", F.col("raw")).unionByName(odd)
-    keyed = every.select("id", *groups, F.sha2("canon", 256).alias("c"), F.sha2("raw", 256).alias("r"))
-    several = keyed.groupBy(*groups, "c").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 <> r1").select(*groups, "c")
-    hot = keyed.join(several, [*groups, "c"])
-    left = hot.select(*groups, "c", F.col("id").alias("id_a"), F.col("r").alias("ra"))
-    right = hot.select(*groups, "c", F.col("id").alias("id_b"), F.col("r").alias("rb"))
-    pairs = left.join(right, [*groups, "c"]).where("id_a < id_b and ra <> rb")
+    odd = odd.select("id", *groups, *hashes("canon", "c"), *hashes("raw", "r"), (F.col("canon") != F.col("raw")).alias("changed"))
+    own = src.where(plain).select("id", *groups, *hashes("raw", "c"), *hashes("raw", "r"), F.lit(False).alias("changed"))
+    keyed = cut(own.unionByName(odd))
+    key = [*groups, "c64", "c32"]
+    # a pair has at least one text that isn't its own form: only the groups of such texts are joined
+    wanted = keyed.where("changed").select(*key).distinct()
+    hot = keyed.join(wanted, key)
+    left = hot.select(*key, F.col("id").alias("id_a"), F.col("r64").alias("ra64"), F.col("r32").alias("ra32"))
+    right = hot.select(*key, F.col("id").alias("id_b"), F.col("r64").alias("rb64"), F.col("r32").alias("rb32"))
+    pairs = left.join(right, key).where("id_a < id_b and (ra64 <> rb64 or ra32 <> rb32)")
     return pairs.select(F.lit(table).alias("rec_table"), "id_a", "id_b").distinct()
