@@ -89,9 +89,10 @@ class Transducer:
         for c, v in self.forms.items():
             if self.derive(v) != v:
                 raise ValueError(f"the form of U+{ord(c):04X} has another form")
-        mapped = "".join(re.escape(c) for c in sorted(self.forms))
+        self.table = {ord(c): v for c, v in self.forms.items()}
         follow = f"[{MARKS}{INVISIBLE}\ufe00-\ufe0f]"
-        self.pattern = re.compile(f"[^\n\r]{follow}+|[{mapped}]")
+        self.marked = re.compile(follow)
+        self.cluster = re.compile(f"[^\n\r]{follow}+")
 
     def derive(self, cluster: str) -> str:
         return unicodedata.normalize("NFC", unicodedata.normalize("NFD", cluster).translate(self.base))
@@ -117,7 +118,9 @@ def canonical(text: str) -> str:
     if text.isascii():
         return text.replace("\t", " ") if "\t" in text else text
     t = transducer()
-    return t.pattern.sub(t.form, text)
+    if t.marked.search(text):  # clusters of several characters first: their forms map to themselves
+        text = t.cluster.sub(t.form, text)
+    return text.translate(t.table)
 
 
 def canonical_column(df: DataFrame, text: str, *keep: str) -> DataFrame:
