@@ -35,9 +35,9 @@ def numbered(df: DataFrame, folder: str, base: str, extension: Column, order: st
     """
     name = lambda n: F.concat(F.col(base), F.when(n > 0, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.lit("")), extension)
     w = Window.partitionBy(folder, base, extension).orderBy(order)
-    out = df.withColumn("n", F.row_number().over(w) - 1)
+    out = df.withColumn("__n", F.row_number().over(w) - 1)
     if taken is None:
-        return out.withColumn("final_name", name(F.col("n"))).drop("n")
+        return out.withColumn("final_name", name(F.col("__n"))).drop("__n")
     used = taken.select(F.col("folder").alias("f"), F.col("name").alias("t")).distinct()
     # taken names of the same base take numbers away: the k-th file gets the k-th free number
     own = df.select(folder, base, extension.alias("__e")).distinct()
@@ -45,10 +45,10 @@ def numbered(df: DataFrame, folder: str, base: str, extension: Column, order: st
     escaped = F.length(base)
     rest = F.col("t").substr(escaped + 1, F.length("t") - escaped - F.length("__e"))
     number = F.when(rest == "", 0).otherwise(F.regexp_extract(rest, r"^ \((\d{1,9})\)\z", 1).try_cast("int"))
-    busy = hit.where(F.col("t").startswith(F.col(base)) & F.col("t").endswith(F.col("__e")) & number.isNotNull()).groupBy(folder, base, "__e").agg(F.array_sort(F.collect_set(number)).alias("busy"))
+    busy = hit.where(F.col("t").startswith(F.col(base)) & F.col("t").endswith(F.col("__e")) & number.isNotNull()).groupBy(folder, base, "__e").agg(F.array_sort(F.collect_set(number)).alias("__busy"))
     joined = out.withColumn("__e", extension).join(busy, [folder, base, "__e"], "left")
-    free = F.aggregate(F.coalesce("busy", F.array().cast("array<int>")), F.col("n"), lambda acc, b: F.when(b <= acc, acc + 1).otherwise(acc))
-    return joined.withColumn("final_name", name(free)).drop("n", "busy", "__e")
+    free = F.aggregate(F.coalesce("__busy", F.array().cast("array<int>")), F.col("__n"), lambda acc, b: F.when(b <= acc, acc + 1).otherwise(acc))
+    return joined.withColumn("final_name", name(free)).drop("__n", "__busy", "__e")
 
 
 def ancestors(path: Column) -> Column:

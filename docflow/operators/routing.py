@@ -30,7 +30,7 @@ def paths(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     Of equally short ways the one whose nodes come first in order. The graph of languages is small by its nature (a node per
     language); the walk grows one hop at a time, keeps one way per pair and end, and stops when nothing new is reached.
     """
-    e = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct()
+    e = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct().coalesce(1)
     spark = edges.sparkSession
     e.createOrReplaceTempView("_docflow_edges")
     walk = spark.sql(f"""

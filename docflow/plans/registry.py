@@ -374,7 +374,7 @@ SESSIONS = "s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event
 
 @query(f"WITH {SESSIONS} SELECT user_id, max(ts) AS fired_at, last(event_id ORDER BY ts, event_id) AS event_id, count(*) AS edits FROM s GROUP BY user_id, island")
 def debounce(spark: SparkSession, d: str) -> DataFrame:
-    return timers.debounce(read(spark, d, "events", "user_id", "ts", "event_id"), "user_id", "ts", "event_id", "30 minutes").withColumnRenamed("value", "event_id")
+    return timers.debounce(read(spark, d, "events", "user_id", "ts", "event_id"), "user_id", "ts", "event_id", 30 * 60_000).withColumnRenamed("value", "event_id")
 
 
 @query("SELECT request_id, received_at, target_language, length(text) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY received_at DESC, created_at DESC, text DESC, target_language DESC) AS n FROM requests) WHERE n = 1")
@@ -566,7 +566,7 @@ def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
     name = f"burst_{uuid.uuid4().hex}"
     static = spark.read.parquet(f"{d}/events.parquet")
     stream = spark.readStream.schema(static.schema).parquet(f"{d}/events*.parquet")
-    q = timers.debounce_stream(stream.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", "30 minutes", "1 hour").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q = timers.debounce_stream(stream.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 30 * 60_000, "1 hour").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).withColumnRenamed("value", "event_id")
 

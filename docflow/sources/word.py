@@ -106,8 +106,9 @@ def structure(content: bytes) -> tuple[int, int]:
 
 def rewrite(content: bytes, texts: dict[tuple[str, int], list[str]]) -> bytes:
     """The package with new texts of the nodes of some groups; other members and unchanged parts stay as they are, byte for byte."""
+    data = members(content)
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        comment, infos, data = z.comment, z.infolist(), {i.filename: z.read(i) for i in z.infolist()}
+        comment, infos = z.comment, z.infolist()
     for part in {p for p, _ in texts}:
         root, changed = parse(data[part]), False
         for i, g in enumerate(groups(root)):

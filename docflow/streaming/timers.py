@@ -11,13 +11,13 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def debounce(events: DataFrame, key: str, ts: str, value: str, gap: str) -> DataFrame:
+def debounce(events: DataFrame, key: str, ts: str, value: str, gap_ms: int) -> DataFrame:
     """key, fired_at, value, edits: the last edit before every quiet gap; an edit at just the gap's length starts a new burst.
 
-    Works on batches and, after ``withWatermark``, on streams.
+    Session windows join an event at just their end, so they are a microsecond shorter than the gap. Works on batches and, after ``withWatermark``, on streams.
     """
     best = F.max_by(F.struct(F.col(ts), F.col(value)), F.struct(F.col(ts), F.col(value)))
-    return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(best.alias("last"), F.count("*").alias("edits")).select(key, F.col("last")[ts].alias("fired_at"), F.col("last")[value].alias("value"), "edits")
+    return events.groupBy(key, F.session_window(ts, f"{gap_ms * 1000 - 1} microseconds").alias("w")).agg(best.alias("last"), F.count("*").alias("edits")).select(key, F.col("last")[ts].alias("fired_at"), F.col("last")[value].alias("value"), "edits")
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -70,9 +70,9 @@ def progress(rows: DataFrame, job: str, order: list[str], active_s: Column) -> D
     return r.withColumn("percent", pct).withColumn("eta_s", F.bround(active_s * (F.col("total") - F.col("done")) / F.col("done")).cast("bigint"))
 
 
-def debounce_stream(stream: DataFrame, key: str, ts: str, value: str, gap: str, late: str) -> DataFrame:
+def debounce_stream(stream: DataFrame, key: str, ts: str, value: str, gap_ms: int, late: str) -> DataFrame:
     """The streaming form of ``debounce``: bursts are emitted once the watermark has passed their gap (append mode)."""
-    return debounce(stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late), key, ts, value, gap)
+    return debounce(stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late), key, ts, value, gap_ms)
 
 
 def latest_stream(stream: DataFrame, key: str, ts: str, value: str) -> DataFrame:
