@@ -48,7 +48,18 @@ def equal_look(ch: str) -> str | None:
     return form if form != ch else None
 
 
-MARKS = "\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u3099\u309a\uff9e\uff9f"
+def char_class(chars: set[int]) -> str:
+    """Ranges of code points for a character class."""
+    out, run = [], []
+    for c in sorted(chars):
+        if run and c == run[-1] + 1:
+            run[1:] = [c]
+            continue
+        if run:
+            out.append(run)
+        run = [c]
+    out += [run] if run else []
+    return "".join(re.escape(chr(r[0])) + (f"-{re.escape(chr(r[-1]))}" if len(r) > 1 else "") for r in out)
 
 
 class Transducer:
@@ -90,7 +101,16 @@ class Transducer:
             if self.derive(v) != v:
                 raise ValueError(f"the form of U+{ord(c):04X} has another form")
         self.table = {ord(c): v for c, v in self.forms.items()}
-        follow = f"[{MARKS}{INVISIBLE}\ufe00-\ufe0f]"
+        # what continues a cluster: marks, whatever composes with a letter before it, half-width voicing, invisible characters
+        more = {0xFF9E, 0xFF9F, *range(0x1160, 0x1200), *range(0xFE00, 0xFE10), *map(ord, INVISIBLE)}
+        for cp in range(0x300, sys.maxunicode + 1):
+            if not 0xD800 <= cp < 0xE000 and not 0xAC00 <= cp < 0xD7A4:
+                if unicodedata.combining(chr(cp)):
+                    more.add(cp)
+                d = unicodedata.decomposition(chr(cp))
+                if d and not d.startswith("<") and " " in d:
+                    more.update(int(x, 16) for x in d.split()[1:])
+        follow = f"[{char_class(more)}]"
         self.marked = re.compile(follow)
         self.cluster = re.compile(f"[^\n\r]{follow}+")
 

@@ -159,6 +159,20 @@ def trimmed(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
         out.append((s, e))
 
 
+def speaks_on(line: str, quotes: dict[int, int], at: int, after: int) -> bool:
+    """Whether a mark that ends at ``at`` closes a quotation that began its sentence and that its speaker follows."""
+    c = line[after]
+    if c.isupper() or c.isdigit() or c in OPENERS:
+        return False
+    for j in range(at - 1, max(at - 4, -1), -1):
+        if j in quotes:
+            k = quotes[j] - 1
+            while k >= 0 and (line[k].isspace() or line[k] in SHY):
+                k -= 1
+            return k < 0 or bool(MARK.match(line[k])) or line[k] in "»”」』)）"
+    return False
+
+
 def boundaries(line: str) -> list[int]:
     """Inner cuts of a line by the dynamic program."""
     found = list(CAND.finditer(line))
@@ -166,8 +180,7 @@ def boundaries(line: str) -> list[int]:
         return []
     masked = [x.span() for x in MASK.finditer(line)] if ("." in line or "?" in line) else []
     quotes = quotation(line) if QUOTES.search(line) else {}
-    opens = {o: c for c, o in quotes.items()}
-    ends, score, quoted = [0], [0.0], [-1]
+    ends, score, quoted = [0], [0.0], [False]
     full = len(line)
     k = 0
     for m in found:
@@ -200,17 +213,12 @@ def boundaries(line: str) -> list[int]:
         o = opening(line[w : w + 24], kind, glued, mark)
         ends.append(w)
         score.append(c + o)
-        q = -1
-        if quotes:
-            for j in range(at - 1, max(at - 4, -1), -1):
-                if j in quotes:
-                    q = quotes[j]
-        quoted.append(q)
+        quoted.append(bool(quotes) and speaks_on(line, quotes, at, w))
     if len(ends) == 1:
         return []
     ends.append(full)
     score.append(0.0)
-    quoted.append(-1)
+    quoted.append(False)
     n = len(ends)
     depth = None
     if quotes:
@@ -234,11 +242,8 @@ def boundaries(line: str) -> list[int]:
                 v -= 1.5
             elif length > 400:
                 v -= 0.5
-            q = quoted[j]
-            if q >= 0 and j < n - 1 and not line[ends[i] : q].strip():
-                c = line[ends[j]]
-                if not c.isupper() and c not in OPENERS and not c.isdigit():
-                    v -= 7.0  # a quoted sentence whose speaker follows
+            if quoted[j]:
+                v -= 7.0  # a quoted sentence whose speaker follows
             if v > top:
                 top, arg = v, i
         best[j], prev[j] = top, arg

@@ -1,0 +1,268 @@
+"""Kernels against plain restatements, published encoders, labels and hand-made cases."""
+
+import json
+import random
+import unicodedata
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from docflow.llm import bpe, langid, lookalikes, pairs, pieces, quality, sentences, truncation
+
+
+# ---- sentences
+
+CASES = [
+    ["Wait ... the index of approx. 3022 entries is being built.", "It copies it."],
+    ["“Where is the glossary?” asks the second user.", "“Stop!” appears in the bar."],
+    ["The log ends with the words “no model found.”", "The scanner splits."],
+    ["Dr. Velmar opened build 2.9.23 at 9 a.m. and saw no error.", "See sec. 69.2, fig. 34 and vol. II."],
+    ["Build 4.1.27 (see No. 29) is 52.1 times faster than the U.S. build.", "It keeps links, etc.", "The rest."],
+    ["Die Fassung (vgl. Nr. 4) ist 0,5-mal schneller, d. h. besser.", "Dr. Velmar kam am 3. Mai um 9 Uhr.", "Links usw.", "„Halt!“ steht da."],
+    ["La versión es más rápida que la de EE. UU. y mejor.", "¿Cómo puedo ir?", "¡Abra https://docs.invalid/v1.2/a.html y pulse F5!"],
+    ["Le Dr. Velmar l'a ouvert à 9 h. et n'a rien vu.", "« Où est-il ? » demande le second.", "Attendez ... l'index d'env. 42 entrées est prêt."],
+    ["Д-р Вельмар открыл сборку в 9 ч. утра.", "Она быстрее, т. е. лучше.", "Рисунки и т. д.", "«Стой!» — написано там."],
+    ["गई है।", "डॉ. वेलमार ने खोला।"],
+]
+
+
+@pytest.mark.parametrize("want", CASES)
+def test_sentences_with_blanks(want):
+    text = " ".join(want)
+    assert [text[a:b] for a, b in sentences.spans(text)] == want
+
+
+@pytest.mark.parametrize("want", [["请稍候……", "请稍等……正在建立约9条的索引。", "“在哪里？”用户问道。", "最后写着：“没有。”", "昨天"], ["「止めて！」と表示されます。", "最後に「ない。」と書かれています。", "お待ちください……", "最新の版。"]])
+def test_sentences_without_blanks(want):
+    text = "".join(want)
+    assert [text[a:b] for a, b in sentences.spans(text)] == want
+
+
+@pytest.mark.parametrize("text,n", [("one.Two. three", 3), ("a first one. a second one.", 2), ("3.14", 1), ("a\nb\r\nc", 3), ("", 0), (" \n\t", 0), ("เมื่อวานเรา ไฟล์notes1.xmlเปิด", 2), ("—", 1)])
+def test_sentence_counts(text, n):
+    assert len(sentences.spans(text)) == n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="aB.!? \n“”«»„()1。ก", max_size=80))
+def test_sentences_cover_all_visible(text):
+    got = sentences.spans(text)
+    assert all(a < b for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+    left = list(text)
+    for a, b in got:
+        assert not text[a].isspace() and not text[b - 1].isspace()
+        left[a:b] = " " * (b - a)
+    assert not "".join(left).strip()
+
+
+def test_very_long_line():
+    text = "Dr. No said so. " * 20_000
+    assert len(sentences.spans(text)) == 20_000
+
+
+# ---- tokens
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.vocabulary()
+
+
+@pytest.fixture(scope="module")
+def published():
+    import base64
+
+    import tiktoken
+
+    with open(f"{bpe.FOLDER}/{bpe.VOCABULARY}.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_ids_equal_the_published_encoder(text):
+    v = bpe.vocabulary()
+    import base64
+
+    import tiktoken
+
+    if not hasattr(test_ids_equal_the_published_encoder, "enc"):
+        with open(f"{bpe.FOLDER}/{bpe.VOCABULARY}.tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        test_ids_equal_the_published_encoder.enc = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = text.encode("utf-8", "ignore").decode()
+    assert v.encode([text])[0] == test_ids_equal_the_published_encoder.enc.encode_ordinary(text)
+
+
+def test_verification_is_exact(vocabulary):
+    """A greedy cut passes the pair checks if and only if it is the exact merging."""
+    rng = random.Random(5)
+    tokens = list(vocabulary.bytes.values())
+    for _ in range(3000):
+        b = b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 4)))
+        g = vocabulary.greedy(b)
+        ok = bool(vocabulary.compatible(np.array(g[:-1]), np.array(g[1:])).all()) if len(g) > 1 else True
+        assert ok == (g == vocabulary.merged(b))
+
+
+def test_special_looking_and_long(vocabulary, published):
+    for t in ("<|endoftext|>", "a" * 5000, "é" * 3000, " \n\t  x", ""):
+        assert vocabulary.encode([t])[0] == published.encode_ordinary(t)
+
+
+# ---- pieces
+
+
+def plain_cuts(b, limit, lap):
+    """Greedy cuts one after the other."""
+    out, s, n = [], 0, len(b.at)
+    lap = min(max(0, lap), limit - 1)
+    while True:
+        far = max(j for j in range(n) if b.tokens[j] <= b.tokens[s] + limit)
+        far = min(max(far, s + 1), n - 1)
+        end = far
+        for k in (3, 2, 1):
+            fits = [j for j in range(s + 1, far + 1) if b.kind[j] >= k]
+            if fits and (b.tokens[fits[-1]] - b.tokens[s] > lap or fits[-1] == n - 1):
+                end = fits[-1]
+                break
+        out.append((s, end))
+        if end == n - 1:
+            return out
+        s = max(max(j for j in range(n) if b.tokens[j] <= b.tokens[end] - lap), s + 1)
+
+
+def test_pointer_doubling_equals_plain_greedy(vocabulary):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["The cat sat.", "Кот спал,", "猫は寝た。", "x" * 40, "a-b", "\n"]) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    vocabulary.encode(texts)
+    items = [pieces.bounds(t, vocabulary) for t in texts]
+    limits, laps = [rng.choice([3, 8, 20, 64]) for _ in texts], [rng.choice([0, 2, 5]) for _ in texts]
+    got = pieces.cuts(items, limits, laps)
+    for t, b, limit, lap, ps in zip(texts, items, limits, laps, got):
+        assert ps == plain_cuts(b, limit, lap)
+        assert ps[0][0] == 0 and ps[-1][1] == len(b.at) - 1
+        for s, e in ps:
+            text = t[b.at[s] : b.at[e]]
+            assert len(vocabulary.encode([text])[0]) == b.tokens[e] - b.tokens[s] or text[:1].isspace() or text[-1:].isspace()
+
+
+# ---- look-alikes
+
+LOOKS = [
+    ("café", "café", True), ("ｈｔｍｌ", "html", True), ("page1", "page①", False), ("copy3", "copy₃", False), ("ﬁn", "fin", True), ("ё", "е", False), ("ё", "ё", True), ("ß", "ss", False),
+    ("pe­re​vod", "perevod", True), ("A", "a", False), ("Ω", "Ω", True), ("К", "K", True), ("プ", "ﾌﾟ", True), ("⼀", "一", True), ("a b c", "a b c", True), ("é", "e", False), ("x²", "x2", False),
+    ("ї", "ї", True), ("a‑b", "a-b", True), ("a—b", "a-b", False), ("e​́", "é", True), ("", "​", True),
+]
+
+
+@pytest.mark.parametrize("a,b,same", LOOKS)
+def test_looks(a, b, same):
+    assert (lookalikes.canonical(a) == lookalikes.canonical(b)) == same
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=30))
+def test_canonical_is_stable(text):
+    once = lookalikes.canonical(text)
+    assert lookalikes.canonical(once) == once
+    assert lookalikes.canonical(unicodedata.normalize("NFD", text)) == lookalikes.canonical(unicodedata.normalize("NFC", text))
+
+
+# ---- languages
+
+
+def test_languages_on_held_out_labels(profiles, data):
+    d = data.replace("sf0.001", "sf0.01")
+    docs = pd.read_parquet(f"{d}/documents.parquet")
+    x = pd.read_parquet(f"{d}/doc_labels.parquet").merge(docs[["doc_id", "text"]], on="doc_id")
+    x = x[x.kind != "junk"]
+    got = ["mixed" if f.mixed else f.lang for f in langid.identify(list(x.text), profiles)]
+    assert (np.array(got) == x.lang.to_numpy()).mean() >= 0.95
+
+
+def test_odd_texts_have_defined_languages(profiles):
+    got = langid.identify(["", "12345 — 3.14", "​", "x", "Пожалуйста, проверьте предел памяти ещё раз. " * 400], profiles)
+    assert [f.lang for f in got][:3] == [None, None, None] and got[4].lang == "ru" and not got[4].mixed
+
+
+def test_stretches(profiles):
+    a, b = "The settings page protects the damaged table in reading order.", "Сканер документов сохраняет рисунки и таблицы без сети."
+    f = langid.identify([f"{a} {b} {a}"], profiles)[0]
+    assert f.mixed == ["en", "ru"] and [s[2] for s in f.stretches] == ["en", "ru", "en"]
+    quoted = langid.identify(["Press the button “Отмена” in the window, then open the old template."], profiles)[0]
+    assert quoted.lang == "en" and not quoted.mixed
+
+
+# ---- quality
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("• one\n• two words\n• three\n• four", "list"),
+        ("1. The device checks the page.\n2. The file tree splits it.\n3. It is all well.", "list"),
+        ("| a | b |\n|---|---|\n| 1 | 2 |\n| 3 |  |", "table"),
+        ("name,size,rate\nfirst row,12,3%\nsecond row,,4%\nthird row,9,—", "table"),
+        ("— Where is it?\n— I could not find it in my copy.\n— Look at the other drive, please.", "prose"),
+        ("The page is long. It tells a story.\n\nThe story ends here. All is well that ends well.", "prose"),
+        ("word word word word word word word word word word word word word word", "junk"),
+        ("Ð\x9aÑ\x8dÑ\x88 Ñ\x81ÐµÐ³Ð¼ÐµÐ½Ñ\x82Ð¾Ð² Ð¿ÐµÑ\x80ÐµÐ·Ð°Ð³Ñ\x80Ñ\x83Ð¶Ð°ÐµÑ\x82", "junk"),
+        ("4f ce 91 c6 91 89 61 a3 35 a5 e4 1a 96 02 c4 1e 07 24 70 88", "junk"),
+    ],
+)
+def test_kinds(text, kind):
+    assert quality.kind_of(quality.doc_stats(text, frozenset()), text) == kind
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=120))
+def test_statistics_never_fail(text):
+    s = quality.doc_stats(text, frozenset({"a"}))
+    assert list(s) == list(quality.STATS) and all(np.isfinite(v) for v in s.values())
+    assert (quality.junk_kind(text) is None) or len(text) >= 30
+
+
+# ---- truncation
+
+ENDINGS = [
+    ("The page is open.", "done"), ("The page is op", "short"), ("One is here. The page is op", "open"), ("One is here. The page is op&am", "noise"), ("One is here. The pa�", "noise"), ("Please wait…", "pause"), ("The device selector", "short"),
+    ("", "blank"), (None, "blank"), (" ​", "blank"), ("3.14", "wordless"), ("The log says “no model.”", "done"), ("See sec.", "open"), ("All is well [34538956558].", "done"), ("«Остановите задание!", "open"), ("速い。とても遅", "open"),
+]
+
+
+@pytest.mark.parametrize("text,want", ENDINGS)
+def test_endings(text, want):
+    assert truncation.ending(text) == want
+
+
+# ---- pairs
+
+
+def test_votes_and_model(profiles):
+    src = "The settings page protects the damaged table in reading order. Please check the list of pairs again."
+    good = "Страница настроек защищает повреждённую таблицу в порядке чтения. Пожалуйста, проверьте список пар ещё раз."
+    cases = [(good, []), (" ", ["empty"]), ("К сожалению, я не могу перевести этот текст.", ["refusal"]), (src.upper(), ["copy"]), ("Translation: " + src, ["copy"]), ("Die Einstellungsseite schützt die beschädigte Tabelle. Bitte prüfen Sie die Liste der Paare noch einmal.", ["wrong_language"]), (good[:80], ["truncated"]), (None, ["empty"])]
+    got = pairs.votes([src] * len(cases), [c[0] for c in cases], ["ru"] * len(cases), profiles)
+    bits = [sum(v << i for i, v in enumerate(g)) for g in got]
+    counts = {b: 30 for b in bits} | {bits[0]: 3000}
+    model = pairs.label_model(counts)
+    for b, (_, want) in zip(bits, cases):
+        found = [d for d in pairs.DEFECTS if model[b][d] > pairs.CUTOFFS[d]]
+        assert found[:1] == want[:1]
+
+
+def test_faithful_apology_is_no_refusal(profiles):
+    v = pairs.votes(["Lo siento, offer360.pdf no se puede abrir."], ["Sorry, offer360.pdf cannot be opened."], ["en"], profiles)[0]
+    b = sum(x << i for i, x in enumerate(v))
+    m = pairs.label_model({b: 5, 0: 2000})[b]
+    assert not [d for d in pairs.DEFECTS if m[d] > pairs.CUTOFFS[d]]
+
+
+def test_label_model_of_nothing():
+    assert pairs.label_model({}) == {}
+    assert json.dumps(pairs.label_model({0: 1}))

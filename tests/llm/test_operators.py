@@ -1,0 +1,209 @@
+"""Operators on DataFrames: nulls, empty tables, ties, repeated rows and clashing columns; results against brute force."""
+
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docflow.llm import bpe, langid, lookalikes, mixing, pairs, pieces, quality, queries, ranks, sentences, truncation
+from docflow.llm.tables import cut
+
+
+def frame(spark, rows, schema):
+    """A table with columns beside those that the operator reads, of names that clash with its own."""
+    df = spark.createDataFrame(rows, schema)
+    extra = {c: F.lit(1) for c in ("n", "h", "below", "part", "canon", "ending", "kind", "value", "total", "copies", "pattern", "o") if c not in df.columns}
+    return df.withColumns(extra)
+
+
+OPTIONS = "options_id int, max_input_tokens int, overlap_tokens int"
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_run(spark, data, name):
+    df = queries.queries()[name](spark, data)
+    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+
+
+def test_sql(spark, data):
+    from compare import connect, same
+
+    con = connect(data)
+    for name, sql in queries.oracle_sql().items():
+        same(queries.queries()[name](spark, data), con, sql)
+
+
+def test_sentences_of_table(spark):
+    df = frame(spark, [(1, "A one. B two."), (1, "A one. B two."), (2, None), (3, ""), (None, "x")], "segment_id bigint, text string")
+    got = sorted((r.rec_id or 0, r.end_pos) for r in sentences.sentences(df, "segments", "segment_id").collect())
+    assert got == [(0, 1), (1, 6), (1, 6), (1, 13), (1, 13)]
+
+
+def test_ids_of_table(spark):
+    df = frame(spark, [(1, None), (2, ""), (3, "hi"), (3, "hi")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.ids) for r in bpe.encode_documents(df).collect())
+    assert got[:2] == [(1, []), (2, [])] and got[2] == got[3] and got[2][1]
+    assert bpe.encode_documents(df.limit(0)).count() == 0
+
+
+def test_pieces_of_table(spark):
+    opts = spark.createDataFrame([(1, 8, 2), (2, None, 0), (None, 5, 0), (3, 0, 9)], OPTIONS)
+    text = "The cat sat on the mat. " * 6
+    df = frame(spark, [(1, text, 1), (2, text, 2), (3, None, 1), (4, "", 1), (5, "short", 1), (6, text, None), (7, text, 9), (8, "ab cd", 3)], "segment_id bigint, text string, options_id int")
+    rows = pieces.split(df, opts).collect()
+    assert {r.segment_id for r in rows} == {1, 8}
+    own = sorted((r for r in rows if r.segment_id == 1), key=lambda r: r.piece_ord)
+    assert all(r.n_tokens <= 8 for r in own) and own[0].start_pos == 0 and own[-1].end_pos == len(text)
+    assert all(a.start_pos < b.start_pos <= a.end_pos for a, b in zip(own, own[1:]))
+
+
+def test_percentiles_against_numpy(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", None]), rng.choice([1.0, 1.0, 5.5, rng.random() * 9])) for _ in range(900)] + [("c", "x", None), ("c", "x", float("nan")), ("a", "x", -1.0), ("a", "x", float("inf")), ("d", None, 0.0)]
+    df = frame(spark, rows, "backend string, device string, duration_ms double").withColumn("completed_at", F.lit(dt.datetime(2024, 1, 1)))
+    got = {(r.backend, r.device): r for r in ranks.percentiles(ranks.durations(df), ["backend", "device"], "value", "n", ranks.SHARES).collect()}
+    want = {}
+    for b, d, v in rows:
+        if v is not None and v >= 0 and v != float("inf"):
+            want.setdefault((b, d), []).append(v)
+    assert set(got) == set(want)
+    for k, vs in want.items():
+        assert got[k].n == len(vs)
+        for name, p in ranks.SHARES.items():
+            assert abs(got[k][name] - np.quantile(vs, p)) < 1e-6
+    assert ranks.percentiles(ranks.durations(df.limit(0)), ["backend", "device"], "value", "n", ranks.SHARES).count() == 0
+
+
+def test_days_combine(spark, data):
+    a = {(r.backend, r.device): r for r in queries.p6_percentiles(spark, data).collect()}
+    b = {(r.backend, r.device): r for r in queries.p6_combined(spark, data).collect()}
+    assert a == b
+
+
+def test_weighted_ranks_one_hot_value(spark):
+    df = spark.createDataFrame([("g", 1.0, 1_000_000), ("g", 2.0, 3), (None, 7.0, 2)], "k string, v double, w bigint")
+    got = {(r.k, r.v): (r.below, r.total) for r in ranks.weighted_ranks(df, ["k"], "v", "w").collect()}
+    assert got == {("g", 1.0): (0, 1_000_003), ("g", 2.0): (1_000_000, 1_000_003), (None, 7.0): (0, 2)}
+
+
+def test_same_look_pairs_against_brute_force(spark):
+    words = ["abc", "аbc", "ａbc", "abc", "ABC", "ab­c", "x y", "x y", None, ""]
+    rng = random.Random(1)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice(words)) for i in range(80)]
+    df = frame(spark, rows, "segment_id bigint, doc_id bigint, text string")
+    got = {(r.id_a, r.id_b) for r in lookalikes.same_look(df, "segments", "segment_id", "text", ["doc_id"]).collect()}
+    c = lookalikes.canonical
+    want = {(a, b) for a, d, t in rows for b, e, u in rows if a < b and d is not None and d == e and t is not None and u is not None and t != u and c(t) == c(u)}
+    assert got == want and want
+
+
+def test_truncated(spark):
+    req = frame(spark, [("a", "The page is open. It is long."), ("a", "The page is open. It is long."), ("t", "The page"), ("w", "Please wait…"), (None, "x"), ("n", None)], "request_id string, text string")
+    res = frame(
+        spark,
+        [(1, "a", "Страница открыта. Она дл", "b"), (2, "a", "Страница открыта.", "b"), (3, "t", "Страница", "b"), (4, "w", "Подождите…", None), (5, "a", "Страница отк…", None), (6, "zz", "Страница. Она", "b"), (7, "a", None, "b"), (8, "a", " ", "b"), (9, None, "Да", "b"), (10, "a", "the page is open. it is long", "b"), (11, "n", "Стра", "b")],
+        "result_id bigint, request_id string, translated_text string, backend string",
+    )
+    got = truncation.truncated(res, req)
+    assert sorted(r.result_id for r in got.where("truncated").collect()) == [1, 5, 6]
+    rates = {r.backend: (r.n, r.truncated) for r in truncation.rates(got).collect()}
+    assert rates == {"b": (8, 2), None: (2, 1)}
+    assert truncation.truncated(res.limit(0), req.limit(0)).count() == 0
+
+
+def test_hidden_limit_is_found(spark):
+    rng = random.Random(7)
+    req = spark.createDataFrame([("a", "One. Two.")], "request_id string, text string")
+    rows = [(i, "a", ("Один готов. " + "б" * 600)[: 256 if i < 40 else rng.randint(30, 500)], "b") for i in range(300)]
+    seen = cut(truncation.examined(spark.createDataFrame(rows, "result_id bigint, request_id string, translated_text string, backend string"), req))
+    assert {(r.measure, r.length) for r in truncation.hidden_limits(seen).collect()} >= {("chars", 256), ("utf16", 256)}
+
+
+def test_mixture_keeps_targets(spark):
+    rng = random.Random(9)
+    rows = [(i, "word " * rng.randint(0, 30), "big" if i < 2000 else "small" if i < 2100 else None) for i in range(2200)] + [(9000, None, "big")]
+    docs = frame(spark, rows, "doc_id bigint, text string, source string")
+    targets = frame(spark, [(1, "big", 0.6, 1.0, 0.5), (1, "small", 0.3, 3.0, 0.5), (1, "gone", 0.1, None, 0.5), (2, "small", 0.5, None, 0.4), (2, "big", 0.5, 2.0, 0.4), (3, "big", 0.0, 1.0, 1.0), (3, None, 1.0, 1.0, 1.0)], "plan_id int, source string, target_share double, max_repeats double, size_ratio double")
+    sizes, limits = mixing.plan(docs, targets)
+    mix = mixing.mixture(sizes, limits).collect()
+    total = sum(r.n_tokens for r in sizes.collect())
+    for plan, source, share, most, ratio in [(1, "big", 0.6, 1, 0.5), (1, "small", 0.3, 3, 0.5), (2, "small", 0.5, 99, 0.4), (2, "big", 0.5, 2, 0.4)]:
+        own = [r for r in mix if r.plan_id == plan and r.source == source]
+        assert max(r.copies for r in own) <= most
+        have = sum(r.n_tokens for r in sizes.collect() if r.source == source)
+        want = min(share * ratio * total, most * have)
+        assert want - 40 <= sum(r.n_tokens * r.copies for r in own) <= want + 1
+    report = {(r.plan_id, r.source): r for r in mixing.shares(sizes, limits).collect()}
+    assert report[1, "gone"].tokens == 0 and report[1, "gone"].missing_tokens > 0 and (3, "big") not in report
+    # a smaller budget's documents are among those of a larger one
+    a = {r.doc_id for r in mix if r.plan_id == 2 and r.source == "big"}
+    b = {r.doc_id for r in mix if r.plan_id == 1 and r.source == "big"}
+    assert a <= b or b <= a
+    empty = mixing.plan(docs.limit(0), targets)
+    assert mixing.mixture(*empty).count() == 0
+
+
+def test_mixture_of_one_hot_hash_is_exact(spark):
+    """Thresholds equal those of a plain sorted prefix."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "s") for i in range(500)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([(1, "s", 1.0, 1.0, 0.37)], "plan_id int, source string, target_share double, max_repeats double, size_ratio double")
+    sizes, limits = mixing.plan(docs, targets)
+    rows = sorted((r.h, r.n_tokens, r.doc_id) for r in sizes.collect())
+    budget, took, want = round(0.37 * sum(r[1] for r in rows)), 0, set()
+    for _, n, i in rows:
+        if took + n > budget:
+            break
+        took += n
+        want.add(i)
+    assert {r.doc_id for r in mixing.mixture(sizes, limits).collect()} == want
+
+
+def test_label_findings(spark, profiles, monkeypatch):
+    monkeypatch.setattr(langid, "train", lambda *_: profiles)
+    en, ru = "The settings page protects the damaged table in reading order.", "Сканер документов сохраняет рисунки и таблицы без сети."
+    req = frame(spark, [("a", en, "ru"), ("a", en, "ru"), ("b", en, "en-US"), ("c", ru, None), ("d", f"{en} {ru}", "en"), ("e", "12345", None), ("f", None, None), ("g", ru, "Русский"), ("h", ru, "auto")], "request_id string, text string, source_language string")
+    doc = frame(spark, [(1, en, "de", "j"), (2, ru, "ru", "j"), (3, "", None, None), (4, "T h e p a g e i s o p e n a n d l o n g e n o u g h", "de", "j"), (5, f"{en} {ru}", "fr", "j"), (6, en, "English", "k")], "doc_id bigint, text string, lang string, job_id string")
+    cfg = frame(spark, [("j", "ru"), ("k", "auto"), (None, "de")], "job_id string, source string")
+    words = spark.createDataFrame([], "lang string, word string")
+    got = {tuple(r) for r in langid.label_findings(req, doc, cfg, words).collect()}
+    assert got == {
+        ("request", "a", "wrong", "en"), ("request", "c", "missing", "ru"), ("request", "d", "mixed", "en"), ("request", "d", "mixed", "ru"), ("request", "h", "missing", "ru"),
+        ("document", "1", "wrong", "en"), ("config", "1", "wrong", "en"), ("document", "5", "mixed", "en"), ("document", "5", "mixed", "ru"),
+    }
+
+
+def test_training_without_documents(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string, lang string")
+    p = langid.train(none, spark.createDataFrame([("en", "the"), ("ru", "и"), (None, "x"), ("de", None)], "lang string, word string"))
+    assert set(p.langs) == {"en", "ru"}
+    q = langid.train(none, spark.createDataFrame([], "lang string, word string"))
+    assert q.langs == () and langid.identify(["x"], q)[0].lang is None
+
+
+def test_pairs(spark, profiles, monkeypatch):
+    monkeypatch.setattr(pairs, "train", lambda *_: profiles)
+    en, ru = "The settings page protects the damaged table in reading order.", "Страница настроек защищает повреждённую таблицу в порядке чтения."
+    seg = frame(spark, [(1, "j", en, ru), (2, "j", en, None), (3, "j", en, " "), (4, "j", en, en), (5, "j", None, ru), (6, "j", "123", ""), (7, None, en, ""), (4, "j", en, en)], "segment_id bigint, job_id string, text string, translated string")
+    cfg = frame(spark, [("j", "ru"), ("j", "ru"), (None, "de")], "job_id string, target string")
+    req = frame(spark, [("a", en), ("a", en), ("b", None)], "request_id string, text string")
+    res = frame(spark, [(1, "a", None, "ru"), (2, "a", ru[:40], "ru"), (3, "b", None, "ru"), (4, "zz", "", "ru"), (5, "a", "I'm sorry, but I can't translate this text.", None)], "result_id bigint, request_id string, translated_text string, target_language string")
+    words = spark.createDataFrame([], "lang string, word string")
+    got = {tuple(r) for r in pairs.first_defect(pairs.defects(seg, cfg, req, res, seg, words)).collect()}
+    assert got == {("segment", 3, "empty"), ("segment", 4, "copy"), ("segment", 7, "empty"), ("result", 1, "empty"), ("result", 2, "truncated"), ("result", 5, "refusal")}
+
+
+def test_kinds(spark, profiles):
+    docs = frame(spark, [(i, f"The page {i} is long. It tells the story of a cat, and it ends well.", "en") for i in range(30)] + [(90, "• one\n• two\n• three\n• four", "en"), (91, None, "en"), (92, " \n", None), (93, "| a | b |\n| 1 | 2 |\n| 3 | 4 |", "en"), (94, "word " * 40, None), (94, "word " * 40, None)], "doc_id bigint, text string, lang string")
+    words = spark.createDataFrame([("en", "the"), ("en", "is")], "lang string, word string")
+    got = {r.doc_id: r.kind for r in quality.kinds(docs, words, profiles).collect()}
+    assert {k: v for k, v in got.items() if v != "prose"} == {90: "list", 93: "table", 94: "junk"} and 91 not in got and 92 not in got
+    assert quality.kinds(docs.limit(0), words, profiles).count() == 0
+
+
+def test_kinds_agree_with_labels(spark, data):
+    d = data.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{d}/doc_labels.parquet").select("doc_id", F.col("kind").alias("want"))
+    j = queries.p10_stats(spark, d).join(labels, "doc_id")
+    assert j.where("kind = want").count() >= 0.97 * j.count()
