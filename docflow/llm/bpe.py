@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from docflow.llm.tables import spread
+
 FOLDER = os.environ.get("DOCFLOW_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 #: How the tokenizer cuts a text into words. Fixed value.
@@ -208,7 +210,7 @@ def encode_documents(df: DataFrame, id_column: str = "doc_id", text_column: str
 
     from pyspark.sql import functions as F
 
-    return df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column)).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column))).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(df: DataFrame, text_column: str, *keep: str, folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
@@ -223,4 +225,4 @@ def count_tokens(df: DataFrame, text_column: str, *keep: str, folder: str = FOLD
                 n = v.counts([t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
-    return df.select(text_column, *keep).mapInArrow(run, schema)
+    return spread(df.select(text_column, *keep)).mapInArrow(run, schema)

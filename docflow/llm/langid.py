@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from docflow.llm.langs import LANGS, label_code
 from docflow.llm.quality import junk_kind
 from docflow.llm.sentences import FILE_ENDS
+from docflow.llm.tables import spread
 
 ORDERS = (1, 2, 3)
 PART = 400_000  # characters measured together
@@ -365,7 +366,7 @@ def languages(df: DataFrame, text: str, profiles: Profiles, *keep: str, junk=Tru
             )
 
     check = F.lit(junk) if isinstance(junk, bool) else junk
-    return df.select(F.col(text), check, *keep).mapInArrow(run, schema)
+    return spread(df.select(F.col(text), check, *keep)).mapInArrow(run, schema)
 
 
 def label_findings(requests: DataFrame, documents: DataFrame, configs: DataFrame, common_words: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.llm.tables import spread
+
 # Letters that look like Latin ones, by script. Fixed values.
 TWINS = {
     "cyrillic": ("АВЕЅІЈКМНОРСТХУҮаеіјорсухѕһԁԛԝӏҺԌԚԜ", "ABESIJKMHOPCTXYYaeijopcyxshdqwlhGQW"),
@@ -153,7 +155,7 @@ def canonical_column(df: DataFrame, text: str, *keep: str) -> DataFrame:
             forms = pa.array([canonical(t) for t in codes.dictionary.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], forms.take(codes.indices)], names=[*keep, "canon"])
 
-    return df.select(text, *keep).mapInArrow(run, schema)
+    return spread(df.select(text, *keep)).mapInArrow(run, schema)
 
 
 def same_look(df: DataFrame, table: str, id_column: str, text: str, groups: list[str]) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm.bpe import CHUNK, FOLDER, VOCABULARY, Vocabulary, vocabulary
 from docflow.llm.sentences import spans
+from docflow.llm.tables import spread
 
 CLAUSE = re.compile(r"[,;:，；：、—–)）]")
 SENTENCE, CLAUSE_END, WORD, ANY = 3, 2, 1, 0
@@ -129,4 +130,4 @@ def split(segments: DataFrame, options: DataFrame, folder: str = FOLDER, name: s
     # a text of fewer bytes than the limit can't have more tokens: it needn't reach Python
     rows = segments.select("segment_id", "text", "options_id").where("text is not null and options_id is not null")
     fed = rows.join(F.broadcast(opts), F.col("options_id") == F.col("o")).where(F.octet_length("text") > F.col("max_input_tokens"))
-    return fed.select("segment_id", "text", F.col("max_input_tokens").cast("int"), F.col("overlap_tokens").cast("int")).mapInArrow(run, PIECE)
+    return spread(fed.select("segment_id", "text", F.col("max_input_tokens").cast("int"), F.col("overlap_tokens").cast("int"))).mapInArrow(run, PIECE)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.llm.tables import spread
+
 # Abbreviations that stand before the rest of their sentence. Fixed values.
 BEFORE = (
     "dr mr mrs ms prof st no nos nr fig figs sec secs vol vols ch chap p pp approx vs cf e.g i.e eg ie al ed eds rev gen col inc ltd jan feb mar apr jun jul aug sep sept oct nov dec"
@@ -275,4 +277,4 @@ def sentences(df: DataFrame, table: str, id_column: str, text_column: str = "tex
             yield pa.RecordBatch.from_arrays([ids, pa.array(ends, pa.int32())], names=["rec_id", "end_pos"])
 
     part = df.select(F.col(id_column).cast("bigint").alias("rec_id"), F.col(text_column).alias("text")).where("text is not null")
-    return part.mapInArrow(run, "rec_id bigint, end_pos int").select(F.lit(table).alias("rec_table"), "rec_id", "end_pos")
+    return spread(part).mapInArrow(run, "rec_id bigint, end_pos int").select(F.lit(table).alias("rec_table"), "rec_id", "end_pos")

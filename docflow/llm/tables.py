@@ -30,15 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *columns: str, least: int = 8192) -> DataFrame:
-    """``df`` as it is: scans split by spark.sql.files.maxPartitionBytes feed Python evenly enough.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan for Python kernels, on at least as many partitions as there are cores.
 
-    A single small file would give one task; then rows go round robin to the default parallelism.
+    A scan of a few small files gives fewer tasks than cores; its rows are then dealt out evenly. Larger scans stay as they are,
+    so nothing is shuffled at scale.
     """
-    n = df.rdd.getNumPartitions()
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if n < want else df
-
-
-def blank(c: str):
-    return F.col(c).isNull() | (F.length(F.regexp_replace(c, r"(?U)[\s\p{Cf}]+", "")) == 0)
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

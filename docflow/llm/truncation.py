@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.sentences import CAND, TOKEN, closing, quotation
+from docflow.llm.tables import spread
 
 SHY = "­​‌‍⁠﻿"
 # What a break in transfer or in an escaped form leaves behind. Fixed values.
@@ -127,7 +128,7 @@ def read_endings(df: DataFrame, text: str, source_text: str | None, *keep: str)
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(ends, pa.string()), pa.array(src, pa.string())], names=[*keep, "ending", "source_end"])
 
     src = F.col(source_text) if source_text else F.lit(None).cast("string")
-    return df.select(F.col(text).alias("__t"), src.alias("__s"), *keep).mapInArrow(run, schema)
+    return spread(df.select(F.col(text).alias("__t"), src.alias("__s"), *keep)).mapInArrow(run, schema)
 
 
 def examined(results: DataFrame, requests: DataFrame) -> DataFrame:
