@@ -46,7 +46,8 @@ def script_guess(token: Column) -> Column:
 
 def addresses(text: Column) -> Column:
     """Array of the addresses in a text, in order."""
-    return F.regexp_extract_all(text, F.lit(f"({ADDRESS})"), F.lit(1))
+    some = text.rlike(r"@|://|www\.|mailto:")  # the full pattern is slow on long words, and few texts have addresses
+    return F.when(some, F.regexp_extract_all(text, F.lit(f"({ADDRESS})"), F.lit(1))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def between_addresses(text: Column) -> Column:

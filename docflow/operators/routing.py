@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.constants import constant
+
 #: Profiles: prefers quality, allows quality, graphics card on its own, threads, beams, tokens of a batch. Fixed values.
 PROFILES = (
     ("economy", False, False, False, 2, 1, 192),
@@ -21,7 +23,7 @@ MAX_HOPS = 6
 
 
 def profiles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROFILES, "profile string, prefer_quality boolean, allow_quality boolean, auto_gpu boolean, threads int, beam_size int, batch_tokens int")
+    return constant(spark, list(PROFILES), "profile string, prefer_quality boolean, allow_quality boolean, auto_gpu boolean, threads int, beam_size int, batch_tokens int")
 
 
 def paths(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:

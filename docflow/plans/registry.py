@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.constants import constant
 from docflow.functions import text as T
 from docflow.operators import corpus, lexicon, metrics, routing, segments
 from docflow.streaming import timers
@@ -53,15 +54,15 @@ MULTI = ("en", "ru", "zh", "de", "fr", "es")
 
 
 def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "backend string, source string, target string")
+    return constant(spark, EDGES, "backend string, source string, target string")
 
 
 def capabilities(spark: SparkSession) -> DataFrame:
     """Direct and pivot pairs of the primary models, all ordered pairs of the multilingual one."""
-    walk = routing.paths(edges(spark)).select(F.lit(routing.PRIMARY).alias("backend"), "source", "target", "kind")
-    langs = spark.createDataFrame([(x,) for x in MULTI], "lang string")
-    multi = langs.alias("a").join(langs.alias("b"), F.col("a.lang") != F.col("b.lang")).select(F.lit(routing.QUALITY).alias("backend"), F.col("a.lang").alias("source"), F.col("b.lang").alias("target"), F.lit("direct").alias("kind"))
-    return walk.unionByName(multi)
+    # a row for each ordered pair of languages at most: kept as a constant, so that plans don't walk the graph again
+    rows = [(routing.PRIMARY, r.source, r.target, r.kind) for r in routing.paths(edges(spark)).collect()]
+    rows += [(routing.QUALITY, a, b, "direct") for a in MULTI for b in MULTI if a != b]
+    return constant(spark, rows, "backend string, source string, target string, kind string")
 
 
 EDGE_SQL = "edges(backend, source, target) AS (VALUES " + ", ".join(str(e) for e in EDGES) + ")"
@@ -110,7 +111,8 @@ def segment_route(spark: SparkSession, d: str) -> DataFrame:
     jobs = read(spark, d, "document_configs", "job_id", "target")
     segs = segments.bounded(docs, "text", "doc_id", "lang", "job_id").where(T.has_letter(F.col("seg_text")))
     counts = segs.groupBy("lang", "job_id").agg(F.count("*").alias("segments"), F.sum(F.length("seg_text")).alias("chars")).join(jobs, "job_id").groupBy("lang", "target").agg(F.sum("segments").alias("segments"), F.sum("chars").alias("chars"))
-    asked = counts.select(F.col("lang").alias("source"), "target", F.lit("balanced").alias("profile")).where("source is not null").distinct()
+    # every known language with every job's target: few rows, and the segments needn't be read again to learn which pairs occur
+    asked = jobs.select("target").distinct().select(F.explode(F.array(*map(F.lit, MULTI))).alias("source"), "target", F.lit("balanced").alias("profile"))
     routes = routing.decide(asked, capabilities(spark), routing.profiles(spark)).select(F.col("source").alias("lang"), "target", "backend", "kind")
     return counts.join(routes, ["lang", "target"], "left").select("lang", "target", "backend", "kind", "segments", "chars")
 
@@ -398,7 +400,7 @@ ALLOWED = [("signup", "view"), ("view", "click"), ("click", "view"), ("click", "
 
 @query("WITH t(b, a) AS (VALUES " + ", ".join(str(x) for x in ALLOWED) + ") SELECT before, event_type, before IS NULL OR (before, event_type) IN (SELECT (b, a) FROM t) AS valid, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY ALL")
 def transitions(spark: SparkSession, d: str) -> DataFrame:
-    allowed = spark.createDataFrame(ALLOWED, "before string, after string")
+    allowed = constant(spark, ALLOWED, "before string, after string")
     e = timers.transitions(read(spark, d, "events", "user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", "event_type", allowed)
     return e.groupBy("before", "event_type", "valid").agg(F.count("*").alias("n"))
 
