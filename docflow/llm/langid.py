@@ -310,6 +310,26 @@ def identify(texts: list[str], profiles: Profiles) -> list[Found]:
     lead = np.clip((other.min(axis=1) - far[rows, best]) / np.maximum(other.min(axis=1), 1e-6), 0, 1)
     clear = foreign | ((best == main[owner]) & (letters >= LEAST_LETTERS))
     own = np.where(foreign, best, main[owner])
+    # where a text has several foreign languages, each must also be nearer than the others that the text is known to have
+    doubtful = np.flatnonzero(np.bincount(owner, weights=foreign, minlength=len(texts)) > 1)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    for i in doubtful:
+        part = slice(begin[i], begin[i + 1])
+        names, peak = np.unique(own[part][foreign[part]]), None
+        if len(names) < 2:
+            continue
+        f, w, o, g = far[part], letters[part], own[part], foreign[part]
+        peak = [float((evidence[part] * (g & (o == k))).max()) for k in names]
+        accepted = [int(main[i])]
+        for _, k in sorted(zip(peak, names.tolist()), reverse=True):
+            mine = g & (o == k)
+            better = (f[:, accepted].min(axis=1) - f[:, k]) * w >= LEAST_EVIDENCE
+            if (mine & better).any():
+                accepted.append(k)
+            else:
+                back = np.array(accepted)[np.argmin(f[:, accepted], axis=1)]
+                own[part] = np.where(mine, back, o)
+                o = own[part]
     out, at = [], 0
     for i, p in enumerate(cuts):
         out.append(joined(p, weight[i], main[i], own[at : at + len(p)], clear[at : at + len(p)], lead[at : at + len(p)], letters[at : at + len(p)], profiles.langs))

@@ -11,12 +11,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.llm.lookalikes import transducer
 from docflow.llm.tables import spread
 
 # Abbreviations that stand before the rest of their sentence. Fixed values.
@@ -31,7 +33,6 @@ BEFORE = (
 LAST = {"etc", "usw", "т.д", "т.п", "др", "пр", "ff", "т.д", "и.т.д", "і.т.д", "тощо", "u.s.w", "i.n.f"}
 # Units and names with periods that end a sentence only if a new one plainly begins. Fixed values.
 UNITS = {"a.m", "p.m", "u.s", "u.k", "u.n", "ee.uu", "ч", "h", "м", "км", "кг", "мин", "сек", "руб", "тыс", "млн", "год", "хв", "грн", "min", "hrs", "inc", "co", "corp", "jr", "ltd", "uhr", "m", "d.c", "g"}
-BEFORE_SET = frozenset(BEFORE.split()) - UNITS - LAST
 # Months: a number with a period before them is a date. Fixed values.
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jänner jan feb mär apr jun jul aug sept okt nov dez".split())
 # Endings of file names and hosts, after which no space is missing. Fixed values.
@@ -56,6 +57,31 @@ QUOTES = re.compile("[«»“”„「」『』\"]")
 OPENERS = "«“„「『¿¡([（\"‘—–•*"
 
 
+STRIP = dict.fromkeys(map(ord, SHY))
+
+
+def letter_table() -> dict[int, str]:
+    """Letters and digits that only look different, each to one plain character; quotation marks and blanks stay."""
+    forms = transducer().forms
+    return {ord(c): v[0] for c, v in forms.items() if v and unicodedata.category(c)[0] in "LN" and v[0].isalnum()}
+
+
+def in_plain_letters(words: set[str]) -> frozenset[str]:
+    table = letter_table()
+    return frozenset(x.translate(table).lower() for w in words for x in (w, w.upper(), w.capitalize(), w.replace("fi", "ﬁ"), w.replace("fl", "ﬂ")))
+
+
+@lru_cache(1)
+def plain_letters() -> tuple[dict[int, str], re.Pattern]:
+    return letter_table(), re.compile(f"[{SHY}]")
+
+
+@lru_cache(1)
+def known_words() -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Abbreviations before the rest of a sentence, at its end, and units."""
+    return in_plain_letters(set(BEFORE.split()) - UNITS - LAST), in_plain_letters(LAST), in_plain_letters(UNITS)
+
+
 def quotation(line: str) -> dict[int, int]:
     """Opening position of each closing quotation mark whose partner is in the line."""
     pairs: dict[int, int] = {}
@@ -81,35 +107,31 @@ def closing(before: str, mark: str) -> tuple[float, str]:
     first = mark[0]
     if first != "." or mark.startswith(".."):
         return (1.2 if mark.startswith("……") else 2.5 if first in "…." else 3.0), "pause" if first in "…." else "strong"
+    before_set, last_set, unit_set = known_words()
     word = TOKEN.search(before).group()
-    if not word.isascii():
-        word = unicodedata.normalize("NFKC", word.translate(STRIP))
     low = word.lower()
     two = TAIL2.search(before[: len(before) - len(word)]) if word else None
     joined = (two.group(1) + low).lower() if two else low
     if len(word) == 1 and word.isupper():
         return -5.0, "letter"
-    if joined in LAST or low in LAST:
+    if joined in last_set or low in last_set:
         return 0.6, "last"
-    if joined in UNITS or low in UNITS:
+    if joined in unit_set or low in unit_set:
         return -0.8, "unit"
-    if joined in BEFORE_SET or low in BEFORE_SET or low.endswith(("-р",)):
+    if joined in before_set or low in before_set or low.endswith(("-р", "-p")):
         return -6.0, "abbr"
     if len(low) == 1 and low.isalpha() and not "　" < low < "ﬀ":
         return -5.0, "letter"
-    if "'" in low and low.rpartition("'")[2] in BEFORE_SET:
+    if "'" in low and low.rpartition("'")[2] in before_set:
         return -6.0, "abbr"
-    if "’" in low and low.rpartition("’")[2] in BEFORE_SET:
+    if "’" in low and low.rpartition("’")[2] in before_set:
         return -6.0, "abbr"
     if low.isdigit():
         return 2.0, "number" if before[: len(before) - len(word)].strip() else "item"
     return 3.0, "word"
 
 
-STRIP = dict.fromkeys(map(ord, SHY))
-
-
-def opening(after: str, kind: str, glued: bool, mark: str) -> float:
+def opening(after: str, kind: str, glued: bool, mark: str, capitals: bool) -> float:
     """Score of what follows as a sentence's beginning."""
     c = after[0]
     if kind == "item":
@@ -121,6 +143,8 @@ def opening(after: str, kind: str, glued: bool, mark: str) -> float:
     if c.isupper() or c in OPENERS:
         if kind == "number" and re.match(r"\w+", after) and re.match(r"\w+", after).group().lower() in MONTHS:
             return -9.0
+        if capitals and c.isupper():
+            return 0.0
         return 2.0 if kind == "unit" else 1.0
     if c.islower():
         if glued and kind == "number":
@@ -135,6 +159,24 @@ def opening(after: str, kind: str, glued: bool, mark: str) -> float:
 
 def spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence in code points, edges without white space."""
+    if text.isascii():
+        return plain_spans(text)
+    table, invisible = plain_letters()
+    plain = text.translate(table)
+    if not invisible.search(plain):
+        return plain_spans(plain)
+    kept = [i for i, c in enumerate(plain) if c not in SHY]
+    out = []
+    for a, b in plain_spans(plain.translate(STRIP)):
+        e = kept[b - 1] + 1
+        while e < len(text) and text[e] in SHY:  # an invisible character belongs to the mark before it
+            e += 1
+        out.append((kept[a], e))
+    return out
+
+
+def plain_spans(text: str) -> list[tuple[int, int]]:
+    """``spans`` of a text in plain letters without invisible characters."""
     out: list[tuple[int, int]] = []
     if not FAST.search(text):
         for m in LINE.finditer(text):
@@ -182,6 +224,7 @@ def boundaries(line: str) -> list[int]:
         return []
     masked = [x.span() for x in MASK.finditer(line)] if ("." in line or "?" in line) else []
     quotes = quotation(line) if QUOTES.search(line) else {}
+    capitals = line == line.upper() and line != line.lower()
     ends, score, quoted = [0], [0.0], [False]
     full = len(line)
     k = 0
@@ -212,7 +255,7 @@ def boundaries(line: str) -> list[int]:
             c, kind = closing(line[max(0, s - 40) : s], mark)
         if w >= full:
             break
-        o = opening(line[w : w + 24], kind, glued, mark)
+        o = opening(line[w : w + 24], kind, glued, mark, capitals)
         ends.append(w)
         score.append(c + o)
         quoted.append(bool(quotes) and speaks_on(line, quotes, at, w))
