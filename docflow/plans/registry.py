@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow.constants import constant
 from docflow.functions import text as T
-from docflow.operators import corpus, lexicon, metrics, routing, segments
+from docflow.operators import corpus, inference, lexicon, metrics, routing, segments
 from docflow.streaming import timers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,16 +445,14 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT doc_id, length(text) AS size, sha256(text) AS sha FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 3), a AS (SELECT doc_id, length(t) AS size, sha256(t) AS sha FROM (SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN text || '.' WHEN 2 THEN replace(text, 'e', 'o') ELSE text END AS t FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 5))
-SELECT doc_id, CASE WHEN a.size IS NULL THEN 'missing' WHEN e.size IS NULL THEN 'extra' WHEN a.size <> e.size THEN 'size' WHEN a.sha <> e.sha THEN 'hash' ELSE 'ok' END AS state FROM e FULL JOIN a USING (doc_id)"""
+    """WITH e AS (SELECT doc_id, n_chars AS size, sha256(rtrim(text, chr(10))) AS sha FROM documents), a AS (SELECT doc_id, length(text) AS size, sha256(text) AS sha FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN e.size IS DISTINCT FROM a.size THEN 'size' WHEN e.sha IS DISTINCT FROM a.sha THEN 'hash' ELSE 'ok' END AS state FROM e LEFT JOIN a USING (doc_id)"""
 )
 def integrity(spark: SparkSession, d: str) -> DataFrame:
-    """All documents against a damaged copy of them: missing, extra, and changed in size or content."""
-    docs = read(spark, d, "documents", "doc_id", "text").where("text is not null")
-    form = lambda df: df.select("doc_id", F.length("text").alias("size"), F.sha2("text", 256).alias("sha"))
-    k = F.col("doc_id") % 7
-    changed = docs.withColumn("text", F.when(k == 1, F.concat("text", F.lit("."))).when(k == 2, F.replace(F.col("text"), F.lit("e"), F.lit("o"))).otherwise(F.col("text")))
-    return corpus.differences(form(docs.where("doc_id % 10 <> 3")), form(changed.where("doc_id % 11 <> 5")), "doc_id")
+    """Declared sizes, and hashes of the texts without last line breaks, against the texts that are there."""
+    docs = read(spark, d, "documents", "doc_id", "text", "n_chars")
+    declared = docs.select("doc_id", F.col("n_chars").cast("int").alias("size"), F.sha2(F.regexp_replace("text", r"\n+\z", ""), 256).alias("sha"))
+    return corpus.differences(declared, docs.where("text is not null").select("doc_id", F.length("text").alias("size"), F.sha2("text", 256).alias("sha")), "doc_id")
 
 
 @query(
@@ -560,6 +558,13 @@ def markdown_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.markdown(m, {"backend": F.col("backend"), "device": F.coalesce("device", F.lit("—")), "p95": metrics.number(F.col("p95_ms"))})
 
 
+@query("SELECT segment_id, text AS translated, CAST(NULL AS VARCHAR) AS error FROM segments")
+def translate_identity(spark: SparkSession, d: str) -> DataFrame:
+    """All segments through lines, chunks, calls and reassembly with a model that changes nothing: the segments themselves."""
+    rows = read(spark, d, "segments", "segment_id", "text").withColumn("target", F.lit("ru"))
+    return inference.translate(rows, "text", "target", inference.SameDouble, inference.Limits(), "segment_id")
+
+
 @query()
 def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
     """The streaming form of ``debounce`` over the events table, run to its end; bursts still open at the watermark aren't out yet."""

@@ -198,6 +198,13 @@ def test_first_of_null_key(spark):
     assert sorted(r.id for r in corpus.first_of(df, F.col("k"), [F.col("id")]).collect()) == [1, 2]
 
 
+def test_differences(spark):
+    ddl = "path string, size bigint, sha string"
+    a = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x"), ("d", 1, "x")], ddl)
+    b = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("c", 1, None), ("e", 1, "x")], ddl)
+    assert {r.path: r.state for r in corpus.differences(a, b, "path").collect()} == {"a": "ok", "b": "size", "c": "hash", "d": "missing", "e": "extra"}
+
+
 def test_manifest_errors(spark):
     good = ("ok", "m/a", [], [["a", "b"]], [("f", 3, "0" * 64)], 3)
     rows = [good, ("Bad Id", "../m", [], [["a"]], [("f", 3, "x"), ("f", -1, "0" * 64)], 9), (None, None, None, None, None, None)]
@@ -294,3 +301,85 @@ def test_word_source(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(package(RUN("x"), RUN("y")))
     spark.dataSource.register(word.WordSource)
     assert sorted(r.text for r in spark.read.format("word").load(str(tmp_path)).collect()) == ["x", "y"]
+
+
+# ---- inference and files
+
+
+def test_translate_text_keeps_layout():
+    from docflow.operators import inference as inf
+
+    class Same(inf.WordDouble):
+        def encode(self, text):
+            return list(text)
+
+        def decode(self, tokens):
+            return "".join(tokens)
+
+        def infer(self, chunks):
+            assert sum(map(len, chunks)) <= 6 or len(chunks) == 1
+            return chunks
+
+    text = "  abcdefghi\r\n\r\njklmn  "
+    assert inf.translate_text(text, "zh", Same(), inf.Limits(3, 6, 99)) == text
+    with pytest.raises(inf.OutputTooLong):
+        inf.translate_text("abc", "zh", Same(), inf.Limits(3, 6, 3))
+
+
+def test_translate_rows(spark):
+    from docflow.operators import inference as inf
+
+    df = spark.createDataFrame([(1, "one two", "ru"), (2, "12", "ru"), (3, None, "ru"), (4, " ", None), (1, "one two", "ru")], "id int, text string, target string")
+    got = sorted(map(tuple, inf.translate(df, "text", "target", inf.WordDouble, inf.Limits(), "id").collect()))
+    assert got == [(1, "ONE TWO", None), (1, "ONE TWO", None), (2, "12", None), (3, None, None), (4, " ", None)]
+
+    def missing():
+        raise FileNotFoundError("model")
+
+    assert [r.error for r in inf.translate(df.limit(1), "text", "target", missing, inf.Limits(), "id").collect()] == ["FileNotFoundError"]
+
+
+def test_demo(spark):
+    from docflow.operators.inference import demo
+
+    assert list(value(spark, demo(F.lit(" ПРИВЕТ ")), demo(F.lit("x")), demo(F.lit(" \n")))) == ["Hi", "Демонстрационный перевод: x", ""]
+
+
+def test_archives_manifest_corpus_usage(spark, tmp_path):
+    import hashlib
+    import json
+    import tarfile
+
+    from docflow.sources import files
+
+    a = tmp_path / "a"
+    a.mkdir()
+    with tarfile.open(a / "d.tar.xz", "w:xz") as t:
+        i = tarfile.TarInfo("x.tei")
+        i.size = 3
+        t.addfile(i, io.BytesIO(b"abc"))
+    (a / "d.tar.xz.sha512").write_text(hashlib.sha512((a / "d.tar.xz").read_bytes()).hexdigest() + "  d.tar.xz")
+    (a / "bad.tar.xz").write_bytes(b"no")
+    got = {r.name: (bytes(r.content) if r.content else None, r.sha512_ok) for r in files.archives(spark, str(a)).collect()}
+    assert got == {"x.tei": (b"abc", True), None: (None, None)}
+    m = tmp_path / "m.json"
+    m.write_text(json.dumps({"schema_version": 1, "models": [{"id": "a", "path": "p", "languages": [], "pairs": [["x", "y"]], "files": [{"path": "f", "sha256": "0" * 64, "size": 1}], "size": 1}]}))
+    assert corpus.manifest_errors(files.manifest(spark, str(m))).first().errors == [] and files.manifest(spark, str(tmp_path / "none")).count() == 0
+    c = tmp_path / "c.json"
+    c.write_text(json.dumps({"cases": [{"id": "1", "source": "en", "target": "ru", "text": "t", "concepts": [["a", "b"]]}]}))
+    assert files.corpus(spark, str(c)).first().concepts == [["a", "b"]]
+    u = tmp_path / "u.json"
+    u.write_text(json.dumps({"entries": [{"source": "en", "target": "ru", "words": ["w"], "note": "first"}, {"source": "en", "target": "ru", "words": ["w", "v"], "note": "second"}]}))
+    asked = spark.createDataFrame([("en", "ru", "w"), ("en", "ru", "z")], "source string, target string, word string")
+    assert {r.word: r.note for r in files.first_usage(asked, files.usage(spark, str(u))).collect()} == {"w": "first", "z": None}
+    assert value(spark, files.parse_log(F.lit("INFO backend=argos ms=12.5 ok=True")))[0] == {"backend": "argos", "ms": "12.5", "ok": "True"}
+
+
+def test_write_lexicon(spark, tmp_path):
+    from docflow.sources import files
+
+    e = spark.createDataFrame([(1, "en", "ru", "a", "{}"), (2, "ru", "en", "б", "{}")], "entry_id bigint, source string, target string, key string, payload string")
+    files.write_lexicon(e, str(tmp_path / "lex"))
+    assert spark.read.parquet(str(tmp_path / "lex")).where("source = 'en' and target = 'ru'").count() == 1
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        files.write_lexicon(e, str(tmp_path / "lex"))
