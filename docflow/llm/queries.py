@@ -121,7 +121,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_stats(spark, d).where("kind <> 'prose'").select("doc_id", "kind")
+    return p10_stats(spark, d).where("kind <> 'prose'").select("doc_id", "kind").distinct()
 
 
 def queries() -> dict[str, Query]:
