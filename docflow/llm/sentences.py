@@ -109,7 +109,7 @@ def closing(before: str, mark: str) -> tuple[float, str]:
         return (1.2 if mark.startswith("……") else 2.5 if first in "…." else 3.0), "pause" if first in "…." else "strong"
     before_set, last_set, unit_set = known_words()
     word = TOKEN.search(before).group()
-    low = word.lower()
+    low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word.lower())
     two = TAIL2.search(before[: len(before) - len(word)]) if word else None
     joined = (two.group(1) + low).lower() if two else low
     if len(word) == 1 and word.isupper():
@@ -138,7 +138,7 @@ def opening(after: str, kind: str, glued: bool, mark: str, capitals: bool) -> fl
         return -9.0
     if c in ",;:，；：、)）]»”":
         return -9.0
-    if c in "—–-" and after[1:].lstrip()[:1].islower():
+    if c in "—–-" and (after[1:].lstrip()[:1].islower() or capitals and mark[-1:] in "»”“\"」"):
         return -9.0
     if c.isupper() or c in OPENERS:
         if kind == "number" and re.match(r"\w+", after) and re.match(r"\w+", after).group().lower() in MONTHS:
@@ -203,10 +203,10 @@ def trimmed(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
         out.append((s, e))
 
 
-def speaks_on(line: str, quotes: dict[int, int], at: int, after: int) -> bool:
+def speaks_on(line: str, quotes: dict[int, int], at: int, after: int, capitals: bool) -> bool:
     """Whether a mark that ends at ``at`` closes a quotation that began its sentence and that its speaker follows."""
     c = line[after]
-    if c.isupper() or c.isdigit() or c in OPENERS:
+    if (c.isupper() and not capitals) or c.isdigit() or c in OPENERS:
         return False
     for j in range(at - 1, max(at - 4, -1), -1):
         if j in quotes:
@@ -258,7 +258,7 @@ def boundaries(line: str) -> list[int]:
         o = opening(line[w : w + 24], kind, glued, mark, capitals)
         ends.append(w)
         score.append(c + o)
-        quoted.append(bool(quotes) and speaks_on(line, quotes, at, w))
+        quoted.append(bool(quotes) and speaks_on(line, quotes, at, w, capitals))
     if len(ends) == 1:
         return []
     ends.append(full)

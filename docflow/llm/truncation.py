@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.sentences import CAND, TOKEN, closing, quotation
+from docflow.llm.sentences import CAND, TOKEN, closing, plain_letters, quotation
 from docflow.llm.tables import spread
 
 SHY = "­​‌‍⁠﻿"
@@ -53,7 +53,7 @@ def ending(text: str | None) -> str:
         return "pause"
     line = t[max(t.rfind("\n"), 0) :]
     if core[-1] == ".":
-        _, kind = closing(core[-41:-1], ".")
+        _, kind = closing(core[-41:-1].translate(plain_letters()[0]), ".")
         if kind in ("abbr", "letter"):
             return "open"
         token = TOKEN.search(core[-80:]).group() if not core[-80:].isspace() else ""

@@ -25,6 +25,9 @@ CASES = [
     ["La versión es más rápida que la de EE. UU. y mejor.", "¿Cómo puedo ir?", "¡Abra https://docs.invalid/v1.2/a.html y pulse F5!"],
     ["Le Dr. Velmar l'a ouvert à 9 h. et n'a rien vu.", "« Où est-il ? » demande le second.", "Attendez ... l'index d'env. 42 entrées est prêt."],
     ["Д-р Вельмар открыл сборку в 9 ч. утра.", "Она быстрее, т. е. лучше.", "Рисунки и т. д.", "«Стой!» — написано там."],
+    ["“STOP THE JOB NOW!” APPEARS IN THE STATUS BAR.", "THE U.S. BUILD IS OPEN.", "ALL IS WELL."],
+    ["«ГДЕ ОН?» — СПРАШИВАЕТ ВТОРОЙ.", "СМ. РИС. 4 И СТР. 7."],
+    ["Véase el cap. 6, la fig. 4 y la pa\u0301g. 7 del manual.", "Sеt іt tο 8 GB, е.g. fοr а.рdf."],
     ["गई है।", "डॉ. वेलमार ने खोला।"],
 ]
 
@@ -231,7 +234,7 @@ def test_statistics_never_fail(text):
 
 ENDINGS = [
     ("The page is open.", "done"), ("The page is op", "short"), ("One is here. The page is op", "open"), ("One is here. The page is op&am", "noise"), ("One is here. The pa�", "noise"), ("Please wait…", "pause"), ("The device selector", "short"),
-    ("", "blank"), (None, "blank"), (" ​", "blank"), ("3.14", "wordless"), ("The log says “no model.”", "done"), ("See sec.", "open"), ("All is well [34538956558].", "done"), ("«Остановите задание!", "open"), ("速い。とても遅", "open"),
+    ("", "blank"), (None, "blank"), (" ​", "blank"), ("3.14", "wordless"), ("The log says “no model.”", "done"), ("See sec.", "open"), ("См. разд.", "open"), ("Сканер сохраняет рисунки и т. д.", "done"), ("All is well [34538956558].", "done"), ("«Остановите задание!", "open"), ("速い。とても遅", "open"),
 ]
 
 
