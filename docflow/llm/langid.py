@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docflow.llm.langs import LANGS, label_code
 from docflow.llm.quality import junk_kind
 from docflow.llm.sentences import FILE_ENDS
-from docflow.llm.tables import spread
+from docflow.llm.tables import spread, spread_nulls
 
 ORDERS = (1, 2, 3)
 PART = 400_000  # characters measured together
@@ -400,7 +400,7 @@ def label_findings(requests: DataFrame, documents: DataFrame, configs: DataFrame
     reqs = requests.select("text", F.lit("request").alias("label_field"), F.col("request_id").alias("rec_id"), label_code(F.col("source_language")).alias("declared"), F.lit(None).cast("string").alias("job_id"))
     both = docs.unionByName(reqs)
     got = languages(both, "text", profiles, "label_field", "rec_id", "declared", "job_id", junk=F.col("label_field") == "document").where("lang is not null and junk is null").drop("stretches", "confidence", "junk")
-    got = got.join(jobs, "job_id", "left")
+    got = got.withColumn("job_id", spread_nulls("job_id", "rec_id")).join(jobs, "job_id", "left")
     mixed = F.size("mixed") > 1
     none = F.lit(None).cast("string")
 

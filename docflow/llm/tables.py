@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_nulls(key: str, row_id: str) -> Column:
+    """A join key whose nulls, which match nothing, go to as many partitions as there are rows instead of one."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col(row_id).cast("string")))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan for Python kernels, on at least as many partitions as there are cores.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.sentences import CAND, TOKEN, closing, plain_letters, quotation
-from docflow.llm.tables import spread
+from docflow.llm.tables import spread, spread_nulls
 
 SHY = "­​‌‍⁠﻿"
 # What a break in transfer or in an escaped form leaves behind. Fixed values.
@@ -141,7 +141,7 @@ def examined(results: DataFrame, requests: DataFrame) -> DataFrame:
     cols = lengths(F.col("translated_text"))
     wide = texts.select("result_id", "request_id", "backend", "translated_text", refusal_column("translated_text").alias("refusal"), letters_hash("translated_text").alias("form"), *[cols[m].alias(m) for m in MEASURES])
     got = read_endings(wide, "translated_text", None, "result_id", "request_id", "backend", "refusal", "form", *MEASURES).drop("source_end")
-    both = got.join(asked, "request_id", "left").withColumnRenamed("asked_end", "source_end")
+    both = got.withColumn("request_id", spread_nulls("request_id", "result_id")).join(asked, "request_id", "left").withColumnRenamed("asked_end", "source_end")
     # a source handed back without its last mark or in other letter case is a copy, not a broken-off text
     return both.withColumn("copied", F.coalesce(F.col("form") == F.col("asked_form"), F.lit(False))).drop("form", "asked_form")
 
