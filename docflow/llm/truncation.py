@@ -18,6 +18,8 @@ NOISE = re.compile(rf"(?:�+|&(?:#?\w{{0,8}})?|\\(?:u[0-9a-fA-F]{{0,3}}|x[0-9a-
 # Remarks that stand after a break. Fixed values.
 REMARK = re.compile(r"(?i)[\s ]*[\[(<{](?:\.\.\.|…|truncated|cut|more|continued|обрезано|gekürzt|tronqué|truncado|截断|省略)[\])>}][\s ]*$")
 ELLIPSIS = re.compile(r"(?:\.\.\.+|…+)$")
+# Sentences that are whole with an ellipsis: requests to wait. Fixed values.
+WAITS = frozenset(("please wait", "wait", "loading", "подождите", "пожалуйста, подождите", "загрузка", "bitte warten", "veuillez patienter", "patientez", "espere por favor", "espere, por favor", "por favor, espere", "aguarde", "por favor, aguarde", "зачекайте", "请稍候", "请稍等", "お待ちください", "少々お待ちください", "कृपया प्रतीक्षा करें"))
 CLOSERS = "\"'”’»)]）」』】》“"
 ENDS = ".!?…。！？।॥｡"
 TRAIL = re.compile(rf"[\s{SHY}]+$")
@@ -50,7 +52,8 @@ def ending(text: str | None) -> str:
             return "thai"
         return "open" if any(x.group("m") and not x.group("m")[0].isspace() and x.end() < len(t) for x in CAND.finditer(t)) else "short"
     if ELLIPSIS.search(core):
-        return "pause"
+        said = re.split(r"[.!?。！？…\n]", core.rstrip(".… "))[-1].strip().lower()
+        return "done" if said in WAITS else "pause"
     line = t[max(t.rfind("\n"), 0) :]
     if core[-1] == ".":
         _, kind = closing(core[-41:-1].translate(plain_letters()[0]), ".")

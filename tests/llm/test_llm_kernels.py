@@ -233,7 +233,7 @@ def test_statistics_never_fail(text):
 # ---- truncation
 
 ENDINGS = [
-    ("The page is open.", "done"), ("The page is op", "short"), ("One is here. The page is op", "open"), ("One is here. The page is op&am", "noise"), ("One is here. The pa�", "noise"), ("Please wait…", "pause"), ("The device selector", "short"),
+    ("The page is open.", "done"), ("The page is op", "short"), ("One is here. The page is op", "open"), ("One is here. The page is op&am", "noise"), ("One is here. The pa�", "noise"), ("Please wait…", "done"), ("All is open. Подождите…", "done"), ("The file tree sp…", "pause"), ("The device selector", "short"),
     ("", "blank"), (None, "blank"), (" ​", "blank"), ("3.14", "wordless"), ("The log says “no model.”", "done"), ("See sec.", "open"), ("См. разд.", "open"), ("Сканер сохраняет рисунки и т. д.", "done"), ("All is well [34538956558].", "done"), ("«Остановите задание!", "open"), ("速い。とても遅", "open"),
 ]
 
