@@ -62,8 +62,8 @@ STRIP = dict.fromkeys(map(ord, SHY))
 
 def letter_table() -> dict[int, str]:
     """Letters and digits that only look different, each to one plain character; quotation marks and blanks stay."""
-    forms = transducer().forms
-    return {ord(c): v[0] for c, v in forms.items() if v and unicodedata.category(c)[0] in "LN" and v[0].isalnum()}
+    table = transducer().table
+    return {c: v[0] for c, v in table.items() if v and unicodedata.category(chr(c))[0] in "LN" and v[0].isalnum()}
 
 
 def in_plain_letters(words: set[str]) -> frozenset[str]:
