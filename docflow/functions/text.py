@@ -15,6 +15,8 @@ ADDRESS = r"(?:https?://|www\.|mailto:)[^\t-\r\x{85}\p{Z}<>]+|[\p{L}\p{N}_.+-]+@
 DISPLAY = {"Определить автоматически": "auto", "Авто": "auto", "Русский": "ru", "Английский": "en", "Английский (США)": "en", "Немецкий": "de", "Испанский": "es", "Французский": "fr", "Китайский": "zh", "Японский": "ja"}
 #: Names that a file may not have. Fixed value.
 RESERVED = r"(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])"
+#: What is noise in a device's name, and what stands for it. Fixed values.
+DEVICE_NOISE = ((r"(?i)\((?:R|TM)\)", ""), (r"(?i)\s+\d+-Core Processor\z", ""), (r"(?i)\s+CPU(?:\s+Processor)?\s*(?:@.*)?\z", ""), (r"\s+", " "), (r"^[ ,]+|[ ,]+\z", ""))
 #: Limits. Fixed values.
 MAX_TEXT, MAX_SEGMENT, MAX_NAME, MAX_LOOKUP = 50_000, 1200, 120, 160
 
@@ -148,10 +150,9 @@ def trim_punctuation(text: Column) -> Column:
 
 def device_name(text: Column, fallback: Column) -> Column:
     """A processor's or card's short name."""
-    out = F.regexp_replace(text, r"(?i)\((?:R|TM)\)", "")
-    out = F.regexp_replace(out, r"(?i)\s+\d+-Core Processor\z", "")
-    out = F.regexp_replace(out, r"(?i)\s+CPU(?:\s+Processor)?\s*(?:@.*)?\z", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^[ ,]+|[ ,]+\z", "")
+    out = text
+    for pattern, new in DEVICE_NOISE:
+        out = F.regexp_replace(out, pattern, new)
     return F.when(text.isNull() | (out == ""), fallback).otherwise(out)
 
 

@@ -13,7 +13,6 @@ from docflow.functions.text import MAX_SEGMENT, WS, has_letter, outer_space
 
 #: Texts up to this length are split inside the JVM; longer ones by a linear pass over Arrow batches, with equal results.
 JVM_LIMIT = 60_000
-BOUNDARY = re.compile(r"[.!?。！？](?:\s|\Z)|\s+")
 
 
 def cut_length(rest: Column, limit: int) -> Column:
@@ -69,9 +68,6 @@ def translatable(df: DataFrame, text: str = "seg_text") -> DataFrame:
     return df.withColumn("translatable", has_letter(F.col(text)))
 
 
-LINE_EDGE = r"(?<=\n)|(?<=\r)(?!\n)|(?=\r\n)|(?<!\r)(?=\n)|(?=\r)(?<!\r)"
-
-
 def lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """line_ord, kind (layout or text), lead, core, tail of every line and line separator, in order.
 
