@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docflow.constants import constant
 from docflow.functions import text as T
-from docflow.operators import corpus, inference, lexicon, metrics, routing, segments
+from docflow.operators import corpus, inference, lexicon, metrics, ordered, routing, segments
 from docflow.streaming import timers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,13 +157,9 @@ SELECT job_id, doc_id, left(text, 320) AS sample FROM g WHERE k IN (SELECT round
 )
 def doc_sample(spark: SparkSession, d: str) -> DataFrame:
     """Up to 24 documents of each job, evenly spread, each cut to 320 characters: a sampling operator."""
-    from pyspark.sql import Window
-
     docs = read(spark, d, "documents", "job_id", "doc_id", "text").where("text is not null")
-    n = docs.groupBy("job_id").agg(F.count("*").alias("n"))
-    places = n.select("job_id", F.explode(segments.evenly(F.col("n"), 24)).alias("k"))
-    ranked = docs.select("job_id", "doc_id").withColumn("k", (F.row_number().over(Window.partitionBy("job_id").orderBy("doc_id")) - 1).cast("int"))
-    hit = ranked.join(places, ["job_id", "k"]).select("doc_id")
+    ranked = ordered.running(docs.select("job_id", "doc_id", F.lit(1).cast("bigint").alias("one")), ["job_id"], ["doc_id"], "one")
+    hit = ranked.where(F.array_contains(segments.evenly(F.col("total"), 24), F.col("below").cast("int"))).select("doc_id")
     return docs.join(hit, "doc_id").select("job_id", "doc_id", F.substring("text", 1, 320).alias("sample"))
 
 
@@ -325,10 +321,8 @@ g AS (SELECT user_id, min(CASE WHEN ok THEN o END) AS winner FROM a GROUP BY 1)
 SELECT user_id, winner, count(*) FILTER (winner IS NULL OR o <= winner) AS tries, coalesce(winner > 1, false) AS fallback_used FROM a JOIN g USING (user_id) GROUP BY ALL"""
 )
 def fallback_attempts(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = read(spark, d, "events", "user_id", "event_id", "ts", "event_type")
-    a = e.withColumn("o", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).withColumn("ok", F.col("event_type") == "purchase")
+    e = read(spark, d, "events", "user_id", "event_id", "ts", "event_type").withColumn("one", F.lit(1).cast("bigint"))
+    a = ordered.running(e, ["user_id"], ["ts", "event_id"], "one").select("user_id", (F.col("below") + 1).alias("o"), (F.col("event_type") == "purchase").alias("ok"))
     return routing.first_success(a, "user_id", "o", "ok")
 
 

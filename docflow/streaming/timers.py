@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.ordered import running, with_previous
+
 
 def seconds(ts: Column) -> Column:
     """Exact microseconds of a timestamp as a whole number."""
@@ -27,45 +29,36 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return best.select(*[F.col("r")[c].alias(c) for c in cols])
 
 
-def _changes(events: DataFrame, key: list[str], order: list[str], what: Column, ts: str, idle: float) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    t = seconds(F.col(ts))
-    start = F.lag(what).over(w).isNull() | (F.lag(what).over(w) != what) | (t - F.lag(t).over(w) >= int(idle * 1_000_000))
-    return events.withColumn("__start", start.cast("int")).withColumn("__island", F.sum("__start").over(w))
-
-
 def warm_periods(events: DataFrame, key: str, ts: str, tie: str, what: str, idle: float) -> DataFrame:
     """key, loads, uses: how often what is used had to be loaded, because another was in use or it lay idle too long."""
-    c = _changes(events, [key], [ts, tie], F.col(what), ts, idle)
-    return c.groupBy(key).agg(F.sum("__start").alias("loads"), F.count("*").alias("uses"))
+    e = with_previous(events.select(key, ts, tie, what).withColumn("__t", seconds(F.col(ts))), [key], [ts, tie], {what: "__w", "__t": "__b"})
+    start = F.col("__b").isNull() | ~F.col("__w").eqNullSafe(F.col(what)) | (F.col("__t") - F.col("__b") >= int(idle * 1_000_000))
+    return e.groupBy(key).agg(F.sum(start.cast("int")).alias("loads"), F.count("*").alias("uses"))
 
 
-def active_seconds(events: DataFrame, key: str, ts: str, tie: str, running: Column) -> DataFrame:
+def active_seconds(events: DataFrame, key: str, ts: str, tie: str, is_running: Column) -> DataFrame:
     """key, active_s: the sum of the times from each event of a running state to the next event of the key."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    t = seconds(F.col(ts))
-    span = F.when(running, F.lead(t).over(w) - t)
-    return events.withColumn("__d", span).groupBy(key).agg((F.coalesce(F.sum("__d"), F.lit(0)) / 1_000_000).alias("active_s"))
+    e = events.select(key, ts, tie, is_running.alias("__r")).withColumn("__t", seconds(F.col(ts)))
+    e = with_previous(e, [key], [ts, tie], {"__r": "__was", "__t": "__b"})
+    return e.groupBy(key).agg((F.coalesce(F.sum(F.when(F.col("__was"), F.col("__t") - F.col("__b"))), F.lit(0)) / 1_000_000).alias("active_s"))
 
 
 def running_load(events: DataFrame, key: str, ts: str, tie: str, change: Column, limit: int) -> DataFrame:
     """``events`` with load (the running sum of ``change`` in the key) and admitted (whether it stays within the limit)."""
-    w = Window.partitionBy(key).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("load", F.sum(change).over(w)).withColumn("admitted", F.col("load") <= limit)
+    e = running(events.withColumn("__c", change.cast("bigint")), [key], [ts, tie], "__c")
+    return e.withColumn("load", F.col("below") + F.col("__c")).withColumn("admitted", F.col("load") <= limit).drop("__c", "below", "total")
 
 
 def transitions(events: DataFrame, key: str, ts: str, tie: str, state: str, allowed: DataFrame) -> DataFrame:
     """``events`` with before and valid: whether the step from the state before is in ``allowed`` (before, after)."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    e = events.withColumn("before", F.lag(state).over(w))
+    e = with_previous(events, [key], [ts, tie], {state: "before"})
     a = allowed.select(F.col("before").alias("b"), F.col("after").alias("a"), F.lit(True).alias("ok")).distinct()
     return e.join(a, (F.col("before") == F.col("b")) & (F.col(state) == F.col("a")), "left").withColumn("valid", F.col("before").isNull() | F.coalesce("ok", F.lit(False))).drop("a", "b", "ok")
 
 
 def progress(rows: DataFrame, job: str, order: list[str], active_s: Column) -> DataFrame:
     """``rows`` with done, total, percent (at most 99 before the last row) and eta_s by the pace so far (half to even)."""
-    w = Window.partitionBy(job)
-    r = rows.withColumn("done", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count("*").over(w))
+    r = running(rows.withColumn("__one", F.lit(1).cast("bigint")), [job], order, "__one").withColumn("done", F.col("below") + 1).drop("__one", "below")
     pct = F.when(F.col("done") == F.col("total"), 100).otherwise(F.least(F.lit(99), F.floor(F.col("done") * 100 / F.col("total")))).cast("int")
     return r.withColumn("percent", pct).withColumn("eta_s", F.bround(active_s * (F.col("total") - F.col("done")) / F.col("done")).cast("bigint"))
 

@@ -379,3 +379,27 @@ def test_write_lexicon(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "lex")).where("source = 'en' and target = 'ru'").count() == 1
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
         files.write_lexicon(e, str(tmp_path / "lex"))
+
+
+# ---- ordered groups
+
+
+def test_running_and_previous_against_plain(spark):
+    from docflow.operators import ordered
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.randint(0, 50), rng.randint(-3, 9), rng.choice(["x", "y", None])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, k string, o int, w bigint, v string")
+    want, groups = {}, {}
+    for r in sorted(rows, key=lambda r: (r[1] or "", r[2], r[0])):
+        groups.setdefault(r[1], []).append(r)
+    for g in groups.values():
+        total, so_far, before = sum(r[3] for r in g), 0, None
+        for r in g:
+            want[r[0]] = (so_far, total, before)
+            so_far, before = so_far + r[3], r[4]
+    got = {r.id: (r.below, r.total) for r in ordered.running(df, ["k"], ["o", "id"], "w").collect()}
+    assert got == {i: x[:2] for i, x in want.items()}
+    prev = {r.id: r.p for r in ordered.with_previous(df, ["k"], ["o", "id"], {"v": "p"}).collect()}
+    assert prev == {i: x[2] for i, x in want.items()}
+    assert ordered.running(df.limit(0), ["k"], ["o"], "w").count() == 0 and ordered.with_previous(df.limit(0), ["k"], ["o"], {"v": "p"}).count() == 0
