@@ -7,13 +7,11 @@ without gathering any group in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docflow.operators.ordered import running
+
 
 def weighted_ranks(counted: DataFrame, groups: list[str], value: str, weight: str) -> DataFrame:
     """``counted`` with ``below`` (rows of the group with a smaller value) and ``total`` (rows of the group).
@@ -21,52 +19,7 @@ def weighted_ranks(counted: DataFrame, groups: list[str], value: str, weight: st
     ``counted`` has one row for each group and value. Group columns may be null (a group of its own); values must not be.
     An empty table gives an empty table.
     """
-    spark = counted.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # a number of partitions that is asked for isn't changed by adaptive execution, so both uses see the same partitions
-    ordered = counted.repartitionByRange(n, *[F.col(g).asc_nulls_first() for g in groups], F.col(value)).sortWithinPartitions(*[F.col(g).asc_nulls_first() for g in groups], value)
-    keep = [*groups, value, weight]
-    schema = counted.select(*keep).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, so_far = None, 0
-        pid = partition_id()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            w = t.column(weight).to_numpy().astype(np.int64)
-            change = np.zeros(len(w), dtype=bool)
-            for g in groups:
-                codes = t.column(g).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                change[1:] |= codes[1:] != codes[:-1]
-            head = tuple(t.column(g)[0].as_py() for g in groups)
-            base = so_far if head == last else 0
-            cum = np.cumsum(w) - w
-            start = np.flatnonzero(change)
-            shift = np.full(len(w), base, dtype=np.int64)
-            for s, e in zip(start, np.append(start[1:], len(w))):
-                shift[s:e] = -cum[s]
-            before = cum + shift
-            last = tuple(t.column(g)[-1].as_py() for g in groups)
-            so_far = int(before[-1] + w[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before), pa.array(np.full(len(w), pid, np.int32))], names=[*b.schema.names, "within", "part"])
-
-    marked = ordered.select(*keep).mapInArrow(running, ddl + ", within bigint, part int")
-    sums = marked.groupBy(*groups, "part").agg(F.sum(weight).alias("w"))  # at most partitions x groups rows
-    w = Window.partitionBy(*groups)
-    offsets = sums.select(*[F.col(g).alias(f"{g}_o") for g in groups], F.col("part").alias("part_o"), F.coalesce(F.sum("w").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("w").over(w).alias("total"))
-    same = F.col("part") == F.col("part_o")
-    for g in groups:
-        same &= F.col(g).eqNullSafe(F.col(f"{g}_o"))
-    return marked.join(offsets, same).select(*keep, (F.col("offset") + F.col("within")).alias("below"), "total")
-
-
-def partition_id() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
+    return running(counted.select(*groups, value, weight), groups, [value], weight)
 
 
 def percentiles(counted: DataFrame, groups: list[str], value: str, weight: str, shares: dict[str, float]) -> DataFrame:
