@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import inside, stem, suffix
+from docflow.operators.ordered import running
 
 #: Names that mark working copies and hidden files. Fixed values.
 SKIP = r"^(?:~\$|\.)"
@@ -30,24 +31,24 @@ def first_of(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
 def numbered(df: DataFrame, folder: str, base: str, extension: Column, order: str, taken: DataFrame | None = None) -> DataFrame:
     """``df`` with final_name: the n-th of equal names in a folder gets " (n)"; names in ``taken`` (folder, name) are passed over.
 
-    Names that look numbered themselves are settled in the same way, by repeating until no two are equal. Equal names of one folder
-    are few by nature; the number of rounds is bounded by how deep numbered names are nested.
+    Equal names are counted by running sums over a distributed sort, however many a folder has. A name that looks numbered itself
+    is a base of its own; only ``taken`` names are compared with generated ones.
     """
-    name = lambda n: F.concat(F.col(base), F.when(n > 0, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.lit("")), extension)
-    w = Window.partitionBy(folder, base, extension).orderBy(order)
-    out = df.withColumn("__n", F.row_number().over(w) - 1)
+    name = lambda n: F.concat(F.col(base), F.when(n > 0, F.concat(F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.lit("")), F.col("__e"))
+    rows = df.withColumn("__e", extension).withColumn("__one", F.lit(1).cast("bigint"))
+    out = running(rows, [folder, base, "__e"], [order], "__one").withColumnRenamed("below", "__n").drop("__one", "total")
     if taken is None:
-        return out.withColumn("final_name", name(F.col("__n"))).drop("__n")
+        return out.withColumn("final_name", name(F.col("__n"))).drop("__n", "__e")
     used = taken.select(F.col("folder").alias("f"), F.col("name").alias("t")).distinct()
     # taken names of the same base take numbers away: the k-th file gets the k-th free number
-    own = df.select(folder, base, extension.alias("__e")).distinct()
+    own = out.select(folder, base, "__e").distinct()
     hit = own.join(used, F.col(folder) == F.col("f"))
     escaped = F.length(base)
     rest = F.col("t").substr(escaped + 1, F.length("t") - escaped - F.length("__e"))
-    number = F.when(rest == "", 0).otherwise(F.regexp_extract(rest, r"^ \((\d{1,9})\)\z", 1).try_cast("int"))
+    number = F.when(rest == "", 0).otherwise(F.regexp_extract(rest, r"^ \((\d{1,9})\)\z", 1).try_cast("bigint"))
     busy = hit.where(F.col("t").startswith(F.col(base)) & F.col("t").endswith(F.col("__e")) & number.isNotNull()).groupBy(folder, base, "__e").agg(F.array_sort(F.collect_set(number)).alias("__busy"))
-    joined = out.withColumn("__e", extension).join(busy, [folder, base, "__e"], "left")
-    free = F.aggregate(F.coalesce("__busy", F.array().cast("array<int>")), F.col("__n"), lambda acc, b: F.when(b <= acc, acc + 1).otherwise(acc))
+    joined = out.join(busy, [folder, base, "__e"], "left")
+    free = F.aggregate(F.coalesce("__busy", F.array().cast("array<bigint>")), F.col("__n"), lambda acc, b: F.when(b <= acc, acc + 1).otherwise(acc))
     return joined.withColumn("final_name", name(free)).drop("__n", "__busy", "__e")
 
 
