@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ WAITS = frozenset(("please wait", "wait", "loading", "подождите", "по
 CLOSERS = "\"'”’»)]）」』】》“"
 ENDS = ".!?…。！？।॥｡"
 TRAIL = re.compile(rf"[\s{SHY}]+$")
+NOT_LETTERS = re.compile(r"[\W_]+")
 NUMBERED = re.compile(r"\s*\[\d{6,}\]\.?$")
 THAI = re.compile("[฀-๿]")
 LETTER = re.compile(r"[^\W\d_]")
@@ -114,46 +116,62 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-MEASURES = ("chars", "utf16", "utf8", "html", "json", "json_ascii", "crlf", "utf8_crlf")
-NEAR = 8  # lengths on either side that a limit's length is compared with
-LEAST = 8  # unfinished texts of one length that may show a limit
-TIMES = 6  # times as many unfinished texts as at the lengths around
+UNFINISHED = ("noise", "open", "pause", "short")  # endings that may be a break
+
+
+def form_of(text: str) -> int:
+    """64-bit hash of a text's letters and digits without case."""
+    bare = NOT_LETTERS.sub("", text.lower())
+    return int.from_bytes(hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def read_endings(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns ``keep`` with ending, and for unfinished texts refusal (whether it declines) and form (see ``form_of``)."""
+    from docflow.llm.pairs import declines
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", ending string, refusal boolean, form bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            ends = [ending(t) for t in texts]
+            open_ = [e in UNFINISHED for e in ends]
+            refused = [o and declines(t[:200], t[:200].lower()) for t, o in zip(texts, open_)]
+            forms = [form_of(t) if o else None for t, o in zip(texts, open_)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(ends, pa.string()), pa.array(refused, pa.bool_()), pa.array(forms, pa.int64())], names=[*keep, "ending", "refusal", "form"])
+
+    return spread(df.select(F.col(text), *keep)).mapInArrow(run, schema)
 
 
-def read_endings(df: DataFrame, text: str, source_text: str | None, *keep: str) -> DataFrame:
-    """The columns ``keep`` with ending, and source_end of the column ``source_text`` (or null)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", ending string, source_end string"
+def read_sources(requests: DataFrame) -> DataFrame:
+    """request_id, source_end, asked_form of every request, once each: only these small values are shuffled, not the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends = [ending(t) for t in b.column(0).to_pylist()]
-            src = [None if s is None else source_ending(s) for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(ends, pa.string()), pa.array(src, pa.string())], names=[*keep, "ending", "source_end"])
+            texts = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([source_ending(t) for t in texts], pa.string()), pa.array([form_of(t) for t in texts], pa.int64())], names=["request_id", "source_end", "asked_form"])
 
-    src = F.col(source_text) if source_text else F.lit(None).cast("string")
-    return spread(df.select(F.col(text).alias("__t"), src.alias("__s"), *keep)).mapInArrow(run, schema)
+    rows = requests.where("request_id is not null and text is not null").select("text", F.col("request_id").cast("string"))
+    got = spread(rows).mapInArrow(run, "request_id string, source_end string, asked_form bigint")
+    return got.groupBy("request_id").agg(F.max("source_end").alias("source_end"), F.max("asked_form").alias("asked_form"))
+
+
+MEASURES = ("chars", "utf16", "utf8", "html", "json", "json_ascii", "crlf", "utf8_crlf")
+NEAR = 8  # lengths on either side that a limit's length is compared with
+LEAST = 8  # unfinished texts of one length that may show a limit
+TIMES = 6  # times as many unfinished texts as at the lengths around
 
 
 def examined(results: DataFrame, requests: DataFrame) -> DataFrame:
     """result_id, backend, ending, source_end, refusal and the MEASURES of every result with a text, before limits are known."""
-    from docflow.llm.pairs import refusal_column
-
-    # how each request's text ends is read once per request; only that word is shuffled, not the text
-    asked = read_endings(requests.where("request_id is not null").withColumn("asked_form", letters_hash("text")), "text", "text", "request_id", "asked_form").groupBy("request_id").agg(F.max("source_end").alias("asked_end"), F.max("asked_form").alias("asked_form"))
-    texts = results.where("translated_text is not null")
     cols = lengths(F.col("translated_text"))
-    wide = texts.select("result_id", "request_id", "backend", "translated_text", refusal_column("translated_text").alias("refusal"), letters_hash("translated_text").alias("form"), *[cols[m].alias(m) for m in MEASURES])
-    got = read_endings(wide, "translated_text", None, "result_id", "request_id", "backend", "refusal", "form", *MEASURES).drop("source_end")
-    both = got.withColumn("request_id", spread_nulls("request_id", "result_id")).join(asked, "request_id", "left").withColumnRenamed("asked_end", "source_end")
+    wide = results.where("translated_text is not null").select("result_id", "request_id", "backend", "translated_text", *[cols[m].alias(m) for m in MEASURES])
+    got = read_endings(wide, "translated_text", "result_id", "request_id", "backend", *MEASURES)
+    both = got.withColumn("request_id", spread_nulls("request_id", "result_id")).join(read_sources(requests), "request_id", "left")
     # a source handed back without its last mark or in other letter case is a copy, not a broken-off text
     return both.withColumn("copied", F.coalesce(F.col("form") == F.col("asked_form"), F.lit(False))).drop("form", "asked_form")
 
 
-def letters_hash(text: str) -> Column:
-    """Hash of a text's letters and digits without case."""
-    return F.xxhash64(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", ""))
-
-
 def unfinished(at_limit: Column | None = None) -> Column:
     """Whether a text's ending, beside that of its source, is inside a word or sentence."""
     e, s = F.col("ending"), F.col("source_end")
