@@ -35,6 +35,7 @@ NOT_WORDS = re.compile(
     r"(?i)(?:https?://|www\.|mailto:)[^\s<>　-ヿ一-鿿]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w-]+\.(?:" + "|".join(FILE_ENDS) + r")(?![A-Za-z])"
     r"|«[^«»]{1,40}»|“[^“”]{1,40}”|„[^„“]{1,40}“|「[^「」]{1,40}」|\"[^\"\n]{1,40}\"|\[[A-Z]{2,5}\]"
 )
+QUOTE_MARKS = re.compile("[«»“”„「」\"']")
 HAS_OTHER = re.compile(r"[/@«“„「\"\[]|\.[A-Za-z]")
 # The ranges of code points of each script. Fixed values.
 RANGES = {"th": ((0x0E00, 0x0E7F),), "hi": ((0x0900, 0x097F),), "kana": ((0x3040, 0x30FF), (0xFF66, 0xFF9F)), "han": ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x2F00, 0x2FDF)), "cyr": ((0x0400, 0x052F),), "lat": ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A))}
@@ -273,7 +274,8 @@ class Found:
     stretches: list[tuple[int, int, str, float]]
 
 
-CUT = re.compile(r"[.!?…。！？।॥\n\r](?:(?<=[。！？।॥\n\r])[”」』’]*|[\"'”’»)]*(?:\s+|(?=[^\W\d_a-z])))")
+# A line break before a small letter only wraps a sentence, unless the line above is empty.
+CUT = re.compile(r"[.!?…。！？।॥\n\r](?:(?<=[。！？।॥])[”」』’]*|(?<=[\n\r])(?:(?<=[\n\r][\n\r])|(?![a-zà-ÿа-яёіїєґ]))|[\"'”’»)]*(?:(?<![\n\r])\s+|(?<![\n\r])(?=[^\W\d_a-z])))")
 CUT_THAI = re.compile(CUT.pattern + r"|(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
 HAS_THAI = re.compile("[฀-๿]")
 
@@ -301,6 +303,9 @@ def identify(texts: list[str], profiles: Profiles) -> list[Found]:
     total = np.stack([np.bincount(owner, weights=far[:, j] * letters, minlength=len(texts)) for j in range(far.shape[1])], axis=1)
     weight = np.bincount(owner, weights=letters, minlength=len(texts))
     main = np.argmin(total, axis=1)
+    bare = [i for i in np.flatnonzero(weight == 0) if QUOTE_MARKS.search(texts[i])]
+    # a text that is nothing but quoted words is read without its quotation marks
+    reread = dict(zip(bare, identify([QUOTE_MARKS.sub(" ", texts[i]) for i in bare], profiles))) if bare else {}
     best = np.argmin(far, axis=1)
     rows = np.arange(len(far))
     evidence = (far[rows, main[owner]] - far[rows, best]) * letters
@@ -332,7 +337,7 @@ def identify(texts: list[str], profiles: Profiles) -> list[Found]:
                 o = own[part]
     out, at = [], 0
     for i, p in enumerate(cuts):
-        out.append(joined(p, weight[i], main[i], own[at : at + len(p)], clear[at : at + len(p)], lead[at : at + len(p)], letters[at : at + len(p)], profiles.langs))
+        out.append(reread[i] if i in reread else joined(p, weight[i], main[i], own[at : at + len(p)], clear[at : at + len(p)], lead[at : at + len(p)], letters[at : at + len(p)], profiles.langs))
         at += len(p)
     return out
 
