@@ -106,3 +106,10 @@ def upsert(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def file_parts(name: Column) -> tuple[Column, Column]:
     return stem(name), suffix(name)
+
+
+def newest(df: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of the greatest version of every key; versions are compared number by number, "1.10" after "1.9"."""
+    parts = F.transform(F.split(version, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))
+    best = df.groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct(*df.columns), parts).alias("r"))
+    return best.select(*[F.col("r")[c].alias(c) for c in df.columns])

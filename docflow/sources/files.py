@@ -97,3 +97,8 @@ def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
 def write_lexicon(entries: DataFrame, path: str) -> None:
     """The lexicon by language pair, so that a lookup reads its pair only; an existing one isn't overwritten."""
     entries.repartition("source", "target", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("source", "target", "key").write.mode("errorifexists").partitionBy("source", "target").parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Append rows to a report of JSON lines: every finished case is kept if a later one fails."""
+    rows.write.mode("append").json(path)

@@ -403,3 +403,17 @@ def test_running_and_previous_against_plain(spark):
     prev = {r.id: r.p for r in ordered.with_previous(df, ["k"], ["o", "id"], {"v": "p"}).collect()}
     assert prev == {i: x[2] for i, x in want.items()}
     assert ordered.running(df.limit(0), ["k"], ["o"], "w").count() == 0 and ordered.with_previous(df.limit(0), ["k"], ["o"], {"v": "p"}).count() == 0
+
+
+def test_small_lexicon_and_corpus_functions(spark, tmp_path):
+    from docflow.sources import files
+
+    v = spark.createDataFrame([("Straße",), ("new",), (None,)], "t string")
+    assert {r.t for r in lexicon.unseen(v, spark.createDataFrame([("strasse",), (None,)], "t string"), "t").collect()} == {"new", None}
+    r = value(spark, lexicon.summary(F.array(F.lit("a"), F.lit("b"), F.lit("a")), "; ", 3), lexicon.labelled(F.array(F.lit("n"), F.lit("x")), {"n": "noun"}))
+    assert list(r) == ["a; ", ["noun", "x"]]
+    p = spark.createDataFrame([("k", "1.9"), ("k", "1.10"), ("j", "x")], "k string, version string")
+    assert {r.k: r.version for r in corpus.newest(p, "k", "version").collect()} == {"k": "1.10", "j": "x"}
+    for _ in range(2):
+        files.write_json(p, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 6
