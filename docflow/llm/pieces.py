@@ -1,6 +1,6 @@
 """Cutting of oversized texts at natural boundaries by pointer doubling (problem 3).
 
-Every token boundary of a text that lies between characters gets its farthest legal successor: the end of a piece that starts
+Every token boundary of a text that lies between letters gets its farthest legal successor: the end of a piece that starts
 there, at the best kind of boundary within the limit (sentence or line, then clause, then word, then any), and from it the next
 start, so that the pieces share the wanted number of tokens. The successor tables of all texts of a batch are squared together,
 and the marks of the starts double with them, so all greedy cuts come out in a logarithmic number of steps.
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from docflow.llm.sentences import spans
 from docflow.llm.tables import spread
 
 CLAUSE = re.compile(r"[,;:，；：、—–)）]")
+MARK = regex.compile(r"[\p{M}\u200d]")
 SENTENCE, CLAUSE_END, WORD, ANY = 3, 2, 1, 0
 
 
@@ -46,6 +48,9 @@ def bounds(text: str, v: Vocabulary) -> Bounds:
     first = np.concatenate(((b & 0xC0) != 0x80, [True]))  # whether a character begins here
     chars = np.concatenate(([0], np.cumsum(first[:-1])))
     ok = first[ends]
+    joining = [m.start() for m in MARK.finditer(text)]  # nor is a letter parted from its marks
+    if joining:
+        ok &= ~np.isin(chars[ends], joining) | (ends == 0)
     at = chars[ends][ok]
     tokens = np.flatnonzero(ok)
     kind = np.zeros(len(at), np.int8)
