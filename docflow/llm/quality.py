@@ -25,7 +25,6 @@ TAILS = {
     "table": {"cell_share": 1, "symbol_ratio": 1, "digit_ratio": 1, "punctuated_lines": -1, "common_words": -1},
     "junk": {"repeat_share": 1, "single_share": 1, "code_share": 1, "broken_share": 1, "symbol_ratio": 1, "common_words": -1},
 }
-LEAST_SCORE = 0.7  # outlier score (sum of -ln of tail probabilities) from which a document is looked at: no prose of rank one half in all statistics
 
 WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ'’ऀ-ःऺ-ॏัิ-ฺ็-๎][^\W\d_]*)*")
 BULLET = re.compile(r"\s*(?:[•*▪◦·‣●○■□☐☑✓+]|[-–—]|\(?\d{1,3}[.)](?!\d)|\(?[^\W\d_][.)]|\[[ xXvх✓]?\])\s+(?=\S)")
@@ -312,11 +311,10 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
 def kinds(documents: DataFrame, common_words: DataFrame, profiles) -> DataFrame:
     """doc_id, kind (prose, list, table, junk), the statistics and the outlier scores of every visible document.
 
-    A document leaves prose only if its outlier score for a kind reaches LEAST_SCORE and its statistics confirm that kind.
+    The kind is what the document's own statistics confirm. The scores say how far out a document lies among those of its
+    language; they don't veto a kind, as in a language made mostly of one kind no document lies far out.
     Repeated rows give repeated results; their copies count in the ranks.
     """
     from docflow.llm.tables import cut
 
-    scored = outlier_scores(cut(statistics(documents, common_words, profiles)))
-    high = F.coalesce(*[F.when((F.col("rule_kind") == k) & (F.col(f"{k}_score") >= LEAST_SCORE), F.lit(k)) for k in TAILS], F.lit("prose"))
-    return scored.withColumn("kind", high).drop("rule_kind")
+    return outlier_scores(cut(statistics(documents, common_words, profiles))).withColumn("kind", F.col("rule_kind")).drop("rule_kind")

@@ -202,6 +202,14 @@ def test_kinds(spark, profiles):
     assert quality.kinds(docs.limit(0), words, profiles).count() == 0
 
 
+def test_kinds_of_groups_full_of_one_kind(spark, profiles):
+    noise = ["<1$1{!: {}_\\}.$${|%<[|]%^=:}/ *^!&~## @#{#|#!|:<1#.<##.{!-", "^%>1{!!=|%#>0# {:[.}!}>==._-<|0}~%#|:0$&:->0*##-1 =.!% @%0$|", "<.!~@%^~_~~_@[^*/-#0._^&%]_<]00~[%=<_10@=1[^@>{}~*>[<[!0#&$1|"]
+    rows = [(i, t, None) for i, t in enumerate(noise)] + [(9, "• страница\n• таблица\n• рисунок\n• список", "ru")]
+    words = spark.createDataFrame([("en", "the")], "lang string, word string")
+    got = {r.doc_id: r.kind for r in quality.kinds(frame(spark, rows, "doc_id bigint, text string, lang string"), words, profiles).collect()}
+    assert got == {0: "junk", 1: "junk", 2: "junk", 9: "list"}
+
+
 def test_kinds_agree_with_labels(spark, data):
     d = data.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{d}/doc_labels.parquet").select("doc_id", F.col("kind").alias("want"))
