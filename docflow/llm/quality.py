@@ -45,20 +45,53 @@ def common(words: list[str], known: frozenset[str]) -> float:
     return sum(w in known for w in words) / len(words) if words else 0.0
 
 
+def matches(codes: np.ndarray) -> np.ndarray:
+    """Exact number of codes equal to the one k places before, for k from 1 to a third of their number (8 at least).
+
+    Few codes are compared shift by shift. Of many, frequent codes are correlated by Fourier transform, and pairs of rare ones counted.
+    """
+    n = len(codes)
+    top = max(8, n // 3)  # what stands there three times
+    if n <= 2048:
+        return np.array([np.count_nonzero(codes[k:] == codes[:-k]) for k in range(1, top + 1)])
+    often = np.bincount(codes) > n**0.5
+    size = 1 << (n + top).bit_length()
+    power = np.zeros(size // 2 + 1)
+    for c in np.flatnonzero(often):
+        power += np.abs(np.fft.rfft(codes == c, size)) ** 2
+    out = np.rint(np.fft.irfft(power, size)[: top + 1]).astype(np.int64)
+    at = np.flatnonzero(~often[codes])
+    at = at[np.argsort(codes[at], kind="stable")]
+    for j in range(1, len(at)):
+        same = codes[at[j:]] == codes[at[:-j]]
+        if not same.any():
+            break
+        far = (at[j:] - at[:-j])[same]
+        out += np.bincount(far[far <= top], minlength=top + 1)
+    return out[1:]
+
+
+def repeat_share(codes: np.ndarray) -> float:
+    """Greatest share of codes equal to the one k places before, for every k by which three copies fit in (and up to 8)."""
+    got = matches(codes)
+    return float((got / (len(codes) - np.arange(1, len(got) + 1))).max())
+
+
 def repeats(tokens: list[str]) -> float:
-    """Greatest share of tokens equal to the one k places before, for k up to 8."""
+    """``repeat_share`` of tokens of which at most a third are different ones."""
     n = len(tokens)
     if n < 12 or len(set(tokens)) > 0.34 * n:
         return 0.0
-    return max(sum(map(str.__eq__, tokens, tokens[k:])) / (n - k) for k in range(1, 9))
+    index: dict[str, int] = {}
+    return repeat_share(np.array([index.setdefault(t, len(index)) for t in tokens]))
 
 
 def char_repeats(text: str) -> float:
-    """``repeats`` of single characters."""
+    """``repeat_share`` of single characters."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if len(c) < 12:
         return 0.0
-    return max(float((c[k:] == c[:-k]).mean()) for k in range(1, 9))
+    return repeat_share(np.unique(c, return_inverse=True)[1])
 
 
 def codelike(token: str) -> bool:

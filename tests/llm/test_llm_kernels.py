@@ -222,6 +222,20 @@ def test_kinds(text, kind):
     assert quality.kind_of(quality.doc_stats(text, frozenset()), text) == kind
 
 
+@pytest.mark.parametrize("phrase", ["The old page of the file tree never opens on my other drive. ", "请先打开设置页面再检查文件列表。", "設定ページを開いてからファイルを確認。", "กรุณาเปิดหน้าการตั้งค่าก่อน "])
+def test_repetition_of_any_period(phrase):
+    text = phrase * 200
+    assert quality.kind_of(quality.doc_stats(text, frozenset()), text) == "junk"
+    assert quality.junk_kind(text) == "repetition"
+
+
+def test_equal_places_against_brute_force():
+    rng = np.random.default_rng(5)
+    for n, kinds in ((12, 2), (700, 30), (2049, 3), (3000, 900), (5000, 60)):
+        codes = np.minimum(rng.integers(0, kinds, n), rng.integers(0, kinds, n))
+        assert quality.matches(codes).tolist() == [int((codes[k:] == codes[:-k]).sum()) for k in range(1, max(8, n // 3) + 1)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=120))
 def test_statistics_never_fail(text):
