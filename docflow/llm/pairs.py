@@ -82,12 +82,12 @@ STEMS = (
 SORRY = "sorry apolog unfortun regret извин сожал прош жаль вибач leider leid bedau siento lament désol malheur desculp infeliz 抱歉 对不起 遗憾 申し訳 すみません क्षमा माफ़ ขออภัย เสียใจ this model этот diese この 这个 这段".split()
 
 
-def declines(head: str, low: str) -> bool:
-    return any(k in low for k in STEMS) and bool(REFUSAL_RE.search(head))
+def declines(text: str, low: str) -> bool:
+    return any(k in low for k in STEMS) and bool(REFUSAL_RE.search(text))
 
 
-def apologizes(head: str, low: str) -> bool:
-    return any(k in low for k in SORRY) and bool(APOLOGY.search(head))
+def apologizes(text: str, low: str) -> bool:
+    return any(k in low for k in SORRY) and bool(APOLOGY.search(text))
 
 
 def languages_of(texts: list[str], profiles: Profiles) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -126,9 +126,9 @@ def votes(src: list[str], tgt: list[str | None], target: list[str | None], profi
     for i, (s, t, g) in enumerate(zip(src, clean, target)):
         words = bool(LETTER.search(t))
         visible = words or any(not c.isspace() and c not in SHY for c in t)
-        head, low = t[:200], t[:200].lower()
-        phrase = declines(head, low) and not (g and declines(s[:200], s[:200].lower()))  # else a faithful translation of a refusal
-        apology = apologizes(head, low) and not apologizes(s[:200], s[:200].lower())
+        low = t.lower()
+        phrase = declines(t, low) and not (g and declines(s, s.lower()))  # else a faithful translation of a refusal
+        apology = apologizes(t, low) and not apologizes(s, s.lower())
         ratio = (len(t) / CHARS_PER.get(g, 1.0)) / max(1.0, len(s) / (0.4 if WIDE.search(s[:40]) else 1.0))
         j = index.get(g) if g else None
         equal = holds = lapped = False

@@ -136,7 +136,7 @@ def read_endings(df: DataFrame, text: str, *keep: str) -> DataFrame:
             texts = b.column(0).to_pylist()
             ends = [ending(t) for t in texts]
             open_ = [e in UNFINISHED for e in ends]
-            refused = [o and declines(t[:200], t[:200].lower()) for t, o in zip(texts, open_)]
+            refused = [o and declines(t, t.lower()) for t, o in zip(texts, open_)]
             forms = [form_of(t) if o else None for t, o in zip(texts, open_)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(ends, pa.string()), pa.array(refused, pa.bool_()), pa.array(forms, pa.int64())], names=[*keep, "ending", "refusal", "form"])
 

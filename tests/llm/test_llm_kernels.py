@@ -280,6 +280,15 @@ def test_faithful_apology_is_no_refusal(profiles):
     assert not [d for d in pairs.DEFECTS if m[d] > pairs.CUTOFFS[d]]
 
 
+def test_refusals_are_read_in_whole_texts(profiles):
+    src = "The settings page protects the damaged table in reading order. Please check the list of pairs again. " * 4
+    good = "Страница настроек защищает повреждённую таблицу в порядке чтения. Пожалуйста, проверьте список пар ещё раз. "
+    late = pairs.votes([src], [good * 3 + "К сожалению, я не могу перевести этот текст."], ["ru"], profiles)[0]
+    assert late[pairs.VOTES.index("refusal_phrase")] and late[pairs.VOTES.index("refusal_apology")]
+    faithful = pairs.votes([src + "I cannot translate this text."], ["我无法翻译这段文字。"], ["zh"], profiles)[0]
+    assert not faithful[pairs.VOTES.index("refusal_phrase")]
+
+
 def test_label_model_of_nothing():
     assert pairs.label_model({}) == {}
     assert json.dumps(pairs.label_model({0: 1}))
