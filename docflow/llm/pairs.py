@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -45,11 +46,12 @@ REFUSAL = "(?i)(?:" + "|".join(REFUSALS) + ")"
 # Words of apology, a weaker sign. Fixed values.
 APOLOGY = re.compile(r"(?i)\b(?:sorry|apologi[sz]e|unfortunately|regret)\b|извин|к сожалению|прошу прощения|на жаль|вибач|leider|tut mir leid|bedaure|lo siento|lamento|lamentablemente|désolé|malheureusement|regrette|desculp|infelizmente|抱歉|对不起|很遗憾|申し訳|すみません|क्षमा|माफ़|ขออภัย|เสียใจ|this (?:content|request)|language model|этот запрос|diese anfrage|この(?:文章|ご依頼)|这个请求|这段文字")
 REFUSAL_RE = re.compile(REFUSAL)
+NOT_ALNUM = re.compile(r"[\W_]+")
 
 
 def folded(text: str) -> str:
     """Letters and digits only, without case, width and composition."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+    return NOT_ALNUM.sub("", unicodedata.normalize("NFKC", text).casefold())
 
 
 # Labelling functions of each defect: (name, hit rate, false-alarm rate) that expectation-maximization starts from.
@@ -69,7 +71,7 @@ WIDE = re.compile("[぀-ヿ一-鿿]")
 
 
 def bigrams(t: str) -> set[str]:
-    return {t[i : i + 2] for i in range(len(t) - 1)}
+    return set(map(add, t, t[1:]))
 
 
 # Stems of which every refusal or apology has one: texts without them needn't be matched. Fixed values.
@@ -106,13 +108,19 @@ def languages_of(texts: list[str], profiles: Profiles) -> tuple[list[int], np.nd
     return np.where(weight > 0, np.argmin(total, axis=1), -1).tolist(), total, weight
 
 
-def may_copy(s: str, t: str) -> bool:
-    """Whether some stretch of a source occurs in a text, so that the two must be compared as wholes."""
-    if len(s) < 24 or len(t) < 24:
-        return True
-    low = t.lower()
-    q = len(s) // 5
-    return any(s[i : i + 6].lower() in low for i in (q, 2 * q, 3 * q, 4 * q))
+def likeness(fs: str, ft: str) -> tuple[bool, bool, bool]:
+    """How a folded text repeats its folded source: equal, contains (one the other), overlap (nearly the same bigrams). Exact."""
+    if not fs:
+        return False, False, False
+    equal = fs == ft
+    holds = equal or (fs in ft and len(ft) <= len(fs) + 60 and len(fs) >= 4) or (ft in fs and len(ft) >= 0.75 * len(fs))
+    if holds or len(ft) < 8:
+        return equal, holds, holds
+    # more bigrams of the text's beginning are missing in the source than may be missing of the whole text
+    if sum(x not in fs for x in bigrams(ft[: len(ft) // 3 + 2])) > (1 - BIGRAM_MIN) / BIGRAM_MIN * (len(ft) - 1):
+        return equal, holds, False
+    a, b = bigrams(ft), bigrams(fs)
+    return equal, holds, min(len(a), len(b)) >= BIGRAM_MIN * max(len(a), len(b)) and len(a & b) >= BIGRAM_MIN * len(a | b)
 
 
 def votes(src: list[str], tgt: list[str | None], target: list[str | None], profiles: Profiles) -> list[list[int]]:
@@ -120,8 +128,8 @@ def votes(src: list[str], tgt: list[str | None], target: list[str | None], profi
     index = {x: j for j, x in enumerate(profiles.langs)}
     clean = [t or "" for t in tgt]
     main, total, letters = languages_of(clean, profiles)
-    maybe = [i for i, (s, t) in enumerate(zip(src, clean)) if t and may_copy(s, t)]
-    s_main = dict(zip(maybe, languages_of([src[i] for i in maybe], profiles)[0]))
+    like = {i: x for i, (s, t) in enumerate(zip(src, clean)) if t and any(x := likeness(folded(s), folded(t)))}
+    s_main = dict(zip(like, languages_of([src[i] for i in like], profiles)[0]))
     out = []
     for i, (s, t, g) in enumerate(zip(src, clean, target)):
         words = bool(LETTER.search(t))
@@ -133,11 +141,8 @@ def votes(src: list[str], tgt: list[str | None], target: list[str | None], profi
         j = index.get(g) if g else None
         equal = holds = lapped = False
         if i in s_main and not phrase:
-            fs, ft = folded(s), folded(t)
-            if fs and (fs == ft or s_main[i] == main[i]) and not (j is not None and s_main[i] == j and not foreign_part(s, j, profiles)):
-                equal = fs == ft
-                holds = equal or (fs in ft and len(ft) <= len(fs) + 60 and len(fs) >= 4) or (ft in fs and len(ft) >= 0.75 * len(fs))
-                lapped = holds or (len(ft) >= 8 and len(bigrams(ft) & bigrams(fs)) >= BIGRAM_MIN * len(bigrams(ft) | bigrams(fs)))
+            if (like[i][0] or s_main[i] == main[i]) and not (j is not None and s_main[i] == j and not foreign_part(s, j, profiles)):
+                equal, holds, lapped = like[i]
         wrong = script = False
         if j is not None and words and main[i] >= 0 and main[i] != j:
             wrong = letters[i] >= 6 and total[i, j] - total[i, main[i]] >= LEAST_EVIDENCE

@@ -289,6 +289,15 @@ def test_refusals_are_read_in_whole_texts(profiles):
     assert not faithful[pairs.VOTES.index("refusal_phrase")]
 
 
+def test_copies_in_other_character_forms(profiles):
+    src = "The settings page protects the damaged table in reading order. Please check the list of pairs again."
+    names = ["copy_equal", "copy_contains", "copy_overlap"]
+    for form in (src.replace(" ", "\u2009"), "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in src)):
+        v = dict(zip(pairs.VOTES, pairs.votes([form], [src], ["ru"], profiles)[0]))
+        assert [v[n] for n in names] == [1, 1, 1]
+    assert pairs.likeness(pairs.folded(src), pairs.folded(src.replace("damaged", "damages"))) == (False, False, True)
+
+
 def test_label_model_of_nothing():
     assert pairs.label_model({}) == {}
     assert json.dumps(pairs.label_model({0: 1}))
