@@ -144,16 +144,18 @@ def read_endings(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def read_sources(requests: DataFrame) -> DataFrame:
-    """request_id, source_end, asked_form of every request, once each: only these small values are shuffled, not the texts."""
+    """request_id, source_end, asked_form, asked_refusal (whether it declines) of every request, once each: only these small values
+    are shuffled, not the texts."""
+    from docflow.llm.pairs import declines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([source_ending(t) for t in texts], pa.string()), pa.array([form_of(t) for t in texts], pa.int64())], names=["request_id", "source_end", "asked_form"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([source_ending(t) for t in texts], pa.string()), pa.array([form_of(t) for t in texts], pa.int64()), pa.array([declines(t, t.lower()) for t in texts], pa.bool_())], names=["request_id", "source_end", "asked_form", "asked_refusal"])
 
     rows = requests.where("request_id is not null and text is not null").select("text", F.col("request_id").cast("string"))
-    got = spread(rows).mapInArrow(run, "request_id string, source_end string, asked_form bigint")
-    return got.groupBy("request_id").agg(F.max("source_end").alias("source_end"), F.max("asked_form").alias("asked_form"))
+    got = spread(rows).mapInArrow(run, "request_id string, source_end string, asked_form bigint, asked_refusal boolean")
+    return got.groupBy("request_id").agg(F.max("source_end").alias("source_end"), F.max("asked_form").alias("asked_form"), F.max("asked_refusal").alias("asked_refusal"))
 
 
 MEASURES = ("chars", "utf16", "utf8", "html", "json", "json_ascii", "crlf", "utf8_crlf")
@@ -168,6 +170,8 @@ def examined(results: DataFrame, requests: DataFrame) -> DataFrame:
     wide = results.where("translated_text is not null").select("result_id", "request_id", "backend", "translated_text", *[cols[m].alias(m) for m in MEASURES])
     got = read_endings(wide, "translated_text", "result_id", "request_id", "backend", *MEASURES)
     both = got.withColumn("request_id", spread_nulls("request_id", "result_id")).join(read_sources(requests), "request_id", "left")
+    # a text that declines as its source does is a translation; one with a break's leftovers, or open after a whole sentence, was broken off
+    both = both.withColumn("refusal", F.col("refusal") & ~F.coalesce("asked_refusal", F.lit(False)) & ~F.col("ending").isin("noise", "open")).drop("asked_refusal")
     # a source handed back without its last mark or in other letter case is a copy, not a broken-off text
     return both.withColumn("copied", F.coalesce(F.col("form") == F.col("asked_form"), F.lit(False))).drop("form", "asked_form")
 

@@ -113,6 +113,12 @@ def test_truncated(spark):
     assert truncation.truncated(res.limit(0), req.limit(0)).count() == 0
 
 
+def test_broken_off_texts_that_decline(spark):
+    req = frame(spark, [("h", "The scan is old. The text cannot be processed in this form."), ("p", "The page is open. It is long.")], "request_id string, text string")
+    res = frame(spark, [(1, "h", "Текст не может быть обработан в эт", "b"), (2, "p", "Я не могу перевести этот текст", "b"), (3, "p", "Извините. Я не могу перевести эт&am", "b")], "result_id bigint, request_id string, translated_text string, backend string")
+    assert sorted(r.result_id for r in truncation.truncated(res, req).where("truncated").collect()) == [1, 3]
+
+
 def test_hidden_limit_is_found(spark):
     rng = random.Random(7)
     req = spark.createDataFrame([("a", "One. Two.")], "request_id string, text string")
