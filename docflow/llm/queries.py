@@ -117,7 +117,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     docs, words = table(spark, d, "documents", "doc_id", "text", "lang"), table(spark, d, "common_words")
-    return quality.kinds(docs, words, langid.train(docs, words))
+    return quality.kinds(docs, words, table(spark, d, "doc_labels", "doc_id", "kind"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

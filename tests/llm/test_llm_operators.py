@@ -200,20 +200,46 @@ def test_pairs(spark, profiles, monkeypatch):
     assert got == {("segment", 3, "empty"), ("segment", 4, "copy"), ("segment", 7, "empty"), ("result", 1, "empty"), ("result", 2, "truncated"), ("result", 5, "refusal")}
 
 
-def test_kinds(spark, profiles):
+LABELS = "doc_id bigint, kind string"
+
+
+def test_kinds(spark):
     docs = frame(spark, [(i, f"The page {i} is long. It tells the story of a cat, and it ends well.", "en") for i in range(30)] + [(90, "• one\n• two\n• three\n• four", "en"), (91, None, "en"), (92, " \n", None), (93, "| a | b |\n| 1 | 2 |\n| 3 | 4 |", "en"), (94, "word " * 40, None), (94, "word " * 40, None)], "doc_id bigint, text string, lang string")
     words = spark.createDataFrame([("en", "the"), ("en", "is")], "lang string, word string")
-    got = {r.doc_id: r.kind for r in quality.kinds(docs, words, profiles).collect()}
+    labels = frame(spark, [(90, "list"), (1, "prose"), (None, "junk"), (94, None)], LABELS)
+    got = {r.doc_id: r.kind for r in quality.kinds(docs, words, labels).collect()}
     assert {k: v for k, v in got.items() if v != "prose"} == {90: "list", 93: "table", 94: "junk"} and 91 not in got and 92 not in got
-    assert quality.kinds(docs.limit(0), words, profiles).count() == 0
+    assert quality.kinds(docs.limit(0), words, labels.limit(0)).count() == 0
+
+
+def test_kinds_need_outlier_scores(spark, monkeypatch):
+    """Without the ranks nothing is found, and the greater score tells a table whose rows look like items from a list."""
+    docs = spark.createDataFrame([(i, f"The page {i} is long. It tells the story.", "en") for i in range(20)] + [(90, "• one\n• two\n• three\n• four", "en")], "doc_id bigint, text string, lang string")
+    words, labels = spark.createDataFrame([("en", "the")], "lang string, word string"), spark.createDataFrame([], LABELS)
+    assert quality.kinds(docs, words, labels).where("kind <> 'prose'").count() == 1
+    flat = lambda stats: stats.select("*", *[F.lit(0.0).alias(f"{k}_score") for k in quality.TAILS])
+    monkeypatch.setattr(quality, "outlier_scores", flat)
+    assert quality.kinds(docs, words, labels).where("kind <> 'prose'").count() == 0
+
+
+def test_tails_are_exact(spark):
+    stats = quality.statistics(spark.createDataFrame([(i, "word " * (i % 3 + 1) + "\n" + "a. b.\n" * (i % 4), "en" if i % 2 else None) for i in range(60)], "doc_id bigint, text string, lang string"), spark.createDataFrame([], "lang string, word string"))
+    rows = stats.collect()
+    got = {(r.lang, r.stat, r.step): (r.up, r.down) for r in quality.tails(stats).collect()}
+    for lang in ("en", "und", quality.ALL):
+        own = [r for r in rows if lang in (r.lang, quality.ALL)]
+        for s in {s for t in quality.TAILS.values() for s in t}:
+            for v in {round(r[s] * 1000) for r in own}:
+                up, down = got[lang, s, v]
+                assert abs(up - sum(round(r[s] * 1000) >= v for r in own) / len(own)) < 1e-9 and abs(down - sum(round(r[s] * 1000) <= v for r in own) / len(own)) < 1e-9
 
 
-def test_kinds_of_groups_full_of_one_kind(spark, profiles):
+def test_kinds_of_groups_full_of_one_kind(spark):
     noise = ["<1$1{!: {}_\\}.$${|%<[|]%^=:}/ *^!&~## @#{#|#!|:<1#.<##.{!-", "^%>1{!!=|%#>0# {:[.}!}>==._-<|0}~%#|:0$&:->0*##-1 =.!% @%0$|", "<.!~@%^~_~~_@[^*/-#0._^&%]_<]00~[%=<_10@=1[^@>{}~*>[<[!0#&$1|"]
-    rows = [(i, t, None) for i, t in enumerate(noise)] + [(9, "• страница\n• таблица\n• рисунок\n• список", "ru")]
+    rows = [(i, t, None) for i, t in enumerate(noise)] + [(i, "• страница\n• таблица\n• рисунок\n• список", "ru") for i in (8, 9)] + [(i, f"The page {i} is open. It is long.", "en") for i in range(20, 40)]
     words = spark.createDataFrame([("en", "the")], "lang string, word string")
-    got = {r.doc_id: r.kind for r in quality.kinds(frame(spark, rows, "doc_id bigint, text string, lang string"), words, profiles).collect()}
-    assert got == {0: "junk", 1: "junk", 2: "junk", 9: "list"}
+    got = {r.doc_id: r.kind for r in quality.kinds(frame(spark, rows, "doc_id bigint, text string, lang string"), words, frame(spark, [], LABELS)).where("kind <> 'prose'").collect()}
+    assert got == {0: "junk", 1: "junk", 2: "junk", 8: "list", 9: "list"}
 
 
 def test_kinds_agree_with_labels(spark, data):
