@@ -29,6 +29,9 @@ ROWS = 1024  # texts of a batch handled together
 TOP = 500  # n-grams of a profile
 SAMPLE = 600  # training texts of a language: the documented bound of the sample
 LEAST_LETTERS = 12  # letters of a sentence that may show a language of its own (a CJK letter counts three)
+OTHER = "und"  # a language that has no profile
+# A text is in another language if it has enough letters, and its sentences are far from all profiles and hardly nearer to one than to the next.
+OTHER_LETTERS, OTHER_FAR, OTHER_LEAD = 100, 0.45, 0.1
 LEAST_EVIDENCE = 1.3  # letters times lead over the text's main language that make a sentence foreign to it
 
 NOT_WORDS = re.compile(
@@ -91,6 +94,32 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), counts
 
 
+UNKNOWN = 1 << 15  # numbers from which an n-gram is in no profile
+FEW = 32  # counts below it are ranked by counting, without a sort
+
+
+def ranked(owner: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Rank of each n-gram of a text by its count, the greatest first; equal counts share the middle one of their ranks.
+
+    ``owner`` is sorted. Texts with a count of FEW or more are sorted by count, the others need no sort.
+    """
+    small = np.minimum(count, FEW)
+    held = np.bincount(owner * (FEW + 1) + small, minlength=n * (FEW + 1)).reshape(n, FEW + 1)
+    above = held[:, ::-1].cumsum(axis=1)[:, ::-1] - held
+    rank = (above + (held - 1) / 2)[owner, small]
+    many = np.flatnonzero(small == FEW)  # all of them rank before the others: only they are sorted
+    if len(many):
+        many = many[np.lexsort((-count[many], owner[many]))]
+        o, c = owner[many], count[many]
+        new = np.concatenate(([True], (o[1:] != o[:-1]) | (c[1:] != c[:-1])))
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(many)))
+        text = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+        base = np.repeat(text, np.diff(np.append(text, len(many))))
+        rank[many] = np.repeat(begin + (size - 1) / 2, size) - base
+    return rank
+
+
 @dataclass
 class Profiles:
     """Sorted n-gram codes and, for each, its rank in every language (TOP if absent)."""
@@ -131,26 +160,29 @@ class Profiles:
     def distances(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean out-of-place distance of each text to each language as a share of the worst; letters by script.
 
-        A text's n-grams of equal count share the middle one of their ranks; those in no profile are worst for every language,
-        as are all n-grams for languages of another script than most of the text's letters.
+        A text's different n-grams are ranked by their counts, those of equal count sharing the middle one of their ranks, and its
+        TOP most frequent ones are compared. One that a profile lacks is worst for the language; so are all n-grams for languages
+        of another script than most of the text's letters. A text repeated keeps its ranks and so its distances.
         """
         n, size = len(texts), len(self.codes)
         owner, code, counts = grams(texts)
         counts = counts[:n]
+        out = np.ones((n, len(self.langs)), np.float32)
         if not size:
-            return np.ones((n, len(self.langs)), np.float32), counts
+            return out, counts
         at = self.table[self.slot(code, self.factor)]
         known = self.codes[at] == code
-        seen = np.bincount(owner, minlength=n)[:n]
-        key = np.sort(owner[known] * size + at[known].astype(np.int64))
+        # one number for each n-gram of a text: its place among the profiles' ones, or a hash beyond them
+        other = UNKNOWN + ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+        key = np.sort((owner << 33) | np.where(known, at, other))
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        count = np.minimum(np.diff(np.append(first, len(key))), 31)
-        o, c = np.divmod(key[first], size)
-        held = np.bincount(o * 32 + count, minlength=n * 32).reshape(n, 32)
-        above = held[:, ::-1].cumsum(axis=1)[:, ::-1] - held  # n-grams of a greater count
-        rank = (above + (held - 1) / 2).astype(np.float32)[o, count]
-        missing = np.maximum(seen - np.bincount(o, weights=count, minlength=n), 0)
-        out = np.ones((n, len(self.langs)), np.float32)
+        count = np.diff(np.append(first, len(key)))
+        o, c = key[first] >> 33, key[first] & ((1 << 33) - 1)
+        rank = ranked(o, count, n)
+        used = rank < TOP
+        missing = np.bincount(o[used & (c >= UNKNOWN)], minlength=n)
+        held = np.flatnonzero(used & (c < UNKNOWN))
+        o, c, rank = o[held], c[held], rank[held].astype(np.float32)
         kind, groups = script_kind(counts)[o], {}
         for j, x in enumerate(self.langs):
             groups.setdefault(KIND_OF.get(x, 0), []).append(j)
@@ -163,7 +195,6 @@ class Profiles:
             apart -= rank[sel, None]
             np.abs(apart, out=apart)
             apart[absent] = TOP
-            np.minimum(apart, TOP, out=apart)
             own = o[sel]
             start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             rows = own[start]
@@ -335,8 +366,14 @@ def identify(texts: list[str], profiles: Profiles) -> list[Found]:
                 back = np.array(accepted)[np.argmin(f[:, accepted], axis=1)]
                 own[part] = np.where(mine, back, o)
                 o = own[part]
+    mean = lambda x: np.bincount(owner, weights=x * letters, minlength=len(texts)) / np.maximum(weight, 1)
+    foreign_text = (weight >= OTHER_LETTERS) & (mean(far[rows, best]) >= OTHER_FAR) & (mean(lead) < OTHER_LEAD)
     out, at = [], 0
     for i, p in enumerate(cuts):
+        if foreign_text[i]:
+            out.append(Found(OTHER, 0.0, [], [(p[0][0], p[-1][1], OTHER, 0.0)]))
+            at += len(p)
+            continue
         out.append(reread[i] if i in reread else joined(p, weight[i], main[i], own[at : at + len(p)], clear[at : at + len(p)], lead[at : at + len(p)], letters[at : at + len(p)], profiles.langs))
         at += len(p)
     return out
@@ -397,14 +434,15 @@ def languages(df: DataFrame, text: str, profiles: Profiles, *keep: str, junk=Tru
 def label_findings(requests: DataFrame, documents: DataFrame, configs: DataFrame, common_words: DataFrame) -> DataFrame:
     """label_field, rec_id, kind, lang: labels that are missing or wrong, and mixed texts, one row per finding.
 
-    A repeated request (same request_id) gives its findings once. A document without a config has no "config" finding.
+    A repeated request (same request_id) gives its findings once. A document without a config has no "config" finding. A text in a
+    language without a profile has none: whether its label is right can't be told.
     """
     profiles = train(documents, common_words)
-    jobs = configs.select(F.col("job_id"), label_code(F.col("source")).alias("job_lang")).where("job_lang is not null").dropDuplicates(["job_id"])
+    jobs = configs.select(F.col("job_id"), label_code(F.col("source")).alias("job_lang")).where("job_id is not null and job_lang is not null").groupBy("job_id").agg(F.max("job_lang").alias("job_lang"))
     docs = documents.select("text", F.lit("document").alias("label_field"), F.col("doc_id").cast("string").alias("rec_id"), label_code(F.col("lang")).alias("declared"), "job_id")
     reqs = requests.select("text", F.lit("request").alias("label_field"), F.col("request_id").alias("rec_id"), label_code(F.col("source_language")).alias("declared"), F.lit(None).cast("string").alias("job_id"))
     both = docs.unionByName(reqs)
-    got = languages(both, "text", profiles, "label_field", "rec_id", "declared", "job_id", junk=F.col("label_field") == "document").where("lang is not null and junk is null").drop("stretches", "confidence", "junk")
+    got = languages(both, "text", profiles, "label_field", "rec_id", "declared", "job_id", junk=F.col("label_field") == "document").where(F.col("lang").isNotNull() & (F.col("lang") != OTHER) & F.col("junk").isNull()).drop("stretches", "confidence", "junk")
     got = got.withColumn("job_id", spread_nulls("job_id", "rec_id")).join(jobs, "job_id", "left")
     mixed = F.size("mixed") > 1
     none = F.lit(None).cast("string")

@@ -301,3 +301,29 @@ def test_copies_in_other_character_forms(profiles):
 def test_label_model_of_nothing():
     assert pairs.label_model({}) == {}
     assert json.dumps(pairs.label_model({0: 1}))
+
+
+SPANISH = "La página de configuración protege la tabla dañada en el orden de lectura y guarda los cambios antes de cerrar el documento"
+
+
+def test_distance_of_a_repeated_text_stays(profiles):
+    once = profiles.measure([SPANISH])[0]
+    for k in (4, 40, 400):
+        assert np.abs(profiles.measure([" ".join([SPANISH] * k)])[0] - once).max() < 0.01
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 70)), max_size=60))
+def test_ranks_of_counts(rows):
+    rows.sort(key=lambda x: x[0])
+    owner, count = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    got = langid.ranked(owner, count, 4) if len(rows) else []
+    for (o, c), g in zip(rows, got):
+        own = [x for p, x in rows if p == o]
+        assert g == sum(x > c for x in own) + (own.count(c) - 1) / 2
+
+
+def test_language_without_a_profile(profiles):
+    italian = "La pagina delle impostazioni protegge la tabella danneggiata e conserva l'ordine di lettura. Il documento viene salvato prima della chiusura. Controllare che la stampante sia collegata alla rete."
+    polish = "Strona ustawień chroni uszkodzoną tabelę i zachowuje kolejność czytania. Dokument jest zapisywany przed zamknięciem. Sprawdź, czy drukarka jest podłączona do sieci."
+    assert [f.lang for f in langid.identify([italian, polish, SPANISH], profiles)] == [langid.OTHER, langid.OTHER, "es"]
