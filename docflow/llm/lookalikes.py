@@ -4,6 +4,9 @@ A transducer compiled once maps every character, and every grapheme cluster with
 look: widths, presentation forms, joined letters, blanks, hyphens and invisible characters, then letters of other scripts
 that can't be told apart by eye. It reads a text once, longest match first. Mappings that would make another mapping's result
 map again are resolved, and two results for one cluster are refused, when it is compiled.
+
+Texts of one look are a class. Exactly equal texts are one spelling of it; work and output grow with the rows and, only where
+pairs are asked for, with the pairs of rows of different spellings.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.tables import spread
+from docflow.llm.tables import cut, spread
 
 # Letters that look like Latin ones, by script. Fixed values.
 TWINS = {
@@ -103,6 +106,7 @@ class Transducer:
             if self.derive(v) != v:
                 raise ValueError(f"the form of U+{ord(c):04X} has another form")
         self.table = {ord(c): v for c, v in self.forms.items()}
+        self.precompute()
         # what continues a cluster: marks, whatever composes with a letter before it, half-width voicing, invisible characters
         more = {0xFF9E, 0xFF9F, *range(0x1160, 0x1200), *range(0xFE00, 0xFE10), *map(ord, INVISIBLE)}
         for cp in range(0x300, sys.maxunicode + 1):
@@ -116,18 +120,44 @@ class Transducer:
         self.marked = re.compile(follow)
         self.cluster = re.compile(f"[^\n\r]{follow}+")
 
+    def precompute(self) -> None:
+        """The forms of all clusters of a letter and its marks that have a composed letter, in every degree of composition."""
+        for cp in range(0xC0, sys.maxunicode + 1):
+            if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
+                continue
+            d = unicodedata.decomposition(chr(cp))
+            if not d or d.startswith("<"):
+                continue
+            whole = unicodedata.normalize("NFD", chr(cp))
+            form = self.derive(chr(cp))
+            for k in range(1, len(whole)):
+                c = unicodedata.normalize("NFC", whole[:k]) + whole[k:]
+                if self.forms.setdefault(c, form) != form:
+                    raise ValueError(f"two forms for the parts of U+{cp:04X}")
+
     def derive(self, cluster: str) -> str:
         return unicodedata.normalize("NFC", unicodedata.normalize("NFD", cluster).translate(self.base))
 
-    def form(self, m: re.Match) -> str:
-        c = m.group()
-        v = self.forms.get(c)
+    def form(self, cluster: str) -> str:
+        """The form of a cluster: precomputed, or put together from its parts by the same rules and kept."""
+        v = self.forms.get(cluster)
         if v is None:
-            v = self.derive(c)
+            v = self.derive(cluster)
             if len(self.forms) < 200_000:
-                self.forms[c] = v
+                self.forms[cluster] = v
         return v
 
+    def read(self, text: str) -> str:
+        """The text's form, read once: clusters where there are any, single characters between them."""
+        out, at = [], 0
+        for m in self.cluster.finditer(text):
+            if m.start() > at:
+                out.append(text[at : m.start()].translate(self.table))
+            out.append(self.form(m.group()))
+            at = m.end()
+        out.append(text[at:].translate(self.table))
+        return "".join(out)
+
 
 @lru_cache(1)
 def transducer() -> Transducer:
@@ -140,9 +170,7 @@ def canonical(text: str) -> str:
     if text.isascii():
         return text.replace("\t", " ") if "\t" in text else text
     t = transducer()
-    if t.marked.search(text):  # clusters of several characters first: their forms map to themselves
-        text = t.cluster.sub(t.form, text)
-    return text.translate(t.table)
+    return t.read(text) if t.marked.search(text) else text.translate(t.table)
 
 
 def canonical_column(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -158,26 +186,58 @@ def canonical_column(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return spread(df.select(text, *keep)).mapInArrow(run, schema)
 
 
-def same_look(df: DataFrame, table: str, id_column: str, text: str, groups: list[str]) -> DataFrame:
-    """rec_table, id_a, id_b: pairs of rows of a group whose texts differ in characters but not in look.
+def hashed(df: DataFrame, id_column: str, text: str, groups: list[str]) -> DataFrame:
+    """id, the groups, and 96 bits of hashes each for the form (c64, c32) and the spelling (r64, r32) of every row with a text.
 
-    Null texts and null groups give no pair; exactly equal texts are none either.
+    A text of plain ASCII is its own form and stays in the JVM. Rows without a group are no one's likeness and left out.
     """
-    from docflow.llm.tables import cut
-
     src = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("raw"), *groups).where(F.col("raw").isNotNull())
-    # a text of plain ASCII is its own form and stays in the JVM; 96 bits of hashes stand for form and spelling in the shuffles
+    for g in groups:
+        src = src.where(F.col(g).isNotNull())
     plain = F.col("raw").rlike(r"^[\x00-\x08\x0a-\x7f]*$")
     hashes = lambda c, k: (F.xxhash64(c).alias(f"{k}64"), F.hash(c).alias(f"{k}32"))
     odd = canonical_column(src.where(~plain), "raw", "id", "raw", *groups)
-    odd = odd.select("id", *groups, *hashes("canon", "c"), *hashes("raw", "r"), (F.col("canon") != F.col("raw")).alias("changed"))
-    own = src.where(plain).select("id", *groups, *hashes("raw", "c"), *hashes("raw", "r"), F.lit(False).alias("changed"))
-    keyed = cut(own.unionByName(odd))
+    odd = odd.select("id", *groups, *hashes("canon", "c"), *hashes("raw", "r"))
+    own = src.where(plain).select("id", *groups, *hashes("raw", "c"), *hashes("raw", "r"))
+    return own.unionByName(odd)
+
+
+def spelled(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """The spellings of every class that has several: groups, c64, c32, r64, r32, n (rows), in_class (rows of the class).
+
+    Copies are counted before the shuffle, so a text that a third of all rows share is one row from here on.
+    """
+    key = [*groups, "c64", "c32"]
+    each = rows.groupBy(*key, "r64", "r32").agg(F.count("*").alias("n"))
+    classes = each.groupBy(*key).agg(F.count("*").alias("spellings"), F.sum("n").alias("in_class")).where("spellings > 1").drop("spellings")
+    return each.join(classes, key)
+
+
+def look_classes(df: DataFrame, table: str, id_column: str, text: str, groups: list[str]) -> DataFrame:
+    """rec_table, id, class_id, links of every row whose look another spelling shares: links is the number of rows that look
+    the same and are spelled otherwise. Null texts and null groups have none. The work is linear in the rows.
+    """
+    key = [*groups, "c64", "c32", "r64", "r32"]
+    rows = cut(hashed(df, id_column, text, groups))
+    some = spelled(rows, groups).select(*key, (F.col("in_class") - F.col("n")).alias("links"))
+    class_id = F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in [*groups, "c64", "c32"]]))
+    return rows.join(some, key).select(F.lit(table).alias("rec_table"), "id", class_id.alias("class_id"), "links")
+
+
+def same_look(df: DataFrame, table: str, id_column: str, text: str, groups: list[str]) -> DataFrame:
+    """rec_table, id_a, id_b: pairs of rows of a group whose texts differ in characters but not in look.
+
+    Null texts and null groups give no pair; exactly equal texts are none either. Pairs of spellings are formed first and each
+    is filled with its rows, so that nothing is joined that is not in the result; for a class of many rows see ``look_classes``.
+    """
     key = [*groups, "c64", "c32"]
-    # a pair has at least one text that isn't its own form: only the groups of such texts are joined
-    wanted = keyed.where("changed").select(*key).distinct()
-    hot = keyed.join(wanted, key)
-    left = hot.select(*key, F.col("id").alias("id_a"), F.col("r64").alias("ra64"), F.col("r32").alias("ra32"))
-    right = hot.select(*key, F.col("id").alias("id_b"), F.col("r64").alias("rb64"), F.col("r32").alias("rb32"))
-    pairs = left.join(right, key).where("id_a < id_b and (ra64 <> rb64 or ra32 <> rb32)")
-    return pairs.select(F.lit(table).alias("rec_table"), "id_a", "id_b").distinct()
+    rows = cut(hashed(df, id_column, text, groups))
+    some = cut(spelled(rows, groups).select(*key, "r64", "r32"))
+    a = some.withColumnsRenamed({"r64": "a64", "r32": "a32"})
+    b = some.withColumnsRenamed({"r64": "b64", "r32": "b32"})
+    both = a.join(b, key).where("a64 < b64 or (a64 = b64 and a32 < b32)")
+    ids = rows.join(some, [*key, "r64", "r32"], "left_semi")
+    left = ids.withColumnsRenamed({"r64": "a64", "r32": "a32", "id": "x"})
+    right = ids.withColumnsRenamed({"r64": "b64", "r32": "b32", "id": "y"})
+    pairs = both.join(left, [*key, "a64", "a32"]).join(right, [*key, "b64", "b32"]).where("x <> y")
+    return pairs.select(F.lit(table).alias("rec_table"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

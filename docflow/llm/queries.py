@@ -90,9 +90,18 @@ def p6_combined(spark: SparkSession, d: str) -> DataFrame:
     return ranks.percentiles(days.groupBy("backend", "device", "value").agg(F.sum("n").alias("n")), ["backend", "device"], "value", "n", ranks.SHARES)
 
 
+def _looks(spark: SparkSession, d: str, what: Callable[..., DataFrame]) -> DataFrame:
+    a = what(table(spark, d, "segments", "segment_id", "doc_id", "text"), "segments", "segment_id", "text", ["doc_id"])
+    return a.unionByName(what(table(spark, d, "entries", "entry_id", "source", "target", "key"), "entries", "entry_id", "key", ["source", "target"]))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    a = lookalikes.same_look(table(spark, d, "segments", "segment_id", "doc_id", "text"), "segments", "segment_id", "text", ["doc_id"])
-    return a.unionByName(lookalikes.same_look(table(spark, d, "entries", "entry_id", "source", "target", "key"), "entries", "entry_id", "key", ["source", "target"]))
+    return _looks(spark, d, lookalikes.same_look)
+
+
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with look-alikes, its class and the number of its links."""
+    return _looks(spark, d, lookalikes.look_classes)
 
 
 def p7_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +135,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries of this subpackage."""
-    fs = [p1_found, p1_stretches, p2_found, p2_rates, p2_limits, p3_found, p3_pieces, p4_found, p4_labels, p5_found, p6_percentiles, p6_daily, p6_combined, p7_found, p7_canonical, p8_ids, p9_mixture, p9_shares, p10_found, p10_stats]
+    fs = [p1_found, p1_stretches, p2_found, p2_rates, p2_limits, p3_found, p3_pieces, p4_found, p4_labels, p5_found, p6_percentiles, p6_daily, p6_combined, p7_found, p7_classes, p7_canonical, p8_ids, p9_mixture, p9_shares, p10_found, p10_stats]
     return {f.__name__: f for f in fs}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir.
 
-    The folder is the session's own setting; only where it is unset and Spark runs in one process, a temporary one is set.
+    The folder is the session's own setting; only where it is unset and Spark runs in one process, as in tests, a temporary one
+    is set and removed at the end.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -26,6 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="docflow-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
@@ -39,7 +43,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan for Python kernels, on at least as many partitions as there are cores.
 
     A scan of a few small files gives fewer tasks than cores; its rows are then dealt out evenly. Larger scans stay as they are,
-    so nothing is shuffled at scale.
+    so nothing is shuffled at scale. Only for scans, filtered and projected: to count the partitions of a join would run it.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df

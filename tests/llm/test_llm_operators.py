@@ -99,6 +99,32 @@ def test_same_look_pairs_against_brute_force(spark):
     assert got == want and want
 
 
+def test_look_classes_against_brute_force(spark):
+    words = ["abc", "аbc", "ａbc", "abc", "ABC", "ab­c", "x y", "x y", None, ""]
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice(words)) for i in range(90)]
+    df = frame(spark, rows, "segment_id bigint, doc_id bigint, text string")
+    got = {r.id: (r.class_id, r.links) for r in lookalikes.look_classes(df, "segments", "segment_id", "text", ["doc_id"]).collect()}
+    c = lookalikes.canonical
+    want = {}
+    for i, d, t in rows:
+        if d is not None and t is not None:
+            n = sum(e == d and u is not None and u != t and c(u) == c(t) for _, e, u in rows)
+            if n:
+                want[i] = (d, c(t), n)
+    assert {i: v[1] for i, v in got.items()} == {i: v[2] for i, v in want.items()}
+    assert len({v[0] for v in got.values()}) == len({v[:2] for v in want.values()})
+    assert lookalikes.look_classes(df.limit(0), "s", "segment_id", "text", ["doc_id"]).count() == 0
+
+
+def test_one_odd_form_among_many_copies(spark):
+    """The work is linear: 300,000 equal rows and one other spelling give as many pairs, and as many rows of one class."""
+    df = spark.range(300_000).select(F.col("id").alias("segment_id"), F.lit(1).cast("bigint").alias("doc_id"), F.when(F.col("id") == 7, "pаge").otherwise("page").alias("text"))
+    assert lookalikes.same_look(df, "s", "segment_id", "text", ["doc_id"]).count() == 299_999
+    got = lookalikes.look_classes(df, "s", "segment_id", "text", ["doc_id"])
+    assert got.agg(F.count("*"), F.countDistinct("class_id"), F.sum("links")).first() == (300_000, 1, 599_998)
+
+
 def test_truncated(spark):
     req = frame(spark, [("a", "The page is open. It is long."), ("a", "The page is open. It is long."), ("t", "The page"), ("w", "Please wait…"), (None, "x"), ("n", None)], "request_id string, text string")
     res = frame(
