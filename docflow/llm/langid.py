@@ -35,7 +35,7 @@ OTHER_LETTERS, OTHER_FAR, OTHER_LEAD = 100, 0.45, 0.1
 LEAST_EVIDENCE = 1.3  # letters times lead over the text's main language that make a sentence foreign to it
 
 NOT_WORDS = re.compile(
-    r"(?i)(?:https?://|www\.|mailto:)[^\s<>　-ヿ一-鿿]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w-]+\.(?:" + "|".join(FILE_ENDS) + r")(?![A-Za-z])"
+    r"(?i)(?:https?://|www\.|mailto:)[^\s<>　-ヿ一-鿿]+|(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w-])[\w-]+\.(?:" + "|".join(FILE_ENDS) + r")(?![A-Za-z])"
     r"|«[^«»]{1,40}»|“[^“”]{1,40}”|„[^„“]{1,40}“|「[^「」]{1,40}」|\"[^\"\n]{1,40}\"|\[[A-Z]{2,5}\]"
 )
 QUOTE_MARKS = re.compile("[«»“”„「」\"']")

@@ -8,9 +8,12 @@ Null, empty and blank texts have no sentence. Repeated rows each give their own
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -49,9 +52,11 @@ CAND = re.compile(
 MARK = re.compile(r"[.!?…。！？｡।॥]")
 FAST = re.compile(r"[.!?…。！？｡।॥฀-๿]")
 MASK = re.compile(
-    r"(?i)(?:https?://|www\.|mailto:)[^\s<>\"“”«»（）。！？　-ヿ一-鿿]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[\w-]+(?:\.[\w-]+)*\.(?:" + "|".join(FILE_ENDS) + r")(?![A-Za-z])"
+    r"(?i)(?:https?://|www\.|mailto:)[^\s<>\"“”«»（）。！？　-ヿ一-鿿]+|(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<![\w-])[\w-]+(?:\.[\w-]+)*\.(?:" + "|".join(FILE_ENDS) + r")(?![A-Za-z])"
 )
-TOKEN = re.compile(r"[^\s(（\[«“„\"'「『—–¿¡]*$")
+BREAKS = frozenset("(（[«“„\"'「『—–¿¡")  # beside white space, what a token doesn't hold
+FIRST_WORD = re.compile(r"\w+")
+SOLID = re.compile(r"\s*(\S)")
 TAIL2 = re.compile(r"(\S{1,4}\.)\s$")
 QUOTES = re.compile("[«»“”„「」『』\"]")
 OPENERS = "«“„「『¿¡([（\"‘—–•*"
@@ -100,48 +105,68 @@ def quotation(line: str) -> dict[int, int]:
     return pairs
 
 
-def closing(before: str, mark: str) -> tuple[float, str]:
-    """Score of a mark as a sentence's end by the word before it, and the word's class."""
+@lru_cache(1)
+def longest_known() -> int:
+    """Characters of the longest word that ``closing`` knows: a longer one needn't be read to its beginning."""
+    return max(map(len, frozenset().union(*known_words())), default=0) + 1
+
+
+def last_word(line: str, end: int) -> tuple[int, bool]:
+    """Where the token that ends at ``end`` begins, and whether it is known to be longer than any word that ``closing`` knows."""
+    at, longest = end, longest_known()
+    while at > 0 and line[at - 1] not in BREAKS and not line[at - 1].isspace():
+        at -= 1
+        if end - at > longest and not line[at].isdigit():
+            return at, True
+    return at, False
+
+
+def closing(line: str, end: int, mark: str) -> tuple[float, str]:
+    """Score of the mark after ``end`` as a sentence's end by the word before it, and the word's class."""
     if mark[:1].isspace():
         return -6.0, "pause"
     first = mark[0]
     if first != "." or mark.startswith(".."):
         return (1.2 if mark.startswith("……") else 2.5 if first in "…." else 3.0), "pause" if first in "…." else "strong"
     before_set, last_set, unit_set = known_words()
-    word = TOKEN.search(before).group()
+    begin, long = last_word(line, end)
+    word = line[begin:end]
     low = word.lower() if word.isascii() else unicodedata.normalize("NFC", word.lower())
-    two = TAIL2.search(before[: len(before) - len(word)]) if word else None
-    joined = (two.group(1) + low).lower() if two else low
     if len(word) == 1 and word.isupper():
         return -5.0, "letter"
-    if joined in last_set or low in last_set:
-        return 0.6, "last"
-    if joined in unit_set or low in unit_set:
-        return -0.8, "unit"
-    if joined in before_set or low in before_set or low.endswith(("-р", "-p")):
+    if not long:
+        two = TAIL2.search(line[max(0, begin - 6) : begin]) if word else None  # "z." of "z. B."
+        joined = (two.group(1) + low).lower() if two else low
+        if joined in last_set or low in last_set:
+            return 0.6, "last"
+        if joined in unit_set or low in unit_set:
+            return -0.8, "unit"
+        if joined in before_set or low in before_set:
+            return -6.0, "abbr"
+        if len(low) == 1 and low.isalpha() and not "　" < low < "ﬀ":
+            return -5.0, "letter"
+    if low.endswith(("-р", "-p")):
         return -6.0, "abbr"
-    if len(low) == 1 and low.isalpha() and not "　" < low < "ﬀ":
-        return -5.0, "letter"
     if "'" in low and low.rpartition("'")[2] in before_set:
         return -6.0, "abbr"
     if "’" in low and low.rpartition("’")[2] in before_set:
         return -6.0, "abbr"
     if low.isdigit():
-        return 2.0, "number" if before[: len(before) - len(word)].strip() else "item"
+        return 2.0, "number" if line[:begin].strip() else "item"
     return 3.0, "word"
 
 
-def opening(after: str, kind: str, glued: bool, mark: str, capitals: bool) -> float:
-    """Score of what follows as a sentence's beginning."""
-    c = after[0]
+def opening(line: str, at: int, kind: str, glued: bool, mark: str, capitals: bool) -> float:
+    """Score of the word at ``at`` as a sentence's first, after a word of class ``kind`` and its mark."""
+    c = line[at]
     if kind == "item":
         return -9.0
     if c in ",;:，；：、)）]»”":
         return -9.0
-    if c in "—–-" and (after[1:].lstrip()[:1].islower() or capitals and mark[-1:] in "»”“\"」"):
+    if c in "—–-" and ((m := SOLID.match(line, at + 1)) and m.group(1).islower() or capitals and mark[-1:] in "»”“\"」"):
         return -9.0
     if c.isupper() or c in OPENERS:
-        if kind == "number" and re.match(r"\w+", after) and re.match(r"\w+", after).group().lower() in MONTHS:
+        if kind == "number" and (m := FIRST_WORD.match(line, at)) and m.group().lower() in MONTHS:
             return -9.0
         if capitals and c.isupper():
             return 0.0
@@ -152,7 +177,7 @@ def opening(after: str, kind: str, glued: bool, mark: str, capitals: bool) -> fl
         return -1.5 if kind == "unit" else 0.0
     if c.isdigit():
         return -6.0 if glued and kind in ("number", "letter") else 0.0
-    if after.startswith(GO_ON):
+    if line.startswith(GO_ON, at):
         return -9.0 if mark[-1:] in "」』”»" or kind == "pause" else 0.0
     return 0.5
 
@@ -203,36 +228,36 @@ def trimmed(text: str, s: int, e: int, out: list[tuple[int, int]]) -> None:
         out.append((s, e))
 
 
-def speaks_on(line: str, quotes: dict[int, int], at: int, after: int, capitals: bool) -> bool:
-    """Whether a mark that ends at ``at`` closes a quotation that began its sentence and that its speaker follows."""
-    c = line[after]
-    if (c.isupper() and not capitals) or c.isdigit() or c in OPENERS:
-        return False
-    for j in range(at - 1, max(at - 4, -1), -1):
-        if j in quotes:
-            k = quotes[j] - 1
-            while k >= 0 and (line[k].isspace() or line[k] in SHY):
-                k -= 1
-            return k < 0 or bool(MARK.match(line[k])) or line[k] in "»”」』)）"
-    return False
+@dataclass
+class Boundary:
+    """A place where a sentence may end and the next begin."""
 
+    end: int  # after the closing mark
+    begin: int  # where the next span begins
+    closes: float  # score of the closing word and mark for the span before
+    opens: float  # score of the opening word for the span after
+    speaker: bool  # whether what follows may name who spoke before
 
-def boundaries(line: str) -> list[int]:
-    """Inner cuts of a line by the dynamic program."""
+
+def may_speak(line: str, at: int, capitals: bool) -> bool:
+    """Whether the words at ``at`` may go on after a quotation, as in "…" he said."""
+    c = line[at]
+    return not ((c.isupper() and not capitals) or c.isdigit() or c in OPENERS)
+
+
+def candidates(line: str, quotes: dict[int, int]) -> list[Boundary]:
+    """The boundaries of a line that its marks allow, in order; addresses and file names have none inside."""
     found = list(CAND.finditer(line))
-    if not found or (len(found) == 1 and found[0].end() == len(line)):
+    full = len(line)
+    if not found or (len(found) == 1 and found[0].end() == full):
         return []
     masked = [x.span() for x in MASK.finditer(line)] if ("." in line or "?" in line) else []
-    quotes = quotation(line) if QUOTES.search(line) else {}
     capitals = line == line.upper() and line != line.lower()
-    ends, score, quoted = [0], [0.0], [False]
-    full = len(line)
-    k = 0
+    out, k = [], 0
     for m in found:
         if m.group("m") is None:
             at, w = m.start(), m.end()
-            c = 2.0
-            mark, kind, glued = "", "thai", False
+            c, mark, kind, glued = 2.0, "", "thai", False
         else:
             s, at = m.span("m")
             w = m.end()
@@ -252,50 +277,80 @@ def boundaries(line: str) -> list[int]:
             if mark[0] == "." and at - s == 1 and w == at and line[s - 1 : s].isdigit() and line[at : at + 1].isdigit():
                 continue
             glued = w == at
-            c, kind = closing(line[max(0, s - 40) : s], mark)
+            c, kind = closing(line, s, mark)
         if w >= full:
             break
-        o = opening(line[w : w + 24], kind, glued, mark, capitals)
-        ends.append(w)
-        score.append(c + o)
-        quoted.append(bool(quotes) and speaks_on(line, quotes, at, w, capitals))
-    if len(ends) == 1:
+        out.append(Boundary(at, w, c, opening(line, w, kind, glued, mark, capitals), bool(quotes) and may_speak(line, w, capitals)))
+    return out
+
+
+USUAL = math.log(60)  # logarithm of a sentence's usual length in characters
+LENGTH_WEIGHT = 0.03
+UNBALANCED = 7.0  # cost of a span that has one mark of a quotation without the other, or lies inside one
+SPOKEN = 7.0  # cost of a span that ends with a sentence wholly quoted although its speaker follows
+
+
+def length_score(n: int) -> float:
+    """Score of a span's length: the farther from the usual one in proportion, the worse; a span of one or two characters is hardly one."""
+    return -LENGTH_WEIGHT * (math.log(n) - USUAL) ** 2 - (1.0 if n < 3 else 0.0)
+
+
+def quoted_at(quotes: dict[int, int], places: list[int]) -> list[int]:
+    """How many quotations are open at each of the places, which are in order."""
+    opened, closed = sorted(quotes.values()), sorted(quotes)
+    return [bisect.bisect_left(opened, x) - bisect.bisect_left(closed, x) for x in places]
+
+
+def boundaries(line: str) -> list[int]:
+    """Inner cuts of a line by a semi-Markov dynamic program over whole spans.
+
+    A span between two boundaries scores its opening word, its closing word and mark, its length, whether its quotations are
+    balanced, and whether it ends with a quoted sentence whose speaker follows. The cuts of the greatest sum win.
+
+    A cut adds at most what the longest possible span could lose by its length, so a boundary that costs more is in no best
+    sequence and is left out before: the program stays linear where thousands of abbreviations, or quoted sentences, follow each other.
+    """
+    quotes = quotation(line) if QUOTES.search(line) else {}
+    inner = candidates(line, quotes)
+    if not inner:
+        return []
+    full = len(line)
+    gain = -length_score(full)
+    held = quoted_at(quotes, [x.begin for x in inner]) if quotes else [0] * len(inner)
+    inner = [x for x, q in zip(inner, held) if x.closes + x.opens + gain > (UNBALANCED if q else 0.0)]
+    if not inner:
         return []
-    ends.append(full)
-    score.append(0.0)
-    quoted.append(False)
-    n = len(ends)
-    depth = None
+    marks = [Boundary(0, 0, 0.0, 0.0, False), *inner, Boundary(full, full, 0.0, 0.0, False)]
+    n = len(marks)
+    inside = quoted_at(quotes, [x.begin for x in marks]) if quotes else [0] * n
+    # a quotation that ends with a boundary's mark, whose speaker may follow, and that begins where a sentence may: its place
+    spoken = [-1] * n
     if quotes:
-        level = np.zeros(full + 2, dtype=np.int32)
-        for c, o in quotes.items():
-            level[o + 1] += 1
-            level[c + 1] -= 1
-        depth = np.cumsum(level)
+        starts = {x.begin for x in marks}
+        starts.add(len(line) - len(line.lstrip()))
+        for j, x in enumerate(inner, 1):
+            if x.speaker and (at := next((quotes[p] for p in range(x.end - 1, max(x.end - 4, -1), -1) if p in quotes), -1)) in starts:
+                spoken[j] = at
     best, prev, most = [0.0] * n, [0] * n, [0.0] * n
     for j in range(1, n):
-        top, arg = -1e18, 0
-        gain = score[j]
-        if depth is not None and j < n - 1 and depth[ends[j]] > 0:
-            gain -= 7.0  # the span would end inside a quotation
+        top, arg = -math.inf, 0
+        gain = marks[j].closes
         for i in range(j - 1, -1, -1):
-            if most[i] + gain + 0.5 <= top:
+            if most[i] + gain <= top:  # nothing before can do better
                 break
-            v = best[i] + gain
-            length = ends[j] - ends[i]
-            if length < 3:
-                v -= 1.5
-            elif length > 400:
-                v -= 0.5
-            if quoted[j]:
-                v -= 7.0  # a quoted sentence whose speaker follows
+            begin = marks[i].begin
+            v = best[i] + marks[i].opens + gain + length_score(max(1, marks[j].end - begin))
+            if inside[i] or inside[j]:
+                v -= UNBALANCED
+            if spoken[j] >= begin:
+                v -= SPOKEN
             if v > top:
                 top, arg = v, i
         best[j], prev[j] = top, arg
-        most[j] = max(most[j - 1], top)
+        most[j] = max(most[j - 1], top + marks[j].opens)
     cuts, j = [], prev[n - 1]
     while j > 0:
-        cuts.append(ends[j])
+        cuts.append(marks[j].begin)
         j = prev[j]
     return cuts[::-1]
 

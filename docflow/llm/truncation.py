@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.sentences import CAND, TOKEN, closing, plain_letters, quotation
+from docflow.llm.sentences import BREAKS, CAND, closing, plain_letters, quotation
 from docflow.llm.tables import spread, spread_nulls
 
 SHY = "­​‌‍⁠﻿"
@@ -58,12 +58,15 @@ def ending(text: str | None) -> str:
         return "done" if said in WAITS else "pause"
     line = t[max(t.rfind("\n"), 0) :]
     if core[-1] == ".":
-        _, kind = closing(core[-41:-1].translate(plain_letters()[0]), ".")
+        last = core[core.rfind("\n") + 1 : -1]
+        _, kind = closing(last.translate(plain_letters()[0]), len(last), ".")
         if kind in ("abbr", "letter"):
             return "open"
-        token = TOKEN.search(core[-80:]).group() if not core[-80:].isspace() else ""
-        if "://" in token and token.rstrip(".").rpartition("/")[2] in ("", token.rpartition("//")[2].rstrip(".")):
-            return "open"
+        if "://" in last:
+            begin = max(last.rfind(c) for c in BREAKS | {" ", "\t", "\xa0"}) + 1
+            token = last[begin:]
+            if "://" in token and token.rstrip(".").rpartition("/")[2] in ("", token.rpartition("//")[2].rstrip(".")):
+                return "open"
     # a quotation or bracket that stays open
     if sum(map(line.count, "(（")) > sum(map(line.count, ")）")) and not re.search(r"(?:^|\s)\w[)）]|[:;]-?\(", line):
         return "open"

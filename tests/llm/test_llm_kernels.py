@@ -327,3 +327,66 @@ def test_language_without_a_profile(profiles):
     italian = "La pagina delle impostazioni protegge la tabella danneggiata e conserva l'ordine di lettura. Il documento viene salvato prima della chiusura. Controllare che la stampante sia collegata alla rete."
     polish = "Strona ustawień chroni uszkodzoną tabelę i zachowuje kolejność czytania. Dokument jest zapisywany przed zamknięciem. Sprawdź, czy drukarka jest podłączona do sieci."
     assert [f.lang for f in langid.identify([italian, polish, SPANISH], profiles)] == [langid.OTHER, langid.OTHER, "es"]
+
+
+def best_cuts(line):
+    """Brute force: the best of all subsets of the boundaries, spans scored one by one."""
+    import itertools
+
+    quotes = sentences.quotation(line)
+    inner = sentences.candidates(line, quotes)
+    starts = {x.begin for x in inner} | {0, len(line)}
+    edge = len(line) - len(line.lstrip())
+
+    def open_at(p):
+        return any(o < p <= c for c, o in quotes.items())
+
+    def total(cuts):
+        score, begin, opens = 0.0, 0, 0.0
+        for x in [*cuts, sentences.Boundary(len(line), len(line), 0.0, 0.0, False)]:
+            score += opens + x.closes + sentences.length_score(max(1, x.end - begin))
+            if open_at(begin) or open_at(x.begin):
+                score -= sentences.UNBALANCED
+            at = next((quotes[p] for p in range(x.end - 1, max(x.end - 4, -1), -1) if p in quotes), -1) if x.speaker else -1
+            if at >= begin and at in starts | {edge}:
+                score -= sentences.SPOKEN
+            begin, opens = x.begin, x.opens
+        return score
+
+    every = [c for k in range(len(inner) + 1) for c in itertools.combinations(inner, k)]
+    return max(total(c) for c in every), total, inner
+
+
+LINES = [
+    "One is. Two are! etc. and so on. «Stop now!» he said. Then it went.",
+    "See fig. 5. «It is. It was.» Then go on, e.g. here. «Is it?» asks he.",
+    "5 m. wide. No. 7 is. J. Smith etc. The end. a. b.",
+    "Он сказал: «Иду. Скоро.» и ушёл. См. рис. 5. «Где?» спросил он. Да.",
+]
+
+
+@pytest.mark.parametrize("line", LINES)
+def test_cuts_are_the_best_of_all(line):
+    top, total, inner = best_cuts(line)
+    got = set(sentences.boundaries(line))
+    assert abs(total([x for x in inner if x.begin in got]) - top) < 1e-9
+
+
+def test_whole_spans_decide(monkeypatch):
+    """Cutting wherever a mark alone looks like an end gives other sentences than the scores of whole spans."""
+    line = LINES[0]
+    got = sentences.boundaries(line)
+    alone = [x.begin for x in sentences.candidates(line, sentences.quotation(line)) if x.closes + x.opens > 0]
+    assert got != alone
+    monkeypatch.setattr(sentences, "UNBALANCED", 0.0)
+    monkeypatch.setattr(sentences, "SPOKEN", 0.0)
+    assert sentences.boundaries(line) == alone
+
+
+@pytest.mark.parametrize("text", ["e.g. this etc. " * 30_000, "«" + "One is. " * 30_000 + "»", "x" * 300_000 + ". A", "5 m. a " * 20_000, "a@" * 100_000 + "."])
+def test_long_lines_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    sentences.spans(text)
+    assert time.perf_counter() - began < 20
