@@ -1,31 +1,36 @@
 """Defective pairs of a text and its translation (problem 4).
 
-Labelling functions vote on every pair, several for each defect, each blind to what the others see. An expectation-maximization
-label model then learns each function's hit and false-alarm rate from how the votes agree, over the counts of vote patterns,
-and gives every pattern a posterior for every defect. A pair keeps all defects above the cutoffs; p4_found names the first.
+Each side of a pair is read where it is stored and reduced to a few numbers: how it ends, whether it declines, its language, its
+length, a hash of its letters. Only these are brought together; texts are fetched only of the pairs whose sides have one language
+and different letters, for only there may one nearly repeat the other.
+
+Labelling functions then vote on every pair, several for each defect, each blind to the others' votes. An expectation-maximization
+label model learns each function's hit and false-alarm rate from how the votes of all pairs agree, over the counts of vote
+patterns; planted defects, whose labels are known, take part with their labels. The half of them that it has not seen gives the
+cutoff of each defect. A pair keeps all defects above the cutoffs; p4_found names the first.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from operator import add
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docflow.llm.langid import HAS_OTHER, LEAST_EVIDENCE, NOT_WORDS, Profiles, pieces, train
-from docflow.llm.langs import label_code
-from docflow.llm.tables import cut, spread, spread_nulls
-from docflow.llm.truncation import LETTER, SHY, broken_off, ending, source_ending
+from docflow.llm.langs import LANGS, label_code
+from docflow.llm.tables import cut, spread
+from docflow.llm.truncation import LETTER, SHY, at_limits, ending, hidden_limits, limit_maps, measured, source_ending
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")  # in the order in which one is named
-# Posterior above which a pair keeps a defect: for each, half way between the patterns of clean and of planted pairs in the tests.
-CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copy": 0.5, "wrong_language": 0.5, "truncated": 0.5}
 
 # Phrases that decline a task, by language. Fixed values.
 REFUSALS = (
@@ -56,18 +61,17 @@ def folded(text: str) -> str:
 
 # Labelling functions of each defect: (name, hit rate, false-alarm rate) that expectation-maximization starts from.
 FUNCTIONS = {
-    "empty": (("invisible", 0.99, 0.0001), ("wordless", 0.9, 0.05)),
+    "empty": (("invisible", 0.99, 0.0001), ("wordless", 0.99, 0.01), ("tiny", 0.95, 0.02)),
     "refusal": (("phrase", 0.95, 0.0005), ("apology", 0.7, 0.03), ("own_length", 0.6, 0.2)),
-    "copy": (("equal", 0.7, 0.0002), ("contains", 0.95, 0.0005), ("overlap", 0.97, 0.002)),
-    "wrong_language": (("profile", 0.95, 0.0005), ("script", 0.6, 0.002)),
-    "truncated": (("ending", 0.97, 0.0005), ("leftover", 0.2, 0.0005), ("shorter", 0.7, 0.2)),
+    "copy": (("equal", 0.6, 0.0002), ("contains", 0.85, 0.0005), ("overlap", 0.97, 0.0005)),
+    "wrong_language": (("profile", 0.95, 0.0005), ("script", 0.6, 0.002), ("of_source", 0.5, 0.01)),
+    "truncated": (("unfinished", 0.97, 0.001), ("unclosed", 0.98, 0.15), ("leftover", 0.2, 0.0005), ("shorter", 0.4, 0.02), ("at_limit", 0.2, 0.01)),
 }
 VOTES = [f"{d}_{f[0]}" for d, fs in FUNCTIONS.items() for f in fs]
 SCRIPTS = {"ru": "а-яёіїєґ", "uk": "а-яёіїєґ", "zh": "一-鿿", "ja": "぀-ヿ一-鿿", "hi": "ऀ-ॿ", "th": "฀-๿"}
 SCRIPT_RES = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()} | {"": re.compile("[a-zà-ɏ]")}
 CHARS_PER = {"zh": 0.35, "ja": 0.5, "th": 0.9}  # characters of a language for one of an alphabet. Fixed values.
 BIGRAM_MIN = 0.85
-WIDE = re.compile("[぀-ヿ一-鿿]")
 
 
 def bigrams(t: str) -> set[str]:
@@ -92,28 +96,31 @@ def apologizes(text: str, low: str) -> bool:
     return any(k in low for k in SORRY) and bool(APOLOGY.search(text))
 
 
-def languages_of(texts: list[str], profiles: Profiles) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Main language's number (-1: none), letters-weighted distances to all languages, and letters of each text."""
+def languages_of(texts: list[str], profiles: Profiles) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Main language's number (-1: none) of each text; distances to all languages, letters and text of each sentence."""
     cuts = [pieces(t) if t else [] for t in texts]
     flat = [t[a:b] for t, p in zip(texts, cuts) for a, b in p]
     n, k = len(texts), len(profiles.langs)
     if not flat or not k:
-        return [-1] * n, np.zeros((n, max(k, 1))), np.zeros(n)
+        return [-1] * n, np.zeros((0, max(k, 1))), np.zeros(0), np.zeros(0, np.int64)
     codes, distinct = pd.factorize(np.array(flat, dtype=object))
     far, letters = profiles.measure([NOT_WORDS.sub(" ", x) if HAS_OTHER.search(x) else x for x in distinct])
     far, letters = far[codes], letters[codes]
     owner = np.repeat(np.arange(n), [len(p) for p in cuts])
     total = np.stack([np.bincount(owner, weights=far[:, j] * letters, minlength=n) for j in range(k)], axis=1)
     weight = np.bincount(owner, weights=letters, minlength=n)
-    return np.where(weight > 0, np.argmin(total, axis=1), -1).tolist(), total, weight
+    return np.where(weight > 0, np.argmin(total, axis=1), -1).tolist(), far, letters, owner
 
 
 def likeness(fs: str, ft: str) -> tuple[bool, bool, bool]:
-    """How a folded text repeats its folded source: equal, contains (one the other), overlap (nearly the same bigrams). Exact."""
+    """How a folded text repeats its folded source: equal, contains (one the other), overlap (nearly the same bigrams). Exact.
+
+    A source counts as contained whatever stands around it, a very short one only if it is a fair part of the text.
+    """
     if not fs:
         return False, False, False
     equal = fs == ft
-    holds = equal or (fs in ft and len(ft) <= len(fs) + 60 and len(fs) >= 4) or (ft in fs and len(ft) >= 0.75 * len(fs))
+    holds = equal or (fs in ft and (len(fs) >= 12 or len(ft) <= len(fs) + 60 and len(fs) >= 4)) or (ft in fs and len(ft) >= 0.75 * len(fs))
     if holds or len(ft) < 8:
         return equal, holds, holds
     # more bigrams of the text's beginning are missing in the source than may be missing of the whole text
@@ -123,123 +130,401 @@ def likeness(fs: str, ft: str) -> tuple[bool, bool, bool]:
     return equal, holds, min(len(a), len(b)) >= BIGRAM_MIN * max(len(a), len(b)) and len(a & b) >= BIGRAM_MIN * len(a | b)
 
 
-def votes(src: list[str], tgt: list[str | None], target: list[str | None], profiles: Profiles) -> list[list[int]]:
-    """The labelling functions' votes on each pair, in the order of VOTES."""
+# ---- what one side of a pair shows, as whole numbers
+
+ENDINGS = ("blank", "wordless", "noise", "pause", "open", "short", "thai", "done")
+SOURCE_ENDINGS = ("none", "pause", "title", "sentence")
+NO_LANG = 15  # stands for no language among the numbers of LANGS
+LANG_BITS = len(LANGS)
+
+
+def form_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def sources_seen(texts: list[str], profiles: Profiles) -> list[tuple[int, int, int]]:
+    """(signature, length, hash of the folded text) of each source; the signature is 0 for a text without words.
+
+    Bits: words, declines, apologizes, wholly in its language; ending (2); language (4).
+    """
+    number = [LANGS.index(x) for x in profiles.langs]
+    worded = [i for i, t in enumerate(texts) if LETTER.search(NOT_WORDS.sub(" ", t) if HAS_OTHER.search(t) else t)]
+    main, far, letters, owner = languages_of([texts[i] for i in worded], profiles)
+    whole = wholly(main, far, letters, owner)
+    out = [(0, len(t), 0) for t in texts]
+    for k, i in enumerate(worded):
+        t = texts[i]
+        low = t.lower()
+        lang = number[main[k]] if main[k] >= 0 else NO_LANG
+        sig = 1 | declines(t, low) << 1 | apologizes(t, low) << 2 | bool(whole[k]) << 3 | SOURCE_ENDINGS.index(source_ending(t)) << 4 | lang << 6
+        out[i] = (sig, len(t), form_hash(folded(t)))
+    return out
+
+
+def answers_seen(texts: list[str | None], profiles: Profiles) -> list[tuple[int, int, int]]:
+    """(signature, length, hash of the folded text) of each translation.
+
+    Bits: visible, words, declines, apologizes; ending (3); language (4); then for each language whether it isn't the text's, and
+    whether few of the letters are of its script.
+    """
+    clean = [t or "" for t in texts]
     index = {x: j for j, x in enumerate(profiles.langs)}
-    clean = [t or "" for t in tgt]
-    main, total, letters = languages_of(clean, profiles)
-    like = {i: x for i, (s, t) in enumerate(zip(src, clean)) if t and any(x := likeness(folded(s), folded(t)))}
-    s_main = dict(zip(like, languages_of([src[i] for i in like], profiles)[0]))
+    main, far, letters, owner = languages_of(clean, profiles)
+    n, k = len(clean), max(1, far.shape[1])
+    total = np.stack([np.bincount(owner, weights=far[:, j] * letters, minlength=n) for j in range(k)], axis=1) if len(owner) else np.zeros((n, k))
+    weight = np.bincount(owner, weights=letters, minlength=n) if len(owner) else np.zeros(n)
     out = []
-    for i, (s, t, g) in enumerate(zip(src, clean, target)):
+    for i, t in enumerate(clean):
         words = bool(LETTER.search(t))
         visible = words or any(not c.isspace() and c not in SHY for c in t)
         low = t.lower()
-        phrase = declines(t, low) and not (g and declines(s, s.lower()))  # else a faithful translation of a refusal
-        apology = apologizes(t, low) and not apologizes(s, s.lower())
-        ratio = (len(t) / CHARS_PER.get(g, 1.0)) / max(1.0, len(s) / (0.4 if WIDE.search(s[:40]) else 1.0))
-        j = index.get(g) if g else None
-        equal = holds = lapped = False
-        if i in s_main and not phrase:
-            if (like[i][0] or s_main[i] == main[i]) and not (j is not None and s_main[i] == j and not foreign_part(s, j, profiles)):
-                equal, holds, lapped = like[i]
-        wrong = script = False
-        if j is not None and words and main[i] >= 0 and main[i] != j:
-            wrong = letters[i] >= 6 and total[i, j] - total[i, main[i]] >= LEAST_EVIDENCE
-            own = SCRIPT_RES[g if g in SCRIPT_RES else ""]
-            bare = NOT_WORDS.sub(" ", t).lower()
-            n = len(LETTER.findall(bare))
-            script = n >= 4 and len(own.findall(bare)) < 0.3 * n
-        e = ending(t)
-        off = not lapped and (e in ("noise", "open") or (e in ("pause", "short") and broken_off(e, source_ending(s))))
-        out.append([int(x) for x in (not visible, not words, phrase, apology, ratio < 0.6 or ratio > 1.7, equal, holds, lapped, wrong, script, off, e == "noise", ratio < 0.8)])
+        lang = LANGS.index(profiles.langs[main[i]]) if main[i] >= 0 else NO_LANG
+        sig = visible | words << 1 | declines(t, low) << 2 | apologizes(t, low) << 3 | ENDINGS.index(ending(t)) << 4 | lang << 7
+        bare = (NOT_WORDS.sub(" ", t) if HAS_OTHER.search(t) else t).lower()
+        letters_of = len(LETTER.findall(bare))
+        own = {r: len(SCRIPT_RES[r].findall(bare)) for r in ("", "ru", "zh", "ja", "hi", "th")} if letters_of >= 4 else {}
+        for b, x in enumerate(LANGS):
+            j = index.get(x)
+            if j is not None and words and main[i] >= 0 and main[i] != j and weight[i] >= 6 and total[i, j] - total[i, main[i]] >= LEAST_EVIDENCE:
+                sig |= 1 << (11 + b)
+            if own and own["ru" if x == "uk" else x if x in own else ""] < 0.3 * letters_of:
+                sig |= 1 << (11 + LANG_BITS + b)
+        out.append((int(sig), len(t), form_hash(folded(t)) if t else 0))
     return out
 
 
-def foreign_part(text: str, j: int, profiles: Profiles) -> bool:
-    """Whether a text has a whole sentence of another language than the j-th."""
-    parts = [NOT_WORDS.sub(" ", text[a:b]) for a, b in pieces(text)]
-    far, letters = profiles.measure(parts)
-    return bool(((far[:, j] - far.min(axis=1)) * letters >= LEAST_EVIDENCE).any())
+def wholly(main: list[int], far: np.ndarray, letters: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether none of a text's sentences shows another language than its main one."""
+    own = np.array(main, dtype=np.int64)
+    if not len(owner) or not len(own):
+        return np.ones(len(own), bool)
+    foreign = (far[np.arange(len(far)), np.maximum(own[owner], 0)] - far.min(axis=1)) * letters >= LEAST_EVIDENCE
+    return np.bincount(owner, weights=foreign, minlength=len(own)) == 0
+
+
+def may_repeat(s_sig: Column, t_sig: Column) -> Column:
+    """Whether source and translation have one language, so that one may nearly repeat the other."""
+    s, t = F.shiftright(s_sig, 6).bitwiseAND(15), F.shiftright(t_sig, 7).bitwiseAND(15)
+    return (s == t) & (s != NO_LANG)
 
 
-def pairs(segments: DataFrame, configs: DataFrame, requests: DataFrame, results: DataFrame) -> DataFrame:
-    """pair_table, pair_id, src, tgt, target of all pairs whose source has words.
+# ---- votes
 
-    A null segments.translated is not yet translated and no pair; a null results.translated_text is one. A result without a
-    request, or with a request without text, has no source and is no pair. A repeated request counts once, all its results do.
+
+def votes(s_sig, s_len, t_sig, t_len, like, limit, target) -> np.ndarray:  # noqa: ANN001 - arrays of whole numbers
+    """The labelling functions' votes on each pair as bits, in the order of VOTES.
+
+    ``like``: bits equal, contains, overlap; ``target``: the number of the wanted language, NO_LANG for another one, -1 for none.
     """
-    jobs = configs.where("job_id is not null").groupBy("job_id").agg(F.max(label_code(F.col("target"))).alias("target"))
-    seg = segments.where("text is not null and translated is not null").withColumn("job_id", spread_nulls("job_id", "segment_id")).join(jobs, "job_id", "left")
-    seg = seg.select(F.lit("segment").alias("pair_table"), F.col("segment_id").alias("pair_id"), F.col("text").alias("src"), F.col("translated").alias("tgt"), "target")
-    asked = requests.where("request_id is not null and text is not null").groupBy("request_id").agg(F.max("text").alias("src"))
-    res = results.join(asked, "request_id").select(F.lit("result").alias("pair_table"), F.col("result_id").alias("pair_id"), "src", F.col("translated_text").alias("tgt"), label_code(F.col("target_language")).alias("target"))
-    return seg.unionByName(res).where(F.col("src").rlike(r"\p{L}"))
+    bit = lambda x, k: (x >> k) & 1
+    s_lang, t_lang = (s_sig >> 6) & 15, (t_sig >> 7) & 15
+    has = (target >= 0) & (target < LANG_BITS)
+    at = np.where(has, target, 0)
+    end, s_end = (t_sig >> 4) & 7, (s_sig >> 4) & 3
+    e = {x: end == k for k, x in enumerate(ENDINGS)}
+    s = {x: s_end == k for k, x in enumerate(SOURCE_ENDINGS)}
+    per = np.ones(len(at))
+    for x, v in CHARS_PER.items():
+        per[has & (at == LANGS.index(x))] = v
+    wide = (s_lang == LANGS.index("zh")) | (s_lang == LANGS.index("ja"))
+    ratio = (t_len / per) / np.maximum(1.0, s_len / np.where(wide, 0.4, 1.0))
+    one = (s_lang == t_lang) & (s_lang != NO_LANG)
+    # what stays as it is because it already is in the wanted language is no copy
+    repeats = (bit(like, 0) == 1) | one
+    repeats &= ~(has & (s_lang == at) & (bit(s_sig, 3) == 1))
+    cast = [
+        bit(t_sig, 0) == 0, bit(t_sig, 1) == 0, t_len <= 2,
+        (bit(t_sig, 2) == 1) & ~((bit(s_sig, 1) == 1) & (target >= 0)), (bit(t_sig, 3) == 1) & (bit(s_sig, 2) == 0), (ratio < 0.6) | (ratio > 1.7),
+        repeats & (bit(like, 0) == 1), repeats & (bit(like, 1) == 1), repeats & (bit(like, 2) == 1),
+        has & (bit(t_sig >> 11, at) == 1), has & (bit(t_sig, 1) == 1) & (bit(t_sig >> (11 + LANG_BITS), at) == 1), one & has & (t_lang != at),
+        e["open"] | e["noise"] | (e["pause"] & (s["sentence"] | s["title"])) | (e["short"] & (s["sentence"] | s["pause"])),
+        e["open"] | e["noise"] | e["pause"] | e["short"] | e["thai"], e["noise"], ratio < 0.6, limit != 0,
+    ]
+    return sum(np.asarray(v).astype(np.int64) << k for k, v in enumerate(cast)) if len(at) else np.zeros(0, np.int64)
+
+
+def pattern_of(src: str, tgt: str | None, target: str | None, profiles: Profiles) -> int:
+    """The vote pattern of one pair."""
+    return int(patterns_of([Planted(src, tgt, target, None)], profiles)[0])
+
+
+def target_number(code: Column) -> Column:
+    """Number of a language code among LANGS, NO_LANG for other codes, -1 for none."""
+    known = F.create_map(*[x for k, v in enumerate(LANGS) for x in (F.lit(v), F.lit(k))])
+    return F.coalesce(known[code], F.when(code.isNotNull(), F.lit(NO_LANG)), F.lit(-1)).cast("int")
+
+
+def limit_column(df: DataFrame, text: str, options: DataFrame) -> Column:
+    """1 where a row's text has just the length of a hidden limit (see ``truncation``), else 0; ``df`` has the MEASURES."""
+    marks, _ = at_limits(limit_maps(hidden_limits(df, options)))
+    return (F.size(marks) > 0).cast("int")
+
+
+SIDES = "s_sig bigint, s_len int, t_sig bigint, t_len int, `like` int, `limit` int"
+
+
+def both_sides(segments: DataFrame, options: DataFrame, profiles: Profiles) -> DataFrame:
+    """id, job_id and SIDES of every segment with a text that has words and a translation: both are in one row."""
+    shared = segments.sparkSession.sparkContext.broadcast(profiles)  # at most 11 languages x TOP n-grams
+    rows = measured(segments.where("text is not null and translated is not null"), "translated", "text", "translated", F.col("segment_id").cast("bigint").alias("id"), F.col("job_id").cast("string").alias("job_id"), "options_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in (x.slice(at, 2048) for x in batches for at in range(0, x.num_rows, 2048)):
+            src, tgt = b.column(0).to_pylist(), b.column(1).to_pylist()
+            s = sources_seen(src, model)
+            keep = [i for i, x in enumerate(s) if x[0]]
+            t = answers_seen([tgt[i] for i in keep], model)
+            like = []
+            for i, x in zip(keep, t):
+                a, c = (s[i][0] >> 6) & 15, (x[0] >> 7) & 15
+                if s[i][2] == x[2]:
+                    like.append(7 if folded(src[i]) else 0)
+                else:
+                    like.append(like_bits(src[i], tgt[i]) if a == c and a != NO_LANG and tgt[i] else 0)
+            cols = [b.column(2).take(pa.array(keep, pa.int64())), b.column(3).take(pa.array(keep, pa.int64()))]
+            cols += [pa.array([s[i][0] for i in keep], pa.int64()), pa.array([s[i][1] for i in keep], pa.int32()), pa.array([x[0] for x in t], pa.int64()), pa.array([x[1] for x in t], pa.int32()), pa.array(like, pa.int32()), b.column(4).take(pa.array(keep, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "job_id", "s_sig", "s_len", "t_sig", "t_len", "like", "limit"])
+
+    fed = rows.select("text", "translated", "id", "job_id", limit_column(rows, "translated", options).alias("limit"))
+    return spread(fed).mapInArrow(run, "id bigint, job_id string, " + SIDES)
+
+
+def like_bits(source: str, text: str) -> int:
+    equal, holds, lapped = likeness(folded(source), folded(text))
+    return equal | holds << 1 | lapped << 2
+
+
+def one_side(df: DataFrame, text: str, keep: list[str], seen, profiles: Profiles, p: str) -> DataFrame:  # noqa: ANN001
+    """The columns ``keep`` with what ``seen`` sees in a text: {p}_sig, {p}_len, {p}_form."""
+    shared = df.sparkSession.sparkContext.broadcast(profiles)
+    names = [f"{p}_sig", f"{p}_len", f"{p}_form"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + f", {names[0]} bigint, {names[1]} int, {names[2]} bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, 2048) for x in batches for at in range(0, x.num_rows, 2048)):
+            got = list(zip(*seen(b.column(0).to_pylist(), shared.value))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got[0], pa.int64()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.int64())], names=[*keep, *names])
+
+    return spread(df.select(text, *keep)).mapInArrow(run, schema)
+
+
+FETCHED = 2_000_000  # ids that may be broadcast to fetch their texts; more are joined by a shuffle
+
+
+def fetched(df: DataFrame, ids: DataFrame, column: str, few: bool) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is among ``ids``; these are broadcast only if they are few."""
+    ids = ids.select(column).distinct()
+    return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
+
+
+def asked_and_answered(requests: DataFrame, results: DataFrame, options: DataFrame, profiles: Profiles) -> DataFrame:
+    """id, target and SIDES of every result whose request has a text with words.
+
+    Of a request that was sent several times the text sent last counts (by received_at; of equal times the greater hash). A null
+    translation is a pair. The request's id is a hash of 96 bits in the shuffles.
+    """
+    key = lambda c: (F.xxhash64(c).alias("k64"), F.hash(c).alias("k32"))
+    asked = requests.where("request_id is not null and text is not null").select("text", *key("request_id"), "received_at")
+    s = one_side(asked, "text", ["k64", "k32", "received_at"], sources_seen, profiles, "s")
+    s = s.groupBy("k64", "k32").agg(F.max(F.struct("received_at", "s_form", "s_sig", "s_len")).alias("s")).select("k64", "k32", "s.s_sig", "s.s_len", "s.s_form").where("s_sig <> 0")
+    answered = results.where("request_id is not null").select("translated_text", F.col("result_id").cast("bigint").alias("id"), *key("request_id"), target_number(label_code(F.col("target_language"))).alias("target"), "options_id")
+    rows = measured(answered, "translated_text", "translated_text", "id", "k64", "k32", "target", "options_id")
+    rows = rows.withColumn("limit", limit_column(rows.where("translated_text is not null"), "translated_text", options))
+    t = one_side(rows, "translated_text", ["id", "k64", "k32", "target", "limit"], answers_seen, profiles, "t")
+    both = cut(t.join(s, ["k64", "k32"]))
+    equal = (F.col("s_form") == F.col("t_form")) & (F.col("s_sig") != 0) & (F.col("t_len") > 0)
+    near = cut(both.where(~equal & may_repeat(F.col("s_sig"), F.col("t_sig"))).select("id", "k64", "k32", "s_form"))
+    few = near.count() <= FETCHED
+    texts = fetched(answered.select("id", "k64", "k32", "translated_text"), near, "id", few).join(near.select("id", F.col("s_form").alias("want")).distinct(), "id")
+    sources = fetched(asked.select("text", "k64", "k32"), near, "k64", few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, like_bits(s, t)) for i, s, t, w in zip(*(c.to_pylist() for c in b.columns)) if form_hash(folded(s)) == w]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["id", "like"])
+
+    pairs = sources.join(texts, ["k64", "k32"]).select("id", "text", "translated_text", "want")
+    like = pairs.mapInArrow(run, "id bigint, `like` int").groupBy("id").agg(F.max("like").alias("near"))
+    got = both.join(like, "id", "left").withColumn("like", F.when(equal, 7).otherwise(F.coalesce("near", F.lit(0))).cast("int"))
+    return got.select("id", "target", *[F.col(c) for c in ("s_sig", "s_len", "t_sig", "t_len", "like", "limit")])
 
 
-def voted(all_pairs: DataFrame, profiles: Profiles) -> DataFrame:
-    """pair_table, pair_id, pattern (the votes as bits) of every pair whose source has words outside addresses and file names."""
-    shared = all_pairs.sparkSession.sparkContext.broadcast(profiles)
+def voted(segments: DataFrame, configs: DataFrame, requests: DataFrame, results: DataFrame, options: DataFrame, profiles: Profiles) -> DataFrame:
+    """pair_table, pair_id, pattern (the votes as bits) of every pair whose source has words outside addresses and file names.
+
+    A null segments.translated is not yet translated and no pair; a null results.translated_text is one. A result without a request,
+    or with a request without text, has no source and is no pair. All results of a request count. Repeated rows stay.
+    """
+    jobs = configs.where("job_id is not null").groupBy("job_id").agg(F.max(label_code(F.col("target"))).alias("code"))
+    seg = both_sides(segments, options, profiles)
+    # null jobs match nothing: their rows are kept aside instead of meeting in one partition
+    own = seg.where("job_id is not null").join(jobs, "job_id", "left").select(F.lit("segment").alias("pair_table"), "id", target_number(F.col("code")).alias("target"), *FIELDS)
+    none = seg.where("job_id is null").select(F.lit("segment").alias("pair_table"), "id", F.lit(-1).alias("target"), *FIELDS)
+    res = asked_and_answered(requests, results, options, profiles).select(F.lit("result").alias("pair_table"), "id", "target", *FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(len(VOTES))
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                kinds, ids, src, tgt, target = (c.to_pylist() for c in part.columns)
-                keep = [i for i, s in enumerate(src) if LETTER.search(NOT_WORDS.sub(" ", s) if HAS_OTHER.search(s) else s)]
-                if not keep:
-                    continue
-                got = votes([src[i] for i in keep], [tgt[i] for i in keep], [target[i] for i in keep], shared.value)
-                bits = (np.array(got, dtype=np.int64) * weights).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([kinds[i] for i in keep]), pa.array([ids[i] for i in keep], pa.int64()), pa.array(bits, pa.int64())], names=["pair_table", "pair_id", "pattern"])
+            x = [b.column(k).to_numpy(zero_copy_only=False) for k in range(2, 9)]
+            bits = votes(*(c.astype(np.int64) for c in (x[1], x[2], x[3], x[4], x[5], x[6], x[0])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.int64())], names=["pair_table", "pair_id", "pattern"])
+
+    return own.unionByName(none).unionByName(res).mapInArrow(run, "pair_table string, pair_id bigint, pattern bigint")
+
+
+FIELDS = ("s_sig", "s_len", "t_sig", "t_len", "like", "limit")
+
+# ---- planted defects
+
+PLANTED, PLANTED_LENGTH = 400, 2000  # pairs into which defects are planted at most, and their greatest length: the documented bounds
+# Answers that decline, for planting. Fixed values.
+DECLINING = (
+    "I'm sorry, but I can't translate this text.", "Unfortunately, this request cannot be processed.", "К сожалению, я не могу перевести этот текст.", "Leider kann ich diesen Text nicht übersetzen.",
+    "Lo siento, no puedo traducir este texto.", "Désolé, je ne peux pas traduire ce texte.", "抱歉，我无法翻译这段文字。", "申し訳ありませんが、この文章は翻訳できません。", "As an AI language model, I cannot help with that.",
+)
+
+
+@dataclass
+class Planted:
+    """A pair with a planted defect, or none, and its target language."""
+
+    src: str
+    tgt: str
+    target: str
+    defect: str | None
+
+
+def plant(rows: list[tuple[str, str, str]]) -> list[Planted]:
+    """Pairs with each defect planted in turn, and the pairs as they are, from pairs of source, translation and target."""
+    out = []
+    for k, (s, t, g) in enumerate(rows):
+        other = next((u for u, h in ((rows[(k + d) % len(rows)][1], rows[(k + d) % len(rows)][2]) for d in range(1, len(rows))) if h != g), None)
+        lead = ("Translation: ", "Перевод: ", "")[k % 3]
+        made = {"empty": ("", " ", "\u200b", "\n")[k % 4], "refusal": DECLINING[k % len(DECLINING)], "copy": (s, s.upper(), lead + s, s.rstrip(".。!?"), "".join(c for i, c in enumerate(s) if (i + 7) % 40))[k % 5], "wrong_language": other, "truncated": broken(t, k)}
+        out.append(Planted(s, t, g, None))
+        out += [Planted(s, x, g, d) for d, x in made.items() if x is not None and x != t]
+    return out
 
-    return spread(all_pairs.select("pair_table", "pair_id", "src", "tgt", "target")).mapInArrow(run, "pair_table string, pair_id bigint, pattern bigint")
 
+def broken(text: str, k: int) -> str | None:
+    """A text cut inside its last sentence, or null if it has no sentence of enough words to be cut."""
+    if ending(text) != "done" or len(text) < 24:
+        return None
+    cut_at = len(text) * (50 + 7 * k % 40) // 100
+    piece = text[:cut_at].rstrip()
+    return (piece + ("", "", "…", "&am")[k % 4]) if ending(piece) in ("open", "short") else None
 
-def label_model(patterns: dict[int, int], rounds: int = 25) -> dict[int, dict[str, float]]:
-    """Posterior of every defect for every vote pattern, by expectation-maximization over the patterns' counts.
 
-    Rates start from those in FUNCTIONS and are held near them, so that classes can't change places.
+def sample(segments: DataFrame, configs: DataFrame) -> list[tuple[str, str, str]]:
+    """(source, translation, target) of PLANTED pairs at most, chosen by the hash of the segment's id; copies are left out."""
+    jobs = configs.where("job_id is not null").groupBy("job_id").agg(F.max(label_code(F.col("target"))).alias("code")).where(F.col("code").isin(*LANGS))
+    fit = segments.select("segment_id", "job_id", "text", "translated").where(F.col("text").isNotNull() & (F.length("translated") > 0) & (F.length("text") <= PLANTED_LENGTH) & (F.length("translated") <= PLANTED_LENGTH) & (F.col("text") != F.col("translated")))
+    # the hash is ranked before the texts are joined: ids of twice as many rows, as some have no job
+    some = fit.select("segment_id", "job_id", F.xxhash64("segment_id").alias("h")).join(jobs, "job_id").orderBy("h", "segment_id").limit(PLANTED)
+    rows = fit.join(F.broadcast(some.select("segment_id", "code", "h")), "segment_id").select("h", "segment_id", "text", "translated", "code").collect()  # PLANTED rows
+    return [(r.text, r.translated, r.code) for r in sorted(rows, key=lambda r: (r.h, r.segment_id, r.text, r.translated))[:PLANTED]]
+
+
+def patterns_of(rows: list[Planted], profiles: Profiles) -> np.ndarray:
+    """The vote patterns of planted pairs."""
+    s, t = sources_seen([r.src for r in rows], profiles), answers_seen([r.tgt for r in rows], profiles)
+    like = [like_bits(r.src, r.tgt or "") for r in rows]
+    target = [LANGS.index(r.target) if r.target in LANGS else NO_LANG if r.target else -1 for r in rows]
+    col = lambda x: np.array(list(x), dtype=np.int64)
+    return votes(col(x[0] for x in s), col(x[1] for x in s), col(x[0] for x in t), col(x[1] for x in t), col(like), np.zeros(len(rows), np.int64), col(target))
+
+
+# ---- label model
+
+
+@dataclass
+class LabelModel:
+    """Prior, hit and false-alarm rates of each defect's functions, and the cutoff of its posterior."""
+
+    prior: dict[str, float]
+    hit: dict[str, np.ndarray]
+    false: dict[str, np.ndarray]
+    cutoff: dict[str, float]
+
+    def posterior(self, keys: np.ndarray, defect: str) -> np.ndarray:
+        x = bits_of(keys, defect)
+        yes = self.prior[defect] * np.prod(np.where(x == 1, self.hit[defect], 1 - self.hit[defect]), axis=1)
+        no = (1 - self.prior[defect]) * np.prod(np.where(x == 1, self.false[defect], 1 - self.false[defect]), axis=1)
+        return yes / np.maximum(yes + no, 1e-300)
+
+    def labels(self, key: int) -> dict[str, float]:
+        """Defects that a pattern keeps, with their posteriors."""
+        p = {d: float(self.posterior(np.array([key]), d)[0]) for d in DEFECTS}
+        return {d: v for d, v in p.items() if v > self.cutoff[d]}
+
+
+def bits_of(keys: np.ndarray, defect: str) -> np.ndarray:
+    begin = 0
+    for d, fs in FUNCTIONS.items():
+        if d == defect:
+            return np.stack([(keys >> (begin + i)) & 1 for i in range(len(fs))], axis=1) if len(keys) else np.zeros((0, len(fs)), np.int64)
+        begin += len(fs)
+    raise KeyError(defect)
+
+
+def label_model(patterns: dict[int, int], planted: list[tuple[int, str | None]] = (), rounds: int = 40) -> LabelModel:
+    """Expectation-maximization over the counts of all pairs' patterns and the labelled patterns of ``planted``.
+
+    Of the planted pairs every second one teaches, with its label as its posterior; a pair without a planted defect teaches nothing,
+    for it may have one of its own. The rates are free; only a few imagined pairs with the starting rates stand for what no pair
+    shows. The other half of the planted pairs gives the cutoffs: for each defect the middle of the widest gap between posteriors
+    at which most planted defects are kept and fewest other pairs.
     """
     keys = np.array(sorted(patterns), dtype=np.int64)
     n = np.array([patterns[int(k)] for k in keys], dtype=float)
-    out: dict[int, dict[str, float]] = {int(k): {} for k in keys}
-    bit = 0
+    model = LabelModel({}, {}, {}, {})
+    teach, check = list(planted[::2]), list(planted[1::2])
     for defect, fs in FUNCTIONS.items():
-        x = np.stack([(keys >> (bit + i)) & 1 for i in range(len(fs))], axis=1) if len(keys) else np.zeros((0, len(fs)))
-        bit += len(fs)
-        hit = start_hit = np.array([f[1] for f in fs])
-        false = start_false = np.array([f[2] for f in fs])
-        prior = 0.03
-        post = np.zeros(len(keys))
+        own = np.array([k for k, d in teach if d == defect], dtype=np.int64)
+        x, y = bits_of(keys, defect), bits_of(own, defect)
+        start_hit, start_false = np.array([f[1] for f in fs]), np.array([f[2] for f in fs])
+        model.prior[defect], model.hit[defect], model.false[defect] = 0.03, start_hit, start_false
         for _ in range(rounds):
-            yes = prior * np.prod(np.where(x == 1, hit, 1 - hit), axis=1)
-            no = (1 - prior) * np.prod(np.where(x == 1, false, 1 - false), axis=1)
-            post = yes / np.maximum(yes + no, 1e-300)
+            post = model.posterior(keys, defect)
             a, b = float((n * post).sum()), float((n * (1 - post)).sum())
-            # learnt rates stay near the starting ones: with one strong function for a rare defect, false alarms and the
-            # defect's share can't be told apart by agreement alone
-            seen_hit = ((n * post)[:, None] * x).sum(axis=0) / max(a, 1e-9)
-            seen_false = ((n * (1 - post))[:, None] * x).sum(axis=0) / max(b, 1e-9)
-            trust = a / (a + 20)
-            hit = np.clip((1 - trust / 2) * start_hit + trust / 2 * seen_hit, 0.05, 0.999)
-            false = np.clip(0.9 * start_false + 0.1 * seen_false, 1e-5, 0.5)
-            prior = float(np.clip((a + 0.6) / (a + b + 20), 2e-3, 0.4))
-        for k, p in zip(keys.tolist(), post.tolist()):
-            out[k][defect] = p
-    return out
+            # four imagined defective pairs and a hundred sound ones with the starting rates
+            hit = (((n * post)[:, None] * x).sum(axis=0) + y.sum(axis=0) + 4 * start_hit) / (a + len(y) + 4)
+            false = (((n * (1 - post))[:, None] * x).sum(axis=0) + 100 * start_false) / (b + 100)
+            model.hit[defect], model.false[defect] = np.clip(hit, 0.001, 0.9999), np.clip(false, 1e-6, 0.9)
+            model.prior[defect] = float(np.clip((a + 0.6) / (a + b + 20), 1e-3, 0.6))
+        model.cutoff[defect] = cutoff(model, defect, check)
+    return model
 
 
-def defects(segments: DataFrame, configs: DataFrame, requests: DataFrame, results: DataFrame, documents: DataFrame, common_words: DataFrame) -> DataFrame:
+def cutoff(model: LabelModel, defect: str, check: list[tuple[int, str | None]]) -> float:
+    """The posterior above which held-out pairs with the defect planted are best told from the others; one half without any.
+
+    A copy or a refusal may truly be in a wrong language or unfinished too, so these tell nothing against the later defects.
+    """
+    rank = DEFECTS.index(defect)
+    good = model.posterior(np.array([k for k, d in check if d == defect], np.int64), defect)
+    bad = model.posterior(np.array([k for k, d in check if d is None or DEFECTS.index(d) > rank], np.int64), defect)
+    if not len(good):
+        return 0.5
+    places = np.unique(np.concatenate(([0.0, 1.0], good, bad)))
+    best, at = (-2.0, 0.0), 0.5
+    for lo, hi in zip(places, places[1:]):
+        worth = ((good >= hi).mean() - (bad >= hi).mean() if len(bad) else (good >= hi).mean(), hi - lo)
+        if worth > best:
+            best, at = worth, float((lo + hi) / 2)
+    return at
+
+
+def defects(segments: DataFrame, configs: DataFrame, requests: DataFrame, results: DataFrame, documents: DataFrame, common_words: DataFrame, options: DataFrame) -> DataFrame:
     """pair_table, pair_id, defects (all above their cutoffs), posteriors of every pair that keeps a defect."""
     profiles = train(documents, common_words)
-    got = cut(voted(pairs(segments, configs, requests, results), profiles))
-    counts = {r.pattern: r.n for r in got.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 2^13 patterns
-    model = label_model(counts)
-    rows = [(k, [d for d in DEFECTS if p[d] > CUTOFFS[d]], [round(p[d], 6) for d in DEFECTS]) for k, p in model.items()]
-    rows = [r for r in rows if r[1]]
-    table = got.sparkSession.createDataFrame(rows, "pattern bigint, defects array<string>, posteriors array<double>")
+    got = cut(voted(segments, configs, requests, results, options, profiles))
+    counts = {r.pattern: r.n for r in got.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 2^17 patterns
+    rows = plant(sample(segments, configs))
+    known = patterns_of(rows, profiles)
+    model = label_model(counts, [(int(k), r.defect) for k, r in zip(known, rows)])
+    kept = [(k, p) for k in sorted(counts) if (p := model.labels(k))]
+    table = got.sparkSession.createDataFrame([(k, list(p), [round(v, 6) for v in p.values()]) for k, p in kept], "pattern bigint, defects array<string>, posteriors array<double>")
     return got.join(F.broadcast(table), "pattern").select("pair_table", "pair_id", "defects", "posteriors")
 
 

@@ -30,8 +30,12 @@ def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.col("lang").alias("doc_lang"), F.col("confidence").alias("doc_confidence"), F.posexplode("stretches").alias("ord", "s")).select("doc_id", "doc_lang", "doc_confidence", "ord", "s.start", "s.stop", "s.lang", "s.confidence")
 
 
+def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "results", "result_id", "request_id", "translated_text", "backend", "options_id"), table(spark, d, "requests", "request_id", "text"), table(spark, d, "inference_options", "options_id", "max_decoding_length")
+
+
 def _truncated(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncated(table(spark, d, "results", "result_id", "request_id", "translated_text", "backend"), table(spark, d, "requests", "request_id", "text"))
+    return truncation.truncated(*_answers(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +47,9 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_limits(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.hidden_limits(truncation.examined(table(spark, d, "results", "result_id", "request_id", "translated_text", "backend"), table(spark, d, "requests", "request_id", "text")))
+    """The hidden limits of every setting by each way of counting."""
+    results, _, options = _answers(spark, d)
+    return truncation.hidden_limits(truncation.measured(results.where("translated_text is not null"), "translated_text", "options_id"), options)
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -56,12 +62,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_labels(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(
-        table(spark, d, "segments", "segment_id", "job_id", "text", "translated"),
+        table(spark, d, "segments", "segment_id", "job_id", "text", "translated", "options_id"),
         table(spark, d, "document_configs", "job_id", "target"),
-        table(spark, d, "requests", "request_id", "text"),
-        table(spark, d, "results", "result_id", "request_id", "translated_text", "target_language"),
+        table(spark, d, "requests", "request_id", "text", "received_at"),
+        table(spark, d, "results", "result_id", "request_id", "translated_text", "target_language", "options_id"),
         table(spark, d, "documents", "doc_id", "text", "lang"),
         table(spark, d, "common_words"),
+        table(spark, d, "inference_options", "options_id", "max_decoding_length"),
     )
 
 

@@ -1,4 +1,10 @@
-"""Texts that were broken off before their last sentence was finished (problem 2)."""
+"""Texts that were broken off before their last sentence was finished (problem 2).
+
+Every text's length is taken under eight ways of counting. The texts of each setting are grouped by each of them; a length that
+many more texts have than the lengths around it is a hidden limit, and the excess gives the odds that a text of that length was
+cut. Then endings are inspected: how a text ends, beside how its source ends, is evidence for or against a break, and is added to
+what its length says. So a doubtful ending is a break at a limit and none elsewhere.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.sentences import BREAKS, CAND, closing, plain_letters, quotation
-from docflow.llm.tables import spread, spread_nulls
+from docflow.llm.tables import cut, spread, spread_nulls
 
 SHY = "­​‌‍⁠﻿"
 # What a break in transfer or in an escaped form leaves behind. Fixed values.
@@ -88,17 +94,6 @@ def source_ending(text: str | None) -> str:
     return "title" if e == "short" else "sentence"
 
 
-def broken_off(e: str, source: str | None, at_limit: bool = False) -> bool:
-    """Whether a text that ends as ``e`` was broken off. ``source``: how its source ends, null if there is none."""
-    if e in ("noise", "open"):
-        return True
-    if e == "pause":
-        return source in ("sentence", "title")
-    if e == "short":
-        return source in ("sentence", "pause") or (source is None and at_limit)
-    return False
-
-
 def lengths(text: Column) -> dict[str, Column]:
     """A text's length under the ways in which a store may have counted it."""
     n = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c)))
@@ -119,7 +114,16 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-UNFINISHED = ("noise", "open", "pause", "short")  # endings that may be a break
+UNFINISHED = ("noise", "open", "pause", "short", "thai")  # endings that may be a break
+# Evidence (natural logarithm of a ratio of probabilities) that a text with an ending was cut, by the ending of its source:
+# "none" stands for no source. Thai marks no sentence's end, so its endings say little.
+EVIDENCE = {
+    "noise": {None: 9.0}, "open": {None: 7.0},
+    "pause": {"sentence": 6.0, "title": 5.0, "pause": -6.0, "none": -1.0, None: 0.5},
+    "short": {"sentence": 6.0, "pause": 5.0, "title": -6.0, "none": -6.0, None: 1.0},
+    "thai": {"sentence": 1.0, "title": -6.0, "pause": -1.0, "none": -6.0, None: 0.5},
+}
+NO_LIMIT = -2.75  # odds (natural logarithm) that a text was cut where its length is no limit: about one in sixteen
 
 
 def form_of(text: str) -> int:
@@ -163,15 +167,68 @@ def read_sources(requests: DataFrame) -> DataFrame:
 
 MEASURES = ("chars", "utf16", "utf8", "html", "json", "json_ascii", "crlf", "utf8_crlf")
 NEAR = 8  # lengths on either side that a limit's length is compared with
-LEAST = 8  # unfinished texts of one length that may show a limit
-TIMES = 6  # times as many unfinished texts as at the lengths around
+LEAST, DEVIATIONS = 8, 7.0  # texts of one length that may show a limit, and by how many deviations they must exceed those around
+DECLARED_LEAST, DECLARED_DEVIATIONS = 3, 3.0  # as much suffices at the length that the settings declare
+
+
+def measured(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns ``keep``, the MEASURES and text_hash of every row of ``df``, of whose columns no other is read."""
+    cols = lengths(F.col(text))
+    return df.select(*keep, *[cols[m].alias(m) for m in MEASURES], F.xxhash64(text).alias("text_hash"))
+
+
+def hidden_limits(seen: DataFrame, options: DataFrame) -> DataFrame:
+    """options_id, measure, length, n, around, odds: lengths at which the texts of a setting pile up, by each way of counting.
+
+    ``seen``: options_id (null: a setting of its own), the MEASURES and text_hash of all texts, finished or not. ``options``:
+    options_id, max_decoding_length; at the declared length fewer texts show a limit. Of the lengths that many rows have, only those
+    stay that many different texts have (n), so a text sent often shows none. ``odds``: logarithm of the excess over what lies around.
+    """
+    long = seen.select("options_id", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])).alias("x")).select("options_id", "x.*")
+    counts = long.groupBy("options_id", "measure", "length").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("options_id", "measure").orderBy("length").rangeBetween(-NEAR, NEAR)  # one row per length
+    around = (F.sum("n").over(w) - F.col("n")) / (2 * NEAR)
+    declared = options.where("options_id is not null and max_decoding_length > 0").groupBy("options_id").agg(F.max("max_decoding_length").alias("__declared"))
+    got = counts.withColumn("around", around).join(declared, "options_id", "left")
+    rare = F.greatest("around", F.lit(0.5))
+    own = F.coalesce(F.col("length") == F.col("__declared"), F.lit(False))
+    beyond = (F.col("n") - F.col("around")) / F.sqrt(rare)
+    high = (F.col("n") >= F.when(own, DECLARED_LEAST).otherwise(LEAST)) & (beyond >= F.when(own, DECLARED_DEVIATIONS).otherwise(DEVIATIONS))
+    odds = F.round(F.log((F.col("n") - F.col("around")) / rare), 6)
+    piles = cut(got.where(high).withColumn("odds", odds))
+    marks, _ = at_limits(limit_maps(piles))
+    texts = seen.select("options_id", "text_hash", *MEASURES, F.explode(marks).alias("measure"))
+    of = F.coalesce(*[F.when(F.col("measure") == m, F.col(m)) for m in MEASURES])
+    texts = texts.select("options_id", "measure", of.alias("length"), "text_hash").distinct().groupBy("options_id", "measure", "length").agg(F.count("*").alias("__n"))
+    same = F.col("a.options_id").eqNullSafe(F.col("b.options_id")) & (F.col("a.measure") == F.col("b.measure")) & (F.col("a.length") == F.col("b.length"))
+    both = piles.alias("a").join(texts.alias("b"), same).select("a.options_id", "a.measure", "a.length", F.col("b.__n").alias("n"), "a.around", "a.__declared")
+    return both.where(high).select("options_id", "measure", "length", "n", "around", odds.alias("odds"))
+
+
+def limit_maps(limits: DataFrame) -> dict[str, Column]:
+    """For each measure a map from "options_id:length" to the odds of the limit there.
+
+    A limit stands out among 2 * NEAR lengths and has LEAST texts at least, so the limits of a setting are few whatever the number of texts.
+    """
+    of: dict[str, list[Column]] = {}
+    for r in limits.select("options_id", "measure", "length", "odds").collect():
+        of.setdefault(r.measure, []).extend((F.lit(f"{'' if r.options_id is None else r.options_id}:{r.length}"), F.lit(float(r.odds))))
+    return {m: F.create_map(*xs) for m, xs in of.items()}
+
+
+def at_limits(maps: dict[str, Column]) -> tuple[Column, Column]:
+    """(ways of counting by which a row's text has just a limit's length, the greatest odds of them) by options_id and MEASURES."""
+    key = lambda m: F.concat_ws(":", F.coalesce(F.col("options_id").cast("string"), F.lit("")), F.col(m).cast("string"))
+    if not maps:
+        return F.array().cast("array<string>"), F.lit(None).cast("double")
+    odds = {m: x[key(m)] for m, x in maps.items()}
+    return F.array_compact(F.array(*[F.when(o.isNotNull(), F.lit(m)) for m, o in odds.items()])), F.greatest(*odds.values(), F.lit(None).cast("double"))
 
 
 def examined(results: DataFrame, requests: DataFrame) -> DataFrame:
-    """result_id, backend, ending, source_end, refusal and the MEASURES of every result with a text, before limits are known."""
-    cols = lengths(F.col("translated_text"))
-    wide = results.where("translated_text is not null").select("result_id", "request_id", "backend", "translated_text", *[cols[m].alias(m) for m in MEASURES])
-    got = read_endings(wide, "translated_text", "result_id", "request_id", "backend", *MEASURES)
+    """result_id, backend, options_id, ending, source_end, refusal, copied and the MEASURES of every result with a text."""
+    wide = measured(results.where("translated_text is not null"), "translated_text", "translated_text", "result_id", "request_id", "backend", "options_id")
+    got = read_endings(wide, "translated_text", "result_id", "request_id", "backend", "options_id", *MEASURES, "text_hash")
     both = got.withColumn("request_id", spread_nulls("request_id", "result_id")).join(read_sources(requests), "request_id", "left")
     # a text that declines as its source does is a translation; one with a break's leftovers, or open after a whole sentence, was broken off
     both = both.withColumn("refusal", F.col("refusal") & ~F.coalesce("asked_refusal", F.lit(False)) & ~F.col("ending").isin("noise", "open")).drop("asked_refusal")
@@ -179,37 +236,29 @@ def examined(results: DataFrame, requests: DataFrame) -> DataFrame:
     return both.withColumn("copied", F.coalesce(F.col("form") == F.col("asked_form"), F.lit(False))).drop("form", "asked_form")
 
 
-def unfinished(at_limit: Column | None = None) -> Column:
-    """Whether a text's ending, beside that of its source, is inside a word or sentence."""
+def evidence() -> Column:
+    """EVIDENCE of a row's ending and source_end; null for endings that are no break."""
     e, s = F.col("ending"), F.col("source_end")
-    alone = (s.isNull() & at_limit) if at_limit is not None else F.lit(False)
-    off = e.isin("noise", "open") | ((e == "pause") & s.isin("sentence", "title")) | ((e == "short") & (s.isin("sentence", "pause") | alone))
-    return F.coalesce(off & ~F.col("refusal") & ~F.col("copied"), F.lit(False))
+    out = F.lit(None).cast("double")
+    for ending_, by in EVIDENCE.items():
+        value = F.lit(by[None])
+        for source, x in by.items():
+            if source is not None:
+                value = F.when(s == source, x).otherwise(value)
+        out = F.when(e == ending_, value).otherwise(out)
+    return out
 
 
-def hidden_limits(seen: DataFrame) -> DataFrame:
-    """measure, length, n: lengths at which unfinished texts pile up, by each way of counting."""
-    long = seen.where(unfinished()).select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in MEASURES])).alias("x")).select("x.*")
-    counts = long.groupBy("measure", "length").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("measure").orderBy("length").rangeBetween(-NEAR, NEAR)  # one row per length
-    around = (F.sum("n").over(w) - F.col("n")) / (2 * NEAR)
-    return counts.withColumn("around", around).where((F.col("n") >= LEAST) & (F.col("n") >= TIMES * F.greatest("around", F.lit(0.5))) & (F.col("length") >= 32)).select("measure", "length", "n")
-
+def truncated(results: DataFrame, requests: DataFrame, options: DataFrame) -> DataFrame:
+    """result_id, backend, ending, truncated, limits (ways of counting by which the text has just a hidden limit's length), odds.
 
-def truncated(results: DataFrame, requests: DataFrame) -> DataFrame:
-    """result_id, backend, truncated, limits (ways of counting by which the text has just a hidden limit's length).
-
-    Null texts give no row, blank and wordless ones are not truncated. A result without a request is judged by its ending, and a
-    title-like one only by a hidden limit. Repeated rows stay.
+    Null texts give no row, blank and wordless ones are not truncated. Repeated rows stay and count in the limits.
     """
-    from docflow.llm.tables import cut
-
     seen = cut(examined(results, requests))
-    limits: dict[str, list[int]] = {}
-    for r in hidden_limits(seen).collect():  # at most one in 2 * NEAR lengths can be one
-        limits.setdefault(r.measure, []).append(r.length)
-    marks = F.array_compact(F.array(*[F.when(F.col(m).isin(limits[m]), F.lit(m)) for m in MEASURES if m in limits])) if limits else F.array().cast("array<string>")
-    return seen.withColumn("limits", marks).withColumn("truncated", unfinished(F.size("limits") > 0)).select("result_id", "backend", "ending", "truncated", "limits")
+    marks, odds = at_limits(limit_maps(hidden_limits(seen, options)))
+    got = seen.withColumn("limits", marks).withColumn("odds", F.coalesce(odds, F.lit(NO_LIMIT)) + evidence())
+    off = (F.col("odds") > 0) & ~F.col("refusal") & ~F.col("copied")
+    return got.select("result_id", "backend", "ending", F.coalesce(off, F.lit(False)).alias("truncated"), "limits", "odds")
 
 
 def rates(found: DataFrame) -> DataFrame:

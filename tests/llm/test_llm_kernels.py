@@ -1,6 +1,5 @@
 """Kernels against plain restatements, published encoders, labels and hand-made cases."""
 
-import json
 import random
 import unicodedata
 
@@ -264,43 +263,78 @@ def test_votes_and_model(profiles):
     src = "The settings page protects the damaged table in reading order. Please check the list of pairs again."
     good = "Страница настроек защищает повреждённую таблицу в порядке чтения. Пожалуйста, проверьте список пар ещё раз."
     cases = [(good, []), (" ", ["empty"]), ("К сожалению, я не могу перевести этот текст.", ["refusal"]), (src.upper(), ["copy"]), ("Translation: " + src, ["copy"]), ("Die Einstellungsseite schützt die beschädigte Tabelle. Bitte prüfen Sie die Liste der Paare noch einmal.", ["wrong_language"]), (good[:80], ["truncated"]), (None, ["empty"])]
-    got = pairs.votes([src] * len(cases), [c[0] for c in cases], ["ru"] * len(cases), profiles)
-    bits = [sum(v << i for i, v in enumerate(g)) for g in got]
-    counts = {b: 30 for b in bits} | {bits[0]: 3000}
-    model = pairs.label_model(counts)
-    for b, (_, want) in zip(bits, cases):
-        found = [d for d in pairs.DEFECTS if model[b][d] > pairs.CUTOFFS[d]]
-        assert found[:1] == want[:1]
+    keys = [pairs.pattern_of(src, c[0], "ru", profiles) for c in cases]
+    model = pairs.label_model({k: 30 for k in keys} | {keys[0]: 3000})
+    for k, (_, want) in zip(keys, cases):
+        assert list(model.labels(k))[:1] == want[:1]
+
+
+def vote(src, tgt, target, profiles):
+    k = pairs.pattern_of(src, tgt, target, profiles)
+    return {n: (k >> i) & 1 for i, n in enumerate(pairs.VOTES)}
 
 
 def test_faithful_apology_is_no_refusal(profiles):
-    v = pairs.votes(["Lo siento, offer360.pdf no se puede abrir."], ["Sorry, offer360.pdf cannot be opened."], ["en"], profiles)[0]
-    b = sum(x << i for i, x in enumerate(v))
-    m = pairs.label_model({b: 5, 0: 2000})[b]
-    assert not [d for d in pairs.DEFECTS if m[d] > pairs.CUTOFFS[d]]
+    k = pairs.pattern_of("Lo siento, offer360.pdf no se puede abrir.", "Sorry, offer360.pdf cannot be opened.", "en", profiles)
+    assert not pairs.label_model({k: 5, 0: 2000}).labels(k)
 
 
 def test_refusals_are_read_in_whole_texts(profiles):
     src = "The settings page protects the damaged table in reading order. Please check the list of pairs again. " * 4
     good = "Страница настроек защищает повреждённую таблицу в порядке чтения. Пожалуйста, проверьте список пар ещё раз. "
-    late = pairs.votes([src], [good * 3 + "К сожалению, я не могу перевести этот текст."], ["ru"], profiles)[0]
-    assert late[pairs.VOTES.index("refusal_phrase")] and late[pairs.VOTES.index("refusal_apology")]
-    faithful = pairs.votes([src + "I cannot translate this text."], ["我无法翻译这段文字。"], ["zh"], profiles)[0]
-    assert not faithful[pairs.VOTES.index("refusal_phrase")]
+    late = vote(src, good * 3 + "К сожалению, я не могу перевести этот текст.", "ru", profiles)
+    assert late["refusal_phrase"] and late["refusal_apology"]
+    assert not vote(src + "I cannot translate this text.", "我无法翻译这段文字。", "zh", profiles)["refusal_phrase"]
 
 
 def test_copies_in_other_character_forms(profiles):
     src = "The settings page protects the damaged table in reading order. Please check the list of pairs again."
     names = ["copy_equal", "copy_contains", "copy_overlap"]
     for form in (src.replace(" ", "\u2009"), "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in src)):
-        v = dict(zip(pairs.VOTES, pairs.votes([form], [src], ["ru"], profiles)[0]))
+        v = vote(form, src, "ru", profiles)
         assert [v[n] for n in names] == [1, 1, 1]
     assert pairs.likeness(pairs.folded(src), pairs.folded(src.replace("damaged", "damages"))) == (False, False, True)
 
 
+def test_votes_are_independent_of_each_other(profiles):
+    """One defect is voted on whatever another shows: an unfinished copy is both, and an answer to a number may be empty."""
+    src = "The settings page protects the damaged table. Please check the list of pairs"
+    v = vote(src, src, "ru", profiles)
+    assert v["copy_equal"] and v["truncated_unfinished"] and v["wrong_language_profile"]
+
+
+def test_label_model_learns_from_agreement():
+    """Rates are free: a function that disagrees with the others loses its weight, whatever it starts from."""
+    bit = {n: 1 << i for i, n in enumerate(pairs.VOTES)}
+    a, b, c = bit["wrong_language_profile"], bit["wrong_language_script"], bit["wrong_language_of_source"]
+    noisy = {0: 6000, a: 3000, a | b | c: 400, b | c: 300}
+    model = pairs.label_model(noisy)
+    assert "wrong_language" not in model.labels(a) and "wrong_language" in model.labels(a | b | c) and "wrong_language" in model.labels(b | c)
+    assert model.false["wrong_language"][0] > 0.2
+    # with starting rates alone the same vote would decide
+    start = pairs.label_model({})
+    assert "wrong_language" in pairs.LabelModel({d: 0.03 for d in pairs.DEFECTS}, start.hit, start.false, start.cutoff).labels(a)
+
+
+def test_cutoffs_are_validated_on_held_out_pairs():
+    bit = {n: 1 << i for i, n in enumerate(pairs.VOTES)}
+    phrase, apology = bit["refusal_phrase"], bit["refusal_apology"]
+    planted = [(phrase | apology, "refusal")] * 20 + [(apology, None)] * 20
+    m = pairs.label_model({0: 5000, phrase | apology: 100, apology: 200}, planted)
+    lo, hi = (float(m.posterior(np.array([k]), "refusal")[0]) for k in (apology, phrase | apology))
+    assert lo < m.cutoff["refusal"] < hi and abs(m.cutoff["refusal"] - (lo + hi) / 2) < 1e-9
+
+
+def test_planted_pairs(profiles):
+    src, tgt = "The page is open. Please check the damaged table again.", "Страница открыта. Пожалуйста, проверьте повреждённую таблицу ещё раз."
+    rows = pairs.plant([(src, tgt, "ru"), (tgt, src, "en")])
+    assert {r.defect for r in rows} == {None, *pairs.DEFECTS}
+    model = pairs.label_model({0: 1000}, [(int(k), r.defect) for k, r in zip(pairs.patterns_of(rows, profiles), rows)])
+    assert all(0 < c < 1 for c in model.cutoff.values())
+
+
 def test_label_model_of_nothing():
-    assert pairs.label_model({}) == {}
-    assert json.dumps(pairs.label_model({0: 1}))
+    assert pairs.label_model({}).labels(0) == {} and pairs.label_model({0: 1}).labels(0) == {}
 
 
 SPANISH = "La página de configuración protege la tabla dañada en el orden de lectura y guarda los cambios antes de cerrar el documento"

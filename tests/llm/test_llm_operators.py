@@ -131,26 +131,44 @@ def test_truncated(spark):
         spark,
         [(1, "a", "Страница открыта. Она дл", "b"), (2, "a", "Страница открыта.", "b"), (3, "t", "Страница", "b"), (4, "w", "Подождите…", None), (5, "a", "Страница отк…", None), (6, "zz", "Страница. Она", "b"), (7, "a", None, "b"), (8, "a", " ", "b"), (9, None, "Да", "b"), (10, "a", "the page is open. it is long", "b"), (11, "n", "Стра", "b")],
         "result_id bigint, request_id string, translated_text string, backend string",
-    )
-    got = truncation.truncated(res, req)
+    ).withColumn("options_id", F.lit(None).cast("int"))
+    got = truncation.truncated(res, req, NO_OPTIONS(spark))
     assert sorted(r.result_id for r in got.where("truncated").collect()) == [1, 5, 6]
     rates = {r.backend: (r.n, r.truncated) for r in truncation.rates(got).collect()}
     assert rates == {"b": (8, 2), None: (2, 1)}
-    assert truncation.truncated(res.limit(0), req.limit(0)).count() == 0
+    assert truncation.truncated(res.limit(0), req.limit(0), NO_OPTIONS(spark)).count() == 0
 
 
 def test_broken_off_texts_that_decline(spark):
     req = frame(spark, [("h", "The scan is old. The text cannot be processed in this form."), ("p", "The page is open. It is long.")], "request_id string, text string")
-    res = frame(spark, [(1, "h", "Текст не может быть обработан в эт", "b"), (2, "p", "Я не могу перевести этот текст", "b"), (3, "p", "Извините. Я не могу перевести эт&am", "b")], "result_id bigint, request_id string, translated_text string, backend string")
-    assert sorted(r.result_id for r in truncation.truncated(res, req).where("truncated").collect()) == [1, 3]
+    res = frame(spark, [(1, "h", "Текст не может быть обработан в эт", "b"), (2, "p", "Я не могу перевести этот текст", "b"), (3, "p", "Извините. Я не могу перевести эт&am", "b")], "result_id bigint, request_id string, translated_text string, backend string").withColumn("options_id", F.lit(1))
+    assert sorted(r.result_id for r in truncation.truncated(res, req, NO_OPTIONS(spark)).where("truncated").collect()) == [1, 3]
 
 
-def test_hidden_limit_is_found(spark):
+def NO_OPTIONS(spark):
+    return spark.createDataFrame([], "options_id int, max_decoding_length int")
+
+
+def test_hidden_limits_decide(spark):
+    """A text without any whole sentence and without a source is a break at a hidden limit and none elsewhere; finished texts of
+    a limit's length are none; a text sent often shows no limit."""
     rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("абвгде ") for _ in range(n))
+    rows = [(i, "zz", word(256 if i < 40 else rng.choice([x for x in range(30, 900) if x != 256])), 1) for i in range(300)]
+    rows += [(1000, "zz", word(255) + ".", 1), (1001, "zz", word(256), 2)] + [(2000 + i, "zz", "и" * 77, 1) for i in range(60)]
+    # by UTF-8 bytes: 300 bytes of Cyrillic and Latin letters in different shares
+    rows += [(3000 + i, "zz", "я" * (100 + i) + "z" * (300 - 2 * (100 + i)), 5) for i in range(40)]
     req = spark.createDataFrame([("a", "One. Two.")], "request_id string, text string")
-    rows = [(i, "a", ("Один готов. " + "б" * 600)[: 256 if i < 40 else rng.randint(30, 500)], "b") for i in range(300)]
-    seen = cut(truncation.examined(spark.createDataFrame(rows, "result_id bigint, request_id string, translated_text string, backend string"), req))
-    assert {(r.measure, r.length) for r in truncation.hidden_limits(seen).collect()} >= {("chars", 256), ("utf16", 256)}
+    res = spark.createDataFrame(rows, "result_id bigint, request_id string, translated_text string, options_id int").withColumn("backend", F.lit("b"))
+    limits = {(r.options_id, r.measure, r.length) for r in truncation.hidden_limits(truncation.measured(res, "translated_text", "options_id"), NO_OPTIONS(spark)).collect()}
+    assert {(1, "chars", 256), (1, "utf16", 256), (5, "utf8", 300)} <= limits and not any(x[2] == 77 for x in limits)
+    got = sorted(r.result_id for r in truncation.truncated(res, req, NO_OPTIONS(spark)).where("truncated").collect())
+    assert got == [*range(40), *range(3000, 3040)]
+    # fewer texts suffice at a declared length
+    few = spark.createDataFrame([(i, "zz", word(192) if i < 4 else word(400 + 7 * i), 7) for i in range(20)], "result_id bigint, request_id string, translated_text string, options_id int").withColumn("backend", F.lit("b"))
+    declared = spark.createDataFrame([(7, 192), (8, None), (None, 5)], "options_id int, max_decoding_length int")
+    assert sorted(r.result_id for r in truncation.truncated(few, req, declared).where("truncated").collect()) == [0, 1, 2, 3]
+    assert truncation.truncated(few, req, NO_OPTIONS(spark)).where("truncated").count() == 0
 
 
 def test_mixture_keeps_targets(spark):
@@ -214,16 +232,51 @@ def test_training_without_documents(spark):
     assert q.langs == () and langid.identify(["x"], q)[0].lang is None
 
 
+PAIR_ROWS = {
+    "seg": "segment_id bigint, job_id string, text string, translated string", "cfg": "job_id string, target string", "req": "request_id string, text string, received_at timestamp",
+    "res": "result_id bigint, request_id string, translated_text string, target_language string",
+}
+
+
+def pair_tables(spark, seg, cfg, req, res):
+    made = [frame(spark, rows, ddl) for rows, ddl in zip((seg, cfg, req, res), PAIR_ROWS.values())]
+    return made[0].withColumn("options_id", F.lit(None).cast("int")), made[1], made[2], made[3].withColumn("options_id", F.lit(3))
+
+
+def found_defects(spark, tables):
+    seg, cfg, req, res = tables
+    words = spark.createDataFrame([], "lang string, word string")
+    return {tuple(r) for r in pairs.first_defect(pairs.defects(seg, cfg, req, res, seg, words, NO_OPTIONS(spark))).collect()}
+
+
 def test_pairs(spark, profiles, monkeypatch):
     monkeypatch.setattr(pairs, "train", lambda *_: profiles)
     en, ru = "The settings page protects the damaged table in reading order.", "Страница настроек защищает повреждённую таблицу в порядке чтения."
-    seg = frame(spark, [(1, "j", en, ru), (2, "j", en, None), (3, "j", en, " "), (4, "j", en, en), (5, "j", None, ru), (6, "j", "123", ""), (7, None, en, ""), (4, "j", en, en)], "segment_id bigint, job_id string, text string, translated string")
-    cfg = frame(spark, [("j", "ru"), ("j", "ru"), (None, "de")], "job_id string, target string")
-    req = frame(spark, [("a", en), ("a", en), ("b", None)], "request_id string, text string")
-    res = frame(spark, [(1, "a", None, "ru"), (2, "a", ru[:40], "ru"), (3, "b", None, "ru"), (4, "zz", "", "ru"), (5, "a", "I'm sorry, but I can't translate this text.", None)], "result_id bigint, request_id string, translated_text string, target_language string")
-    words = spark.createDataFrame([], "lang string, word string")
-    got = {tuple(r) for r in pairs.first_defect(pairs.defects(seg, cfg, req, res, seg, words)).collect()}
-    assert got == {("segment", 3, "empty"), ("segment", 4, "copy"), ("segment", 7, "empty"), ("result", 1, "empty"), ("result", 2, "truncated"), ("result", 5, "refusal")}
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    lead = "Here is the text that you have sent to us for translation some days ago: "
+    seg = [(1, "j", en, ru), (2, "j", en, None), (3, "j", en, " "), (4, "j", en, en), (5, "j", None, ru), (6, "j", "123", ""), (7, None, en, ""), (4, "j", en, en), (8, "j", en, lead + en), (9, "j", en, en.replace("damaged", "damagd").replace("order", "ordr"))]
+    seg += [(100 + i, "j", f"The page {i} is open. " + en, f"Страница {i} открыта. " + ru) for i in range(40)]
+    cfg = [("j", "ru"), ("j", "ru"), (None, "de")]
+    req = [("a", en, t0), ("a", en, t0), ("b", None, t0), ("c", "Another text was sent before. It is gone.", t0), ("c", en, t1), (None, en, t0)]
+    long_refusal = "Мы получили ваш запрос и внимательно его рассмотрели. " * 6 + "К сожалению, я не могу перевести этот текст."
+    res = [(1, "a", None, "ru"), (2, "a", ru[:40], "ru"), (3, "b", None, "ru"), (4, "zz", "", "ru"), (5, "a", "I'm sorry, but I can't translate this text.", None), (6, "c", en.upper(), "ru"), (7, "a", long_refusal, "ru"), (8, None, "", "ru"), (9, "c", en.replace("damaged", "damagd"), "ru"), (10, "a", en, "en")]
+    got = found_defects(spark, pair_tables(spark, seg, cfg, req, res))
+    assert got == {
+        ("segment", 3, "empty"), ("segment", 4, "copy"), ("segment", 7, "empty"), ("segment", 8, "copy"), ("segment", 9, "copy"),
+        ("result", 1, "empty"), ("result", 2, "truncated"), ("result", 5, "refusal"), ("result", 6, "copy"), ("result", 7, "refusal"), ("result", 9, "copy"),
+    }
+    # more texts than may be broadcast are fetched by a shuffle, with the same outcome
+    monkeypatch.setattr(pairs, "FETCHED", 0)
+    assert found_defects(spark, pair_tables(spark, seg, cfg, req, res)) == got
+    assert found_defects(spark, pair_tables(spark, [], [], [], [])) == set()
+
+
+def test_several_defects_are_kept(spark, profiles, monkeypatch):
+    monkeypatch.setattr(pairs, "train", lambda *_: profiles)
+    en = "The settings page protects the damaged table in reading order."
+    seg, cfg, req, res = pair_tables(spark, [(1, "j", en, en)], [("j", "ru")], [], [])
+    row = pairs.defects(seg, cfg, req, res, seg, spark.createDataFrame([], "lang string, word string"), NO_OPTIONS(spark)).first()
+    assert row.defects == ["copy", "wrong_language"] and min(row.posteriors) > 0.5
 
 
 LABELS = "doc_id bigint, kind string"
