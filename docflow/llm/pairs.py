@@ -1,8 +1,8 @@
 """Defective pairs of a text and its translation (problem 4).
 
 Each side of a pair is read where it is stored and reduced to a few numbers: how it ends, whether it declines, its language, its
-length, a hash of its letters. Only these are brought together; texts are fetched only of the pairs whose sides have one language
-and different letters, for only there may one nearly repeat the other.
+length. Only these are brought together; both texts are fetched only of the pairs whose translation isn't wholly in the wanted
+language, for an unchanged text that already is in it makes no copy.
 
 Labelling functions then vote on every pair, several for each defect, each blind to the others' votes. An expectation-maximization
 label model learns each function's hit and false-alarm rate from how the votes of all pairs agree, over the counts of vote
@@ -12,7 +12,6 @@ cutoff of each defect. A pair keeps all defects above the cutoffs; p4_found name
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docflow.llm.langid import HAS_OTHER, LEAST_EVIDENCE, NOT_WORDS, Profiles, pieces, train
+from docflow.llm.langid import HAS_OTHER, LEAST_EVIDENCE, NOT_WORDS, SCRIPT_TABLE, Profiles, pieces, train
 from docflow.llm.langs import LANGS, label_code
 from docflow.llm.tables import cut, spread
-from docflow.llm.truncation import LETTER, SHY, at_limits, ending, hidden_limits, limit_maps, measured, source_ending
+from docflow.llm.truncation import LETTER, SHY, ending, source_ending
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")  # in the order in which one is named
 
@@ -47,10 +46,22 @@ REFUSALS = (
     r"(?:翻訳|お手伝い|お答え|お応え|対応|処理|お受け|回答|ご依頼\S{0,6})(?:は|が|を|に|する(?:こと)?(?:は|が)?)?(?:でき|出来|いたしかね|しかね)(?:ません|ない|ます|かねます)?", r"言語モデルとして", r"できかねます", r"(?:aiとして|人工知能として)",
     r"मदद नहीं कर", r"अनुवाद नहीं कर", r"सहायता नहीं कर", r"ไม่สามารถ(?:ช่วย|แปล|ดำเนินการ|ตอบ)", r"ขออภัย.{0,20}ไม่สามารถ",
 )
-REFUSAL = "(?i)(?:" + "|".join(REFUSALS) + ")"
+# For each group of the phrases above, parts of which each of its phrases holds one: texts without them needn't be matched. Fixed values.
+PARTS = (
+    (0, 5, "cannot|can't|cant|can not|could not|couldn't|won't|will not|unable to|not able to|not allowed to|decline|refuse|may not|as a|against my|against our"),
+    (5, 10, "не могу|не можем|не смогу|не вправе|не в состоянии|не получится|языковая модель|как ии|искусственный интеллект|отказываюсь|не может быть"),
+    (10, 12, "не можу|не зможу|не маю змоги|мовна модель"),
+    (12, 15, "kann |darf nicht|als ki|als sprachmodell|als künstliche"),
+    (15, 18, "no puedo|no podemos|no podré|no me es posible|como modelo|como ia|como una ia|no se puede|no puede ser"),
+    (18, 21, "ne peux|ne pouvons|ne pourrai|ne suis|en tant que|ne peut"),
+    (21, 23, "não posso|não podemos|não consigo|não poderei|modelo de linguagem"),
+    (23, 26, "无法|不能|不可以|没办法|難以|不便|作为"),
+    (26, 30, "でき|出来|かね|言語モデル|aiとして|人工知能"),
+    (30, 35, "मदद नहीं|अनुवाद नहीं|सहायता नहीं|ไม่สามารถ"),
+)
+GROUPS = [(parts.split("|"), re.compile("(?:" + "|".join(REFUSALS[a:b]) + ")")) for a, b, parts in PARTS]
 # Words of apology, a weaker sign. Fixed values.
 APOLOGY = re.compile(r"(?i)\b(?:sorry|apologi[sz]e|unfortunately|regret)\b|извин|к сожалению|прошу прощения|на жаль|вибач|leider|tut mir leid|bedaure|lo siento|lamento|lamentablemente|désolé|malheureusement|regrette|desculp|infelizmente|抱歉|对不起|很遗憾|申し訳|すみません|क्षमा|माफ़|ขออภัย|เสียใจ|this (?:content|request)|language model|этот запрос|diese anfrage|この(?:文章|ご依頼)|这个请求|这段文字")
-REFUSAL_RE = re.compile(REFUSAL)
 NOT_ALNUM = re.compile(r"[\W_]+")
 
 
@@ -65,11 +76,9 @@ FUNCTIONS = {
     "refusal": (("phrase", 0.95, 0.0005), ("apology", 0.7, 0.03), ("own_length", 0.6, 0.2)),
     "copy": (("equal", 0.6, 0.0002), ("contains", 0.85, 0.0005), ("overlap", 0.97, 0.0005)),
     "wrong_language": (("profile", 0.95, 0.0005), ("script", 0.6, 0.002), ("of_source", 0.5, 0.01)),
-    "truncated": (("unfinished", 0.97, 0.001), ("unclosed", 0.98, 0.15), ("leftover", 0.2, 0.0005), ("shorter", 0.4, 0.02), ("at_limit", 0.2, 0.01)),
+    "truncated": (("unfinished", 0.97, 0.001), ("unclosed", 0.98, 0.15), ("leftover", 0.2, 0.0005), ("shorter", 0.4, 0.02)),
 }
 VOTES = [f"{d}_{f[0]}" for d, fs in FUNCTIONS.items() for f in fs]
-SCRIPTS = {"ru": "а-яёіїєґ", "uk": "а-яёіїєґ", "zh": "一-鿿", "ja": "぀-ヿ一-鿿", "hi": "ऀ-ॿ", "th": "฀-๿"}
-SCRIPT_RES = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()} | {"": re.compile("[a-zà-ɏ]")}
 CHARS_PER = {"zh": 0.35, "ja": 0.5, "th": 0.9}  # characters of a language for one of an alphabet. Fixed values.
 BIGRAM_MIN = 0.85
 
@@ -78,22 +87,17 @@ def bigrams(t: str) -> set[str]:
     return set(map(add, t, t[1:]))
 
 
-# Stems of which every refusal or apology has one: texts without them needn't be matched. Fixed values.
-STEMS = (
-    "assist help transl compl process fulfil answer provide continue support decline refuse model request content guidelines polic handled as an a"
-    " помо перев выполн обработ отве отказ запрос модель содерж предостав допомог перекла викона обробит відповіс"
-    " helfen übersetz bearbeit beantwort ausführ erfüll verarbeit modell traduc ayud proces atend respond cumpl realiz modelo tradu aid trait répond satisf suite mesure ajud"
-    " 翻译 翻譯 帮 協助 协助 提供 处理 處理 完成 回答 满足 执行 模型 人工 翻訳 手伝 答え 応え 対応 処理 受け 依頼 モデル かね मदद अनुवाद सहायता แปล ช่วย ดำเนิน ตอบ"
-).split()
+# Parts of which every apology has one. Fixed values.
 SORRY = "sorry apolog unfortun regret извин сожал прош жаль вибач leider leid bedau siento lament désol malheur desculp infeliz 抱歉 对不起 遗憾 申し訳 すみません क्षमा माफ़ ขออภัย เสียใจ this model этот diese この 这个 这段".split()
 
 
-def declines(text: str, low: str) -> bool:
-    return any(k in low for k in STEMS) and bool(REFUSAL_RE.search(text))
+def declines(low: str) -> bool:
+    """Whether a text in small letters declines the task anywhere."""
+    return any(any(k in low for k in parts) and pattern.search(low) for parts, pattern in GROUPS)
 
 
-def apologizes(text: str, low: str) -> bool:
-    return any(k in low for k in SORRY) and bool(APOLOGY.search(text))
+def apologizes(low: str) -> bool:
+    return any(k in low for k in SORRY) and bool(APOLOGY.search(low))
 
 
 def languages_of(texts: list[str], profiles: Profiles) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -136,60 +140,73 @@ ENDINGS = ("blank", "wordless", "noise", "pause", "open", "short", "thai", "done
 SOURCE_ENDINGS = ("none", "pause", "title", "sentence")
 NO_LANG = 15  # stands for no language among the numbers of LANGS
 LANG_BITS = len(LANGS)
+OWN_SCRIPT = np.array([{"th": 4, "hi": 3, "ru": 1, "uk": 1, "zh": 2, "ja": 2}.get(x, 0) for x in LANGS])
 
 
-def form_hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def bare(text: str) -> str:
+    return NOT_WORDS.sub(" ", text) if HAS_OTHER.search(text) else text
 
 
-def sources_seen(texts: list[str], profiles: Profiles) -> list[tuple[int, int, int]]:
-    """(signature, length, hash of the folded text) of each source; the signature is 0 for a text without words.
+def scripts_of(texts: list[str]) -> np.ndarray:
+    """Letters of each text by script: Latin, Cyrillic, Chinese and Japanese, Devanagari, Thai."""
+    n = len(texts)
+    cp = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    owner = np.cumsum(cp == 0) - (cp == 0)
+    counts = np.bincount(owner * 8 + SCRIPT_TABLE[cp], minlength=(int(owner[-1]) + 1) * 8).reshape(-1, 8)[:, 1:7]
+    if len(counts) != n:  # a text holds the separator
+        return np.concatenate([scripts_of([t.replace("\0", " ")]) for t in texts])
+    return np.stack([counts[:, 0], counts[:, 1], counts[:, 2] + counts[:, 3], counts[:, 4], counts[:, 5]], axis=1)
 
-    Bits: words, declines, apologizes, wholly in its language; ending (2); language (4).
+
+def sources_seen(texts: list[str]) -> list[tuple[int, int]]:
+    """(signature, length) of each source; the signature is 0 for a text without words.
+
+    Bits: words, declines, apologizes, mostly of Chinese and Japanese signs; ending (2).
     """
-    number = [LANGS.index(x) for x in profiles.langs]
-    worded = [i for i, t in enumerate(texts) if LETTER.search(NOT_WORDS.sub(" ", t) if HAS_OTHER.search(t) else t)]
-    main, far, letters, owner = languages_of([texts[i] for i in worded], profiles)
-    whole = wholly(main, far, letters, owner)
-    out = [(0, len(t), 0) for t in texts]
-    for k, i in enumerate(worded):
-        t = texts[i]
+    out, plain = [], [bare(t) for t in texts]
+    dense = scripts_of(plain) if texts else np.zeros((0, 5))
+    for t, p, by in zip(texts, plain, dense):
+        if not LETTER.search(p):
+            out.append((0, len(t)))
+            continue
         low = t.lower()
-        lang = number[main[k]] if main[k] >= 0 else NO_LANG
-        sig = 1 | declines(t, low) << 1 | apologizes(t, low) << 2 | bool(whole[k]) << 3 | SOURCE_ENDINGS.index(source_ending(t)) << 4 | lang << 6
-        out[i] = (sig, len(t), form_hash(folded(t)))
+        out.append((1 | declines(low) << 1 | apologizes(low) << 2 | int(2 * by[2] > by.sum()) << 3 | SOURCE_ENDINGS.index(source_ending(t)) << 4, len(t)))
     return out
 
 
-def answers_seen(texts: list[str | None], profiles: Profiles) -> list[tuple[int, int, int]]:
-    """(signature, length, hash of the folded text) of each translation.
+def answers_seen(texts: list[str | None], profiles: Profiles) -> list[tuple[int, int]]:
+    """(signature, length) of each translation.
 
-    Bits: visible, words, declines, apologizes; ending (3); language (4); then for each language whether it isn't the text's, and
-    whether few of the letters are of its script.
+    Bits: visible, words, declines, apologizes; ending (3); language (4); whether no sentence shows another language; then for each
+    language whether it isn't the text's, and whether few of the letters are of its script.
     """
     clean = [t or "" for t in texts]
     index = {x: j for j, x in enumerate(profiles.langs)}
     main, far, letters, owner = languages_of(clean, profiles)
+    whole = wholly(main, far, letters, owner)
     n, k = len(clean), max(1, far.shape[1])
     total = np.stack([np.bincount(owner, weights=far[:, j] * letters, minlength=n) for j in range(k)], axis=1) if len(owner) else np.zeros((n, k))
     weight = np.bincount(owner, weights=letters, minlength=n) if len(owner) else np.zeros(n)
+    own = np.array(main, dtype=np.int64)
+    lead = total - total[np.arange(n), np.maximum(own, 0)][:, None]
+    off = np.zeros((n, LANG_BITS), bool)
+    for b, x in enumerate(LANGS):
+        if x in index:
+            off[:, b] = (own >= 0) & (own != index[x]) & (weight >= 6) & (lead[:, index[x]] >= LEAST_EVIDENCE)
+    by = scripts_of([bare(t) for t in clean]) if clean else np.zeros((0, 5))
+    all_ = by.sum(axis=1)
+    strange = (all_ >= 4)[:, None] & (by[:, OWN_SCRIPT] < 0.3 * all_[:, None])
+    powers = 1 << np.arange(LANG_BITS)
+    masks = ((off * powers).sum(axis=1) << 12) | ((strange * powers).sum(axis=1) << (12 + LANG_BITS))
+    number = [LANGS.index(x) for x in profiles.langs]
     out = []
     for i, t in enumerate(clean):
         words = bool(LETTER.search(t))
         visible = words or any(not c.isspace() and c not in SHY for c in t)
         low = t.lower()
-        lang = LANGS.index(profiles.langs[main[i]]) if main[i] >= 0 else NO_LANG
-        sig = visible | words << 1 | declines(t, low) << 2 | apologizes(t, low) << 3 | ENDINGS.index(ending(t)) << 4 | lang << 7
-        bare = (NOT_WORDS.sub(" ", t) if HAS_OTHER.search(t) else t).lower()
-        letters_of = len(LETTER.findall(bare))
-        own = {r: len(SCRIPT_RES[r].findall(bare)) for r in ("", "ru", "zh", "ja", "hi", "th")} if letters_of >= 4 else {}
-        for b, x in enumerate(LANGS):
-            j = index.get(x)
-            if j is not None and words and main[i] >= 0 and main[i] != j and weight[i] >= 6 and total[i, j] - total[i, main[i]] >= LEAST_EVIDENCE:
-                sig |= 1 << (11 + b)
-            if own and own["ru" if x == "uk" else x if x in own else ""] < 0.3 * letters_of:
-                sig |= 1 << (11 + LANG_BITS + b)
-        out.append((int(sig), len(t), form_hash(folded(t)) if t else 0))
+        lang = number[main[i]] if main[i] >= 0 else NO_LANG
+        sig = visible | words << 1 | declines(low) << 2 | apologizes(low) << 3 | ENDINGS.index(ending(t)) << 4 | lang << 7 | int(whole[i]) << 11
+        out.append((int(sig) | int(masks[i]) if words else int(sig), len(t)))
     return out
 
 
@@ -202,22 +219,32 @@ def wholly(main: list[int], far: np.ndarray, letters: np.ndarray, owner: np.ndar
     return np.bincount(owner, weights=foreign, minlength=len(own)) == 0
 
 
-def may_repeat(s_sig: Column, t_sig: Column) -> Column:
-    """Whether source and translation have one language, so that one may nearly repeat the other."""
-    s, t = F.shiftright(s_sig, 6).bitwiseAND(15), F.shiftright(t_sig, 7).bitwiseAND(15)
-    return (s == t) & (s != NO_LANG)
+def compared(sources: list[str], texts: list[str], profiles: Profiles) -> list[int]:
+    """What only both texts together show: bits equal, contains, overlap of folded letters; whether the source is wholly in its
+    language (1); the source's language (4)."""
+    main, far, letters, owner = languages_of(sources, profiles)
+    whole = wholly(main, far, letters, owner)
+    out = []
+    for s, t, m, w in zip(sources, texts, main, whole):
+        equal, holds, lapped = likeness(folded(s), folded(t))
+        lang = LANGS.index(profiles.langs[m]) if m >= 0 else NO_LANG
+        out.append(equal | holds << 1 | lapped << 2 | int(w) << 3 | lang << 4)
+    return out
+
+
+APART = NO_LANG << 4  # for pairs whose texts needn't be compared
 
 
 # ---- votes
 
 
-def votes(s_sig, s_len, t_sig, t_len, like, limit, target) -> np.ndarray:  # noqa: ANN001 - arrays of whole numbers
+def votes(s_sig, s_len, t_sig, t_len, like, target) -> np.ndarray:  # noqa: ANN001 - arrays of whole numbers
     """The labelling functions' votes on each pair as bits, in the order of VOTES.
 
-    ``like``: bits equal, contains, overlap; ``target``: the number of the wanted language, NO_LANG for another one, -1 for none.
+    ``like``: as of ``compared``, APART if a pair wasn't; ``target``: the number of the wanted language, NO_LANG for another one, -1 for none.
     """
     bit = lambda x, k: (x >> k) & 1
-    s_lang, t_lang = (s_sig >> 6) & 15, (t_sig >> 7) & 15
+    s_lang, t_lang = (like >> 4) & 15, (t_sig >> 7) & 15
     has = (target >= 0) & (target < LANG_BITS)
     at = np.where(has, target, 0)
     end, s_end = (t_sig >> 4) & 7, (s_sig >> 4) & 3
@@ -226,19 +253,18 @@ def votes(s_sig, s_len, t_sig, t_len, like, limit, target) -> np.ndarray:  # noq
     per = np.ones(len(at))
     for x, v in CHARS_PER.items():
         per[has & (at == LANGS.index(x))] = v
-    wide = (s_lang == LANGS.index("zh")) | (s_lang == LANGS.index("ja"))
-    ratio = (t_len / per) / np.maximum(1.0, s_len / np.where(wide, 0.4, 1.0))
+    ratio = (t_len / per) / np.maximum(1.0, s_len / np.where(bit(s_sig, 3) == 1, 0.4, 1.0))
     one = (s_lang == t_lang) & (s_lang != NO_LANG)
     # what stays as it is because it already is in the wanted language is no copy
     repeats = (bit(like, 0) == 1) | one
-    repeats &= ~(has & (s_lang == at) & (bit(s_sig, 3) == 1))
+    repeats &= ~(has & (s_lang == at) & (bit(like, 3) == 1))
     cast = [
         bit(t_sig, 0) == 0, bit(t_sig, 1) == 0, t_len <= 2,
         (bit(t_sig, 2) == 1) & ~((bit(s_sig, 1) == 1) & (target >= 0)), (bit(t_sig, 3) == 1) & (bit(s_sig, 2) == 0), (ratio < 0.6) | (ratio > 1.7),
         repeats & (bit(like, 0) == 1), repeats & (bit(like, 1) == 1), repeats & (bit(like, 2) == 1),
-        has & (bit(t_sig >> 11, at) == 1), has & (bit(t_sig, 1) == 1) & (bit(t_sig >> (11 + LANG_BITS), at) == 1), one & has & (t_lang != at),
+        has & (bit(t_sig >> 12, at) == 1), has & (bit(t_sig >> (12 + LANG_BITS), at) == 1), one & has & (t_lang != at),
         e["open"] | e["noise"] | (e["pause"] & (s["sentence"] | s["title"])) | (e["short"] & (s["sentence"] | s["pause"])),
-        e["open"] | e["noise"] | e["pause"] | e["short"] | e["thai"], e["noise"], ratio < 0.6, limit != 0,
+        e["open"] | e["noise"] | e["pause"] | e["short"] | e["thai"], e["noise"], ratio < 0.6,
     ]
     return sum(np.asarray(v).astype(np.int64) << k for k, v in enumerate(cast)) if len(at) else np.zeros(0, np.int64)
 
@@ -254,57 +280,44 @@ def target_number(code: Column) -> Column:
     return F.coalesce(known[code], F.when(code.isNotNull(), F.lit(NO_LANG)), F.lit(-1)).cast("int")
 
 
-def limit_column(df: DataFrame, text: str, options: DataFrame) -> Column:
-    """1 where a row's text has just the length of a hidden limit (see ``truncation``), else 0; ``df`` has the MEASURES."""
-    marks, _ = at_limits(limit_maps(hidden_limits(df, options)))
-    return (F.size(marks) > 0).cast("int")
-
+SIDES = "s_sig bigint, s_len int, t_sig bigint, t_len int, `like` int"
 
-SIDES = "s_sig bigint, s_len int, t_sig bigint, t_len int, `like` int, `limit` int"
 
+def both_sides(segments: DataFrame, profiles: Profiles) -> DataFrame:
+    """id, job_id and SIDES of every segment with a text that has words and a translation: both are in one row.
 
-def both_sides(segments: DataFrame, options: DataFrame, profiles: Profiles) -> DataFrame:
-    """id, job_id and SIDES of every segment with a text that has words and a translation: both are in one row."""
+    Texts of different scripts aren't compared: they have neither letters nor language in common.
+    """
     shared = segments.sparkSession.sparkContext.broadcast(profiles)  # at most 11 languages x TOP n-grams
-    rows = measured(segments.where("text is not null and translated is not null"), "translated", "text", "translated", F.col("segment_id").cast("bigint").alias("id"), F.col("job_id").cast("string").alias("job_id"), "options_id")
+    rows = segments.where("text is not null and translated is not null").select("text", "translated", F.col("segment_id").cast("bigint").alias("id"), F.col("job_id").cast("string").alias("job_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in (x.slice(at, 2048) for x in batches for at in range(0, x.num_rows, 2048)):
+            s = sources_seen(b.column(0).to_pylist())
+            b = b.take(pa.array([i for i, x in enumerate(s) if x[0]], pa.int64()))
+            s = [x for x in s if x[0]]
             src, tgt = b.column(0).to_pylist(), b.column(1).to_pylist()
-            s = sources_seen(src, model)
-            keep = [i for i, x in enumerate(s) if x[0]]
-            t = answers_seen([tgt[i] for i in keep], model)
-            like = []
-            for i, x in zip(keep, t):
-                a, c = (s[i][0] >> 6) & 15, (x[0] >> 7) & 15
-                if s[i][2] == x[2]:
-                    like.append(7 if folded(src[i]) else 0)
-                else:
-                    like.append(like_bits(src[i], tgt[i]) if a == c and a != NO_LANG and tgt[i] else 0)
-            cols = [b.column(2).take(pa.array(keep, pa.int64())), b.column(3).take(pa.array(keep, pa.int64()))]
-            cols += [pa.array([s[i][0] for i in keep], pa.int64()), pa.array([s[i][1] for i in keep], pa.int32()), pa.array([x[0] for x in t], pa.int64()), pa.array([x[1] for x in t], pa.int32()), pa.array(like, pa.int32()), b.column(4).take(pa.array(keep, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "job_id", "s_sig", "s_len", "t_sig", "t_len", "like", "limit"])
-
-    fed = rows.select("text", "translated", "id", "job_id", limit_column(rows, "translated", options).alias("limit"))
-    return spread(fed).mapInArrow(run, "id bigint, job_id string, " + SIDES)
-
-
-def like_bits(source: str, text: str) -> int:
-    equal, holds, lapped = likeness(folded(source), folded(text))
-    return equal | holds << 1 | lapped << 2
-
-
-def one_side(df: DataFrame, text: str, keep: list[str], seen, profiles: Profiles, p: str) -> DataFrame:  # noqa: ANN001
-    """The columns ``keep`` with what ``seen`` sees in a text: {p}_sig, {p}_len, {p}_form."""
-    shared = df.sparkSession.sparkContext.broadcast(profiles)
-    names = [f"{p}_sig", f"{p}_len", f"{p}_form"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + f", {names[0]} bigint, {names[1]} int, {names[2]} bigint"
+            t = answers_seen(tgt, model)
+            like = [APART] * len(s)
+            if s:
+                near = np.flatnonzero((scripts_of(src).argmax(axis=1) == scripts_of(tgt).argmax(axis=1)) & np.array([bool(x) for x in tgt])).tolist()
+                for i, x in zip(near, compared([src[i] for i in near], [tgt[i] for i in near], model)):
+                    like[i] = x
+            cols = [b.column(2), b.column(3), pa.array([x[0] for x in s], pa.int64()), pa.array([x[1] for x in s], pa.int32()), pa.array([x[0] for x in t], pa.int64()), pa.array([x[1] for x in t], pa.int32()), pa.array(like, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "job_id", "s_sig", "s_len", "t_sig", "t_len", "like"])
+
+    return spread(rows).mapInArrow(run, "id bigint, job_id string, " + SIDES)
+
+
+def one_side(df: DataFrame, text: str, keep: list[str], seen, p: str) -> DataFrame:  # noqa: ANN001
+    """The columns ``keep`` with what ``seen`` sees in a text: {p}_sig, {p}_len."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + f", {p}_sig bigint, {p}_len int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(at, 2048) for x in batches for at in range(0, x.num_rows, 2048)):
-            got = list(zip(*seen(b.column(0).to_pylist(), shared.value))) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got[0], pa.int64()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.int64())], names=[*keep, *names])
+            got = list(zip(*seen(b.column(0).to_pylist()))) or [(), ()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got[0], pa.int64()), pa.array(got[1], pa.int32())], names=[*keep, f"{p}_sig", f"{p}_len"])
 
     return spread(df.select(text, *keep)).mapInArrow(run, schema)
 
@@ -318,61 +331,61 @@ def fetched(df: DataFrame, ids: DataFrame, column: str, few: bool) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
-def asked_and_answered(requests: DataFrame, results: DataFrame, options: DataFrame, profiles: Profiles) -> DataFrame:
+def asked_and_answered(requests: DataFrame, results: DataFrame, profiles: Profiles) -> DataFrame:
     """id, target and SIDES of every result whose request has a text with words.
 
     Of a request that was sent several times the text sent last counts (by received_at; of equal times the greater hash). A null
     translation is a pair. The request's id is a hash of 96 bits in the shuffles.
     """
+    shared = requests.sparkSession.sparkContext.broadcast(profiles)  # at most 11 languages x TOP n-grams
     key = lambda c: (F.xxhash64(c).alias("k64"), F.hash(c).alias("k32"))
-    asked = requests.where("request_id is not null and text is not null").select("text", *key("request_id"), "received_at")
-    s = one_side(asked, "text", ["k64", "k32", "received_at"], sources_seen, profiles, "s")
-    s = s.groupBy("k64", "k32").agg(F.max(F.struct("received_at", "s_form", "s_sig", "s_len")).alias("s")).select("k64", "k32", "s.s_sig", "s.s_len", "s.s_form").where("s_sig <> 0")
-    answered = results.where("request_id is not null").select("translated_text", F.col("result_id").cast("bigint").alias("id"), *key("request_id"), target_number(label_code(F.col("target_language"))).alias("target"), "options_id")
-    rows = measured(answered, "translated_text", "translated_text", "id", "k64", "k32", "target", "options_id")
-    rows = rows.withColumn("limit", limit_column(rows.where("translated_text is not null"), "translated_text", options))
-    t = one_side(rows, "translated_text", ["id", "k64", "k32", "target", "limit"], answers_seen, profiles, "t")
+    asked = requests.where("request_id is not null and text is not null").select("text", *key("request_id"), F.col("received_at").alias("sent"), F.xxhash64("text").alias("s_hash"))
+    s = one_side(asked, "text", ["k64", "k32", "sent", "s_hash"], sources_seen, "s")
+    s = s.groupBy("k64", "k32").agg(F.max(F.struct("sent", "s_hash", "s_sig", "s_len")).alias("s")).select("k64", "k32", "s.s_sig", "s.s_len", "s.s_hash").where("s_sig <> 0")
+    answered = results.where("request_id is not null").select("translated_text", F.col("result_id").cast("bigint").alias("id"), *key("request_id"), target_number(label_code(F.col("target_language"))).alias("target"))
+    t = one_side(answered, "translated_text", ["id", "k64", "k32", "target"], lambda texts: answers_seen(texts, shared.value), "t")
     both = cut(t.join(s, ["k64", "k32"]))
-    equal = (F.col("s_form") == F.col("t_form")) & (F.col("s_sig") != 0) & (F.col("t_len") > 0)
-    near = cut(both.where(~equal & may_repeat(F.col("s_sig"), F.col("t_sig"))).select("id", "k64", "k32", "s_form"))
+    t_lang = F.shiftright("t_sig", 7).bitwiseAND(15)
+    settled = (F.col("target") == t_lang) & (F.shiftright("t_sig", 11).bitwiseAND(1) == 1)
+    near = cut(both.where((F.col("t_len") > 0) & ~settled).select("id", "k64", "k32", "s_hash"))
     few = near.count() <= FETCHED
-    texts = fetched(answered.select("id", "k64", "k32", "translated_text"), near, "id", few).join(near.select("id", F.col("s_form").alias("want")).distinct(), "id")
-    sources = fetched(asked.select("text", "k64", "k32"), near, "k64", few)
+    texts = fetched(answered.select("id", "k64", "k32", "translated_text"), near, "id", few).where("translated_text is not null").join(near.select("id", F.col("s_hash").alias("want")).distinct(), "id")
+    sources = fetched(asked.select("text", "k64", "k32", "s_hash"), near, "k64", few)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, like_bits(s, t)) for i, s, t, w in zip(*(c.to_pylist() for c in b.columns)) if form_hash(folded(s)) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["id", "like"])
+        for b in (x.slice(at, 2048) for x in batches for at in range(0, x.num_rows, 2048)):
+            like = compared(b.column(1).to_pylist(), b.column(2).to_pylist(), shared.value) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(like, pa.int32())], names=["id", "like"])
 
-    pairs = sources.join(texts, ["k64", "k32"]).select("id", "text", "translated_text", "want")
+    pairs = sources.join(texts, ["k64", "k32"]).where("s_hash = want").select("id", "text", "translated_text")
     like = pairs.mapInArrow(run, "id bigint, `like` int").groupBy("id").agg(F.max("like").alias("near"))
-    got = both.join(like, "id", "left").withColumn("like", F.when(equal, 7).otherwise(F.coalesce("near", F.lit(0))).cast("int"))
-    return got.select("id", "target", *[F.col(c) for c in ("s_sig", "s_len", "t_sig", "t_len", "like", "limit")])
+    got = both.join(like, "id", "left").withColumn("like", F.coalesce("near", F.lit(APART)).cast("int"))
+    return got.select("id", "target", *[F.col(c) for c in FIELDS])
 
 
-def voted(segments: DataFrame, configs: DataFrame, requests: DataFrame, results: DataFrame, options: DataFrame, profiles: Profiles) -> DataFrame:
+def voted(segments: DataFrame, configs: DataFrame, requests: DataFrame, results: DataFrame, profiles: Profiles) -> DataFrame:
     """pair_table, pair_id, pattern (the votes as bits) of every pair whose source has words outside addresses and file names.
 
     A null segments.translated is not yet translated and no pair; a null results.translated_text is one. A result without a request,
     or with a request without text, has no source and is no pair. All results of a request count. Repeated rows stay.
     """
     jobs = configs.where("job_id is not null").groupBy("job_id").agg(F.max(label_code(F.col("target"))).alias("code"))
-    seg = both_sides(segments, options, profiles)
+    seg = both_sides(segments, profiles)
     # null jobs match nothing: their rows are kept aside instead of meeting in one partition
     own = seg.where("job_id is not null").join(jobs, "job_id", "left").select(F.lit("segment").alias("pair_table"), "id", target_number(F.col("code")).alias("target"), *FIELDS)
     none = seg.where("job_id is null").select(F.lit("segment").alias("pair_table"), "id", F.lit(-1).alias("target"), *FIELDS)
-    res = asked_and_answered(requests, results, options, profiles).select(F.lit("result").alias("pair_table"), "id", "target", *FIELDS)
+    res = asked_and_answered(requests, results, profiles).select(F.lit("result").alias("pair_table"), "id", "target", *FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [b.column(k).to_numpy(zero_copy_only=False) for k in range(2, 9)]
-            bits = votes(*(c.astype(np.int64) for c in (x[1], x[2], x[3], x[4], x[5], x[6], x[0])))
+            x = [b.column(k).to_numpy(zero_copy_only=False) for k in range(2, 8)]
+            bits = votes(*(c.astype(np.int64) for c in (x[1], x[2], x[3], x[4], x[5], x[0])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.int64())], names=["pair_table", "pair_id", "pattern"])
 
     return own.unionByName(none).unionByName(res).mapInArrow(run, "pair_table string, pair_id bigint, pattern bigint")
 
 
-FIELDS = ("s_sig", "s_len", "t_sig", "t_len", "like", "limit")
+FIELDS = ("s_sig", "s_len", "t_sig", "t_len", "like")
 
 # ---- planted defects
 
@@ -427,11 +440,11 @@ def sample(segments: DataFrame, configs: DataFrame) -> list[tuple[str, str, str]
 
 def patterns_of(rows: list[Planted], profiles: Profiles) -> np.ndarray:
     """The vote patterns of planted pairs."""
-    s, t = sources_seen([r.src for r in rows], profiles), answers_seen([r.tgt for r in rows], profiles)
-    like = [like_bits(r.src, r.tgt or "") for r in rows]
+    s, t = sources_seen([r.src for r in rows]), answers_seen([r.tgt for r in rows], profiles)
+    like = compared([r.src for r in rows], [r.tgt or "" for r in rows], profiles) if rows else []
     target = [LANGS.index(r.target) if r.target in LANGS else NO_LANG if r.target else -1 for r in rows]
     col = lambda x: np.array(list(x), dtype=np.int64)
-    return votes(col(x[0] for x in s), col(x[1] for x in s), col(x[0] for x in t), col(x[1] for x in t), col(like), np.zeros(len(rows), np.int64), col(target))
+    return votes(col(x[0] for x in s), col(x[1] for x in s), col(x[0] for x in t), col(x[1] for x in t), col(like), col(target))
 
 
 # ---- label model
@@ -515,11 +528,11 @@ def cutoff(model: LabelModel, defect: str, check: list[tuple[int, str | None]])
     return at
 
 
-def defects(segments: DataFrame, configs: DataFrame, requests: DataFrame, results: DataFrame, documents: DataFrame, common_words: DataFrame, options: DataFrame) -> DataFrame:
+def defects(segments: DataFrame, configs: DataFrame, requests: DataFrame, results: DataFrame, documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """pair_table, pair_id, defects (all above their cutoffs), posteriors of every pair that keeps a defect."""
     profiles = train(documents, common_words)
-    got = cut(voted(segments, configs, requests, results, options, profiles))
-    counts = {r.pattern: r.n for r in got.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 2^17 patterns
+    got = cut(voted(segments, configs, requests, results, profiles))
+    counts = {r.pattern: r.n for r in got.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 2^16 patterns
     rows = plant(sample(segments, configs))
     known = patterns_of(rows, profiles)
     model = label_model(counts, [(int(k), r.defect) for k, r in zip(known, rows)])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docflow.llm.sentences import BREAKS, CAND, closing, plain_letters, quotation
+from docflow.llm.sentences import BREAKS, CAND, closing, last_word, plain_letters, quotation
 from docflow.llm.tables import cut, spread, spread_nulls
 
 SHY = "­​‌‍⁠﻿"
@@ -65,7 +65,8 @@ def ending(text: str | None) -> str:
     line = t[max(t.rfind("\n"), 0) :]
     if core[-1] == ".":
         last = core[core.rfind("\n") + 1 : -1]
-        _, kind = closing(last.translate(plain_letters()[0]), len(last), ".")
+        word = last[max(0, last_word(last, len(last))[0] - 8) :]  # with what may stand before it, as "z." of "z. B."
+        _, kind = closing(word.translate(plain_letters()[0]), len(word), ".")
         if kind in ("abbr", "letter"):
             return "open"
         if "://" in last:
@@ -143,7 +144,7 @@ def read_endings(df: DataFrame, text: str, *keep: str) -> DataFrame:
             texts = b.column(0).to_pylist()
             ends = [ending(t) for t in texts]
             open_ = [e in UNFINISHED for e in ends]
-            refused = [o and declines(t, t.lower()) for t, o in zip(texts, open_)]
+            refused = [o and declines(t.lower()) for t, o in zip(texts, open_)]
             forms = [form_of(t) if o else None for t, o in zip(texts, open_)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(ends, pa.string()), pa.array(refused, pa.bool_()), pa.array(forms, pa.int64())], names=[*keep, "ending", "refusal", "form"])
 
@@ -158,7 +159,7 @@ def read_sources(requests: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([source_ending(t) for t in texts], pa.string()), pa.array([form_of(t) for t in texts], pa.int64()), pa.array([declines(t, t.lower()) for t in texts], pa.bool_())], names=["request_id", "source_end", "asked_form", "asked_refusal"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([source_ending(t) for t in texts], pa.string()), pa.array([form_of(t) for t in texts], pa.int64()), pa.array([declines(t.lower()) for t in texts], pa.bool_())], names=["request_id", "source_end", "asked_form", "asked_refusal"])
 
     rows = requests.where("request_id is not null and text is not null").select("text", F.col("request_id").cast("string"))
     got = spread(rows).mapInArrow(run, "request_id string, source_end string, asked_form bigint, asked_refusal boolean")

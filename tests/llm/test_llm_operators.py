@@ -240,13 +240,13 @@ PAIR_ROWS = {
 
 def pair_tables(spark, seg, cfg, req, res):
     made = [frame(spark, rows, ddl) for rows, ddl in zip((seg, cfg, req, res), PAIR_ROWS.values())]
-    return made[0].withColumn("options_id", F.lit(None).cast("int")), made[1], made[2], made[3].withColumn("options_id", F.lit(3))
+    return made
 
 
 def found_defects(spark, tables):
     seg, cfg, req, res = tables
     words = spark.createDataFrame([], "lang string, word string")
-    return {tuple(r) for r in pairs.first_defect(pairs.defects(seg, cfg, req, res, seg, words, NO_OPTIONS(spark))).collect()}
+    return {tuple(r) for r in pairs.first_defect(pairs.defects(seg, cfg, req, res, seg, words)).collect()}
 
 
 def test_pairs(spark, profiles, monkeypatch):
@@ -275,7 +275,7 @@ def test_several_defects_are_kept(spark, profiles, monkeypatch):
     monkeypatch.setattr(pairs, "train", lambda *_: profiles)
     en = "The settings page protects the damaged table in reading order."
     seg, cfg, req, res = pair_tables(spark, [(1, "j", en, en)], [("j", "ru")], [], [])
-    row = pairs.defects(seg, cfg, req, res, seg, spark.createDataFrame([], "lang string, word string"), NO_OPTIONS(spark)).first()
+    row = pairs.defects(seg, cfg, req, res, seg, spark.createDataFrame([], "lang string, word string")).first()
     assert row.defects == ["copy", "wrong_language"] and min(row.posteriors) > 0.5
 
 
