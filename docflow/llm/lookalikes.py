@@ -12,7 +12,6 @@ pairs are asked for, with the pairs of rows of different spellings.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +35,8 @@ SIGNS = {
     "µ": "μ", "Ω": "Ω", "∑": "Σ", "∏": "Π", "∆": "Δ", "ǃ": "!", "；;": ";", "‚": ",", "〈": "⟨", "〉": "⟩",
 }
 INVISIBLE = "­͏؜ᅟᅠ឴឵​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+#: Code points that may decompose, combine or be invisible: the planes above hold none.
+ASSIGNED = (*range(0x32400), *range(0xE0000, 0xE0200))
 #: Compatibility forms that look different from their plain ones. Fixed values.
 DIFFERENT = frozenset(("<super>", "<sub>", "<circle>", "<fraction>", "<square>"))
 
@@ -77,7 +78,7 @@ class Transducer:
         if both:
             raise ValueError(f"two forms for {both}")
         base: dict[int, str] = {}
-        for cp in range(sys.maxunicode + 1):
+        for cp in ASSIGNED:
             if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
                 continue
             c = chr(cp)
@@ -94,7 +95,7 @@ class Transducer:
             base.update({k: v.translate(base) for k, v in base.items()})
         # precomposed letters over a letter with a form, such as ï of і and its dots
         self.forms: dict[str, str] = {}
-        for cp in range(sys.maxunicode + 1):
+        for cp in ASSIGNED:
             if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
                 continue
             c = chr(cp)
@@ -109,8 +110,8 @@ class Transducer:
         self.precompute()
         # what continues a cluster: marks, whatever composes with a letter before it, half-width voicing, invisible characters
         more = {0xFF9E, 0xFF9F, *range(0x1160, 0x1200), *range(0xFE00, 0xFE10), *map(ord, INVISIBLE)}
-        for cp in range(0x300, sys.maxunicode + 1):
-            if not 0xD800 <= cp < 0xE000 and not 0xAC00 <= cp < 0xD7A4:
+        for cp in ASSIGNED:
+            if cp >= 0x300 and not 0xD800 <= cp < 0xE000 and not 0xAC00 <= cp < 0xD7A4:
                 if unicodedata.combining(chr(cp)):
                     more.add(cp)
                 d = unicodedata.decomposition(chr(cp))
@@ -122,8 +123,8 @@ class Transducer:
 
     def precompute(self) -> None:
         """The forms of all clusters of a letter and its marks that have a composed letter, in every degree of composition."""
-        for cp in range(0xC0, sys.maxunicode + 1):
-            if 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
+        for cp in ASSIGNED:
+            if cp < 0xC0 or 0xD800 <= cp < 0xE000 or 0xAC00 <= cp < 0xD7A4:
                 continue
             d = unicodedata.decomposition(chr(cp))
             if not d or d.startswith("<"):

@@ -16,8 +16,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from operator import add
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -59,7 +61,7 @@ PARTS = (
     (26, 30, "でき|出来|かね|言語モデル|aiとして|人工知能"),
     (30, 35, "मदद नहीं|अनुवाद नहीं|सहायता नहीं|ไม่สามารถ"),
 )
-GROUPS = [(parts.split("|"), re.compile("(?:" + "|".join(REFUSALS[a:b]) + ")")) for a, b, parts in PARTS]
+GROUPS = [re.compile("(?:" + "|".join(REFUSALS[a:b]) + ")") for a, b, _ in PARTS]
 # Words of apology, a weaker sign. Fixed values.
 APOLOGY = re.compile(r"(?i)\b(?:sorry|apologi[sz]e|unfortunately|regret)\b|извин|к сожалению|прошу прощения|на жаль|вибач|leider|tut mir leid|bedaure|lo siento|lamento|lamentablemente|désolé|malheureusement|regrette|desculp|infelizmente|抱歉|对不起|很遗憾|申し訳|すみません|क्षमा|माफ़|ขออภัย|เสียใจ|this (?:content|request)|language model|этот запрос|diese anfrage|この(?:文章|ご依頼)|这个请求|这段文字")
 NOT_ALNUM = re.compile(r"[\W_]+")
@@ -91,13 +93,30 @@ def bigrams(t: str) -> set[str]:
 SORRY = "sorry apolog unfortun regret извин сожал прош жаль вибач leider leid bedau siento lament désol malheur desculp infeliz 抱歉 对不起 遗憾 申し訳 すみません क्षमा माफ़ ขออภัย เสียใจ this model этот diese この 这个 这段".split()
 
 
-def declines(low: str) -> bool:
-    """Whether a text in small letters declines the task anywhere."""
-    return any(any(k in low for k in parts) and pattern.search(low) for parts, pattern in GROUPS)
+@lru_cache(1)
+def automaton() -> ahocorasick.Automaton:
+    """Finds all parts of refusals (with the number of their group) and of apologies (with -1) in one pass over a text."""
+    out = ahocorasick.Automaton()
+    for k, (_, _, parts) in enumerate(PARTS):
+        for x in parts.split("|"):
+            out.add_word(x, k)
+    for x in SORRY:
+        if x not in out:
+            out.add_word(x, -1)
+    out.make_automaton()
+    return out
+
 
+def manners(low: str) -> tuple[bool, bool]:
+    """Whether a text in small letters declines the task, and whether it apologizes, anywhere."""
+    hints = {k for _, k in automaton().iter(low)}
+    if not hints:
+        return False, False
+    return any(k >= 0 and GROUPS[k].search(low) for k in hints), -1 in hints and bool(APOLOGY.search(low))
 
-def apologizes(low: str) -> bool:
-    return any(k in low for k in SORRY) and bool(APOLOGY.search(low))
+
+def declines(low: str) -> bool:
+    return manners(low)[0]
 
 
 def languages_of(texts: list[str], profiles: Profiles) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
@@ -169,8 +188,8 @@ def sources_seen(texts: list[str]) -> list[tuple[int, int]]:
         if not LETTER.search(p):
             out.append((0, len(t)))
             continue
-        low = t.lower()
-        out.append((1 | declines(low) << 1 | apologizes(low) << 2 | int(2 * by[2] > by.sum()) << 3 | SOURCE_ENDINGS.index(source_ending(t)) << 4, len(t)))
+        no, sorry = manners(t.lower())
+        out.append((1 | no << 1 | sorry << 2 | int(2 * by[2] > by.sum()) << 3 | SOURCE_ENDINGS.index(source_ending(t)) << 4, len(t)))
     return out
 
 
@@ -203,9 +222,9 @@ def answers_seen(texts: list[str | None], profiles: Profiles) -> list[tuple[int,
     for i, t in enumerate(clean):
         words = bool(LETTER.search(t))
         visible = words or any(not c.isspace() and c not in SHY for c in t)
-        low = t.lower()
+        no, sorry = manners(t.lower())
         lang = number[main[i]] if main[i] >= 0 else NO_LANG
-        sig = visible | words << 1 | declines(low) << 2 | apologizes(low) << 3 | ENDINGS.index(ending(t)) << 4 | lang << 7 | int(whole[i]) << 11
+        sig = visible | words << 1 | no << 2 | sorry << 3 | ENDINGS.index(ending(t)) << 4 | lang << 7 | int(whole[i]) << 11
         out.append((int(sig) | int(masks[i]) if words else int(sig), len(t)))
     return out
 
