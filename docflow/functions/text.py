@@ -7,10 +7,10 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space in the sense of Unicode, the same class in Java's and RE2's syntax.
-WS = r"[\t-\r\x{85}\p{Z}]"
+#: White space in the sense of Unicode with the four separators of ASCII, the same class in Java's and RE2's syntax.
+WS = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Addresses that are never translated. Fixed value.
-ADDRESS = r"(?:https?://|www\.|mailto:)[^\t-\r\x{85}\p{Z}<>]+|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
+ADDRESS = r"(?:https?://|www\.|mailto:)[^\t-\r\x{1c}-\x{1f}\x{85}\p{Z}<>]+|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
 #: Display names of languages and their codes. Fixed values.
 DISPLAY = {"Определить автоматически": "auto", "Авто": "auto", "Русский": "ru", "Английский": "en", "Английский (США)": "en", "Немецкий": "de", "Испанский": "es", "Французский": "fr", "Китайский": "zh", "Японский": "ja"}
 #: Names that a file may not have. Fixed value.
@@ -98,6 +98,7 @@ def doubles_letter(short: Column, long: Column) -> Column:
 
 
 def _clean(text: Column) -> Column:
+    # characters that no file system takes: a fixed value
     return F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', "_")
 
 
@@ -131,9 +132,9 @@ def suffix(file_name: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """HH:MM:SS."""
+    """HH:MM:SS; null for null."""
     s = F.floor(seconds)
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    return F.when(s.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
 
 
 def escape_markup(text: Column) -> Column:
@@ -144,7 +145,7 @@ def escape_markup(text: Column) -> Column:
 
 
 def trim_punctuation(text: Column) -> Column:
-    """A term without sentence marks, quotes and brackets at its ends."""
+    """A term without sentence marks, quotes and brackets (a fixed set) at its ends."""
     return F.btrim(text, F.lit(" .,!?;:。！？\"“”()[]"))
 
 

@@ -1,7 +1,8 @@
 """Running sums and previous rows of ordered groups without gathering a group in one task.
 
 Rows are sorted by range over all partitions, so a group that holds a third of all rows is spread like any other. Inside a
-partition a linear pass over Arrow batches carries what is needed; one row per partition and group joins the partitions.
+partition a linear pass over Arrow batches carries what is needed; one row per partition and group joins the partitions. What is
+sorted is written once, by a checkpoint, and both read from it: a second sort might draw the ranges' borders elsewhere.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docflow.operators.lineage import cut
+
 
 def _sorted(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    """``df`` sorted by range; the number of partitions is asked for, so adaptive execution leaves all uses of it alike."""
+    """``df`` sorted by range over as many partitions as the session's shuffles have."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c).asc_nulls_first() for c in [*groups, *order]]
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -60,7 +63,7 @@ def running(df: DataFrame, groups: list[str], order: list[str], weight: str) ->
             so_far = int(before[-1] + w[-1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.int64()), pa.array(np.full(len(w), pid, np.int32))], names=[*b.schema.names, "__within", "__part"])
 
-    marked = ordered.mapInArrow(sums, _ddl(df) + ", __within bigint, __part int")
+    marked = cut(ordered.mapInArrow(sums, _ddl(df) + ", __within bigint, __part int"))
     parts = marked.groupBy(*groups, "__part").agg(F.sum(weight).alias("__w"))  # at most partitions x groups rows, mostly one part a group
     w = Window.partitionBy(*groups)
     offsets = parts.select(*[F.col(g).alias(f"__o_{g}") for g in groups], F.col("__part").alias("__p"), F.coalesce(F.sum("__w").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"), F.sum("__w").over(w).alias("total"))
@@ -72,7 +75,7 @@ def running(df: DataFrame, groups: list[str], order: list[str], weight: str) ->
 
 def with_previous(df: DataFrame, groups: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
     """``df`` with, for each of ``columns`` (name: new name), its value in the group's row before, or null in the first."""
-    ordered = _sorted(df, groups, order)
+    ordered = cut(_sorted(df, groups, order))
     names, new = list(columns), list(columns.values())
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     need = list(dict.fromkeys([*groups, *names]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docflow.constants import constant
+from docflow.operators.lineage import cut
 
 #: Profiles: prefers quality, allows quality, graphics card on its own, threads, beams, tokens of a batch. Fixed values.
 PROFILES = (
@@ -19,32 +20,31 @@ PROFILES = (
 #: Pairs for which the small models are the better ones, and backends' names. Fixed values.
 PREFERRED = (("en", "ru"), ("ru", "en"))
 PRIMARY, QUALITY = "argos", "m2m100"
-MAX_HOPS = 6
 
 
 def profiles(spark: SparkSession) -> DataFrame:
     return constant(spark, list(PROFILES), "profile string, prefer_quality boolean, allow_quality boolean, auto_gpu boolean, threads int, beam_size int, batch_tokens int")
 
 
-def paths(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def paths(edges: DataFrame) -> DataFrame:
     """source, target, kind (direct or pivot), path: for each pair the edge, and the shortest way that doesn't begin with it.
 
-    Of equally short ways the one whose nodes come first in order. The graph of languages is small by its nature (a node per
-    language); the walk grows one hop at a time, keeps one way per pair and end, and stops when nothing new is reached.
+    Of equally short ways the one whose nodes come first in order; of any length. The ways are found breadth first: a step keeps,
+    for every first edge and node reached, one way, and goes on only from nodes that it reached for the first time. So there are
+    at most edges x nodes ways, and as many steps as the longest shortest way has hops. Null ends and loops are left out.
     """
-    e = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct().coalesce(1)
-    spark = edges.sparkSession
-    e.createOrReplaceTempView("_docflow_edges")
-    walk = spark.sql(f"""
-        WITH RECURSIVE walk(source, goal, node, path, hops) AS (
-            SELECT a.source, g.target, a.target, array(a.source, a.target), 1
-            FROM _docflow_edges a JOIN (SELECT DISTINCT target FROM _docflow_edges) g ON g.target <> a.source AND g.target <> a.target
-            UNION ALL
-            SELECT w.source, w.goal, x.target, array_append(w.path, x.target), w.hops + 1
-            FROM walk w JOIN _docflow_edges x ON x.source = w.node
-            WHERE w.node <> w.goal AND NOT array_contains(w.path, x.target) AND w.hops < {max_hops}
-        ) SELECT source, goal AS target, path, hops FROM walk WHERE node = goal""")
-    pivot = walk.groupBy("source", "target").agg(F.min_by("path", F.struct("hops", "path")).alias("path")).withColumn("kind", F.lit("pivot"))
+    e = cut(edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct())
+    start = e.select("source", F.col("target").alias("first"), F.col("target").alias("node"), F.array("source", "target").alias("path"))
+    seen, front = start, start
+    while True:
+        step = front.join(e.select(F.col("source").alias("node"), F.col("target").alias("next")), "node").where("next <> source")
+        step = step.groupBy("source", "first", F.col("next").alias("node")).agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
+        front = cut(step.join(seen, ["source", "first", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    ways = seen.where("first <> node").select("source", F.col("node").alias("target"), "path")
+    pivot = ways.groupBy("source", "target").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path")).withColumn("kind", F.lit("pivot"))
     direct = e.select("source", "target", F.array("source", "target").alias("path"), F.lit("direct").alias("kind"))
     return direct.unionByName(pivot).select("source", "target", "kind", "path")
 

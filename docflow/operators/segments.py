@@ -5,63 +5,52 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.functions.text import MAX_SEGMENT, WS, has_letter, outer_space
 
-#: Texts up to this length are split inside the JVM; longer ones by a linear pass over Arrow batches, with equal results.
-JVM_LIMIT = 60_000
-
-
-def cut_length(rest: Column, limit: int) -> Column:
-    """Length of the first bounded piece of ``rest``: up to the last boundary in the second half of the limit, else the limit."""
-    head = F.substring(rest, 1, limit)
-    to_space = F.length(F.regexp_replace(head, r"[^\t-\r\x{85}\p{Z}]+\z", ""))
-    return F.when(F.length(rest) <= limit, F.length(rest)).when(head.rlike(rf"(?:{WS}|[.!?。！？])\z"), F.lit(limit)).when(to_space >= limit // 2, to_space).otherwise(F.lit(limit))
-
-
-def _pieces_long(text: str, limit: int) -> list[str]:
-    out, at, n = [], 0, len(text)
-    while at < n:
-        stop = min(n, at + limit)
-        if stop < n and not (text[stop - 1].isspace() or text[stop - 1] in ".!?。！？"):
-            back = stop
-            while back > at and not text[back - 1].isspace():
-                back -= 1
-            if back - at >= limit // 2:
-                stop = back
+SPACE = re.compile(r"\s+")
+MARKS = ".!?。！？"
+
+
+def bounded_pieces(text: str, limit: int) -> list[str]:
+    """Pieces of ``limit`` characters at most: each ends after the last white space, or sentence mark at its very end, in the second
+    half of the limit, else at the limit. Linear in the text's length: white space is found once."""
+    n = len(text)
+    if n <= limit:
+        return [text] if text else []
+    ends = np.array([m.end() for m in SPACE.finditer(text)], dtype=np.int64)
+    inside = np.array([i for m in SPACE.finditer(text) for i in range(m.start() + 1, m.end())], dtype=np.int64)  # a run may be cut too
+    spaces = np.sort(np.concatenate([ends, inside])) if len(inside) else ends
+    out, at = [], 0
+    while n - at > limit:
+        stop = at + limit
+        if text[stop - 1] not in MARKS:
+            k = int(np.searchsorted(spaces, stop, side="right")) - 1
+            if k >= 0 and spaces[k] - at >= limit // 2:
+                stop = int(spaces[k])
         out.append(text[at:stop])
         at = stop
-    return out
+    return [*out, text[at:]]
 
 
 def bounded(df: DataFrame, text: str, *keep: str, limit: int = MAX_SEGMENT) -> DataFrame:
     """The columns ``keep`` with seg_ord and seg_text for every bounded piece; null and empty texts have none.
 
-    The pieces of a text put together are the text.
+    The pieces of a text put together are the text. One pass over Arrow batches, the same for texts of any length.
     """
-    short = df.where(F.length(text) <= JVM_LIMIT)
-    least = max(1, limit // 2)
-    steps = F.sequence(F.lit(1), F.ceil(F.length(text) / least).cast("int") + 1)
-    start = F.struct(F.col(text).alias("rest"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, _: Column) -> Column:
-        n = cut_length(acc["rest"], limit)
-        piece = acc["rest"].substr(F.lit(1), n)
-        return F.when(acc["rest"] == "", acc).otherwise(F.struct(acc["rest"].substr(n + 1, F.length(acc["rest"])).alias("rest"), F.concat(acc["out"], F.array(piece)).alias("out")))
-
-    fine = short.where(F.length(text) > 0).select(*keep, F.posexplode(F.when(F.length(text) <= limit, F.array(F.col(text))).otherwise(F.aggregate(steps, start, step)["out"])).alias("seg_ord", "seg_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", parts array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = pa.array([_pieces_long(t, limit) for t in b.column(0).to_pylist()], pa.list_(pa.string()))
+            parts = pa.array([bounded_pieces(t, limit) for t in b.column(0).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], parts], names=[*keep, "parts"])
 
-    long = df.where(F.length(text) > JVM_LIMIT).select(text, *keep).mapInArrow(run, schema)
-    return fine.unionByName(long.select(*keep, F.posexplode("parts").alias("seg_ord", "seg_text")))
+    cut = df.where(F.length(text) > 0).select(text, *keep).mapInArrow(run, schema)
+    return cut.select(*keep, F.posexplode("parts").alias("seg_ord", "seg_text"))
 
 
 def translatable(df: DataFrame, text: str = "seg_text") -> DataFrame:
@@ -125,21 +114,28 @@ def evenly(n: Column, count: int) -> Column:
 
 
 def allocate(text: str, lengths: list[int]) -> list[str]:
-    """``text`` dealt out over spans of the given former lengths, cut at the word boundary nearest to each proportional place."""
-    total, n = sum(lengths), len(text)
-    marks = sorted({0, n, *(m.end() for m in re.finditer(r"\s+", text))}) if re.search(r"\s", text) else list(range(n + 1))
-    out, at, seen = [], 0, 0
-    for length in lengths[:-1]:
-        seen += length
-        want = round(n * seen / total) if total else n
-        stop = min((m for m in marks if m >= at), key=lambda m: abs(m - want), default=n)
-        out.append(text[at:stop])
-        at = stop
-    return [*out, text[at:]] if lengths else []
+    """``text`` dealt out over spans of the given former lengths.
+
+    Each inner border lies in proportion to the former lengths and moves to the nearest end of a run of white space, or stays
+    where it is in a text without any. Borders in order move to places in order, so all are found at once by binary search.
+    """
+    if not lengths:
+        return []
+    n = len(text)
+    wanted = np.rint(n * np.cumsum(lengths[:-1], dtype=np.float64) / max(1, sum(lengths))).astype(np.int64)
+    places = np.unique([0, n, *(m.end() for m in SPACE.finditer(text))])
+    if len(places) > 2 or SPACE.search(text):
+        right = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+        left = np.maximum(right - 1, 0)
+        nearer = wanted - places[left] <= places[right] - wanted  # of two equally near places the first
+        wanted = np.where(nearer, places[left], places[right])
+    borders = [0, *wanted.tolist(), n]
+    return [text[a:b] for a, b in zip(borders, borders[1:])]
 
 
 def reallocate(df: DataFrame, owner: str, text: str, lengths: str) -> DataFrame:
-    """owner, span_ord, span_text: each owner's text over its spans; a null text or no spans gives none."""
+    """owner, span_ord, span_text: each owner's text over its spans; a null text or no spans gives none. A text that is not
+    changed should not come here: its spans already hold it."""
     schema = f"{owner} {df.schema[owner].dataType.simpleString()}, spans array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

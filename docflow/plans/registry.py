@@ -34,8 +34,8 @@ def read(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-WS = r"[\t-\r\x{85}\p{Z}]"
-NWS = r"[^\t-\r\x{85}\p{Z}]"
+WS = T.WS
+NWS = "[^" + T.WS[1:]
 
 # The bounded splitter as a recursion: each step cuts the first piece off the rest.
 CUTS = f"""RECURSIVE cuts(doc_id, seg_ord, seg_text, rest) AS (
@@ -70,7 +70,7 @@ WALK_SQL = """walk(source, goal, node, path, hops) AS (
   SELECT a.source, g.target, a.target, [a.source, a.target], 1 FROM edges a JOIN (SELECT DISTINCT target FROM edges) g ON g.target <> a.source AND g.target <> a.target
   UNION ALL
   SELECT w.source, w.goal, x.target, list_append(w.path, x.target), w.hops + 1 FROM walk w JOIN edges x ON x.source = w.node
-  WHERE w.node <> w.goal AND NOT list_contains(w.path, x.target) AND w.hops < 6),
+  WHERE w.node <> w.goal AND NOT list_contains(w.path, x.target)),
 closure AS (SELECT source, target, 'direct' AS kind, [source, target] AS path FROM edges
   UNION ALL SELECT source, goal, 'pivot', first(path ORDER BY hops, path) FROM walk WHERE node = goal GROUP BY source, goal)"""
 CAPS_SQL = f"""{EDGE_SQL}, {WALK_SQL},
@@ -119,12 +119,12 @@ def segment_route(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT request_id, received_at, CASE WHEN length(regexp_replace(text, '{WS}', '', 'g')) = 0 THEN 'blank' WHEN source_language = target_language THEN 'same_language'
-  WHEN length(text) > 1200 THEN 'too_long' WHEN NOT regexp_matches(text, '\\p{{L}}') THEN 'no_letters' ELSE 'ok' END AS status, length(text) AS chars FROM requests"""
+  WHEN length(text) > 50000 THEN 'too_long' WHEN NOT regexp_matches(text, '\\p{{L}}') THEN 'no_letters' ELSE 'ok' END AS status, length(text) AS chars FROM requests"""
 )
 def request_guards(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "requests", "request_id", "received_at", "text", "source_language", "target_language")
     t = F.col("text")
-    status = F.when(T.is_blank(t), "blank").when(F.col("source_language") == F.col("target_language"), "same_language").when(F.length(t) > 1200, "too_long").when(~T.has_letter(t), "no_letters").otherwise("ok")
+    status = F.when(T.is_blank(t), "blank").when(F.col("source_language") == F.col("target_language"), "same_language").when(F.length(t) > T.MAX_TEXT, "too_long").when(~T.has_letter(t), "no_letters").otherwise("ok")
     return r.select("request_id", "received_at", status.alias("status"), F.length(t).alias("chars"))
 
 
@@ -529,9 +529,12 @@ def case_selection(spark: SparkSession, d: str) -> DataFrame:
     return b.join(e.distinct(), "source", "left_semi").join(b.where("version > 1").select("id"), "id", "left_anti").select("case_no", "id")
 
 
-@query("SELECT result_id, printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) AS clock FROM (SELECT result_id, floor(duration_ms)::BIGINT AS s FROM results WHERE duration_ms BETWEEN 0 AND 300000)")
+@query("SELECT result_id, printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) AS clock FROM (SELECT result_id, CASE WHEN isnan(duration_ms) OR isinf(duration_ms) OR duration_ms < 0 THEN NULL ELSE floor(duration_ms / 1000)::BIGINT END AS s FROM results)")
 def clocks(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "results", "result_id", "duration_ms").where("duration_ms between 0 and 300000").select("result_id", T.clock(F.col("duration_ms")).alias("clock"))
+    """How long every result took as HH:MM:SS; null where it isn't known."""
+    ms = F.col("duration_ms")
+    known = F.when(~F.isnan(ms) & (ms >= 0) & (ms < float("inf")), F.floor(ms / 1000))
+    return read(spark, d, "results", "result_id", "duration_ms").select("result_id", T.clock(known).alias("clock"))
 
 
 @query("SELECT segment_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS html, trim(text, ' .,!?;:。！？\"“”()[]') AS term FROM segments")

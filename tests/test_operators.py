@@ -78,24 +78,38 @@ def plain_pieces(text, limit):
     return [*out, text] if text else out
 
 
-def test_bounded_equals_plain_rule(spark, monkeypatch):
+def test_bounded_equals_plain_rule(spark):
     rng = random.Random(3)
-    texts = ["".join(rng.choice("ab. \n。!é　") for _ in range(rng.randint(0, 90))) for _ in range(150)] + ["x" * 47, "", "a" * 12, "a" * 11 + " ", None]
+    texts = ["".join(rng.choice("ab. \n。!é　\x1c") for _ in range(rng.randint(0, 90))) for _ in range(150)] + ["x" * 47, "", "a" * 12, "a" * 11 + " ", None, "ab " * 30_000, "a" * 70_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
-    for limit_jvm in (10_000, 5):
-        monkeypatch.setattr(segments, "JVM_LIMIT", limit_jvm)
-        got = {}
-        for r in segments.bounded(df, "text", "id", limit=12).collect():
-            got.setdefault(r.id, {})[r.seg_ord] = r.seg_text
-        for i, t in enumerate(texts):
-            assert [got.get(i, {})[k] for k in sorted(got.get(i, {}))] == plain_pieces(t or "", 12)
+    got = {}
+    for r in segments.bounded(df, "text", "id", limit=12).collect():
+        got.setdefault(r.id, {})[r.seg_ord] = r.seg_text
+    for i, t in enumerate(texts):
+        assert [got.get(i, {})[k] for k in sorted(got.get(i, {}))] == plain_pieces(t or "", 12)
+
+
+def test_pieces_dont_depend_on_a_texts_length():
+    head = "a" * 700 + "\x1c" + "b" * 900
+    assert segments.bounded_pieces(head, 1200)[0] == segments.bounded_pieces(head + "c" * 90_000, 1200)[0] == "a" * 700 + "\x1c"
+
 
+def plain_spans(text, lengths):
+    """Brute force: span by span the place that is nearest to the proportional one, the first of equally near ones."""
+    places = [p for p in range(len(text) + 1) if p in (0, len(text)) or (text[p - 1].isspace() and not text[p].isspace()) or not any(map(str.isspace, text))]
+    out, at = [], 0
+    for k in range(len(lengths) - 1):
+        want = round(len(text) * sum(lengths[: k + 1]) / max(1, sum(lengths)))
+        end = min((p for p in places if p >= at), key=lambda p: abs(p - want))
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
 
-@settings(max_examples=60, deadline=None)
+
+@settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab .\n", max_size=60), st.lists(st.integers(0, 9), min_size=1, max_size=5))
-def test_allocate_keeps_text(text, lengths):
-    assert "".join(segments.allocate(text, lengths)) == text
-    assert len(segments.allocate(text, lengths)) == len(lengths)
+def test_allocate_equals_plain_rule(text, lengths):
+    assert segments.allocate(text, lengths) == plain_spans(text, lengths)
 
 
 def test_lines_round_trip(spark):
@@ -129,6 +143,17 @@ def test_paths(spark):
     assert ("x", "y", "pivot") not in got and ("y", "x", "pivot") not in got
 
 
+def test_paths_of_any_length(spark):
+    """A chain of ten languages has ways of nine hops, and a dense graph stays small."""
+    chain = spark.createDataFrame([(a, b) for a, b in zip("abcdefghi", "bcdefghij")] + [(None, "a"), ("a", None), ("c", "c")], "source string, target string")
+    got = {(r.source, r.target): r.path for r in routing.paths(chain).where("kind = 'pivot'").collect()}
+    assert got["a", "j"] == list("abcdefghij") and len(got) == 36
+    dense = spark.createDataFrame([(a, b) for a in "abcdefghijkl" for b in "abcdefghijkl" if a != b], "source string, target string")
+    rows = routing.paths(dense).collect()
+    assert len(rows) == 2 * 132 and all(len(r.path) == 3 for r in rows if r.kind == "pivot")
+    assert routing.paths(chain.limit(0)).count() == 0
+
+
 def test_decide(spark):
     caps = spark.createDataFrame([("argos", "en", "ru", "direct"), ("argos", "ru", "en", "direct"), ("argos", "zh", "ru", "pivot"), ("m2m100", "en", "ru", "direct"), ("m2m100", "zh", "ru", "direct")], "backend string, source string, target string, kind string")
     asked = spark.createDataFrame([("en", "ru", "balanced"), ("zh", "ru", "balanced"), ("zh", "ru", "fast"), ("zh", "ru", "economy"), ("en", "ru", "maximum"), ("en", "en", "fast"), ("fr", "ru", "fast"), (None, "ru", "fast")], "source string, target string, profile string")
