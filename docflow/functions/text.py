@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
 #: Addresses that are never translated. Fixed value.
 ADDRESS = r"(?:https?://|www\.|mailto:)[^\t-\r\x{1c}-\x{1f}\x{85}\p{Z}<>]+|[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}"
+#: The same for Python: a letter that goes on an address can't begin one, so long words take linear time.
+ADDRESS_PY = r"(?:https?://|www\.|mailto:)[^\s<>]+|(?<![\w.+-])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
 #: Display names of languages and their codes. Fixed values.
 DISPLAY = {"Определить автоматически": "auto", "Авто": "auto", "Русский": "ru", "Английский": "en", "Английский (США)": "en", "Немецкий": "de", "Испанский": "es", "Французский": "fr", "Китайский": "zh", "Японский": "ja"}
 #: Names that a file may not have. Fixed value.
@@ -46,6 +48,13 @@ def script_guess(token: Column) -> Column:
     return F.when(token.rlike(r"^[а-яёА-ЯЁ\x{301}]+\z"), "ru").when(token.rlike(r"^[a-zA-Z'’]+\z"), "en").otherwise("auto")
 
 
+def main_script(text: Column) -> Column:
+    """Language that most letters of a text suggest: ru, zh, ja or en; en for none. A stand-in where no better classifier is given."""
+    n = lambda c: F.regexp_count(text, F.lit(c))
+    kana, han, cyr, lat = n(r"[\x{3040}-\x{30ff}]"), n(r"[\x{4e00}-\x{9fff}]"), n(r"[\x{400}-\x{52f}]"), n("[A-Za-z]")
+    return F.when(kana * 8 > han + kana, "ja").when(han > cyr + lat, "zh").when(cyr > lat, "ru").otherwise("en")
+
+
 def addresses(text: Column) -> Column:
     """Array of the addresses in a text, in order."""
     some = text.rlike(r"@|://|www\.|mailto:")  # the full pattern is slow on long words, and few texts have addresses

@@ -9,7 +9,7 @@ import re
 import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +19,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # Names and limits of the package format. Fixed values.
 NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 W = f"{{{NS}}}"
-PARTS = re.compile(r"word/(?:document|header\d*|footer\d*)\.xml")
+PARTS = re.compile(r"word/(?:document|(?:header|footer)\d+)\.xml")
 OPAQUE = frozenset(W + x for x in ("del", "fldSimple", "drawing", "object", "pict", "txbxContent", "sdt"))
+# What ends a group beside opaque regions and fields: its place must stay between two groups. Fixed values.
+BREAKS = frozenset(W + x for x in ("br", "tab", "cr", "instrText"))
 MAX_BYTES, MAX_MEMBERS = 256 * 1024 * 1024, 20_000
 SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 
@@ -51,33 +53,36 @@ def members(content: bytes) -> dict[str, bytes]:
 
 
 def groups(root: ET.Element) -> list[list[ET.Element]]:
-    """Text nodes of every paragraph in order, without those in opaque regions, field results and nested paragraphs.
+    """Runs of text nodes in order that nothing parts: not a break, a tab, a field, an opaque region, or the paragraph's end.
 
+    Nodes in opaque regions and of field results are left out. A paragraph inside another has groups of its own after its owner's.
     The depth of open fields is carried from paragraph to paragraph, so a part is read from its beginning to its end.
     """
-    out: list[list[ET.Element]] = []
+    paragraphs: list[list[list[ET.Element]]] = []
     depth = 0
 
-    def walk(el: ET.Element, own: list[ET.Element], hidden: bool) -> None:
+    def walk(el: ET.Element, own: list[list[ET.Element]] | None) -> None:
         nonlocal depth
         for child in el:
             if child.tag in OPAQUE:
-                walk(child, [], True)
+                if own is not None:
+                    own.append([])
             elif child.tag == W + "p":
-                nested: list[ET.Element] = []
-                if not hidden:
-                    out.append(nested)
-                walk(child, nested, hidden)
-            elif child.tag == W + "fldChar":
+                paragraphs.append([[]])
+                walk(child, paragraphs[-1])
+            elif own is not None and child.tag == W + "fldChar":
+                own.append([])
                 depth = max(0, depth + {"begin": 1, "end": -1}.get(child.get(W + "fldCharType"), 0))
-            elif child.tag == W + "t":
-                if not hidden and not depth:
-                    own.append(child)
+            elif own is not None and child.tag in BREAKS:
+                own.append([])
+            elif own is not None and child.tag == W + "t":
+                if not depth:
+                    own[-1].append(child)
             else:
-                walk(child, own, hidden)
+                walk(child, own)
 
-    walk(root, [], False)
-    return [g for g in out if any(n.text for n in g)]
+    walk(root, None)
+    return [g for p in paragraphs for g in p if any(n.text for n in g)]
 
 
 def parse(xml: bytes) -> ET.Element:
@@ -98,10 +103,14 @@ def text_groups(content: bytes) -> list[tuple[str, int, list[str]]]:
     return out
 
 
-def structure(content: bytes) -> tuple[int, int]:
-    """Numbers of sections and tables."""
+def structure(content: bytes) -> tuple[int, ...]:
+    """Numbers of sections, tables, rows and cells; a table with a row outside it or a cell outside a row is broken."""
     root = ET.fromstring(members(content)["word/document.xml"])
-    return sum(1 for _ in root.iter(W + "sectPr")), sum(1 for _ in root.iter(W + "tbl"))
+    rows = [r for t in root.iter(W + "tbl") for r in t.iter(W + "tr")]
+    cells = sum(1 for r in rows for _ in r.iter(W + "tc"))
+    if len(set(map(id, rows))) != sum(1 for _ in root.iter(W + "tr")):
+        raise BadPackage("row outside a table")
+    return sum(1 for _ in root.iter(W + "sectPr")), sum(1 for _ in root.iter(W + "tbl")), len(rows), cells
 
 
 def rewrite(content: bytes, texts: dict[tuple[str, int], list[str]]) -> bytes:
@@ -127,7 +136,7 @@ def rewrite(content: bytes, texts: dict[tuple[str, int], list[str]]) -> bytes:
     return buffer.getvalue()
 
 
-def validate(content: bytes, expected: tuple[int, int]) -> str | None:
+def validate(content: bytes, expected: tuple[int, ...]) -> str | None:
     """What is wrong with a written package, or null."""
     try:
         return None if content and structure(content) == expected else "structure"
@@ -187,7 +196,10 @@ class WordSource(DataSource):
 
 
 def find(root: str) -> list[str]:
-    """Packages in a folder and below it, in the order of a scan: no links, hidden files and working copies."""
+    """Packages in a folder and below it, in the order of a scan: no links, hidden files and working copies.
+
+    A folder's own files come first, in the order of their names, then its folders in theirs.
+    """
     if not os.path.exists(root):
         raise FileNotFoundError(root)
     if os.path.isfile(root):
@@ -199,17 +211,38 @@ def find(root: str) -> list[str]:
     return out
 
 
+def asked_paths(paths: list[str]) -> list[str]:
+    """Paths to scan in order: folders before files, short paths before long ones, then by name without case; each once.
+
+    A path that isn't there is an error.
+    """
+    for p in paths:
+        if not os.path.exists(p):
+            raise FileNotFoundError(p)
+    return sorted(dict.fromkeys(paths), key=lambda p: (not os.path.isdir(p), p.rstrip("/").count("/"), p.casefold()))
+
+
+def scanned(spark: SparkSession, root: str) -> DataFrame:
+    """path, name, length, status (file or skipped) of everything below a folder that any file system may hold; contents aren't read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    from docflow.operators.corpus import status
+
+    return df.withColumn("status", status(F.col("name")))
+
+
 def packages(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, content of the packages below a folder that any file system may hold."""
+    """path, length, content of the packages below a folder that any file system may hold; see ``scanned`` for what is passed over."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.element_at(F.split("path", "/"), -1)
     from docflow.operators.corpus import status
 
-    return df.where(status(name) == "file").select("path", "length", "content")
+    return df.where(status(F.element_at(F.split("path", "/"), -1)) == "file").select("path", "length", "content")
+
 
+def publish(path: str, content: bytes, expected: tuple[int, ...], unchanged: Callable[[], bool] = lambda: True) -> str | None:
+    """Write a package beside its place, check it, and link it there; never over an existing file. What went wrong, or null.
 
-def publish(path: str, content: bytes, expected: tuple[int, int]) -> str | None:
-    """Write a package beside its place, check it, and link it there; never over an existing file. What went wrong, or null."""
+    ``unchanged`` is asked just before the link: whether the source still is what was read. The temporary file is always removed.
+    """
     wrong = validate(content, expected)
     if wrong:
         return wrong
@@ -219,6 +252,8 @@ def publish(path: str, content: bytes, expected: tuple[int, int]) -> str | None:
     try:
         with os.fdopen(fd, "wb") as f:
             f.write(content)
+        if not unchanged():
+            return "changed"
         os.link(temporary, path)
         return None
     except FileExistsError:

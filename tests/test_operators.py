@@ -290,7 +290,7 @@ def test_groups_skip_protected():
 def test_rewrite_keeps_other_members():
     p = package(RUN("One ") + RUN("two"))
     out = word.rewrite(p, {("word/document.xml", 0): ["Eins ", "zwei"]})
-    assert [t for _, _, t in word.text_groups(out)] == [["Eins ", "zwei"]] and word.structure(out) == (1, 1)
+    assert [t for _, _, t in word.text_groups(out)] == [["Eins ", "zwei"]] and word.structure(out) == (1, 1, 0, 0)
     assert word.members(out)["word/media/a.png"] == b"\x89PNG" and zipfile.ZipFile(io.BytesIO(out)).comment == b"note"
     assert word.members(word.rewrite(p, {})) == word.members(p)
 
@@ -301,21 +301,83 @@ def test_bad_packages():
             word.members(bad)
 
 
+def test_groups_end_at_breaks():
+    p = package(RUN("First line") + "<w:r><w:br/></w:r>" + RUN("Second line") + "<w:r><w:tab/></w:r>" + RUN("Third") + RUN(" end"), "<w:r><w:t>a</w:t><w:drawing/><w:t>b</w:t></w:r>")
+    assert [t for _, _, t in word.text_groups(p)] == [["First line"], ["Second line"], ["Third", " end"], ["a"], ["b"]]
+    out = word.rewrite(p, {("word/document.xml", 1): ["Zweite Zeile"]})
+    assert [t for _, _, t in word.text_groups(out)][:2] == [["First line"], ["Zweite Zeile"]] and b"br" in word.members(out)["word/document.xml"]
+
+
+def test_protected_pieces():
+    text = "  See https://a.b/c?d now, or write to x.y@z.org. " + "word " * 500 + "12 34"
+    got = job.protected_pieces(text)
+    assert "".join(a + b + c for a, b, c, _ in got) == text and max(len(a + b + c) for a, b, c, _ in got) <= 1200
+    assert [b for _, b, _, spoken in got if not spoken] == ["https://a.b/c?d", "x.y@z.org"]
+    assert not job.protected_pieces("123 4")[0][3] and job.protected_pieces("") == []
+
+
 def test_job_end_to_end(spark, tmp_path):
     src, dst = tmp_path / "in", tmp_path / "out"
-    src.mkdir()
-    (src / "a.docx").write_bytes(package(RUN("Hello ") + RUN("big world"), RUN("12345")))
+    (src / "sub").mkdir(parents=True)
+    (src / "a.docx").write_bytes(package(RUN("Hello ") + RUN("big world"), RUN("123 4") + RUN("567") + RUN("8 9"), RUN("Go to https://a.b/c now")))
+    (src / "sub" / "b.docx").write_bytes(package(RUN("Привет, мир")))
     (src / "bad.docx").write_bytes(b"no")
     (src / "~$a.docx").write_bytes(b"x")
     files = word.packages(spark, str(src))
-    assert files.count() == 2
-    target = lambda p: str(dst / p.rsplit("/", 1)[1])
-    got = {r.path.rsplit("/", 1)[1]: r.error for r in job.run_job(files, job.upper_double, target).collect()}
-    assert got["a.docx"] is None and got["bad.docx"]
-    assert [t for _, _, t in word.text_groups((dst / "a.docx").read_bytes())] == [["HELLO ", "BIG WORLD"], ["12345"]]
-    assert not [p for p in dst.iterdir() if p.name.startswith(".docflow")]
-    again = {r.path.rsplit("/", 1)[1]: r.error for r in job.run_job(files, job.upper_double, target).collect()}
-    assert again["a.docx"] == "exists"
+    assert files.count() == 3 and {(r.name, r.status) for r in word.scanned(spark, str(src)).collect()} >= {("~$a.docx", "skipped"), ("a.docx", "file")}
+    seen = tmp_path / "asked"
+    seen.mkdir()
+
+    def infer(texts, sources):
+        import uuid
+
+        (seen / uuid.uuid4().hex).write_text("\n".join(texts))
+        return [t.upper() for t in texts]
+
+    config = job.Config(target="ru", output=str(dst), template="{name}_{lang}", filenames=True)
+    got = {r.path.rsplit("/", 1)[1]: r for r in job.run_job(files, infer, config, root=str(src)).collect()}
+    assert got["a.docx"].error is None and got["bad.docx"].error and got["b.docx"].source == "ru" and got["a.docx"].segments == 3
+    a = dst / "in_ru" / "A_ru.docx"
+    assert got["a.docx"].output == str(a) and (dst / "in_ru" / "sub" / "b_ru.docx").exists()
+    assert [t for _, _, t in word.text_groups(a.read_bytes())] == [["HELLO ", "BIG WORLD"], ["123 4", "567", "8 9"], ["GO TO https://a.b/c NOW"]]
+    assert "https" not in "".join(f.read_text() for f in seen.iterdir())
+    # what is in the target language stays byte for byte; a taken name gets a number
+    assert word.members((dst / "in_ru" / "sub" / "b_ru.docx").read_bytes()) == word.members((src / "sub" / "b.docx").read_bytes())
+    again = {r.path.rsplit("/", 1)[1]: r.output for r in job.run_job(files, infer, config, root=str(src)).collect()}
+    assert again["a.docx"] == str(dst / "in_ru" / "A_ru (1).docx")
+    assert not [p for p in dst.rglob("*") if p.name.startswith(".docflow")]
+    plain = job.run_job(files.where("path like '%/a.docx'"), lambda ts, _: ["" for _ in ts], job.Config(output=str(dst))).first()
+    assert plain.error == "EmptyOutput" and plain.output is None
+
+
+def test_changed_source_isnt_published(tmp_path):
+    content = package(RUN("x"))
+    assert word.publish(str(tmp_path / "o.docx"), content, word.structure(content), lambda: False) == "changed" and not list(tmp_path.iterdir())
+    (tmp_path / "s.docx").write_bytes(content)
+    import hashlib
+
+    sha = hashlib.sha256(content).hexdigest()
+    assert job.still_there(f"file:{tmp_path}/s.docx", sha) and not job.still_there(f"{tmp_path}/s.docx", "0") and not job.still_there(f"{tmp_path}/gone.docx", sha)
+
+
+def test_translated_directories(spark):
+    files = spark.createDataFrame([("file:/r/Top/Docs/a.docx", b""), ("file:/r/Top/Docs/Sub/b.docx", b""), ("file:/r/Top/c.docx", b"")], "path string, content binary")
+    langs = spark.createDataFrame([("file:/r/Top/Docs/a.docx", "en"), ("file:/r/Top/Docs/Sub/b.docx", "ru"), ("file:/r/Top/c.docx", "ru")], "path string, source string")
+    got = {r.path[-6]: r.folder for r in job.destinations(files, langs, job.Config(target="ru", directories=True), "/r/Top", job.upper_double).collect()}
+    # Docs and Sub in the language of the first package below them: Docs/Sub/b (ru) comes before Docs/a
+    assert got == {"a": "/r/Top_ru/Docs", "b": "/r/Top_ru/Docs/Sub", "c": "/r/Top_ru"}
+
+
+def test_paths_in_order_and_unfinished_jobs(spark, tmp_path):
+    for n in ("b.docx", "A.docx"):
+        (tmp_path / n).write_bytes(b"")
+    (tmp_path / "z").mkdir()
+    assert [p.rsplit("/", 1)[1] for p in word.asked_paths([str(tmp_path / n) for n in ("b.docx", "A.docx", "z", "b.docx")])] == ["z", "A.docx", "b.docx"]
+    with pytest.raises(FileNotFoundError):
+        word.asked_paths([str(tmp_path / "gone")])
+    jobs = spark.createDataFrame([("x", 1), ("y", 2)], "path string, k int")
+    there = spark.createDataFrame([("x",), ("x",)], "path string")
+    assert [r.k for r in job.unfinished(jobs, True, there).collect()] == [1] and job.unfinished(jobs, False, there).count() == 0
 
 
 def test_word_source(spark, tmp_path):
