@@ -99,6 +99,42 @@ def manifest_errors(models: DataFrame) -> DataFrame:
     return models.select("id", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(k)) for k, c in checks.items()])).alias("errors"))
 
 
+def model_states(models: DataFrame, files: DataFrame, known: DataFrame, full: bool) -> DataFrame:
+    """id, state, error of every model record: AVAILABLE, MISSING or CORRUPTED, or what is in use already (LOADING, READY).
+
+    ``files``: id, path, size, sha256 of what is there (sha256 may be null unless ``full``); ``known``: id, state from before. A
+    model known to be corrupted stays so for checks of sizes alone, and only a full check can clear it. A missing file is found
+    before files after it are looked at, in the order of the manifest; a file of another size, or in a full check of another hash, is corrupt.
+    """
+    want = models.select("id", F.posexplode("files").alias("ord", "f")).select("id", "ord", F.col("f.path").alias("path"), F.col("f.size").alias("want"), F.lower("f.sha256").alias("want_sha"))
+    have = files.select("id", "path", F.col("size").alias("have"), F.lower("sha256").alias("have_sha"))
+    bad = F.when(F.col("have").isNull(), "MISSING").when(F.col("have") != F.col("want"), "CORRUPTED")
+    if full:
+        bad = bad.when(~F.col("have_sha").eqNullSafe(F.col("want_sha")), "CORRUPTED")
+    first = want.join(have, ["id", "path"], "left").withColumn("bad", bad).groupBy("id").agg(F.min_by("bad", F.when(F.col("bad").isNotNull(), F.col("ord"))).alias("bad"))
+    all_ = models.select("id").distinct().join(first, "id", "left").join(known.select("id", F.col("state").alias("old")), "id", "left")
+    sticky = (F.col("old") == "CORRUPTED") & F.lit(not full)
+    state = F.when(sticky, "CORRUPTED").when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("old").isin("LOADING", "READY"), F.col("old")).otherwise("AVAILABLE")
+    error = F.when(sticky | (F.col("bad") == "CORRUPTED"), "ModelCorrupted").when(F.col("bad") == "MISSING", "ModelMissing")
+    return all_.select("id", state.alias("state"), error.alias("error"))
+
+
+def discovered(found: DataFrame, models: DataFrame, root: str) -> DataFrame:
+    """``found`` (path and more) with the id of the model record whose place under ``root`` it is; packages of no record have null.
+
+    Places are compared without "." parts and repeated separators; records that lie outside the root are no one's.
+    """
+    plain = lambda c: F.array_join(F.filter(F.split(c, r"[/\\\\]+"), lambda x: (x != "") & (x != ".")), "/")
+    known = models.where(inside(F.col("path"))).select(plain(F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))).alias("__at"), F.col("id").alias("model_id"))
+    return found.withColumn("__at", plain(F.col("path"))).join(known, "__at", "left").drop("__at")
+
+
+def newest_compatible(index: DataFrame, key: str, version: str, most: str) -> DataFrame:
+    """The row of the greatest version of every key of a package index that isn't beyond ``most``."""
+    number = lambda c: F.transform(F.split(c, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))
+    return newest(index.where(number(F.col(version)) <= number(F.lit(most))), key, version)
+
+
 def upsert(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``rows`` with those of ``new`` in the place of rows of the same key."""
     return rows.join(new.select(key), key, "left_anti").unionByName(new)

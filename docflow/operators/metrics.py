@@ -28,6 +28,31 @@ def throughput(median_ms: Column, chars: Column, words: Column) -> tuple[Column,
     return rate(chars), F.when(words > 0, rate(words))
 
 
+def cold_and_warm(runs: DataFrame, groups: list[str], iteration: str, value: str, failure: str, warmup: int) -> DataFrame:
+    """groups, cold_ms, warm_median_ms, warm_p95_ms, warm, errors, failures, failed of repeated runs.
+
+    The first iteration (0) is the cold one; those after the warm-up are warm. A failed run has no time; failures are the different
+    names of errors in order, failed whether there is any.
+    """
+    i, ok = F.col(iteration), F.col(failure).isNull() & F.col(value).isNotNull()
+    warm = F.when(ok & (i > warmup), F.col(value))
+    rows = runs.withColumn("__warm", warm).withColumn("__cold", F.when(ok & (i == 0), F.col(value)))
+    return rows.groupBy(*groups).agg(
+        F.round(F.max("__cold"), 6).alias("cold_ms"),
+        F.round(F.median("__warm"), 6).alias("warm_median_ms"),
+        F.round(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY __warm)"), 6).alias("warm_p95_ms"),
+        F.count("__warm").alias("warm"),
+        F.count(failure).alias("errors"),
+        F.array_join(F.array_sort(F.collect_set(failure)), ",").alias("failures"),
+        F.coalesce(F.bool_or(F.col(failure).isNotNull()), F.lit(False)).alias("failed"),
+    )
+
+
+def route_label(backend: Column, reason: Column) -> Column:
+    """A backend's name, marked where its route was a pivot; a dash for none."""
+    return F.concat(F.coalesce(backend, F.lit("—")), F.when(F.contains(reason, F.lit("pivot")), " pivot").otherwise(""))
+
+
 def concept_score(rows: DataFrame, output: str, concepts: str) -> Column:
     """How many concepts (arrays of alternatives) the output names, whatever the letter case."""
     low = F.lower(rows[output])
@@ -40,5 +65,10 @@ def number(value: Column) -> Column:
 
 
 def markdown(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """One line of a Markdown table per row."""
+    """One line of a Markdown table per row; see ``markdown_head`` for what stands above."""
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *columns.values()), F.lit(" |")).alias("line"))
+
+
+def markdown_head(columns: dict[str, bool]) -> list[str]:
+    """The two lines above a Markdown table: names, and for each whether it holds numbers."""
+    return ["| " + " | ".join(columns) + " |", "|" + "|".join("---:" if numeric else "---" for numeric in columns.values()) + "|"]

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from docflow.constants import constant
 from docflow.functions import text as T
-from docflow.operators import corpus, inference, lexicon, metrics, ordered, routing, segments
+from docflow.operators import attempts, corpus, hardware, inference, lexicon, metrics, ordered, routing, segments
+from docflow.operators.lineage import shared_folder
+from docflow.plans import job
+from docflow.sources import files, word
 from docflow.streaming import timers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,13 +338,16 @@ def attempt_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT target_language, round(length(string_agg(translated_text, '')) * 0 + median(duration_ms), 6) AS median_ms, sum(length(translated_text)) AS chars,
+    f"""WITH g AS (SELECT target_language, round(median(duration_ms), 6) AS median_ms, sum(length(translated_text)) AS chars,
   CASE WHEN target_language IN ('zh', 'ja') THEN NULL ELSE sum(len(list_filter(regexp_split_to_array(translated_text, '{WS}+'), lambda x: x <> ''))) END AS words
-FROM results WHERE translated_text IS NOT NULL AND {GOOD} GROUP BY 1""".replace("length(string_agg(translated_text, '')) * 0 + ", "")
+FROM results WHERE translated_text IS NOT NULL AND {GOOD} GROUP BY 1)
+SELECT *, CASE WHEN median_ms > 0 THEN round(chars * 1000 / median_ms, 3) END AS chars_per_s, CASE WHEN median_ms > 0 AND words > 0 THEN round(words * 1000 / median_ms, 3) END AS words_per_s FROM g"""
 )
 def throughput(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "results", "translated_text", "target_language", "duration_ms").where("translated_text is not null and duration_ms is not null and not isnan(duration_ms) and duration_ms >= 0")
-    return r.groupBy("target_language").agg(F.round(F.median("duration_ms"), 6).alias("median_ms"), F.sum(F.length("translated_text")).alias("chars"), F.sum(T.word_count(F.col("translated_text"), F.col("target_language"))).alias("words"))
+    g = r.groupBy("target_language").agg(F.round(F.median("duration_ms"), 6).alias("median_ms"), F.sum(F.length("translated_text")).alias("chars"), F.sum(T.word_count(F.col("translated_text"), F.col("target_language"))).alias("words"))
+    chars, words = metrics.throughput(F.col("median_ms"), F.col("chars"), F.col("words"))
+    return g.select("*", chars.alias("chars_per_s"), words.alias("words_per_s"))
 
 
 @query("WITH p(profile) AS (VALUES ('economy'),('fast'),('balanced'),('turbo'),('maximum'),('automatic')), b(backend) AS (VALUES ('argos'),('m2m100')), d(device) AS (VALUES ('cpu'),('cuda')) SELECT profile, backend, device, id AS case_id, length(text) AS chars FROM benchmark_corpus, p, b, d")
@@ -480,14 +486,23 @@ def token_batches(spark: SparkSession, d: str) -> DataFrame:
     return segments.batches(s, "doc_id", "segment_id", "n", 768)
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''")
+@query(f"WITH parts AS ({SQL['seg_lines']}) SELECT doc_id, string_agg(lead || replace(core, 'e', '3') || tail, '' ORDER BY line_ord) AS text FROM parts GROUP BY doc_id")
 def reassemble(spark: SparkSession, d: str) -> DataFrame:
-    """Documents cut into lines and put together again: the texts themselves."""
-    parts = segments.lines(read(spark, d, "documents", "doc_id", "text"), "text", "doc_id")
+    """Documents cut into lines, their cores changed, and put together again."""
+    parts = segments.lines(read(spark, d, "documents", "doc_id", "text"), "text", "doc_id").withColumn("core", F.replace("core", F.lit("e"), F.lit("3")))
     return segments.reassemble(parts, "doc_id", "line_ord", F.lit("en"))
 
 
-@query()
+SPAN_PLACES = f"""s AS (SELECT segment_id, translated AS t, string_split(translated, '') AS c, length(translated) AS n, length(text) AS m, length(text) // 2 AS a, length(text) // 4 AS b FROM segments WHERE translated IS NOT NULL AND text IS NOT NULL AND translated <> ''),
+p AS (SELECT *, list_filter(range(1, n + 1), lambda i: i = n OR (regexp_matches(c[i], '{WS}') AND NOT regexp_matches(c[i + 1], '{WS}'))) AS ends, regexp_matches(t, '{WS}') AS blank,
+  round_even(n * a / greatest(1, m)::DOUBLE, 0)::BIGINT AS w1, round_even(n * (a + b) / greatest(1, m)::DOUBLE, 0)::BIGINT AS w2 FROM s),
+q AS (SELECT segment_id, t, n, CASE WHEN blank THEN list_sort(list_transform(list_prepend(0, ends), lambda e: {{'d': abs(e - w1), 'e': e}}))[1].e ELSE w1 END AS x, CASE WHEN blank THEN list_sort(list_transform(list_prepend(0, ends), lambda e: {{'d': abs(e - w2), 'e': e}}))[1].e ELSE w2 END AS y FROM p)"""
+
+
+@query(
+    f"""WITH {SPAN_PLACES} SELECT segment_id, 0 AS span_ord, left(t, x) AS span_text FROM q UNION ALL SELECT segment_id, 1, substr(t, x + 1, y - x) FROM q UNION ALL SELECT segment_id, 2, substr(t, y + 1) FROM q
+UNION ALL SELECT segment_id, i, '' FROM segments, range(3) r(i) WHERE translated = '' AND text IS NOT NULL"""
+)
 def span_allocate(spark: SparkSession, d: str) -> DataFrame:
     """Each translated segment dealt out over three spans in the proportions of its source."""
     s = read(spark, d, "segments", "segment_id", "text", "translated").where("translated is not null and text is not null")
@@ -555,24 +570,214 @@ def markdown_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics.markdown(m, {"backend": F.col("backend"), "device": F.coalesce("device", F.lit("—")), "p95": metrics.number(F.col("p95_ms"))})
 
 
-@query("SELECT segment_id, text AS translated, CAST(NULL AS VARCHAR) AS error FROM segments")
-def translate_identity(spark: SparkSession, d: str) -> DataFrame:
-    """All segments through lines, chunks, calls and reassembly with a model that changes nothing: the segments themselves."""
+class Changed(inference.WordDouble):
+    """A test double that puts another sign for a letter. Not a translation."""
+
+    def infer(self, chunks: list[list[str]]) -> list[list[str]]:
+        return [[w.replace("e", "3") for w in c] for c in chunks]
+
+
+@query("SELECT segment_id, replace(text, 'e', '3') AS translated, CAST(NULL AS VARCHAR) AS error FROM segments")
+def translate_changed(spark: SparkSession, d: str) -> DataFrame:
+    """All segments through lines, chunks, calls and reassembly with a model that changes a letter."""
     rows = read(spark, d, "segments", "segment_id", "text").withColumn("target", F.lit("ru"))
-    return inference.translate(rows, "text", "target", inference.SameDouble, inference.Limits(), "segment_id")
+    return inference.translate(rows, "text", "target", Changed, inference.Limits(), "segment_id")
+
+
+@query("SELECT segment_id, replace(replace(text, 'e', '3'), '3', '33') AS translated, 2 AS hops FROM segments WHERE regexp_matches(text, '\\p{L}') UNION ALL SELECT segment_id, text, 0 FROM segments WHERE text IS NULL OR NOT regexp_matches(text, '\\p{L}')")
+def translate_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """All segments along a path of two hops, each with a model of its own pair."""
+
+    def build(a: str, b: str, _: inference.Decoding) -> inference.Model:
+        class Hop(inference.WordDouble):
+            def infer(self, chunks: list[list[str]]) -> list[list[str]]:
+                return [[w.replace("e", "3") if a == "en" else w.replace("3", "33") for w in c] for c in chunks]
+
+        return Hop()
+
+    rows = read(spark, d, "segments", "segment_id", "text").withColumn("path", F.array(F.lit("en"), F.lit("de"), F.lit("ru")))
+    return inference.translate_along(rows, "text", "path", build, inference.Limits(), inference.Decoding(), "segment_id").select("segment_id", "translated", "hops")
+
+
+OFFERED = {"argos": ("cpu", "cuda"), "m2m100": ("cpu", "cuda")}
+FORMATS = {"cuda": ("int8_float16", "float32"), "cpu": ("int8", "float32")}
+
+
+class Moody:
+    """A test double of a runner: some backends, devices and formats fail for some lengths. Not a translation."""
+
+    def __call__(self, backend: str, kind: str, device: str, compute: str, source: str, target: str, text: str) -> str:
+        n = len(text)
+        if n % 97 == 0:
+            raise attempts.Cancelled
+        if compute == "int8_float16" and n % 2 == 0:
+            raise attempts.DeviceUnavailable
+        if backend == "m2m100" and n % 3 == 0:
+            raise ValueError
+        return " " if kind == "pivot" and n % 5 == 0 else text
+
+
+@query(
+    f"""WITH RECURSIVE {CAPS_SQL}, asked AS (SELECT request_id, received_at, text, device_preference AS pref, {CLEANED.format(c="source_language")} AS source, target_language AS target, performance_profile AS profile FROM requests WHERE {CLEANED.format(c="source_language")} IS NOT NULL AND text IS NOT NULL), {DECIDE_SQL},
+d AS (SELECT o.*, length(o.text) AS n, CASE o.pref WHEN 'cpu' THEN ['cpu'] WHEN 'gpu' THEN ['cuda'] ELSE CASE WHEN p.auto_gpu THEN ['cuda','cpu'] ELSE ['cpu'] END END AS devs FROM decided o LEFT JOIN profiles p USING (profile)),
+e AS (SELECT *, flatten(list_transform(ord, lambda c: flatten(list_transform(devs, lambda v: list_transform(CASE WHEN v = 'cuda' THEN ['int8_float16','float32'] ELSE ['int8','float32'] END, lambda f: c || '|' || v || '|' || f))))) AS plan FROM d),
+h AS (SELECT *, list_filter(plan, lambda x: NOT (ends_with(x, 'int8_float16') AND n % 2 = 0) AND NOT (starts_with(x, 'm2m100') AND n % 3 = 0) AND NOT (contains(x, ':pivot|') AND n % 5 = 0))[1] AS win, length(regexp_replace(text, '{WS}', '', 'g')) = 0 OR source = target AS still FROM e)
+SELECT request_id, received_at, CASE WHEN n > 50000 THEN NULL WHEN still THEN 'passthrough' WHEN n % 97 = 0 THEN NULL ELSE split_part(win, ':', 1) END AS backend, CASE WHEN n > 50000 OR still OR n % 97 = 0 THEN NULL ELSE split_part(win, '|', 2) END AS device,
+  CASE WHEN n > 50000 OR still OR n % 97 = 0 THEN NULL ELSE split_part(win, '|', 3) END AS compute,
+  CASE WHEN n > 50000 THEN 'long' WHEN still THEN 'passthrough' WHEN n % 97 = 0 AND len(plan) > 0 THEN 'cancelled' WHEN win IS NULL THEN 'failed' WHEN win = plan[1] THEN 'first' ELSE 'fallback' END AS outcome FROM h"""
+)
+def attempt_run(spark: SparkSession, d: str) -> DataFrame:
+    """Every request's route carried out with a runner that fails for some: who answered, and whether by a fallback."""
+    r = read(spark, d, "requests", "request_id", "received_at", "text", "device_preference", "source_language", "target_language", "performance_profile").where("text is not null")
+    r = r.select("request_id", "received_at", "text", F.col("device_preference").alias("preference"), cleaned("source_language").alias("source"), F.col("target_language").alias("target"), F.col("performance_profile").alias("profile")).where("source is not null")
+    decided = routing.decide(r, capabilities(spark), routing.profiles(spark)).join(F.broadcast(routing.profiles(spark).select("profile", "auto_gpu")), "profile", "left")  # one row per profile
+    candidates = F.when(F.col("kind").isNull() | (F.col("backend") == "passthrough"), F.array().cast("array<string>")).otherwise(F.concat(F.array(F.concat_ws(":", "backend", "kind")), F.filter(F.split("fallbacks", ","), lambda x: x != "")))
+    plan = attempts.planned(F.col("preference"), F.col("auto_gpu"), candidates, {k: F.array(*map(F.lit, v)) for k, v in OFFERED.items()}, F.lit(True), {k: F.array(*map(F.lit, v)) for k, v in FORMATS.items()})
+    fed = decided.select("request_id", "received_at", "text", "source", "target", plan.alias("plan"))
+    got = attempts.attempt(fed, "text", "source", "target", "plan", Moody, "request_id", "received_at")
+    outcome = F.when(F.col("error") == "InputTooLong", "long").when(F.col("error") == "Cancelled", "cancelled").when(F.col("error").isNotNull(), "failed").when(F.col("backend") == "passthrough", "passthrough").when(F.col("fallback_used"), "fallback").otherwise("first")
+    return got.select("request_id", "received_at", "backend", "device", "compute", outcome.alias("outcome"))
+
+
+@query(
+    f"""WITH RECURSIVE {CAPS_SQL}, asked AS (SELECT DISTINCT {CLEANED.format(c="source_language")} AS source, target_language AS target FROM requests WHERE {CLEANED.format(c="source_language")} IS NOT NULL), k AS (SELECT source, target, min(kind) AS kind FROM caps WHERE backend = 'argos' GROUP BY 1, 2)
+SELECT a.source, a.target, CASE WHEN a.source = a.target THEN 'passthrough' WHEN kind IS NOT NULL THEN 'argos' END AS backend, CASE WHEN a.source = a.target THEN 'none' ELSE kind END AS kind, CASE WHEN a.source = a.target THEN 'source equals target' WHEN kind IS NOT NULL THEN 'benchmark ' || kind || ' route' END AS reason,
+  '' AS fallbacks, CASE WHEN a.source <> a.target AND kind IS NULL THEN 'unsupported_language' END AS error FROM asked a LEFT JOIN k USING (source, target)"""
+)
+def only_backend(spark: SparkSession, d: str) -> DataFrame:
+    asked = read(spark, d, "requests").select(cleaned("source_language").alias("source"), F.col("target_language").alias("target")).where("source is not null").distinct()
+    return attempts.only_backend(asked, capabilities(spark), routing.PRIMARY)
+
+
+@query("SELECT backend, device, round(max(duration_ms) FILTER (ok AND i = 0), 6) AS cold_ms, round(quantile_cont(duration_ms, 0.5) FILTER (ok AND i > 1), 6) AS warm_median_ms, round(quantile_disc(duration_ms, 0.95) FILTER (ok AND i > 1), 6) AS warm_p95_ms, count(*) FILTER (ok AND i > 1) AS warm, count(*) FILTER (NOT ok) AS errors, CASE WHEN bool_and(ok) THEN '' ELSE 'NoTime' END AS failures, NOT bool_and(ok) AS failed FROM (SELECT backend, device, duration_ms, coalesce(duration_ms >= 0 AND NOT isnan(duration_ms), false) AS ok, row_number() OVER (PARTITION BY backend, device, request_id ORDER BY completed_at, result_id) - 1 AS i FROM results) GROUP BY ALL".replace("i > 1", "i > 0"))
+def cold_warm(spark: SparkSession, d: str) -> DataFrame:
+    """The first and the later runs of the same request on the same backend and device."""
+    r = read(spark, d, "results", "result_id", "request_id", "backend", "device", "duration_ms", "completed_at").withColumn("one", F.lit(1).cast("bigint"))
+    ms = F.col("duration_ms")
+    fine = F.coalesce((ms >= 0) & ~F.isnan(ms), F.lit(False))
+    runs = ordered.running(r, ["backend", "device", "request_id"], ["completed_at", "result_id"], "one").withColumn("failure", F.when(~fine, "NoTime")).withColumn("ms", F.when(fine, ms))
+    return metrics.cold_and_warm(runs, ["backend", "device"], "below", "ms", "failure", 0)
 
 
-@query()
+@query("SELECT c_custkey, CASE WHEN card THEN 'GPU' ELSE 'CPU' END AS device, CASE WHEN ram >= 32 AND card THEN 'Турбо' WHEN ram >= 16 THEN 'Баланс' ELSE 'Эконом' END AS mode, list_max(list_filter([2,4,6,8,12,16], lambda x: x <= least(greatest(cores // 2, 2), 16))) AS threads, CASE WHEN ram >= 32 AND card THEN '24 GB' WHEN ram >= 16 THEN '12 GB' WHEN ram >= 8 THEN '6 GB' ELSE '2 GB' END AS ram_limit, CASE WHEN vram = 0 THEN 'Автоматически' ELSE greatest(1, vram - 2) || ' GB' END AS vram_limit FROM (SELECT c_custkey, c_custkey % 64 AS ram, c_custkey % 40 AS cores, c_custkey % 7 AS vram, c_mktsegment <> 'MACHINERY' AS card FROM customer)")
+def hardware_advice(spark: SparkSession, d: str) -> DataFrame:
+    """What machines of different memory, cores and cards are recommended; the customers' numbers stand for machines."""
+    k = F.col("c_custkey")
+    m = read(spark, d, "customer", "c_custkey", "c_mktsegment").select("c_custkey", (k % 64).alias("ram_gb"), (k % 40).alias("logical_cores"), (k % 7).alias("vram_gb"), F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).otherwise(hardware.NO_CARD).alias("gpu"))
+    return hardware.recommend(m).select("c_custkey", "device", "mode", "threads", "ram_limit", "vram_limit")
+
+
+@query("SELECT job_id, CASE WHEN source = target AND source <> 'auto' THEN 'auto' ELSE target END AS kept_target, CASE profile WHEN 'Turbo' THEN 'Турбо' ELSE profile END AS mode, target AS swapped_source FROM document_configs")
+def choices(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of languages kept distinct and swapped, and plain names of modes."""
+    s, t = F.col("source"), F.col("target")
+    return read(spark, d, "document_configs", "job_id", "source", "target", "profile").select("job_id", hardware.distinct_pair(s, t, F.lit("source"))[1].alias("kept_target"), hardware.mode_label(F.concat(F.lit("⚡  "), "profile")).alias("mode"), hardware.swapped(s, t)[0].alias("swapped_source"))
+
+
+@query("SELECT job_id, i AS tick, least(100, i * 4) AS percent, least(n, round_even(n * least(100, i * 4) / 100.0, 0))::BIGINT AS processed FROM (SELECT job_id, count(*) AS n FROM documents GROUP BY 1), range(1, 26) t(i)")
+def demo_progress(spark: SparkSession, d: str) -> DataFrame:
+    return timers.ticks(read(spark, d, "documents", "job_id").groupBy("job_id").agg(F.count("*").alias("n")), "n").select("job_id", "tick", "percent", "processed")
+
+
+@query("SELECT user_id, date_trunc('second', ts) AS tick, count(*) AS done FROM events GROUP BY 1, 2")
+def progress_ticks(spark: SparkSession, d: str) -> DataFrame:
+    return timers.per_tick(read(spark, d, "events", "user_id", "ts"), "user_id", "ts")
+
+
+@query("SELECT result_id, concat_ws(' ', 'backend=' || backend, 'device=' || device, 'chars=' || length(translated_text), 'fallback=' || fallback_used) AS line, device FROM results")
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines of results, and the device that is read back from each."""
+    line = files.log_line({"backend": F.col("backend"), "device": F.col("device"), "chars": F.length("translated_text"), "fallback": F.col("fallback_used")})
+    r = read(spark, d, "results", "result_id", "backend", "device", "translated_text", "fallback_used").select("result_id", line.alias("line"))
+    return r.select("*", files.parse_log(F.col("line"))["device"].alias("device"))
+
+
+@query("SELECT job_id AS user, CASE profile WHEN 'fast' THEN 'quick' ELSE profile END AS profile, device, coalesce(CAST(threads AS VARCHAR), '4') AS threads FROM document_configs")
+def settings_of_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Stored settings as keys and values, old values under new names, defaults for what is missing."""
+    c = read(spark, d, "document_configs", "job_id", "profile", "device", "threads")
+    stored = c.select(F.col("job_id").alias("user"), F.explode(F.create_map(F.lit("profile"), F.col("profile"), F.lit("device"), F.col("device"), F.lit("threads"), F.col("threads").cast("string"))).alias("key", "value"))
+    return files.settings(stored, {"profile": "balanced", "device": "auto", "threads": "4"}, {"profile": {"fast": "quick"}})
+
+
+@query("SELECT doc_id, CASE WHEN lower(file_name) LIKE '%.docx' AND NOT regexp_matches(file_name, '^(~\\$|\\.)') THEN 'file' ELSE 'skipped' END AS status, row_number() OVER (ORDER BY len(string_split(p, '/')), lower(p), doc_id) AS place FROM (SELECT doc_id, file_name, job_id || '/' || coalesce(source, 'none') || '/' || file_name AS p FROM documents)")
+def scan_order(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' files in the order of a scan (short paths first, then by name without case), with what is passed over."""
+    p = F.concat_ws("/", "job_id", F.coalesce("source", F.lit("none")), "file_name")
+    rows = read(spark, d, "documents", "doc_id", "job_id", "source", "file_name").select("doc_id", "file_name", F.size(F.split(p, "/")).alias("depth"), F.lower(p).alias("low"), F.lit(1).cast("bigint").alias("one"), F.lit("").alias("all"))
+    return ordered.running(rows, ["all"], ["depth", "low", "doc_id"], "one").select("doc_id", corpus.status(F.col("file_name")).alias("status"), (F.col("below") + 1).alias("place"))
+
+
+@query(
+    """WITH f AS (SELECT source || '-' || target AS id, entry_id, row_number() OVER (PARTITION BY source, target ORDER BY entry_id) AS o, key, CASE WHEN key IS NULL OR key <> lower(key) THEN 'MISSING' WHEN contains(key, ' ') THEN 'CORRUPTED' END AS bad FROM entries),
+g AS (SELECT id, min(o) FILTER (bad IS NOT NULL) AS o, count(*) AS n FROM f GROUP BY 1), h AS (SELECT g.id, g.n, f.bad FROM g LEFT JOIN f ON f.id = g.id AND f.o = g.o)
+SELECT id, CASE WHEN starts_with(id, 'de') THEN 'CORRUPTED' WHEN bad IS NOT NULL THEN bad WHEN starts_with(id, 'en') THEN 'READY' ELSE 'AVAILABLE' END AS state, CASE WHEN starts_with(id, 'de') OR bad = 'CORRUPTED' THEN 'ModelCorrupted' WHEN bad = 'MISSING' THEN 'ModelMissing' END AS error FROM h"""
+)
+def model_states(spark: SparkSession, d: str) -> DataFrame:
+    """Models (a language pair each) whose files (an entry each) are partly missing or of another size, with states known from before."""
+    e = read(spark, d, "entries", "entry_id", "source", "target", "key").withColumn("id", F.concat_ws("-", "source", "target"))
+    file = F.struct(F.col("entry_id"), F.col("entry_id").cast("string").alias("path"), F.coalesce(F.length("key"), F.lit(0)).cast("bigint").alias("size"), F.lit("0" * 64).alias("sha256"))
+    models = e.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(file)), lambda x: F.struct(x["path"].alias("path"), x["size"].alias("size"), x["sha256"].alias("sha256"))).alias("files"))
+    there = e.where(F.col("key") == F.lower("key")).select("id", F.col("entry_id").cast("string").alias("path"), (F.length("key") + F.contains("key", F.lit(" ")).cast("int")).cast("bigint").alias("size"), F.lit(None).cast("string").alias("sha256"))
+    known = models.select("id", F.when(F.startswith("id", F.lit("de")), "CORRUPTED").when(F.startswith("id", F.lit("en")), "READY").alias("state"))
+    return corpus.model_states(models, there, known, full=False)
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """path, content: a Word package of every document's texts, a paragraph of two runs for each."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pyarrow as pa
+
+    def package(texts: list[str]) -> bytes:
+        run = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
+        body = "".join(f"<w:p>{run(t[: len(t) // 2])}{run(t[len(t) // 2 :])}</w:p>" for t in texts)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{word.NS}"><w:body>{body}<w:sectPr/></w:body></w:document>')
+        return out.getvalue()
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([package(t) for t in b.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+CLEAN = "regexp_replace(text, '[\\x00-\\x1f\\x7f\\x{fffe}\\x{ffff}]', ' ', 'g')"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {CLEAN} AS t FROM segments WHERE text IS NOT NULL AND doc_id IS NOT NULL), p AS (SELECT doc_id, t, regexp_split_to_array(t, '{T.ADDRESS}') AS parts, regexp_extract_all(t, '{T.ADDRESS}') AS kept FROM s),
+n AS (SELECT doc_id, t, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: replace(parts[i], 'e', '3') || coalesce(kept[i], '')), '') AS text FROM p)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM n WHERE text <> t"""
+)
+def docx_job(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's segments packed as a Word package, read, translated group by group by a double, and dealt out over the
+    nodes again: the groups that changed. Addresses stay as they are."""
+    t = F.regexp_replace("text", r"[\x00-\x1f\x7f\x{fffe}\x{ffff}]", " ")
+    s = read(spark, d, "segments", "segment_id", "doc_id", "text").where("text is not null and doc_id is not null")
+    docs = s.groupBy(F.col("doc_id").cast("string").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", t.alias("t")))), lambda x: x["t"]).alias("texts"))
+    nodes = word.read_nodes(packed(docs))
+    config = job.Config(source="en", target="ru")
+    got = job.translate_groups(nodes, lambda texts, _: [x.replace("e", "3") for x in texts], config)
+    return got.groupBy(F.col("path").alias("doc_id"), "part", "group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", "text"))), lambda x: x["text"]), "").alias("text")).select("doc_id", "text")
+
+
+@query(SQL["debounce"])
 def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
-    """The streaming form of ``debounce`` over the events table, run to its end; bursts still open at the watermark aren't out yet."""
+    """The streaming form of ``debounce`` over the events table, run to its end; every batch's bursts replace those before in a table
+    of the shared folder, so that bursts still open are there too, and nothing goes through the driver."""
     import uuid
 
-    name = f"burst_{uuid.uuid4().hex}"
-    static = spark.read.parquet(f"{d}/events.parquet")
-    stream = spark.readStream.schema(static.schema).parquet(f"{d}/events*.parquet")
-    q = timers.debounce_stream(stream.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 30 * 60_000, "1 hour").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumnRenamed("value", "event_id")
+    folder = f"{shared_folder(spark)}/bursts-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events*.parquet")
+    bursts = timers.debounce_stream(stream.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 30 * 60_000, "1 hour")
+    put = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/rows")
+    bursts.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").withColumnRenamed("value", "event_id")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

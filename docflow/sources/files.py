@@ -89,9 +89,16 @@ def parse_log(line: Column) -> Column:
     return F.str_to_map(F.array_join(F.regexp_extract_all(line, F.lit(r"(\w+=\S+)"), F.lit(1)), " "), F.lit(" "), F.lit("="))
 
 
+def log_line(fields: dict[str, Column]) -> Column:
+    """Fields as key=value in a line; null ones are left out. Never give it a user's text."""
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{k}="), F.regexp_replace(v.cast("string"), r"\s+", "_")) for k, v in fields.items()])
+
+
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """The named columns as CSV with a header; other columns are left out, an existing report isn't overwritten."""
-    rows.select(*columns).write.mode("errorifexists").option("header", True).csv(path)
+    """The named columns as CSV with a header that begins with the mark of UTF-8; other columns are left out, an existing report
+    isn't overwritten. Missing values are empty."""
+    head = [F.col(c).alias(("\ufeff" if k == 0 else "") + c) for k, c in enumerate(columns)]
+    rows.select(*head).write.mode("errorifexists").option("header", True).option("encoding", "UTF-8").option("emptyValue", "").csv(path)
 
 
 def write_lexicon(entries: DataFrame, path: str) -> None:
@@ -102,3 +109,54 @@ def write_lexicon(entries: DataFrame, path: str) -> None:
 def write_json(rows: DataFrame, path: str) -> None:
     """Append rows to a report of JSON lines: every finished case is kept if a later one fails."""
     rows.write.mode("append").json(path)
+
+
+def settings(stored: DataFrame, defaults: dict[str, str], renamed: dict[str, dict[str, str]]) -> DataFrame:
+    """user and one column for each of ``defaults``: what is stored (user, key, value), old values under their new names, else the default."""
+    picked = stored.groupBy("user").pivot("key", list(defaults)).agg(F.max("value"))
+    cols = []
+    for k, d in defaults.items():
+        names = renamed.get(k, {})
+        table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
+        cols.append(F.coalesce(table[F.col(k)] if names else F.lit(None), F.col(k), F.lit(d)).alias(k))
+    return picked.select("user", *cols)
+
+
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    """One row per profile of a JSON configuration {"profiles": {name: {...}}}."""
+    kind = "struct<prefer_quality:boolean,allow_quality:boolean,auto_gpu:boolean,threads:int,beam_size:int,batch_tokens:int>"
+    doc = spark.read.schema(f"profiles map<string,{kind}>").json(path, multiLine=True)
+    return doc.select(F.explode("profiles").alias("profile", "p")).select("profile", "p.*")
+
+
+def model_package(content: bytes, most: int = 3 * 1024**3) -> dict[str, bytes]:
+    """Members of a packed model below its one folder that holds metadata.json; anything that would leave the folder is refused."""
+    import stat
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        infos = z.infolist()
+        if sum(i.file_size for i in infos) > most:
+            raise ValueError("too large")
+        for i in infos:
+            parts = i.filename.replace("\\", "/").split("/")
+            if i.filename.startswith(("/", "\\")) or ":" in parts[0] or ".." in parts or stat.S_ISLNK(i.external_attr >> 16):
+                raise ValueError("leaves its folder")
+        roots = {i.filename.rpartition("/")[0] for i in infos if i.filename.rpartition("/")[2] == "metadata.json"}
+        if len(roots) != 1:
+            raise ValueError("not one model")
+        root = roots.pop()
+        return {i.filename[len(root) + 1 if root else 0 :]: z.read(i) for i in infos if not i.is_dir() and (not root or i.filename.startswith(root + "/"))}
+
+
+def write_text(text: str, path: str) -> None:
+    """A small text, such as an attribution, beside its place and then in it, never over an existing file."""
+    import tempfile
+
+    fd, temporary = tempfile.mkstemp(prefix=".docflow-", dir=os.path.dirname(path) or ".")
+    try:
+        with os.fdopen(fd, "w", encoding="utf-8") as f:
+            f.write(text)
+        os.link(temporary, path)
+    finally:
+        os.unlink(temporary)

@@ -29,10 +29,15 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return best.select(*[F.col("r")[c].alias(c) for c in cols])
 
 
-def warm_periods(events: DataFrame, key: str, ts: str, tie: str, what: str, idle: float) -> DataFrame:
-    """key, loads, uses: how often what is used had to be loaded, because another was in use or it lay idle too long."""
-    e = with_previous(events.select(key, ts, tie, what).withColumn("__t", seconds(F.col(ts))), [key], [ts, tie], {what: "__w", "__t": "__b"})
-    start = F.col("__b").isNull() | ~F.col("__w").eqNullSafe(F.col(what)) | (F.col("__t") - F.col("__b") >= int(idle * 1_000_000))
+def warm_periods(events: DataFrame, key: str, ts: str, tie: str, what: str, idle: float, pinned: Column | None = None) -> DataFrame:
+    """key, loads, uses: how often what is used had to be loaded, because another was in use or it lay idle too long.
+
+    An ``idle`` of 0 never unloads. Where the event before was ``pinned`` (by a running job), idleness doesn't count.
+    """
+    e = events.select(key, ts, tie, what, (F.lit(False) if pinned is None else F.coalesce(pinned, F.lit(False))).alias("__p")).withColumn("__t", seconds(F.col(ts)))
+    e = with_previous(e, [key], [ts, tie], {what: "__w", "__t": "__b", "__p": "__pb"})
+    late = (F.col("__t") - F.col("__b") >= int(idle * 1_000_000)) & ~F.col("__pb") & F.lit(idle > 0)
+    start = F.col("__b").isNull() | ~F.col("__w").eqNullSafe(F.col(what)) | late
     return e.groupBy(key).agg(F.sum(start.cast("int")).alias("loads"), F.count("*").alias("uses"))
 
 
@@ -71,3 +76,22 @@ def debounce_stream(stream: DataFrame, key: str, ts: str, value: str, gap_ms: in
 def latest_stream(stream: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """The streaming form of ``latest``: one row per key in update mode, replaced by every later one."""
     return stream.groupBy(key).agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(value))).alias(value), F.max(ts).alias(ts))
+
+
+def ticks(rows: DataFrame, total: str, step: int = 4) -> DataFrame:
+    """``rows`` with tick, percent and processed of every tick of a progress that grows by ``step`` percent up to 100 (half to even)."""
+    n = -(-100 // step)
+    t = rows.withColumn("tick", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    pct = F.least(F.lit(100), F.col("tick") * step)
+    return t.withColumn("percent", pct).withColumn("processed", F.least(F.col(total).cast("bigint"), F.bround(F.col(total) * pct / 100).cast("bigint")))
+
+
+def per_tick(events: DataFrame, key: str, ts: str, width: str = "1 second") -> DataFrame:
+    """key, tick, done: how many events of a key came in each tick; on streams after a watermark, with a trigger of the tick's width."""
+    return events.groupBy(key, F.window(ts, width).alias("w")).agg(F.count("*").alias("done")).select(key, F.col("w.start").alias("tick"), "done")
+
+
+def at_clock(rows: DataFrame, clock: Column | None = None) -> DataFrame:
+    """``rows`` with made_at, the time of a report in UTC as text; ``clock`` stands in for the time of the query."""
+    now = F.current_timestamp() if clock is None else clock
+    return rows.withColumn("made_at", F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ssXXX").cast("string"))
