@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docflow.llm.bpe import FOLDER, VOCABULARY, count_tokens
-from docflow.llm.tables import cut
+from docflow.llm.tables import cut, small
 
 BITS = (12, 16, 16, 16)  # of the hash in each step of refinement: 60 together
 
@@ -55,7 +55,7 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     for bits in BITS:
         # tokens by source and hash bucket, of the boundary buckets only; the first step takes all
         keys = left.select("source", "prefix").distinct()
-        level = docs if not used else docs.withColumn("prefix", F.shiftright("h", shift)).join(F.broadcast(keys), ["source", "prefix"]).drop("prefix")
+        level = docs if not used else docs.withColumn("prefix", F.shiftright("h", shift)).join(small(keys), ["source", "prefix"]).drop("prefix")
         shift -= bits
         hist = level.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("t"))
         run = Window.partitionBy("source", "group").orderBy("bucket")
@@ -69,13 +69,13 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
 def plan(documents: DataFrame, targets: DataFrame, folder: str = FOLDER, name: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(sizes, thresholds): what mixture and shares are made of."""
     sizes = sized(documents, folder, name)
-    return sizes, thresholds(sizes, budgets(sizes, targets))
+    return sizes, cut(thresholds(sizes, cut(budgets(sizes, targets))))
 
 
 def mixture(sizes: DataFrame, limits: DataFrame) -> DataFrame:
     """plan_id, doc_id, source, n_tokens, copies of every document of every plan's mixture."""
     few = limits.select("plan_id", F.col("source").alias("s"), "whole", "rest", "below")  # one row per plan and source
-    got = sizes.join(F.broadcast(few), F.col("source") == F.col("s"))
+    got = sizes.join(small(few), F.col("source") == F.col("s"))
     copies = F.col("whole") + F.when((F.col("h") < F.col("below")) & (F.col("n_tokens") > 0) & (F.col("rest") > 0), 1).otherwise(0)
     return got.withColumn("copies", copies.cast("int")).where("copies > 0").select("plan_id", "doc_id", "source", "n_tokens", "copies")
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm.langid import HAS_OTHER, LEAST_EVIDENCE, NOT_WORDS, SCRIPT_TABLE, Profiles, pieces, train
 from docflow.llm.langs import LANGS, label_code
-from docflow.llm.tables import cut, spread
+from docflow.llm.tables import cut, small, spread
 from docflow.llm.truncation import LETTER, SHY, ending, source_ending
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")  # in the order in which one is named
@@ -557,7 +557,7 @@ def defects(segments: DataFrame, configs: DataFrame, requests: DataFrame, result
     model = label_model(counts, [(int(k), r.defect) for k, r in zip(known, rows)])
     kept = [(k, p) for k in sorted(counts) if (p := model.labels(k))]
     table = got.sparkSession.createDataFrame([(k, list(p), [round(v, 6) for v in p.values()]) for k, p in kept], "pattern bigint, defects array<string>, posteriors array<double>")
-    return got.join(F.broadcast(table), "pattern").select("pair_table", "pair_id", "defects", "posteriors")
+    return got.join(small(table), "pattern").select("pair_table", "pair_id", "defects", "posteriors")
 
 
 def first_defect(found: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docflow.llm.bpe import CHUNK, FOLDER, VOCABULARY, Vocabulary, vocabulary
 from docflow.llm.sentences import spans
-from docflow.llm.tables import spread
+from docflow.llm.tables import small, spread
 
 CLAUSE = re.compile(r"[,;:，；：、—–)）]")
 MARK = regex.compile(r"[\p{M}\u200d]")
@@ -110,9 +110,10 @@ def split(segments: DataFrame, options: DataFrame, folder: str = FOLDER, name: s
 
     piece_ord counts from 0; start_pos and end_pos are code points. Null and empty texts, and segments without options or without a
     limit, give no pieces; a limit below 1 counts as 1, an overlap of the limit or more as one token less. Repeated rows each give
-    their pieces.
+    their pieces; of options that differ under one id those of the greatest limit count, then of the greatest overlap.
     """
-    opts = options.where("options_id is not null").dropDuplicates(["options_id"]).select(F.col("options_id").alias("o"), "max_input_tokens", "overlap_tokens")
+    best = F.max(F.struct("max_input_tokens", "overlap_tokens")).alias("best")
+    opts = small(options.where("options_id is not null").groupBy(F.col("options_id").alias("o")).agg(best).select("o", "best.*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(folder, name)
@@ -133,6 +134,6 @@ def split(segments: DataFrame, options: DataFrame, folder: str = FOLDER, name: s
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:6]), pa.array(cols[6], pa.string())], names=["segment_id", "n_text_tokens", "piece_ord", "start_pos", "end_pos", "n_tokens", "text"])
 
     # a text of fewer bytes than the limit can't have more tokens: it needn't reach Python
-    rows = segments.select("segment_id", "text", "options_id").where("text is not null and options_id is not null")
-    fed = rows.join(F.broadcast(opts), F.col("options_id") == F.col("o")).where(F.octet_length("text") > F.col("max_input_tokens"))
-    return spread(fed.select("segment_id", "text", F.col("max_input_tokens").cast("int"), F.col("overlap_tokens").cast("int"))).mapInArrow(run, PIECE)
+    rows = spread(segments.select("segment_id", "text", "options_id").where("text is not null and options_id is not null"))
+    fed = rows.join(opts, F.col("options_id") == F.col("o")).where(F.octet_length("text") > F.col("max_input_tokens"))
+    return fed.select("segment_id", "text", F.col("max_input_tokens").cast("int"), F.col("overlap_tokens").cast("int")).mapInArrow(run, PIECE)

@@ -1,14 +1,14 @@
-"""Reading of tables and the shared folder for cut lineages."""
+"""Reading of tables, sizes of broadcasts, and keys and partitions of scans."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docflow.operators.lineage import cut
+
+__all__ = ["cut", "small", "spread", "spread_nulls", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The columns (all, if none are named) of a test table."""
@@ -16,22 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir.
+FEW = 100_000  # rows of a table that may be broadcast
 
-    The folder is the session's own setting; only where it is unset and Spark runs in one process, as in tests, a temporary one
-    is set and removed at the end.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="docflow-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df`` with the hint to broadcast it if it has at most ``most`` rows, else as it is: Spark then joins by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def spread_nulls(key: str, row_id: str) -> Column:
