@@ -198,17 +198,18 @@ def hashed(df: DataFrame, id_column: str, text: str, groups: list[str]) -> DataF
     plain = F.col("raw").rlike(r"^[\x00-\x08\x0a-\x7f]*$")
     hashes = lambda c, k: (F.xxhash64(c).alias(f"{k}64"), F.hash(c).alias(f"{k}32"))
     odd = canonical_column(src.where(~plain), "raw", "id", "raw", *groups)
-    odd = odd.select("id", *groups, *hashes("canon", "c"), *hashes("raw", "r"), (F.col("canon") != F.col("raw")).alias("changed"))
-    own = src.where(plain).select("id", *groups, *hashes("raw", "c"), *hashes("raw", "r"), F.lit(False).alias("changed"))
+    odd = odd.select("id", *groups, *hashes("canon", "c"), *hashes("raw", "r"))
+    own = src.where(plain).select("id", *groups, *hashes("raw", "c"), *hashes("raw", "r"))
     return own.unionByName(odd)
 
 
-def doubtful(df: DataFrame, id_column: str, text: str, groups: list[str]) -> DataFrame:
-    """The rows of ``hashed`` in whose class a text isn't its own form: without one, a class has one spelling only."""
+def several(df: DataFrame, id_column: str, text: str, groups: list[str]) -> DataFrame:
+    """The rows of ``hashed`` whose class has several spellings: its least isn't its greatest, by extremes taken before the shuffle."""
     key = [*groups, "c64", "c32"]
     rows = cut(hashed(df, id_column, text, groups))
-    wanted = rows.where("changed").select(*key).distinct()
-    return cut(rows.join(small(wanted), key, "left_semi").drop("changed"))
+    spelling = F.struct("r64", "r32")
+    wanted = rows.groupBy(*key).agg(F.min(spelling).alias("lo"), F.max(spelling).alias("hi")).where("lo <> hi").select(*key)
+    return cut(rows.join(small(cut(wanted)), key, "left_semi"))
 
 
 def spelled(rows: DataFrame, groups: list[str]) -> DataFrame:
@@ -227,7 +228,7 @@ def look_classes(df: DataFrame, table: str, id_column: str, text: str, groups: l
     the same and are spelled otherwise. Null texts and null groups have none. The work is linear in the rows.
     """
     key = [*groups, "c64", "c32", "r64", "r32"]
-    rows = doubtful(df, id_column, text, groups)
+    rows = several(df, id_column, text, groups)
     some = spelled(rows, groups).select(*key, (F.col("in_class") - F.col("n")).alias("links"))
     class_id = F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in [*groups, "c64", "c32"]]))
     return rows.join(some, key).select(F.lit(table).alias("rec_table"), "id", class_id.alias("class_id"), "links")
@@ -240,7 +241,7 @@ def same_look(df: DataFrame, table: str, id_column: str, text: str, groups: list
     is filled with its rows, so that nothing is joined that is not in the result; for a class of many rows see ``look_classes``.
     """
     key = [*groups, "c64", "c32"]
-    rows = doubtful(df, id_column, text, groups)
+    rows = several(df, id_column, text, groups)
     some = cut(spelled(rows, groups).select(*key, "r64", "r32"))
     a = some.withColumnsRenamed({"r64": "a64", "r32": "a32"})
     b = some.withColumnsRenamed({"r64": "b64", "r32": "b32"})
