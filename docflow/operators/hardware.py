@@ -14,7 +14,7 @@ AUTOMATIC = "auto"
 
 def probe_number(output: Column) -> Column:
     """Gigabytes of the greatest of the numbers that stand alone on a probe's lines (in megabytes), at least 1; null for none."""
-    lines = F.transform(F.filter(F.transform(F.split(output, r"\r\n|\r|\n"), F.trim), lambda x: x.rlike(r"^\d+\z")), lambda x: x.try_cast("bigint"))
+    lines = F.transform(F.filter(F.transform(F.split(output, r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+\z")), lambda x: x.try_cast("bigint"))
     return F.when(F.size(lines) > 0, F.greatest(F.lit(1), F.bround(F.array_max(lines) / 1024).cast("bigint")))
 
 
