@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ ROWS = 1024  # texts of a batch handled together
 TOP = 500  # n-grams of a profile
 SAMPLE = 600  # training texts of a language: the documented bound of the sample
 LEAST_LETTERS = 12  # letters of a sentence that may show a language of its own (a CJK letter counts three)
+LEAST_LEAD = 0.95  # letters times lead of a text's nearest language below which common words decide between the near ones
 OTHER = "und"  # a language that has no profile
 # A text is in another language if it has enough letters, and its sentences are far from all profiles and hardly nearer to one than to the next.
 OTHER_LETTERS, OTHER_FAR, OTHER_LEAD = 100, 0.45, 0.1
@@ -127,6 +128,7 @@ class Profiles:
     codes: np.ndarray
     ranks: np.ndarray
     langs: tuple[str, ...]
+    words: dict[str, frozenset[str]] = field(default_factory=dict)  # common words, for texts that lie equally near to several profiles
 
     def __post_init__(self) -> None:
         # a table of hashes without collisions among the profiles' codes: one look instead of a search
@@ -146,16 +148,16 @@ class Profiles:
         return (codes.astype(np.uint64) * factor) >> np.uint64(64 - self.bits)
 
     def __reduce__(self):
-        return Profiles, (self.codes, self.ranks, self.langs)
+        return Profiles, (self.codes, self.ranks, self.langs, self.words)
 
     @classmethod
-    def of(cls, tops: dict[str, list[int]]) -> Profiles:
+    def of(cls, tops: dict[str, list[int]], words: dict[str, set[str]] | None = None) -> Profiles:
         langs = tuple(x for x in LANGS if tops.get(x))
         codes = np.unique(np.concatenate([np.array(tops[x], np.int64) for x in langs])) if langs else np.zeros(0, np.int64)
         ranks = np.full((len(codes) + 1, len(langs)), TOP, np.float32)  # the last row: in no profile
         for j, x in enumerate(langs):
             ranks[np.searchsorted(codes, np.array(tops[x], np.int64)), j] = np.arange(len(tops[x]))
-        return cls(codes, ranks, langs)
+        return cls(codes, ranks, langs, {x: frozenset(w) for x, w in (words or {}).items() if x in langs})
 
     def distances(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean out-of-place distance of each text to each language as a share of the worst; letters by script.
@@ -273,7 +275,7 @@ def train(documents: DataFrame, common_words: DataFrame) -> Profiles:
             more = pd.Series(1, index=code).groupby(level=0).sum().sort_values(ascending=False, kind="stable").index.tolist()
             have = tops.get(lang, [])
             tops[lang] = (have + [c for c in more if c not in set(have)])[:TOP]
-    return Profiles.of(tops)
+    return Profiles.of(tops, words)
 
 
 WORD = re.compile(r"[^\W\d_]+", re.U)
@@ -334,6 +336,7 @@ def identify(texts: list[str], profiles: Profiles) -> list[Found]:
     total = np.stack([np.bincount(owner, weights=far[:, j] * letters, minlength=len(texts)) for j in range(far.shape[1])], axis=1)
     weight = np.bincount(owner, weights=letters, minlength=len(texts))
     main = np.argmin(total, axis=1)
+    settle(texts, total, weight, main, profiles)
     bare = [i for i in np.flatnonzero(weight == 0) if QUOTE_MARKS.search(texts[i])]
     # a text that is nothing but quoted words is read without its quotation marks
     reread = dict(zip(bare, identify([QUOTE_MARKS.sub(" ", texts[i]) for i in bare], profiles))) if bare else {}
@@ -379,6 +382,19 @@ def identify(texts: list[str], profiles: Profiles) -> list[Found]:
     return out
 
 
+def settle(texts: list[str], total: np.ndarray, weight: np.ndarray, main: np.ndarray, profiles: Profiles) -> None:
+    """Where a text is about as near to other languages as to its nearest one, the one with the most common words in it takes its place."""
+    if not profiles.words or total.shape[1] < 2:
+        return
+    least = total[np.arange(len(texts)), main]
+    near = total - least[:, None] < LEAST_LEAD
+    for i in np.flatnonzero((near.sum(axis=1) > 1) & (weight > 0)):
+        found = WORD.findall(texts[i].lower())
+        hits = {int(j): sum(w in profiles.words.get(profiles.langs[j], ()) for w in found) for j in np.flatnonzero(near[i])}
+        best = max(hits, key=lambda j: (hits[j], j == main[i], -total[i, j]))
+        main[i] = best
+
+
 def joined(p, weight, main, own, clear, lead, letters, names) -> Found:
     """Neighbouring sentences of one language become a stretch; those without a language of their own take the main one."""
     if not len(p) or not weight:

@@ -424,3 +424,10 @@ def test_long_lines_take_linear_time(text):
     began = time.perf_counter()
     sentences.spans(text)
     assert time.perf_counter() - began < 20
+
+
+def test_common_words_decide_between_near_languages(profiles):
+    titles = ["The translation engine", "El panel de progreso", "Le cache des segments"]
+    assert [f.lang for f in langid.identify(titles, profiles)] == ["en", "es", "fr"]
+    # a text with a clear lead keeps its nearest language whatever common words it quotes
+    assert langid.identify([SPANISH + " the the the"], profiles)[0].lang == "es"
