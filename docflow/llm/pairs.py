@@ -161,6 +161,8 @@ NO_LANG = 15  # stands for no language among the numbers of LANGS
 LANG_BITS = len(LANGS)
 OWN_SCRIPT = np.array([{"th": 4, "hi": 3, "ru": 1, "uk": 1, "zh": 2, "ja": 2}.get(x, 0) for x in LANGS])
 
+SIGNS = np.array([1, 1, 3, 1, 1])  # letters of an alphabet that a letter of each script stands for
+
 
 def bare(text: str) -> str:
     return NOT_WORDS.sub(" ", text) if HAS_OTHER.search(text) else text
@@ -212,9 +214,12 @@ def answers_seen(texts: list[str | None], profiles: Profiles) -> list[tuple[int,
     for b, x in enumerate(LANGS):
         if x in index:
             off[:, b] = (own >= 0) & (own != index[x]) & (weight >= 6) & (lead[:, index[x]] >= LEAST_EVIDENCE)
-    by = scripts_of([bare(t) for t in clean]) if clean else np.zeros((0, 5))
+    by = scripts_of([bare(t) for t in clean]) * SIGNS if clean else np.zeros((0, 5))
     all_ = by.sum(axis=1)
     strange = (all_ >= 4)[:, None] & (by[:, OWN_SCRIPT] < 0.3 * all_[:, None])
+    # a text that has a fair part of the language's own script isn't in another one of another script, as where a long name is quoted
+    alike = OWN_SCRIPT[np.array([LANGS.index(x) for x in profiles.langs], np.int64)][np.maximum(own, 0)][:, None] == OWN_SCRIPT if k and profiles.langs else np.ones_like(strange)
+    off &= strange | alike
     powers = 1 << np.arange(LANG_BITS)
     masks = ((off * powers).sum(axis=1) << 12) | ((strange * powers).sum(axis=1) << (12 + LANG_BITS))
     number = [LANGS.index(x) for x in profiles.langs]

@@ -303,6 +303,12 @@ def test_votes_are_independent_of_each_other(profiles):
     assert v["copy_equal"] and v["truncated_unfinished"] and v["wrong_language_profile"]
 
 
+def test_a_quoted_name_makes_no_other_language(profiles):
+    v = vote("Sorry, glossary154.docx cannot be opened.", "抱歉，glossa", "zh", profiles)
+    assert not v["wrong_language_profile"] and not v["wrong_language_script"]
+    assert vote("The page is open.", "Страница открыта.", "zh", profiles)["wrong_language_profile"]
+
+
 def test_label_model_learns_from_agreement():
     """Rates are free: a function that disagrees with the others loses its weight, whatever it starts from."""
     bit = {n: 1 << i for i, n in enumerate(pairs.VOTES)}
