@@ -511,15 +511,23 @@ def span_allocate(spark: SparkSession, d: str) -> DataFrame:
     return segments.reallocate(s, "segment_id", "translated", "lengths")
 
 
-MODELS = "SELECT * FROM (SELECT lower(replace(source || '-' || target, ' ', '')) AS id, 'models/' || source AS path, count(*) AS n, sum(length(key)) AS total, min(length(key)) AS least FROM entries GROUP BY 1, 2)"
-
-
-@query("SELECT id, array_to_string(list_filter([CASE WHEN n % 2 = 1 THEN 'size' END, CASE WHEN least > 1000 THEN 'path' END], lambda x: x IS NOT NULL), ',') AS errors FROM (" + MODELS + ")")
+@query(
+    """SELECT CASE WHEN source = 'ru' THEN upper(id) ELSE id END AS id, array_to_string(list_filter([CASE WHEN source = 'ru' THEN 'id' END, CASE WHEN source = 'zh' THEN 'no_files' END, CASE WHEN source = 'es' THEN 'sha' END,
+  CASE WHEN n % 2 = 1 OR source = 'zh' AND total > 0 THEN 'size' END, CASE WHEN target = 'fr' AND source <> 'zh' THEN 'duplicate_file' END, CASE WHEN source = 'de' THEN 'pair' END, CASE WHEN target = 'en' THEN 'path' END], lambda x: x IS NOT NULL), ',') AS errors
+FROM (SELECT source, target, lower(replace(source || '-' || target, ' ', '')) AS id, count(*) AS n, coalesce(sum(length(key)), 0) AS total FROM entries GROUP BY 1, 2)"""
+)
 def manifest_check(spark: SparkSession, d: str) -> DataFrame:
+    """A model record for each pair of languages, with what is wrong planted by language: ids, hashes, files, sizes, pairs and paths."""
     e = read(spark, d, "entries", "source", "target", "key")
-    g = e.groupBy(F.lower(F.replace(F.concat_ws("-", "source", "target"), F.lit(" "), F.lit(""))).alias("id"), F.concat(F.lit("models/"), "source").alias("path")).agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("total"))
-    f = F.array(F.struct(F.lit("model.bin").alias("path"), F.col("total").cast("bigint").alias("size"), F.lit("0" * 64).alias("sha256")))
-    m = g.select("id", "path", F.array().cast("array<string>").alias("languages"), F.array(F.array(F.lit("a"), F.lit("b"))).alias("pairs"), f.alias("files"), (F.col("total") + F.col("n") % 2).cast("bigint").alias("size"))
+    s, t = F.col("source"), F.col("target")
+    g = e.groupBy("source", "target").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("total"))
+    one = F.struct(F.lit("model.bin").alias("path"), F.col("total").cast("bigint").alias("size"), F.when(s == "es", "0").otherwise("0" * 64).alias("sha256"))
+    other = F.struct(F.lit("model.bin").alias("path"), F.lit(0).cast("bigint").alias("size"), F.lit("0" * 64).alias("sha256"))
+    kept = F.when(s == "zh", F.slice(F.array(one), 1, 0)).when(t == "fr", F.array(one, other)).otherwise(F.array(one))
+    name = F.lower(F.replace(F.concat_ws("-", "source", "target"), F.lit(" "), F.lit("")))
+    pair = F.when(s == "de", F.array("source", "target", "source")).otherwise(F.array("source", "target"))
+    path = F.concat(F.when(t == "en", "../").otherwise("models/"), s)
+    m = g.select(F.when(s == "ru", F.upper(name)).otherwise(name).alias("id"), path.alias("path"), F.array("source").alias("languages"), F.array(pair).alias("pairs"), kept.alias("files"), (F.col("total") + F.col("n") % 2).cast("bigint").alias("size"))
     return corpus.manifest_errors(m).select("id", F.array_join("errors", ",").alias("errors"))
 
 
